@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.common import packed, table, unpacked
+from tessera.llm.common import packed, shipped, table, unpacked
 
 #: Characters on which all Unicode versions agree (Latin, Cyrillic, general punctuation). Texts with others are cut into
 #: words by the library itself, whose tables may be older or newer than Python's.
@@ -191,17 +191,17 @@ def _loaded(name: str) -> WordBpe:
         return WordBpe(f.read())
 
 
-def bpe_round_trip(docs: DataFrame, path: str, text_col: str = "text", digests: bool = False) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, path: str, text_col: str = "text", digests: bool = False, keep_text: bool = True) -> DataFrame:
     """docs with n_tokens, ids (array<int>) and decoded; or, with digests, n_tokens, ids_sha256 and decoded_sha256.
 
     path: a tokenizer file (JSON) on the driver; executors get it as a Spark file, it's not copied anywhere else. Null
     text: as empty; empty text: no ids and ''. Every text is encoded whole. Columns of those names are replaced; others
-    pass. Words are cached within bounds, so memory doesn't grow with the table. Empty input: empty output.
+    pass, the text too with keep_text. Words are cached within bounds, so memory doesn't grow with the table. Empty input: empty output.
     """
     context = docs.sparkSession.sparkContext
     context.addFile(path)
     name = path.rsplit("/", 1)[-1]
-    base = packed(docs, text_col).withColumn(f"_tz_{text_col}", F.coalesce(F.col(f"_tz_{text_col}"), F.lit("")))
+    base = packed(docs, text_col, beside=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(name)
@@ -210,24 +210,25 @@ def bpe_round_trip(docs: DataFrame, path: str, text_col: str = "text", digests:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                ids = [model.encode(t.as_py()) for t in b.column(1)]
+                ids = [model.encode(t or "") for t in b.column(1).to_pylist()]
                 decoded = [model.decode(x) for x in ids]
                 count = pa.array([len(x) for x in ids], pa.int64())
                 if digests:
                     found = [pa.array([sha(" ".join(map(digits.__getitem__, x))) for x in ids], pa.string()), pa.array([sha(x) for x in decoded], pa.string())]
                 else:
                     found = [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays([b.column(0), count, *found], names=["_tz_row", "n", "a", "b"])
+                yield pa.RecordBatch.from_arrays([b.column(0), count, *found, b.column(1)][: 4 + keep_text], names=["_tz_row", "n", "a", "b", "t"][: 4 + keep_text])
 
     kinds = "a string, b string" if digests else "a array<int>, b string"
     row = base.schema["_tz_row"].dataType.simpleString()
-    done = base.select("_tz_row", f"_tz_{text_col}").mapInArrow(run, f"_tz_row {row}, n long, {kinds}")
+    done = shipped(base).mapInArrow(run, f"_tz_row {row}, n long, {kinds}" + ", t string" * keep_text)
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-    return unpacked(done, docs, **{"n_tokens": F.col("n"), names[0]: F.col("a"), names[1]: F.col("b")})
+    text = {text_col: F.col("t")} if keep_text else {}
+    return unpacked(done, docs, None if keep_text else text_col, **text, **{"n_tokens": F.col("n"), names[0]: F.col("a"), names[1]: F.col("b")})
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe_round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True).drop("text")
+    return bpe_round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True, keep_text=False)

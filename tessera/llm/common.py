@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """df, after this package was sent to the executors, once a session: their Python workers import it."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        root = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="tessera-code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(f"{folder}/tessera.zip", "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        context.addPyFile(f"{folder}/tessera.zip")
+    return df
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. lower() is much faster than translate() and the same on pure ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -46,14 +66,18 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def packed(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns under private names (_tz_NAME), the whole row in _tz_row: extra columns can't clash."""
-    return docs.select(F.struct("*").alias("_tz_row"), *(F.col(f"`{c}`").alias(f"_tz_{c}") for c in columns))
+def packed(docs: DataFrame, *columns: str, beside: str | None = None) -> DataFrame:
+    """The named columns as _tz_NAME, and the whole row as _tz_row: extra columns of any name can't clash.
+
+    The column `beside`, a long one, is not in _tz_row as well.
+    """
+    row = [F.col(f"`{c}`") for c in docs.columns if c != beside] or [F.lit(0).alias("_tz_none")]
+    return docs.select(F.struct(*row).alias("_tz_row"), *(F.col(f"`{c}`").alias(f"_tz_{c}") for c in columns))
 
 
-def unpacked(df: DataFrame, schema_of: DataFrame, **added: Column) -> DataFrame:
+def unpacked(df: DataFrame, schema_of: DataFrame, without: str | None = None, **added: Column) -> DataFrame:
     """Undoes packed(); a column in `added` takes the place of one of the same name, or follows the others."""
-    names = schema_of.columns
+    names = [c for c in schema_of.columns if c != without]
     kept = [added[c].alias(c) if c in added else F.col("_tz_row")[c].alias(c) for c in names]
     return df.select(*kept, *(v.alias(k) for k, v in added.items() if k not in names))
 

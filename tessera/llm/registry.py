@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import bpe, line_dedup, simhash
+from tessera.llm import bpe, langid, line_dedup, mixing, simhash
 
 
 def queries() -> dict[str, Callable]:
@@ -12,6 +12,8 @@ def queries() -> dict[str, Callable]:
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_simhash": simhash.op2_simhash,
         "op3_bpe": bpe.op3_bpe,
+        "op4_language_id": langid.op4_language_id,
+        "op9_mixing": mixing.op9_mixing,
     }
 
 

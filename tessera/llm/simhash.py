@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import join_skewed, saved, table
+from tessera.llm.common import join_skewed, saved, shipped, table
 from tessera.llm.graph import components
 
 BITS = 64
@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return shipped(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
 def _blocks(budget: int) -> list[tuple[int, int]]:
@@ -182,7 +182,7 @@ def links(prints: DataFrame, budget: int = 4, bucket_limit: int = 200_000, split
             yield from _joined(np.concatenate(held, axis=1), blocks, budget, split_bits)
 
     dealt = rows.repartition("node", "pair").sortWithinPartitions("node", "pair")
-    return dealt.select("fp", "node", "pair").mapInArrow(run, "u long, v long")
+    return shipped(dealt).select("fp", "node", "pair").mapInArrow(run, "u long, v long")
 
 
 def _turn(bits, by: int):
