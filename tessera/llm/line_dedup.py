@@ -36,7 +36,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     count is a two-step aggregate (by key and id, then by key), so a line that a third of all rows hold meets in no task.
     """
     text = F.coalesce(F.col(f"_tz_{text_col}"), F.lit(""))
-    base = packed(docs, id_col, text_col).select("_tz_row", F.col(f"_tz_{id_col}").alias("_tz_id"), text.alias("_tz_text"))
+    base = packed(docs, id_col, text_col, beside=text_col).select("_tz_row", F.col(f"_tz_{id_col}").alias("_tz_id"), text.alias("_tz_text"))
     base = base.withColumn("_tz_hash", F.xxhash64("_tz_text"))
 
     lines = base.filter(F.col("_tz_id").isNotNull()).select("_tz_id", "_tz_hash", F.posexplode(F.split("_tz_text", "\n")).alias("_tz_pos", "_tz_line"))
