@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import bpe, langid, line_dedup, mixing, simhash
+from tessera.llm import bpe, html_extract, langid, license_scan, line_dedup, mixing, quality_model, quality_rules, simhash
 
 
 def queries() -> dict[str, Callable]:
@@ -13,6 +13,10 @@ def queries() -> dict[str, Callable]:
         "op2_simhash": simhash.op2_simhash,
         "op3_bpe": bpe.op3_bpe,
         "op4_language_id": langid.op4_language_id,
+        "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op6_quality": quality_model.op6_quality,
+        "op7_html": html_extract.op7_html,
+        "op8_license_scan": license_scan.op8_license_scan,
         "op9_mixing": mixing.op9_mixing,
     }
 
