@@ -53,16 +53,21 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder that all executors share, with its lineage cut."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where that isn't set (tests)."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")  # local mode only: no shared folder was named
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            named = tempfile.mkdtemp(prefix="tessera-checkpoint-")  # local mode only: no shared folder was named
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the folder that all executors share, with its lineage cut."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

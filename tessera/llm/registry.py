@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import bpe, html_extract, langid, license_scan, line_dedup, mixing, quality_model, quality_rules, simhash
+from tessera.llm import ann, bpe, html_extract, langid, license_scan, line_dedup, mixing, quality_model, quality_rules, simhash
 
 
 def queries() -> dict[str, Callable]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable]:
         "op7_html": html_extract.op7_html,
         "op8_license_scan": license_scan.op8_license_scan,
         "op9_mixing": mixing.op9_mixing,
+        "op10_ann": ann.op10_ann,
     }
 
 
