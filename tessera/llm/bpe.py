@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.common import packed, shipped, table, unpacked
+from tessera.llm.common import packed, row_and, shipped, table, unpacked
 
 #: Characters on which all Unicode versions agree (Latin, Cyrillic, general punctuation). Texts with others are cut into
 #: words by the library itself, whose tables may be older or newer than Python's.
@@ -220,8 +220,7 @@ def bpe_round_trip(docs: DataFrame, path: str, text_col: str = "text", digests:
                 yield pa.RecordBatch.from_arrays([b.column(0), count, *found, b.column(1)][: 4 + keep_text], names=["_tz_row", "n", "a", "b", "t"][: 4 + keep_text])
 
     kinds = "a string, b string" if digests else "a array<int>, b string"
-    row = base.schema["_tz_row"].dataType.simpleString()
-    done = shipped(base).mapInArrow(run, f"_tz_row {row}, n long, {kinds}" + ", t string" * keep_text)
+    done = shipped(base).mapInArrow(run, row_and(base, f"n long, {kinds}" + ", t string" * keep_text))
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
     text = {text_col: F.col("t")} if keep_text else {}
     return unpacked(done, docs, None if keep_text else text_col, **text, **{"n_tokens": F.col("n"), names[0]: F.col("a"), names[1]: F.col("b")})

@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The white space of every contract here: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -80,6 +81,11 @@ def packed(docs: DataFrame, *columns: str, beside: str | None = None) -> DataFra
     return docs.select(F.struct(*row).alias("_tz_row"), *(F.col(f"`{c}`").alias(f"_tz_{c}") for c in columns))
 
 
+def row_and(base: DataFrame, ddl: str) -> StructType:
+    """The schema of _tz_row, whatever names it has, and of the columns in ddl."""
+    return StructType([base.schema["_tz_row"], *StructType.fromDDL(ddl).fields])
+
+
 def unpacked(df: DataFrame, schema_of: DataFrame, without: str | None = None, **added: Column) -> DataFrame:
     """Undoes packed(); a column in `added` takes the place of one of the same name, or follows the others."""
     names = [c for c in schema_of.columns if c != without]

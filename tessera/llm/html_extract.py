@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import packed, shipped, table, unpacked
+from tessera.llm.common import packed, row_and, shipped, table, unpacked
 from tessera.llm.html_pages import pages
 
 RAW = "script style textarea title template noscript iframe svg math object select datalist canvas audio video noembed noframes head xmp"
@@ -296,7 +296,7 @@ def html_text(pages_: DataFrame, threshold: float = 0.5, html_col: str = "html",
                 found = extract(b.column(1).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string()), b.column(1)][: 2 + keep_html], names=["_tz_row", "x", "h"][: 2 + keep_html])
 
-    out = shipped(base).mapInArrow(run, f"_tz_row {base.schema['_tz_row'].dataType.simpleString()}, x string" + ", h string" * keep_html)
+    out = shipped(base).mapInArrow(run, row_and(base, "x string" + ", h string" * keep_html))
     raw = {html_col: F.col("h")} if keep_html else {}
     return unpacked(out, pages_, None if keep_html else html_col, **raw, text=F.col("x"), n_chars=F.char_length("x").cast("long"))
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, packed, shipped, table, unpacked
+from tessera.llm.common import fold, packed, row_and, shipped, table, unpacked
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Where blocks of one script begin in Unicode, and the script from there on ('' is any other).
@@ -232,8 +232,8 @@ def identify(docs: DataFrame, model: Model, spans: bool = True, text_col: str =
                 yield pa.RecordBatch.from_arrays([b.column(0), *parts], names=names)
 
     names = ["_tz_row", "a", "b"] + ["c"] * spans + ["t"] * keep_text
-    kind = f"_tz_row {base.schema['_tz_row'].dataType.simpleString()}, a string, b double" + ", c array<struct<first_word:int,last_word:int,lang:string>>" * spans + ", t string" * keep_text
-    out = shipped(base).mapInArrow(run, kind)
+    kind = "a string, b double" + ", c array<struct<first_word:int,last_word:int,lang:string>>" * spans + ", t string" * keep_text
+    out = shipped(base).mapInArrow(run, row_and(base, kind))
     added = ({text_col: F.col("t")} if keep_text else {}) | {"lang_pred": F.col("a"), "score": F.col("b")} | ({"spans": F.col("c")} if spans else {})
     return unpacked(out, docs, None if keep_text else text_col, **added)
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, packed, shipped, table, unpacked
+from tessera.llm.common import fold, packed, row_and, shipped, table, unpacked
 
 PAIRS = 256  # bins of hashed pairs of bytes
 _TABLE = np.zeros(256, np.int64)  # byte class: 0 a-z, 1 A-Z, 2 0-9, 3 space, 4 newline, 5 .,;:!?'"()-, 6 #*$%&|<>, 7 other ASCII, 8 beyond ASCII
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model, threshold: float = 0.3, text_col: str = "text"
                     s = 1 / (1 + np.exp(-np.clip(standard(x, mean, scale) @ w + bias, -30, 30)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), b.column(1)][: 2 + keep_text], names=["_tz_row", "s", "t"][: 2 + keep_text])
 
-    out = shipped(base).mapInArrow(run, f"_tz_row {base.schema['_tz_row'].dataType.simpleString()}, s double" + ", t string" * keep_text)
+    out = shipped(base).mapInArrow(run, row_and(base, "s double" + ", t string" * keep_text))
     text = {text_col: F.col("t")} if keep_text else {}
     return unpacked(out, docs, None if keep_text else text_col, **text, score=F.col("s"), predicted=(F.col("s") >= threshold).cast("int"))
 
