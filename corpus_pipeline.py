@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, langid, line_dedup, mixing, simhash
-from tessera.llm.common import folder, table
+from tessera.llm.common import fold, folder, table
 
 #: A document whose language is less sure than this isn't clean text of a known language.
 LEAST_SCORE = 0.35
@@ -16,24 +16,26 @@ LEAST_SCORE = 0.35
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a known language: not 'und', score LEAST_SCORE at least. Learns as op4 does, from documents not held out."""
-    model = langid.fit(docs.filter(langid.fold(F.col("doc_id"), 4) != 2))
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    found = langid.identify(docs.select(*names), model, spans=False)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*names)
+    model = langid.fit(docs.filter(fold(F.col("doc_id"), 4) != 2))
+    own = {c: f"_tz_own_{c}" for c in docs.columns if c in ("lang_pred", "score")}  # columns of these names stay as they are
+    found = langid.identify(docs.withColumnsRenamed(own), model, spans=False)
+    sure = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+    return sure.withColumnsRenamed({v: k for k, v in own.items()}).select(*(f"`{c}`" for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that five or more share, but in the one of the largest id. n_chars follows the text."""
     names = docs.columns
-    out = line_dedup.line_dedup(docs)
+    own = {c: f"_tz_own_{c}" for c in names if c in ("n_lines", "n_dropped")}
+    out = line_dedup.line_dedup(docs.withColumnsRenamed(own)).drop("n_lines", "n_dropped").withColumnsRenamed({v: k for k, v in own.items()})
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    return out.select(*(f"`{c}`" for c in names))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one of the smallest id."""
-    return simhash.simhash_keep_one(docs).select(*docs.columns)
+    return simhash.simhash_keep_one(docs).select(*(f"`{c}`" for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,9 +139,10 @@ def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[float, .
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as often as mix() says, with the columns of docs."""
-    names = docs.columns
-    found = mix(docs, **options).filter("copies > 0").withColumn("_tz_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return found.select(*names)
+    own = {c: f"_tz_own_{c}" for c in docs.columns if c in ("size", "source_size", "target", "copies")}
+    found = mix(docs.withColumnsRenamed(own), **options).filter("copies > 0").withColumn("_tz_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    found = found.select(*(f"`{own.get(c, c)}`" for c in docs.columns))
+    return found.withColumnsRenamed({v: k for k, v in own.items()})
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
