@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved, shipped, table, words
+from tessera.llm.common import join_skewed, saved, shipped, table, words
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def _round(items: DataFrame, last: bool, seed: int) -> DataFrame:
     return shipped(items).groupBy("source_key", "bucket").applyInPandas(run, "source_key long, bucket long, key long, order long, size double, p double")
 
 
-def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, bucket_rows: int = 20_000, fan: int = 1_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, bucket_rows: int = 2_000, fan: int = 1_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The columns `carry` of docs (all, if None), and size, source_size, target, copies: how often the mix takes a row.
 
     size: words of the text, null: 0. Each row of a source is wanted target / source_size times. The whole part of that
@@ -109,17 +109,17 @@ def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[float, .
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("_tz_row"), F.col(source_col).alias("_tz_source"), key.alias("_tz_key"), F.size(words(text)).cast("long").alias("_tz_size"))
     named = rows.select(F.col("_tz_source").alias("source"), F.xxhash64(F.col("_tz_source").isNull(), "_tz_source").alias("source_key"), F.col("_tz_key").alias("key"), F.col("_tz_size").alias("size"))
     items = saved(named.groupBy("source", "source_key", "key", "size").agg(F.count("*").alias("n")))
-    by_source = items.groupBy("source", "source_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("rows"))
+    by_source = items.groupBy("source", "source_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("rows"), F.sum("n").alias("weight"))
     goals = targets(by_source.select("source", "source_size"), weights, share, most)
-    counts = by_source.select("source_key", "rows")
+    counts = by_source.select("source_key", "rows", "weight")
     goals = saved(goals.withColumn("source_key", F.xxhash64(F.col("source").isNull(), "source")).join(counts, "source_key"))
 
-    # a row per source; Spark broadcasts it if small, else splits the larger side's hot partitions
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goals = goals.withColumn("want", wanted).withColumn("whole", F.floor("want")).withColumn("part", F.col("want") - F.col("whole"))
     buckets = F.greatest(F.lit(1), F.ceil(F.col("rows") / bucket_rows))
-    live = items.filter("size > 0").join(goals.filter("part > 0").select("source_key", "part", buckets.alias("buckets")), "source_key")
-    live = live.select("source_key", F.pmod(F.xxhash64(F.lit(seed), "key"), "buckets").alias("bucket"), "key", F.xxhash64(F.lit(seed + 1), "key").alias("order"), (F.col("size") * F.col("n")).cast("double").alias("size"), F.col("part").alias("p"))
+    goals = goals.withColumn("buckets", buckets)
+    known = join_skewed(items.filter("size > 0").select("source_key", "key", "size", "n"), goals, ["source_key"], "weight", ["part", "buckets"], F.col("key")).filter("part > 0")
+    live = known.select("source_key", F.pmod(F.xxhash64(F.lit(seed), "key"), "buckets").alias("bucket"), "key", F.xxhash64(F.lit(seed + 1), "key").alias("order"), (F.col("size") * F.col("n")).cast("double").alias("size"), F.col("part").alias("p"))
     most_buckets = goals.agg(F.max(F.ceil(F.col("rows") / bucket_rows))).first()[0] or 1
     done, wide = [], int(most_buckets)
     while True:
@@ -132,8 +132,10 @@ def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[float, .
     extra = done[0]
     for more in done[1:]:
         extra = extra.union(more)
+    extra = extra.distinct()
     out = rows.join(extra.select(F.col("key").alias("_tz_key"), F.lit(1).alias("_tz_more")), "_tz_key", "left")
-    out = out.join(goals.select(F.col("source_key").alias("_tz_source_key"), "source_size", "target", "whole"), F.xxhash64(F.col("_tz_source").isNull(), "_tz_source") == F.col("_tz_source_key"))
+    out = out.withColumn("source_key", F.xxhash64(F.col("_tz_source").isNull(), "_tz_source"))
+    out = join_skewed(out, goals, ["source_key"], "weight", ["source_size", "target", "whole"], F.col("_tz_key"))
     return out.select("_tz_row.*", F.col("_tz_size").alias("size"), "source_size", "target", (F.col("whole") + F.coalesce("_tz_more", F.lit(0))).cast("long").alias("copies"))
 
 
