@@ -238,7 +238,8 @@ def numeric_score(response: Column) -> Column:
     t = F.trim(response)
     number = F.nullif(F.regexp_extract(t, r"(\d+\.?\d*)", 1), F.lit("")).try_cast("double")
     share = F.when(number > 1, number / 100).otherwise(number)
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)), F.least(F.lit(1.0), F.length(t) / 100.0), F.lit(0.5))
+    by_length = F.least(F.lit(1.0), F.length(t) / 100.0)
+    return F.when(share.isNotNull(), F.least(F.lit(1.0), share)).when(t.isNotNull(), by_length).otherwise(F.lit(0.5))
 
 
 def cleaned_answer(raw: Column, compat: bool = True) -> Column:

@@ -611,7 +611,7 @@ def verdict_parse(spark, sf):
 
 
 @query("""WITH n AS (SELECT doc_id, trim(text) AS t, TRY_CAST(nullif(regexp_extract(trim(text), '(\\d+\\.?\\d*)', 1), '') AS DOUBLE) AS x FROM documents)
-SELECT doc_id, coalesce(least(1::DOUBLE, greatest(0::DOUBLE, CASE WHEN x > 1 THEN x / 100 ELSE x END)), least(1::DOUBLE, length(t) / 100), 0.5::DOUBLE) AS score FROM n""")
+SELECT doc_id, CASE WHEN x > 1 THEN least(1::DOUBLE, x / 100) WHEN x IS NOT NULL THEN x WHEN t IS NOT NULL THEN least(1::DOUBLE, length(t) / 100) ELSE 0.5::DOUBLE END AS score FROM n""")
 def numeric_score_parse(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.numeric_score(F.col("text")).alias("score"))
 
