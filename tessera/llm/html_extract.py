@@ -88,10 +88,28 @@ def parse(page: str) -> Tree:
                 t.text[owner].append(text)
             pieces = []
 
+    def push(tag: str, attrs: str = "") -> None:
+        stack.append(len(t.parent))
+        t.parent.append(stack[-2])
+        names.append(tag)
+        t.tag.append(tag)
+        t.hint.append(hint(attrs) if attrs else "")
+        t.text.append([])
+        t.linked.append(0)
+        t.marked.append("x-content" in names)
+
+    def ensure_body() -> None:
+        """Pages may leave out html and body; browsers put them in."""
+        if names == ["#root"] or names == ["#root", "html"]:
+            for tag in ("html", "body")[len(names) - 1:]:
+                push(tag)
+
     def words(raw: str) -> None:
         nonlocal owner
         if dropped or not raw:
             return
+        if raw.strip():
+            ensure_body()
         block = next(i for i in range(len(stack) - 1, -1, -1) if names[i] not in INLINE)
         if not pieces:
             owner = stack[block]
@@ -132,6 +150,8 @@ def parse(page: str) -> Tree:
             flush()
         if tag in VOID:
             continue
+        if "head" in names:  # what may stand in a head was read above; anything else ends it
+            pop(names.index("head"))
         inline = tag in INLINE
         if not inline:
             flush()
@@ -151,18 +171,13 @@ def parse(page: str) -> Tree:
             continue
         if m["attrs"].endswith("/") and tag in INLINE and tag not in ("a", "span"):
             continue
+        if tag not in ("html", "head", "body", "x-content"):
+            ensure_body()
         if inline:
             stack.append(stack[-1])
+            names.append(tag)
         else:
-            above = stack[-1]
-            stack.append(len(t.parent))
-            t.parent.append(above)
-            t.tag.append(tag)
-            t.hint.append(hint(m["attrs"]) if m["attrs"] else "")
-            t.text.append([])
-            t.linked.append(0)
-            t.marked.append("x-content" in names)
-        names.append(tag)
+            push(tag, m["attrs"] or "")
         if tag in DROPPED and not dropped:
             dropped = len(names)
     words(page[at:])
@@ -234,12 +249,14 @@ def trained(n: int = 3_000, seed: int = 17) -> Potentials:
 
 
 def _labels(t: Tree) -> np.ndarray:
-    """1 for nodes within content that no noise put into it holds."""
+    """1 for nodes within content that no noise put into it holds; also for what holds the parts of an article bare."""
     y = np.zeros(len(t.parent), np.int64)
     for i in range(1, len(y)):
         noise = t.hint[i] in ("ad", "side", "reader", "notice", "menu", "frame") or t.tag[i] in ("nav", "aside", "form", "footer")
         started = t.marked[i] and (not t.marked[t.parent[i]])
         y[i] = int(t.marked[i] and not noise and (started or y[t.parent[i]] == 1))
+        if started and y[i] and t.tag[i] not in ("article", "main", "div"):
+            y[t.parent[i]] = 1
     return y
 
 
@@ -275,14 +292,20 @@ def extract(htmls: list[str | None], model: Potentials, threshold: float = 0.5)
             depth.append(0 if p < 0 else depth[base + p] + 1)
         start.append(base + len(t.parent))
     p = marginals(np.array(parent, np.int64), np.array(depth, np.int64), np.concatenate([describe(t) for t in trees]), model) if trees else np.zeros(0)
-    return [" ".join(text for node, text in t.blocks if p[base + node] > threshold) for t, base in zip(trees, start)]
+    out = []
+    for t, base in zip(trees, start):
+        best = max((p[base + node] for node, _ in t.blocks), default=0.0)
+        # a page without marks of any kind: the best parts, if they are at all likely
+        limit = threshold if best > threshold else max(0.04, best / 2)
+        out.append(" ".join(text for node, text in t.blocks if p[base + node] > limit))
+    return out
 
 
 def html_text(pages_: DataFrame, threshold: float = 0.5, html_col: str = "html", keep_html: bool = True) -> DataFrame:
     """The pages with text and n_chars (code points).
 
     Blocks whose node is content with more than `threshold` are decoded, their white space made one space, trimmed, and
-    joined by one space in page order. Null, empty and textless pages: ''. Broken markup is read as browsers read it, near
+    joined by one space in page order; if no block reaches it, those with over half the best marginal, and over 0.04. Null, empty and textless pages: ''. Broken markup is read as browsers read it, near
     enough; any depth and length is read whole. Columns of the two names are replaced; others pass. Empty input: empty.
     """
     base = packed(pages_, html_col, beside=html_col)

@@ -19,8 +19,8 @@ def _links(r: random.Random, n: int, tag: str = "li") -> str:
     return "".join(f'<{tag}><a href="/{i}">{_words(r, 1, 3)}</a></{tag}>' for i in range(n))
 
 
-def _mark(r: random.Random, names: list[str]) -> str:
-    kind = r.random()
+def _mark(r: random.Random, names: list[str], always: bool = True) -> str:
+    kind = r.random() * (0.9 if always else 1)
     name = r.choice(names)
     name = r.choice([name, name + r.choice(["-1", "-box", "_main", "-wrapper", " clearfix"])])
     return f' class="{name}"' if kind < 0.5 else f' id="{name}"' if kind < 0.8 else f' class="{name}" id="{r.choice(names)}"' if kind < 0.9 else ""
@@ -101,10 +101,13 @@ def pages(n: int, seed: int = 17) -> list[str]:
         elif kind < 0.6:
             body = f"<main{_mark(r, ['main', 'content']) if r.random() < 0.5 else ''}>{inner}</main>"
         else:
-            body = f"<div{_mark(r, ['content', 'main-content', 'article-body', 'post-content', 'entry-content', 'story', 'text', 'article', 'post', 'body'])}>{inner}</div>"
-        body = f"<x-content>{body}</x-content>"
+            body = f"<div{_mark(r, ['content', 'main-content', 'article-body', 'post-content', 'entry-content', 'story', 'text', 'article', 'post', 'body'], False)}>{inner}</div>"
+        bare = r.random()
+        body = f"<x-content>{inner if bare < 0.12 else body}</x-content>"
+        if bare < 0.04:
+            body = f"<table><tr><td>{body}</td>{'<td>' + _noise(r, 'aside') + '</td>' if r.random() < 0.5 else ''}</tr></table>"
         if r.random() < 0.3:
-            body = f"<div{_mark(r, ['wrapper', 'container', 'page', 'layout', 'row', 'col'])}>{body}{_noise(r, r.choice(['aside', 'related', 'comments', 'ad'])) if r.random() < 0.5 else ''}</div>"
+            body = f"<div{_mark(r, ['wrapper', 'container', 'page', 'layout', 'row', 'col'], False)}>{body}{_noise(r, r.choice(['aside', 'related', 'comments', 'ad'])) if r.random() < 0.5 else ''}</div>"
         if r.random() < 0.2 and "<main" not in body:
             body = f"<main>{body}{_noise(r, r.choice(['aside', 'related', 'comments', 'ad', 'share'])) if r.random() < 0.5 else ''}</main>"
         before = [_noise(r, k) for k in ("header", "nav", "ad", "notice", "form") if r.random() < 0.45]

@@ -31,6 +31,19 @@ def test_main_text(model, tag):
     assert got == "The title First bold text here, café <b> A. After the break Secondary one is open. Third paragraph ends."
 
 
+def test_pages_without_marks(model):
+    body = "<p>Main text one is here, with words.</p><p>Main text two goes on for a while longer.</p>"
+    want = "Main text one is here, with words. Main text two goes on for a while longer."
+    for html in (f"<body>{body}</body>", f"<div>{body}</div>", f"<table><tr><td>{body}</td></tr></table><div class='ads'>Buy this thing</div>"):
+        assert text(model, html) == want
+    assert text(model, "<nav><ul><li><a href=x>Home</a></li></ul></nav><div class='ad'>Buy it now.</div><footer>Foot.</footer>") == ""
+
+
+def test_head_that_nothing_closes(model):
+    assert text(model, "<html><head><meta charset=x><title>No</title><link rel=y><body><article><p>Some text, here.</p></article>") == "Some text, here."
+    assert text(model, "<title>No</title><article><p>Some text, here.</p></article>") == "Some text, here."
+
+
 def test_broken_pages(model):
     for html in ("", None, "<", "<p", "plain", "<!-- open", "<script>never closed", "</p></div>", "<b><p>x</b></p>" * 50, "<div>" * 3000 + "deep", "<a href='x" * 20, "&#xZZ; &bogus; &#99999999;", "\x00<p>\x00"):
         assert isinstance(text(model, html), str)
