@@ -95,7 +95,7 @@ class WordBpe:
         """Whether merging the text of a and b gives a and b again: no merge across their border comes first."""
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 500_000:
                 self.pairs.clear()
             found = self.pairs[a, b] = self._compatible(a, b)
         return found
@@ -165,7 +165,7 @@ class WordBpe:
             self.known[word] = ids
         return ids
 
-    def encode(self, text: str, limit: int = 400_000) -> list[int]:
+    def encode(self, text: str, limit: int = 250_000) -> list[int]:
         """The ids of a text. Up to `limit` short words and their ids are remembered; then all are forgotten."""
         out: list[int] = []
         known = self.known
