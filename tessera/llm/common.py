@@ -18,7 +18,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a small one in no more parts than there are cores, which may be one row group, is dealt out to all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores, plan = spark.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    small = plan.toRdd().getNumPartitions() <= cores and int(str(plan.optimizedPlan().stats().sizeInBytes())) < cores << 24
+    return df.repartition(cores) if small else df
 
 
 _shipped: set[str] = set()
