@@ -44,6 +44,14 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for work that is heavy on each row: a small one, which may be one row group, is dealt out to all cores."""
+    df = read(spark, sf, name)
+    cores, plan = spark.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    small = plan.toRdd().getNumPartitions() <= cores and int(str(plan.optimizedPlan().stats().sizeInBytes())) < cores << 24
+    return df.repartition(cores) if small else df
+
+
 # ---- search
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -296,7 +304,7 @@ _CHUNKS = """ch AS (SELECT doc_id, source, i AS chunk_index, n AS total_chunks,
 
 
 def _chunks(spark, sf):
-    return I.chunk_windows(read(spark, sf, "documents").select("doc_id", "source", "text"))
+    return I.chunk_windows(spread(spark, sf, "documents").select("doc_id", "source", "text"))
 
 
 @query(f"WITH {_CHUNKS} SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, total_chunks, sha256(text) AS chunk_id FROM ch")
@@ -306,7 +314,7 @@ def chunk_windows(spark, sf):
 
 @query()
 def chunk_recursive(spark, sf):
-    return I.chunk_recursive(read(spark, sf, "documents")).drop("text")
+    return I.chunk_recursive(spread(spark, sf, "documents")).drop("text")
 
 
 # ---- pages
@@ -319,7 +327,7 @@ def _unescaped(x: str) -> str:
 
 @query("SELECT page_id, trim(" + _unescaped("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + ") AS title FROM pages")
 def page_title(spark, sf):
-    return P.extract_pages(read(spark, sf, "pages")).select("page_id", "title")
+    return P.extract_pages(spread(spark, sf, "pages")).select("page_id", "title")
 
 
 _KEEP = "length(x) >= 3 AND length(regexp_replace(x, '[^\\p{L}]', '', 'g')) >= 0.5 * length(x) AND NOT (regexp_matches(lower(x), '" + "|".join(T.NAVIGATION) + "') AND length(x) < 50)"
@@ -328,14 +336,14 @@ _KEEP = "length(x) >= 3 AND length(regexp_replace(x, '[^\\p{L}]', '', 'g')) >= 0
 @query("WITH a AS (SELECT page_id, " + _unescaped("regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '<[^>]*>', '', 'g')") + f""" AS t FROM pages)
 SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: {_KEEP}), chr(10)) AS content FROM a""")
 def page_main_text(spark, sf):
-    return P.extract_pages(read(spark, sf, "pages")).select("page_id", "content")
+    return P.extract_pages(spread(spark, sf, "pages")).select("page_id", "content")
 
 
 @query(f"""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS ls FROM documents)
 SELECT doc_id, CAST(len(ls) AS INTEGER) AS lines, CAST(len(list_filter(ls, lambda x: {_KEEP})) AS INTEGER) AS kept FROM l""")
 def page_line_filter(spark, sf):
     lines = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    return read(spark, sf, "documents").select("doc_id", lines.alias("ls")).select("doc_id", F.size("ls").alias("lines"), F.size(F.filter("ls", T.keep_line)).alias("kept"))
+    return spread(spark, sf, "documents").select("doc_id", lines.alias("ls")).select("doc_id", F.size("ls").alias("lines"), F.size(F.filter("ls", T.keep_line)).alias("kept"))
 
 
 _NET, _PATH = r"regexp_extract(url, '^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)', 2)", r"regexp_extract(url, '^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)', 3)"
@@ -425,7 +433,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY rerank_sc
 SELECT conv_id, turn, id, CAST(rerank_score AS DOUBLE) AS rerank_score, CAST(original_rank AS INTEGER) AS original_rank, CAST(new_rank AS INTEGER) AS new_rank FROM n""")
 def keyword_rerank(spark, sf):
     """Each question's conversation is its collection: the assistant's turns, in order, reranked by the question's words."""
-    turns = read(spark, sf, "conversations")
+    turns = spread(spark, sf, "conversations")
     u = turns.filter("role = 'user'").select("conv_id", "turn", T.token_set(F.col("text")).alias("q"))
     a = turns.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("id"), T.token_set(F.col("text")).alias("p"))
     pairs = u.join(a, "conv_id").withColumn("query_id", F.struct("conv_id", "turn"))
@@ -453,7 +461,7 @@ _ANSWERS = "an AS (SELECT conv_id, turn, text, lower(text) AS low FROM conversat
 
 @query(f"WITH {_ANSWERS} SELECT conv_id, turn, {_confidence_sql('low')} AS confidence FROM an")
 def answer_confidence(spark, sf):
-    return read(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", T.confidence(F.col("text")).alias("confidence"))
+    return spread(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", T.confidence(F.col("text")).alias("confidence"))
 
 
 # RE2's \b knows ASCII only: lower-cased letters beyond ASCII are written as capitals, which bound words rightly
@@ -503,7 +511,7 @@ cb AS (SELECT a.conv_id, a.turn, d.turn AS doc_turn, a.text AS answer, least(1::
 
 def _contributions(spark, sf):
     """Each answer held against the turns before it."""
-    turns = read(spark, sf, "conversations")
+    turns = spread(spark, sf, "conversations")
     a = turns.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
     d = turns.select("conv_id", F.col("turn").alias("doc_turn"), "text")
     return A.attributed(a.join(d, "conv_id").filter("doc_turn < turn"))
@@ -529,7 +537,7 @@ _SCORE = f"""CASE WHEN nw > 15 THEN 2 WHEN nw > 8 THEN 1 ELSE 0 END + CASE WHEN
 c AS (SELECT *, len(list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '')) AS nw, len(regexp_extract_all(s, '[A-Z][a-z]+')) AS nn FROM b WHERE trim(s) <> '')
 SELECT doc_id, CAST(i AS INTEGER) AS position, {_SCORE} AS score FROM c""")
 def sentence_scores(spark, sf):
-    cut = read(spark, sf, "documents").select("doc_id", T.sentences_after(F.col("text")).alias("ss"))
+    cut = spread(spark, sf, "documents").select("doc_id", T.sentences_after(F.col("text")).alias("ss"))
     each = cut.select("doc_id", F.size("ss").alias("n"), F.posexplode("ss").alias("position", "s")).filter(F.trim("s") != "")
     return each.select("doc_id", "position", T.sentence_score(F.col("s"), F.col("position"), F.col("n")).alias("score"))
 
@@ -537,12 +545,12 @@ def sentence_scores(spark, sf):
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Z][a-z]+')) AS INTEGER) AS names, regexp_extract(text, '[A-Z][a-z]+') AS first_name FROM documents")
 def proper_nouns(spark, sf):
     found = F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))
-    return read(spark, sf, "documents").select("doc_id", F.size(found).alias("names"), F.coalesce(F.get(found, 0), F.lit("")).alias("first_name"))
+    return spread(spark, sf, "documents").select("doc_id", F.size(found).alias("names"), F.coalesce(F.get(found, 0), F.lit("")).alias("first_name"))
 
 
 @query()
 def significant_passages(spark, sf):
-    return Q.significant_passages(read(spark, sf, "documents"))
+    return Q.significant_passages(spread(spark, sf, "documents"))
 
 
 _CLEAN = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
@@ -589,7 +597,7 @@ l AS (SELECT *, list_max(list_transform(ss, lambda s: length(s))) AS most FROM a
 SELECT conv_id, turn, CASE WHEN len(names) >= 2 THEN 'How does this text relate ' || names[1] || ' to ' || names[2] || '?' WHEN len(names) = 1 THEN 'What does this text say about ' || names[1] || '?'
 ELSE 'What is the main point about ' || substring(list_filter(ss, lambda s: length(s) = most)[1], 1, 30) || '...?' END AS question FROM l""")
 def fallback_questions(spark, sf):
-    return read(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", T.fallback_question(F.col("text")).alias("question"))
+    return spread(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", T.fallback_question(F.col("text")).alias("question"))
 
 
 @query("SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha256('7:' || doc_id), doc_id) AS n FROM documents) WHERE n <= 5")
@@ -613,7 +621,7 @@ def verdict_parse(spark, sf):
 @query("""WITH n AS (SELECT doc_id, trim(text) AS t, TRY_CAST(nullif(regexp_extract(trim(text), '(\\d+\\.?\\d*)', 1), '') AS DOUBLE) AS x FROM documents)
 SELECT doc_id, CASE WHEN x > 1 THEN least(1::DOUBLE, x / 100) WHEN x IS NOT NULL THEN x WHEN t IS NOT NULL THEN least(1::DOUBLE, length(t) / 100) ELSE 0.5::DOUBLE END AS score FROM n""")
 def numeric_score_parse(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", T.numeric_score(F.col("text")).alias("score"))
+    return spread(spark, sf, "documents").select("doc_id", T.numeric_score(F.col("text")).alias("score"))
 
 
 def _cleanup_sql() -> str:
@@ -631,7 +639,7 @@ SELECT conv_id, turn, {edge("CASE WHEN t <> '' AND NOT regexp_matches(t, '[.!?]$
 
 @query(_cleanup_sql())
 def llm_cleanup(spark, sf):
-    return read(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", T.cleaned_answer(F.col("text")).alias("answer"))
+    return spread(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", T.cleaned_answer(F.col("text")).alias("answer"))
 
 
 @query("""WITH t AS (SELECT CAST(sum(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))) AS BIGINT) AS tokens FROM documents),
