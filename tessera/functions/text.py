@@ -40,6 +40,11 @@ ARTIFACTS = [r"\b(ame|---).*", "The provided text.*", "Based solely on.*given te
 B = r"[^\p{L}\p{N}_]"  # what bounds a word
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once a row: a lambda's variable, where a column would be repeated in place."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def has_word(text: Column, pattern: str, flags: str = "") -> Column:
     """Whether pattern occurs in text with word bounds on both sides."""
     return text.rlike(f"{flags}(^|{B})({pattern})({B}|$)")
@@ -93,9 +98,12 @@ def _phrases(text: Column, patterns: list[str], most: int) -> Column:
     cut = F.filter(F.transform(F.split(text, "[.!?]+"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: F.length(s) >= 10)
     found = F.flatten(F.transform(cut, lambda s: F.flatten(F.array(*(F.regexp_extract_all(s, F.lit("(?iuU)" + p), F.lit(0)) for p in patterns)))))
     found = F.filter(F.transform(found, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: F.length(p) > 5)
-    low = F.transform(found, F.lower)
-    firsts = F.filter(F.transform(found, lambda p, i: F.struct(p.alias("p"), (F.array_position(low, F.lower(p)) == i + 1).alias("first"))), lambda x: x["first"])
-    return F.slice(F.transform(firsts, lambda x: x["p"]), 1, most)
+    pairs = let(found, lambda f: F.transform(f, lambda p: F.struct(F.lower(p).alias("low"), p.alias("p"))))
+
+    def firsts(ps: Column) -> Column:
+        return let(F.transform(ps, lambda x: x["low"]), lambda low: F.filter(ps, lambda x, i: F.array_position(low, x["low"]) == i + 1))
+
+    return F.slice(F.transform(let(pairs, firsts), lambda x: x["p"]), 1, most)
 
 
 def coverage_phrases(text: Column) -> Column:
@@ -108,9 +116,12 @@ def attribution_phrases(text: Column) -> Column:
 
 def coverage(phrases: Column, context: Column) -> Column:
     """The share of phrases with a word of over three characters that is within the context; 1 without phrases."""
-    low = F.lower(context)
-    backed = F.filter(phrases, lambda p: F.exists(tokens(F.lower(p)), lambda w: (F.length(w) > 3) & F.contains(low, w)))
-    return F.when(F.size(phrases) > 0, F.size(backed) / F.size(phrases)).otherwise(F.lit(1.0))
+
+    def share(ps: Column) -> Column:
+        backed = let(F.lower(context), lambda low: F.filter(ps, lambda p: F.exists(tokens(F.lower(p)), lambda w: (F.length(w) > 3) & F.contains(low, w))))
+        return F.when(F.size(ps) > 0, F.size(backed) / F.size(ps)).otherwise(F.lit(1.0))
+
+    return let(phrases, share)
 
 
 def significant_words(text: Column) -> Column:
@@ -128,9 +139,9 @@ def entities(text: Column) -> Column:
 
 def contribution(phrases: Column, words: Column, things: Column, doc: Column, doc_words: Column, doc_things: Column) -> Column:
     """0.4 of the phrases within the document, 0.3 of the answer's words that it has, 0.3 of its entities; at most 1."""
-    low = F.lower(doc)
     share = lambda a, n: F.when(n > 0, a / n).otherwise(F.lit(0.0))
-    first = share(F.size(F.filter(phrases, lambda p: (F.length(p) > 3) & F.contains(low, F.lower(p)))), F.size(phrases))
+    within = let(F.lower(doc), lambda low: F.filter(phrases, lambda p: (F.length(p) > 3) & F.contains(low, F.lower(p))))
+    first = share(F.size(within), F.size(phrases))
     second = share(F.size(F.array_intersect(words, doc_words)), F.size(words))
     third = share(F.size(F.array_intersect(things, doc_things)), F.size(things))
     return F.least(F.lit(1.0), 0.4 * first + 0.3 * second + 0.3 * third)
