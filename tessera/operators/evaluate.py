@@ -92,6 +92,26 @@ def score_by_outcome(hits: DataFrame, results: DataFrame, score: str = "score")
     return joined.filter(F.col("rank") == F.coalesce("found_rank", F.lit(1))).groupBy("success").agg(F.avg(score).alias("mean_score"))
 
 
+def compare(hits: DataFrame, config: str, score: str = "score") -> DataFrame:
+    """(config, hits, queries, mean_score): one row for each configuration that was run."""
+    return hits.groupBy(config).agg(F.count("*").alias("hits"), F.countDistinct("query_id").alias("queries"), F.avg(score).alias("mean_score"))
+
+
+def false_positives(results: DataFrame, impossible: str = "impossible") -> DataFrame:
+    """One row: the share of questions without an answer for which one was found all the same; null if there are none."""
+    return results.filter(F.col(impossible)).agg(F.avg(F.col("success").cast("int")).alias("false_positive_rate"), F.count("*").alias("n"))
+
+
+def failed(results: DataFrame) -> DataFrame:
+    """Questions that could have been answered and weren't."""
+    could = ~F.coalesce(F.col("impossible"), F.lit(False)) if "impossible" in results.columns else F.lit(True)
+    return results.filter(~F.col("success") & could)
+
+
+def many_sources(results: DataFrame, sources: str = "sources") -> DataFrame:
+    return results.agg(F.count_if(F.size(sources) > 1).alias("multi_source"), F.count("*").alias("n"))
+
+
 def outcomes(results: DataFrame) -> DataFrame:
     return results.groupBy("success").agg(F.count("*").alias("n"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import misc as X
 from tessera.functions import text as T
 from tessera.functions.vectors import cosine, similarity
 from tessera.operators import context as C
@@ -650,3 +651,44 @@ def embedding_cost(spark, sf):
     tokens = read(spark, sf, "documents").agg(F.sum(F.size(T.tokens(F.col("text"))).cast("long")).alias("tokens"))
     models = M.registry(spark)
     return models.join(F.broadcast(tokens), F.lit(True)).select("name", "dimension", "tokens", M.embedding_cost(F.col("tokens"), F.col("cost_per_1k_tokens")).alias("cost"))
+
+
+# ---- smaller operators
+
+@query("WITH " + _search_sql(_L2, 20) + """, k AS (SELECT unnest([1, 4, 10, 20]) AS k)
+SELECT CAST(k AS INTEGER) AS k, count(*) AS hits, count(DISTINCT query_id) AS queries, round(avg(score), 9) AS mean_score FROM h, k WHERE rank <= k GROUP BY k""")
+def compare_configs(spark, sf):
+    return E.compare(S.sweep(_hits(spark, sf, 20), [1, 4, 10, 20]), "k").withColumn("mean_score", F.round("mean_score", 9))
+
+
+@query("WITH h AS (SELECT doc_id, text FROM documents), s AS (SELECT doc_id, " + _SENT.format("text") + """ AS ss FROM h),
+k AS (SELECT doc_id, list_transform(list_filter(ss, lambda s: len(list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '')) > 5 AND regexp_matches(s, '[A-Z][a-z]+|\\d')), lambda s: array_to_string(list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '')[1:10], ' ')) AS ps FROM s)
+SELECT doc_id, CAST(len(ps) AS INTEGER) AS n, sha256(array_to_string(ps, '|')) AS phrases FROM k""")
+def distinctive_phrases(spark, sf):
+    ps = spread(spark, sf, "documents").select("doc_id", X.distinctive_phrases(F.col("text")).alias("ps"))
+    return ps.select("doc_id", F.size("ps").alias("n"), F.sha2(F.array_join("ps", "|"), 256).alias("phrases"))
+
+
+@query("SELECT page_id, substring(trim(regexp_replace(" + _unescaped("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + ", '[^\\p{L}\\p{N} _-]', '', 'g')), 1, 250) AS safe_title FROM pages")
+def safe_titles(spark, sf):
+    return page_title(spark, sf).select("page_id", X.safe_title(F.col("title")).alias("safe_title"))
+
+
+@query("SELECT doc_id, source || '_' || doc_id AS legacy_id, regexp_extract('2301.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') || 'v1_' || source || '.pdf', '^(\\d{4}\\.\\d{5}v\\d+)_', 1) AS paper_id, source AS stem FROM documents")
+def names_and_ids(spark, sf):
+    """File names written from the documents' ids, and what is read from them."""
+    name = F.concat(F.lit("papers/2301."), F.lpad((F.col("doc_id") % 100000).cast("string"), 5, "0"), F.lit("v1_"), "source", F.lit(".pdf"))
+    stem = F.regexp_replace(X.without_extension(X.base_name(name)), "^.*v1_", "")
+    return read(spark, sf, "documents").select("doc_id", X.legacy_id(F.col("source"), F.col("doc_id")).alias("legacy_id"), X.paper_id(X.base_name(name)).alias("paper_id"), stem.alias("stem"))
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, total_chunks, sha256(text) AS last_chunk FROM ch WHERE chunk_index = total_chunks - 1")
+def single_chunk_lookup(spark, sf):
+    """The last chunk of each document, by its place."""
+    return _chunks(spark, sf).filter("chunk_index = total_chunks - 1").select("doc_id", "total_chunks", I.content_id("text").alias("last_chunk"))
+
+
+@query("""SELECT count(*) FILTER (WHERE toxic = 1) AS n, avg(CASE WHEN quality = 1 THEN 1 ELSE 0 END) FILTER (WHERE toxic = 1) AS false_positive_rate FROM labels""")
+def false_positive_rate(spark, sf):
+    """Labels as outcomes: toxic rows stand for questions without an answer, quality for having found one."""
+    return E.false_positives(read(spark, sf, "labels").select((F.col("quality") == 1).alias("success"), (F.col("toxic") == 1).alias("impossible")))

@@ -116,3 +116,50 @@ def generate(df: DataFrame, model: Generator, question_col: str = "question", co
         return pd.Series([model.generate(q or "", c or "") for q, c in zip(question, context)])
 
     return shipped(df).withColumn(to, run(F.col(question_col), F.col(context_col)))
+
+
+class Reranker(Protocol):
+    """Pairs of question and text to scores, higher is better."""
+
+    def score(self, pairs: list[tuple[str, str]]) -> list[float]: ...
+
+
+class KeywordReranker:
+    """A stand-in without a model: the share of the question's words that the text has."""
+
+    def score(self, pairs: list[tuple[str, str]]) -> list[float]:
+        out = []
+        for q, t in pairs:
+            asked = set(q.lower().split())
+            out.append(len(asked & set(t.lower().split())) / len(asked) if asked else 0.5)
+        return out
+
+
+def score_pairs(df: DataFrame, model: Reranker, question_col: str = "question", text_col: str = "text", to: str = "rerank_score", on_error: float | None = None) -> DataFrame:
+    """df with scores and an `error` column, batch by batch.
+
+    A batch that fails is scored row by row; a row that fails has on_error as its score and says why, or fails the task if
+    on_error is None.
+    """
+    schema = T.StructType([*(f for f in df.schema.fields if f.name not in (to, "error")), T.StructField(to, T.DoubleType()), T.StructField("error", T.StringType())])
+    names = [f.name for f in schema.fields]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            pairs = list(zip(frame[question_col].fillna(""), frame[text_col].fillna("")))
+            errors: list[str | None] = [None] * len(pairs)
+            try:
+                scores = [float(x) for x in model.score(pairs)]
+            except Exception:
+                if on_error is None:
+                    raise
+                scores = []
+                for i, p in enumerate(pairs):
+                    try:
+                        scores.append(float(model.score([p])[0]))
+                    except Exception as e:  # noqa: BLE001 - a model may raise anything; it's reported in its row
+                        scores.append(on_error)
+                        errors[i] = f"{type(e).__name__}: {e}"
+            yield frame.assign(**{to: scores, "error": errors})[names]
+
+    return shipped(df).mapInPandas(run, schema)

@@ -72,3 +72,31 @@ class ChunkStore:
         keyed = df.withColumn("id", F.xxhash64("collection", "doc_id"))
         hits = top_k(keyed.select("id", "vector", "collection"), queries, k, kind, collection="collection" if collections and len(collections) > 1 else None, exclude_self=False)
         return hits.drop("collection").join(keyed.drop("vector"), "id")
+
+    def chunk(self, source: str, index: int, collection: str | None = None) -> DataFrame:
+        """One chunk by its place."""
+        return self.chunks(collection).filter((F.col("source") == source) & (F.col("chunk_index") == index)).limit(1)
+
+    def describe(self) -> DataFrame:
+        """(collection, chunks, sources, embedding_model, embedding_dimension)."""
+        m = self.metadata().select("collection", "embedding_model", "embedding_dimension")
+        return self.collections().join(m, "collection", "left")
+
+    def problems(self, dimension: int | None = None) -> list[str]:
+        """What stands in the way of answering from this store."""
+        out = []
+        if self.chunks().limit(1).count() == 0:
+            out.append("the store is empty")
+        if dimension is not None and self.chunks().filter(F.size("vector") != dimension).limit(1).count():
+            out.append(f"vectors of another length than {dimension}")
+        return out
+
+
+STORES = {"parquet": ChunkStore}
+
+
+def open_store(kind: str, spark: SparkSession, path: str) -> ChunkStore:
+    """A store by the name of its layout. A hosted store would be a class with the same methods, entered in STORES."""
+    if kind not in STORES:
+        raise ValueError(f"unknown store: {kind}; known: {sorted(STORES)}")
+    return STORES[kind](spark, path)

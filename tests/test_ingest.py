@@ -156,3 +156,52 @@ def test_store_stream_and_answers(spark, tmp_path):
     assert any("one.txt" in x.source for x in got[1].references) and got[2].final_answer == "I don't know" and got[2].references is None
     lines = K.answer_json(spark.createDataFrame([r for r in got.values() if r.references]), "cosine_distance", 40).collect()
     assert '"total_references"' in lines[0].json and '"similarity"' in lines[0].json
+
+
+def test_rerankers_report_what_fails(spark):
+    class Fails:
+        def score(self, pairs):
+            if any("bad" in t for _, t in pairs):
+                raise ValueError("no")
+            return [1.0] * len(pairs)
+
+    df = spark.createDataFrame([("a b", "a x"), ("", "y"), ("q", "bad")], "question string, text string")
+    assert [r.rerank_score for r in M.score_pairs(df, M.KeywordReranker()).collect()] == [0.5, 0.5, 0.0]
+    got = {r.text: (r.rerank_score, r.error) for r in M.score_pairs(df, Fails(), on_error=0.5).collect()}
+    assert got["bad"] == (0.5, "ValueError: no") and got["y"] == (1.0, None)
+
+
+def test_settings(monkeypatch):
+    from tessera.config import load
+
+    monkeypatch.setenv("TESSERA_TOP_K", "9")
+    assert load().top_k == 9 and load(top_k=3).top_k == 3 and load().chunk_size == 1000
+    for bad in ({"top_k": 0}, {"top_k": -1}, {"chunk_overlap": 1000}, {"rerank_top_k": 10, "top_k": 4}):
+        with pytest.raises(ValueError):
+            load(**bad)
+    with pytest.raises(TypeError):
+        load(other=1)
+
+
+def test_stores(spark, tmp_path):
+    from tessera.sources.store import open_store
+
+    store = open_store("parquet", spark, str(tmp_path / "s"))
+    assert store.problems() == ["the store is empty"]
+    rows = spark.createDataFrame([("d1", "s", 0, 2, "t", [1.0, 2.0]), ("d2", "s", 1, 2, "u", [1.0, 0.0]), ("d1", "r", 0, 1, "t", [1.0, 2.0])], "doc_id string, source string, chunk_index int, total_chunks int, text string, vector array<float>")
+    assert store.add(rows, "c", "m", 2) == {"given": 3, "duplicates": 1, "stored": 0, "added": 2}
+    assert store.add(rows, "c", "m", 2)["added"] == 0 and store.problems(2) == [] and len(store.problems(3)) == 1
+    assert store.chunk("s", 1).first().text == "u" and store.describe().first().embedding_model == "m"
+    asks = spark.createDataFrame([(1, [1.0, 0.1])], "query_id long, vector array<float>")
+    assert [r.text for r in store.search(asks, 2).orderBy("rank").collect()] == ["u", "t"]
+    with pytest.raises(ValueError):
+        open_store("other", spark, "x")
+
+
+def test_small_expressions(spark):
+    from tessera.functions import misc as X
+
+    row = spark.sql("SELECT 'a/b.tar.gz' AS p, 'A: b/c_é-1?' AS t, map('author', 'x', 'secret', 'y', 'title', null) AS m, 1D AS y, 1D AS n, 0.1234D AS s, 'One two three four five six Seven eight nine ten eleven. no.' AS d")
+    got = row.select(X.without_extension(X.base_name(F.col("p"))).alias("p"), X.safe_title(F.col("t")).alias("t"), X.kept_metadata(F.col("m")).alias("m"), X.yes_probability(F.col("y"), F.col("n")).alias("y"), X.percent(F.col("s")).alias("s"), X.distinctive_phrases(F.col("d")).alias("d"), X.check_prompt(F.col("p"), F.col("t"), F.col("d")).alias("c")).first()
+    assert (got.p, got.t, got.m, got.y, got.s) == ("b.tar", "A bc_é-1", {"author": "x"}, 0.5, "12.3%")
+    assert got.d == ["One two three four five six Seven eight nine ten"] and "Valid: Yes" in got.c
