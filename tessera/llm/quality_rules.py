@@ -40,13 +40,15 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     twice = F.filter("_tz_sorted", lambda x, j: same(x, F.get("_tz_sorted", j - 1)) | same(x, F.get("_tz_sorted", j + 1)))
     marked = marked.withColumn("_tz_at", F.array_sort(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate(F.transform("_tz_at", lambda p, j: F.least(F.lit(5), F.coalesce(F.get("_tz_at", j + 1), p + 5) - p)), F.lit(0), lambda a, x: a + x)
-    chars = F.char_length("_tz_text")
-    counted = [_count(F.col("_tz_text"), c) for c in CLASSES]
+    # most of a text is a-z: what is left without it is short, and all else is counted there
+    marked = marked.withColumn("_tz_rest", F.regexp_replace("_tz_text", f"{CLASSES[0]}+", ""))
+    chars, rest = F.char_length("_tz_text"), F.col("_tz_rest")
+    counted = [chars - F.char_length(rest), *(_count(rest, f"{c}+") for c in CLASSES[1:])]
     common = F.filter(F.transform("_tz_words", F.lower), lambda w: w.isin(LIST))
     out = marked.withColumn("_tz_common", common).select(
         "_tz_row", F.size("_tz_words").cast("long").alias("n_words"),
-        (chars - _count(F.col("_tz_text"), r"[ \t-\r]")).cast("long").alias("word_chars"),
-        _count(F.col("_tz_text"), r"[#*$%&|<>]").cast("long").alias("n_symbols"),
+        (chars - _count(rest, r"[ \t-\r]+")).cast("long").alias("word_chars"),
+        _count(rest, r"[#*$%&|<>]+").cast("long").alias("n_symbols"),
         (F.size("_tz_lines") - F.size(F.array_distinct("_tz_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         chars.cast("long").alias("chars"), F.array(*counted).alias("classes"),
