@@ -134,6 +134,7 @@ class Model:
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """(language, score, spans of words) of each text."""
         split = [WORD.findall((t or "").lower()) for t in texts]
+        split = [ws if any(c.isalpha() for w in ws for c in w) else [] for ws in split]  # WORD also takes signs like ½
         out: list = [("und", 0.0, [])] * len(texts)
         if not self.langs:
             return out

@@ -14,8 +14,8 @@ def model(spark):
 def test_known_languages_and_spans(model):
     assert model.langs == ["de", "en", "ru"]
     en, de = prose(1001, 40), prose(1002, 40, "de")
-    got = model.label([en, de, en + " " + de + " " + de, "русский", "123 !?", "", None])
-    assert [g[0] for g in got] == ["en", "de", "de", "ru", "und", "und", "und"]
+    got = model.label([en, de, en + " " + de + " " + de, "русский", "123 !?", "", None, "½ ² ①"])
+    assert [g[0] for g in got] == ["en", "de", "de", "ru", "und", "und", "und", "und"]
     assert all(0 <= g[1] <= 1 for g in got) and got[4][1] == 0
     spans = got[2][2]
     assert spans[0][0] == 0 and [s[2] for s in spans] == ["en", "de"] and abs(spans[0][1] - 39) <= 2
