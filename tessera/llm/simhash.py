@@ -235,10 +235,10 @@ def simhash_components(docs: DataFrame, shingle: int = 4, budget: int = 4, id_co
     rows = saved(fingerprints(docs, shingle, id_col, text_col))
     prints = saved(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
     root = components(links(prints.select("fp"), budget))
-    named = prints.join(root, prints.fp == root.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("tied"))
-    # a root is tied as well, but stands in no row of `root` as a node; its group has other members, so min() is over all
+    named = prints.join(root, prints.fp == root.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     named = saved(named)
-    named = named.join(named.groupBy("root").agg(F.min("first").alias("component")), "root")
+    groups = named.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("prints"))
+    named = join_skewed(named, saved(groups.filter("prints > 1")), ["root"], "prints", ["component"], F.xxhash64("fp")).withColumn("component", F.coalesce("component", "first"))
     return join_skewed(rows, named.select("fp", "n", "component"), ["fp"], "n", ["component"], F.xxhash64("id"))
 
 
