@@ -104,6 +104,7 @@ def nearest(vectors: DataFrame, query: str, k: int = 20, orders: int = 8, axes:
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull())
     rows = rows.filter(F.forall("v", fine) & F.exists("v", lambda x: x != 0))
+    kind = np.float32 if rows.schema["v"].dataType.elementType.typeName() == "float" else np.float64  # as vectors travel
     width = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     schema = "query_id long, rank int, " + f"`{id_col}` long, score double"
     if not width:
@@ -136,7 +137,7 @@ def nearest(vectors: DataFrame, query: str, k: int = 20, orders: int = 8, axes:
                 continue
             v = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
             h1, h2, asks, ids = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy(zero_copy_only=False).astype(bool), b.column(4).to_numpy()
-            raw = np.array([x.tobytes() for x in v], object)
+            raw = np.array([x.tobytes() for x in v.astype(kind)], object)
             for role in (False, True):
                 pick = np.flatnonzero(asks) if role else np.arange(len(v))
                 if not len(pick):
@@ -158,12 +159,12 @@ def nearest(vectors: DataFrame, query: str, k: int = 20, orders: int = 8, axes:
         q, c = frame[asks], frame[~asks].sort_values("id")
         out = []
         if len(q) and len(c):
-            cv = np.frombuffer(b"".join(c["v"]), np.float64).reshape(-1, d)
+            cv = np.frombuffer(b"".join(c["v"]), kind).astype(np.float64).reshape(-1, d)
             c1, c2 = c["h1"].to_numpy(), c["h2"].to_numpy()
             step = max(1, 4_000_000 // len(cv))
             for at in range(0, len(q), step):
                 part = q.iloc[at:at + step]
-                qv = np.frombuffer(b"".join(part["v"]), np.float64).reshape(-1, d)
+                qv = np.frombuffer(b"".join(part["v"]), kind).astype(np.float64).reshape(-1, d)
                 rough = qv @ cv.T
                 m = min(len(cv), keep + 8)
                 if m < len(cv):
