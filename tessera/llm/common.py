@@ -5,13 +5,13 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.sources.code import shipped  # noqa: F401 - for the operators
+
 #: The white space of every contract here: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,24 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if small else df
 
 
-_shipped: set[str] = set()
-
-
-def shipped(df: DataFrame) -> DataFrame:
-    """df, after this package was sent to the executors, once a session: their Python workers import it."""
-    context = df.sparkSession.sparkContext
-    if context.applicationId not in _shipped:
-        _shipped.add(context.applicationId)
-        root = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="tessera-code-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        with zipfile.ZipFile(f"{folder}/tessera.zip", "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        context.addPyFile(f"{folder}/tessera.zip")
-    return df
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. lower() is much faster than translate() and the same on pure ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
