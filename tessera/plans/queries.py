@@ -428,16 +428,19 @@ def substantial_overlap(spark, sf):
 
 
 @query(f"""WITH s AS (SELECT u.conv_id, u.turn, a.turn AS id, row_number() OVER (PARTITION BY u.conv_id, u.turn ORDER BY a.turn) - 1 AS original_rank, {_SET.format('u.text')} AS q, {_SET.format('a.text')} AS p
-FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND u.role = 'user' AND a.role = 'assistant'),
+FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND u.role = 'user' AND a.role = 'assistant' AND a.turn BETWEEN u.turn - 10 AND u.turn + 10),
 r AS (SELECT *, CASE WHEN len(q) > 0 THEN len(list_intersect(q, p)) / len(q) ELSE 0.5 END AS rerank_score FROM s),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY rerank_score DESC, original_rank) - 1 AS new_rank FROM r)
 SELECT conv_id, turn, id, CAST(rerank_score AS DOUBLE) AS rerank_score, CAST(original_rank AS INTEGER) AS original_rank, CAST(new_rank AS INTEGER) AS new_rank FROM n""")
 def keyword_rerank(spark, sf):
-    """Each question's conversation is its collection: the assistant's turns, in order, reranked by the question's words."""
+    """The assistant's turns up to ten turns away are a question's hits, in order; they are reranked by its words.
+
+    Places are spelt out and joined by equality, so a long conversation isn't paired with itself.
+    """
     turns = spread(spark, sf, "conversations")
-    u = turns.filter("role = 'user'").select("conv_id", "turn", T.token_set(F.col("text")).alias("q"))
+    u = turns.filter("role = 'user'").select("conv_id", "turn", T.token_set(F.col("text")).alias("q"), F.explode(F.sequence(F.col("turn") - 10, F.col("turn") + 10)).alias("id"))
     a = turns.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("id"), T.token_set(F.col("text")).alias("p"))
-    pairs = u.join(a, "conv_id").withColumn("query_id", F.struct("conv_id", "turn"))
+    pairs = u.join(a, ["conv_id", "id"]).withColumn("query_id", F.struct("conv_id", "turn"))
     hits = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("id")))
     return S.rerank(hits, T.keyword_score(F.col("q"), F.col("p"))).select("conv_id", "turn", "id", "rerank_score", "original_rank", "new_rank")
 
@@ -507,15 +510,15 @@ cb AS (SELECT a.conv_id, a.turn, d.turn AS doc_turn, a.text AS answer, least(1::
   0.4::DOUBLE * CASE WHEN len(a.ph) > 0 THEN len(list_filter(a.ph, lambda p: length(p) > 3 AND contains(d.m, p))) / len(a.ph) ELSE 0 END
   + 0.3::DOUBLE * CASE WHEN len(a.ws) > 0 THEN len(list_intersect(a.ws, d.ws)) / len(a.ws) ELSE 0 END
   + 0.3::DOUBLE * CASE WHEN len(a.es) > 0 THEN len(list_intersect(a.es, d.es)) / len(a.es) ELSE 0 END) AS contribution
-  FROM fp a JOIN fp d ON a.conv_id = d.conv_id AND d.turn < a.turn WHERE a.role = 'assistant')"""
+  FROM fp a JOIN fp d ON a.conv_id = d.conv_id AND d.turn BETWEEN a.turn - 4 AND a.turn - 1 WHERE a.role = 'assistant')"""
 
 
 def _contributions(spark, sf):
-    """Each answer held against the turns before it."""
+    """Each answer held against the four turns before it, whose places are spelt out and joined by equality."""
     turns = spread(spark, sf, "conversations")
-    a = turns.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
+    a = turns.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"), F.explode(F.sequence(F.col("turn") - 4, F.col("turn") - 1)).alias("doc_turn"))
     d = turns.select("conv_id", F.col("turn").alias("doc_turn"), "text")
-    return A.attributed(a.join(d, "conv_id").filter("doc_turn < turn"))
+    return A.attributed(a.join(d, ["conv_id", "doc_turn"]))
 
 
 @query(f"WITH {_CONTRIB} SELECT conv_id, turn, doc_turn, contribution FROM cb")
