@@ -30,6 +30,11 @@ def metrics(results: DataFrame, k: int) -> DataFrame:
     )
 
 
+def possible_metrics(results: DataFrame, k: int) -> DataFrame:
+    """metrics() without the questions that have no answer."""
+    return metrics(results.filter(~F.coalesce(F.col("impossible"), F.lit(False))), k)
+
+
 def by_k(results: DataFrame, k: int) -> DataFrame:
     """(k, mrr_at_k, accuracy) for 1 to k."""
     each = results.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(k))))

@@ -15,10 +15,16 @@ CONFIDENT, COVERED, CONTRIBUTES = 0.6, 0.7, 0.08
 UNKNOWN = "I don't know"
 
 
-def validated(answers: DataFrame) -> DataFrame:
-    """answers (answer, context) with confidence, coverage, valid and final_answer."""
+def validated(answers: DataFrame, reply: str | None = None) -> DataFrame:
+    """answers (answer, context) with confidence, coverage, valid and final_answer.
+
+    reply: a column with a fact-checker's reply, if there is one; no reply, as after an error, does not stand against an answer.
+    """
     out = answers.withColumn("confidence", T.confidence(F.col("answer"))).withColumn("coverage", T.coverage(T.coverage_phrases(F.col("answer")), F.col("context")))
-    out = out.withColumn("valid", (F.col("confidence") >= CONFIDENT) & (F.col("coverage") >= COVERED))
+    sound = (F.col("confidence") >= CONFIDENT) & (F.col("coverage") >= COVERED)
+    if reply is not None:
+        sound = sound & (F.col(reply).isNull() | T.verdict(F.col(reply))["valid"])
+    out = out.withColumn("valid", sound)
     return out.withColumn("final_answer", F.when(F.col("valid"), F.col("answer")).otherwise(F.lit(UNKNOWN)))
 
 
@@ -32,7 +38,11 @@ def attributed(pairs: DataFrame) -> DataFrame:
 
 
 def answer(store: ChunkStore, questions: DataFrame, embedder: Embedder, generator: Generator, k: int = 4, window: int = 2, kind: str = "cosine_distance", collections: list[str] | None = None) -> DataFrame:
-    """(query_id, question, context, answer, confidence, coverage, valid, final_answer, references) of (query_id, question)."""
+    """(query_id, question, context, answer, confidence, coverage, valid, final_answer, references) of (query_id, question).
+
+    Blank questions are left out. Ranges keep the best score of their hits, and contexts are put together best first.
+    """
+    questions = questions.filter(F.trim("question") != "")
     asked = embed(questions, embedder, "question").select("query_id", "question", "vector")
     hits = store.search(asked.select("query_id", "vector"), k, kind, collections)
     by = ["query_id", "collection", "source"]

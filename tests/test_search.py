@@ -128,3 +128,15 @@ def test_histogram_and_thresholds(spark):
     assert E.histogram(hits.limit(0), "is_match", "score").count() == 0 and E.histogram(hits.limit(1), "is_match", "score").first().bin == 1
     p = {round(r.threshold, 1): r.precision for r in E.precision_by_threshold(hits).collect()}
     assert p[0.9] == 2 / 3 and len(p) == 9
+
+
+def test_verdicts_and_impossible_questions(spark):
+    from tessera.plans.answer import validated
+
+    rows = [("Paris is the capital.", "the capital is paris", "Valid: No"), ("Paris is the capital.", "the capital is paris", None), ("Paris is the capital.", "the capital is paris", "Valid: Yes")]
+    got = validated(spark.createDataFrame(rows, "answer string, context string, reply string"), "reply").collect()
+    assert [r.final_answer for r in got] == ["I don't know", "Paris is the capital.", "Paris is the capital."]
+    df = spark.createDataFrame([(1, 1, True, False), (2, None, False, True), (3, None, False, None), (4, 1, True, True)], "query_id int, found_rank int, success boolean, impossible boolean")
+    assert E.possible_metrics(df, 4).first().success_rate == 0.5 and [r.query_id for r in E.failed(df).collect()] == [3]
+    r = E.false_positives(df).first()
+    assert (r.false_positive_rate, r.n) == (0.5, 2)
