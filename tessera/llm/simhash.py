@@ -48,9 +48,12 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
 
 
 def _blocks(budget: int) -> list[tuple[int, int]]:
-    """budget + 1 runs of bits (first, length) that cover all 64: two fingerprints within the budget share one of them."""
+    """budget + 1 runs of bits (first, length), none within another: two fingerprints within the budget share one of them.
+
+    A run has 20 bits at most, so that there are no more than a million nodes a run.
+    """
     cuts = [BITS * i // (budget + 1) for i in range(budget + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+    return [(a, min(20, b - a)) for a, b in zip(cuts, cuts[1:])]
 
 
 def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

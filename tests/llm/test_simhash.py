@@ -73,16 +73,16 @@ def test_trie_against_all_pairs(leaf, most):
     assert len(set(zip(label, want))) == len(set(want)) == len(set(label))
 
 
-@pytest.mark.parametrize("limit", [200_000, 20, 1])
-def test_links_with_and_without_split_nodes(spark, limit):
+@pytest.mark.parametrize("limit,budget", [(200_000, 4), (20, 4), (1, 4), (20, 0), (20, 1), (3, 2), (5, 7)])
+def test_links_with_and_without_split_nodes(spark, limit, budget):
     r = random.Random(3)
     centres = [r.getrandbits(64) for _ in range(30)]
     prints = sorted({c ^ sum(1 << b for b in set(r.sample(range(64), r.randint(0, 5)))) for c in centres for _ in range(12)})
     df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
-    edges = [(r.u % (1 << 64), r.v % (1 << 64)) for r in simhash.links(df, bucket_limit=limit, rows_at_once=50).collect()]
+    edges = [(r.u % (1 << 64), r.v % (1 << 64)) for r in simhash.links(df, budget, bucket_limit=limit, rows_at_once=50).collect()]
     place = {p: i for i, p in enumerate(prints)}
     assert all((place[a] in range(len(prints))) for e in edges for a in e)
-    want = groups(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    want = groups(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= budget])
     got = groups(len(prints), [(place[a], place[b]) for a, b in edges])
     assert len(set(zip(got, want))) == len(set(want)) == len(set(got))
 
