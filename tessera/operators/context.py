@@ -22,17 +22,18 @@ def merge_ranges(ranges: DataFrame, by: list[str], lower_is_better: bool = True)
     return island.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), best.alias("score"), F.count("*").alias("hits")).drop("island")
 
 
-def expand(ranges: DataFrame, chunks: DataFrame, by: list[str]) -> DataFrame:
+def expand(ranges: DataFrame, chunks: DataFrame, by: list[str], keep: list[str] | None = None) -> DataFrame:
     """ranges with text (the chunks of the range in order, a blank line between), first_chunk and chunk_count.
 
-    An equi-join on the source with the range as its residual condition; a range of which no chunk exists has no text.
+    An equi-join on `by` with the range as its residual condition; `keep` are further columns of ranges, which tell alike
+    ranges apart. A range of which no chunk exists has no text.
     """
+    own = [*by, *(keep or []), "start", "end", "score"]
     same = [F.col(f"r.{c}") == F.col(f"c.{c}") for c in by] + [F.col("c.chunk_index").between(F.col("r.start"), F.col("r.end"))]
     joined = ranges.alias("r").join(chunks.alias("c"), same, "left")
     part = F.struct(F.col("c.chunk_index").alias("i"), F.col("c.text").alias("t"))
-    keys = [F.col(f"r.{c}").alias(c) for c in [*by, "start", "end", "score"]]
-    got = joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("c.chunk_index").isNotNull(), part))).alias("parts"))
-    return got.select(*by, "start", "end", "score", F.array_join(F.transform("parts", lambda x: x["t"]), "\n\n").alias("text"), F.get("parts", 0)["i"].alias("first_chunk"), F.size("parts").alias("chunk_count"))
+    got = joined.groupBy(*(F.col(f"r.{c}").alias(c) for c in own)).agg(F.array_sort(F.collect_list(F.when(F.col("c.chunk_index").isNotNull(), part))).alias("parts"))
+    return got.select(*own, F.array_join(F.transform("parts", lambda x: x["t"]), "\n\n").alias("text"), F.get("parts", 0)["i"].alias("first_chunk"), F.size("parts").alias("chunk_count"))
 
 
 def sizes(expanded: DataFrame, by: list[str]) -> DataFrame:

@@ -48,7 +48,7 @@ def answer(store: ChunkStore, questions: DataFrame, embedder: Embedder, generato
     by = ["query_id", "collection", "source"]
     ranges = C.merge_ranges(C.neighbours(hits, window), by, LOWER_IS_BETTER[kind])
     chunks = store.chunks().select("collection", "source", "chunk_index", "text")
-    around = _expand(ranges, chunks)
+    around = C.expand(ranges, chunks, ["collection", "source"], ["query_id"])
     order = F.col("score") if LOWER_IS_BETTER[kind] else -F.col("score")
     parts = around.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("s"), "source", "start", "text"))).alias("parts"))
     contexts = questions.join(parts, "query_id", "left").withColumn("context", F.coalesce(F.array_join(F.transform("parts", lambda x: x["text"]), "\n\n"), F.lit(""))).drop("parts")
@@ -56,10 +56,3 @@ def answer(store: ChunkStore, questions: DataFrame, embedder: Embedder, generato
     pairs = attributed(hits.select("query_id", "rank", "id", "score", "chunk_index", "source", "text").join(answers.select("query_id", F.col("final_answer").alias("answer")), "query_id"))
     references = pairs.filter("contributes").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score", "chunk_index", "source", "text", "contribution"))).alias("references"))
     return answers.join(references, "query_id", "left")
-
-
-def _expand(ranges: DataFrame, chunks: DataFrame) -> DataFrame:
-    """C.expand() with the query among the keys: ranges of several queries may be the same."""
-    on = [F.col(f"r.{c}") == F.col(f"c.{c}") for c in ("collection", "source")] + [F.col("c.chunk_index").between(F.col("r.start"), F.col("r.end"))]
-    got = ranges.alias("r").join(chunks.alias("c"), on).groupBy("r.query_id", "r.collection", "r.source", "r.start", "r.end", "r.score").agg(F.array_sort(F.collect_list(F.struct("c.chunk_index", "c.text"))).alias("parts"))
-    return got.withColumn("text", F.array_join(F.transform("parts", lambda x: x["text"]), "\n\n")).drop("parts")
