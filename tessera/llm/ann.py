@@ -116,7 +116,7 @@ def nearest(vectors: DataFrame, query: str, k: int = 20, orders: int = 8, axes:
     first = rows.select("id", "h1", "h2").withColumn("n", F.row_number().over(W.partitionBy("h1", "h2").orderBy("id"))).filter(F.col("n") <= k + 1)
     first = first.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     same = rows.groupBy("h1", "h2").agg(F.min("v").alias("v"), F.max("asks").alias("asks"), F.sum(F.col("asks").cast("long")).alias("askers"))
-    unique = saved(same.join(first, ["h1", "h2"]))
+    unique = saved(same.join(first, ["h1", "h2"]).withColumn("u", F.get("ids", 0)))  # a vector goes by its smallest id
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     n, reach = unique.agg(F.count("*"), F.max(norm)).first()
     share = min(1.0, sample / n)
@@ -136,7 +136,7 @@ def nearest(vectors: DataFrame, query: str, k: int = 20, orders: int = 8, axes:
             if not b.num_rows:
                 continue
             v = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
-            h1, h2, asks, ids = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy(zero_copy_only=False).astype(bool), b.column(4).to_numpy()
+            u, salt, asks = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy(zero_copy_only=False).astype(bool)
             raw = np.array([x.tobytes() for x in v.astype(kind)], object)
             for role in (False, True):
                 pick = np.flatnonzero(asks) if role else np.arange(len(v))
@@ -144,23 +144,23 @@ def nearest(vectors: DataFrame, query: str, k: int = 20, orders: int = 8, axes:
                     continue
                 raised = c.raised(v[pick], query=role)
                 for o in range(len(c.turns)):
-                    at = np.searchsorted(c.cuts[o], c.keys(o, raised, h2[pick]), side="right")
+                    at = np.searchsorted(c.cuts[o], c.keys(o, raised, salt[pick]), side="right")
                     begin = np.clip(at - side, 0, max(0, parts - 1 - 2 * side)) if role else at
                     for step in range(2 * side + 1 if role else 1):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(pick), o), pa.int32()), pa.array(begin + step, pa.int32()), pa.array(np.full(len(pick), role)), pa.array(h1[pick]), pa.array(h2[pick]), pa.array(ids[pick]), pa.array(raw[pick], pa.binary())],
-                            names=["o", "block", "asks", "h1", "h2", "id", "v"])
+                            [pa.array(np.full(len(pick), o), pa.int32()), pa.array(begin + step, pa.int32()), pa.array(np.full(len(pick), role)), pa.array(u[pick]), pa.array(raw[pick], pa.binary())],
+                            names=["o", "block", "asks", "u", "v"])
 
-    dealt = shipped(unique).select("h1", "h2", "v", "asks", F.get("ids", 0).alias("id")).mapInArrow(deal, "o int, block int, asks boolean, h1 long, h2 long, id long, v binary")
+    dealt = shipped(unique).select("u", "h2", "v", "asks").mapInArrow(deal, "o int, block int, asks boolean, u long, v binary")
     keep = k + 1
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         asks = frame["asks"].to_numpy(bool)
-        q, c = frame[asks], frame[~asks].sort_values("id")
+        q, c = frame[asks], frame[~asks].sort_values("u")
         out = []
         if len(q) and len(c):
             cv = np.frombuffer(b"".join(c["v"]), kind).astype(np.float64).reshape(-1, d)
-            c1, c2 = c["h1"].to_numpy(), c["h2"].to_numpy()
+            found_ids = c["u"].to_numpy()
             step = max(1, 4_000_000 // len(cv))
             for at in range(0, len(q), step):
                 part = q.iloc[at:at + step]
@@ -179,15 +179,15 @@ def nearest(vectors: DataFrame, query: str, k: int = 20, orders: int = 8, axes:
                 i, j, s = i[order], j[order], s[order]
                 place = np.arange(len(i)) - np.searchsorted(i, i)
                 i, j, s = (x[place < keep] for x in (i, j, s))
-                out.append(pd.DataFrame({"q1": part["h1"].to_numpy()[i], "q2": part["h2"].to_numpy()[i], "h1": c1[j], "h2": c2[j], "s": s}))
-        return pd.concat(out) if out else pd.DataFrame({"q1": [], "q2": [], "h1": [], "h2": [], "s": []})
-
-    found = dealt.groupBy("o", "block").applyInPandas(meet, "q1 long, q2 long, h1 long, h2 long, s double")
-    found = found.groupBy("q1", "q2", "h1", "h2").agg(F.max("s").alias("s"))
-    best = F.row_number().over(W.partitionBy("q1", "q2").orderBy(F.desc("s"), "id"))
-    merged = found.join(unique.select("h1", "h2", "ids"), ["h1", "h2"]).select("q1", "q2", "s", F.explode("ids").alias("id")).withColumn("n", best).filter(F.col("n") <= k + 1)
-    lists = merged.groupBy("q1", "q2").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "id"))).alias("list"))
-    lists = saved(lists.join(unique.select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), "askers"), ["q1", "q2"]).select(F.col("q1").alias("h1"), F.col("q2").alias("h2"), "list", "askers"))
+                out.append(pd.DataFrame({"q": part["u"].to_numpy()[i], "u": found_ids[j], "s": s}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "u": [], "s": []})
+
+    found = dealt.groupBy("o", "block").applyInPandas(meet, "q long, u long, s double")
+    found = found.groupBy("q", "u").agg(F.max("s").alias("s"))
+    best = F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "id"))
+    merged = found.join(unique.select("u", "ids"), "u").select("q", "s", F.explode("ids").alias("id")).withColumn("n", best).filter(F.col("n") <= k + 1)
+    lists = merged.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "id"))).alias("list"))
+    lists = saved(lists.join(unique.select(F.col("u").alias("q"), "h1", "h2", "askers"), "q").drop("q"))
     asked = join_skewed(rows.filter("asks").select("id", "h1", "h2"), lists, ["h1", "h2"], "askers", ["list"], F.xxhash64("id"))
     own = asked.select(F.col("id").alias("query_id"), F.slice(F.filter("list", lambda x: x["id"] != F.col("id")), 1, k).alias("list"))
     return own.select("query_id", F.posexplode("list").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias(id_col), (-F.col("x.s")).alias("score"))
