@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from tessera.llm.common import packed, row_and, shipped, table, unpacked
 from tessera.llm.html_pages import pages
 
-RAW = "script style textarea title template noscript iframe svg math object select datalist canvas audio video noembed noframes head xmp"
+RAW = "script style textarea title template noscript iframe svg object select datalist canvas audio video noembed noframes head xmp"
 #: Elements whose content is never page text; the tokens of most of them aren't markup either.
-DROPPED = frozenset(RAW.split()) | {"button", "option", "label", "legend", "input"}
+DROPPED = frozenset(RAW.split()) | {"button", "option", "label", "legend", "input", "annotation", "annotation-xml"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var x-content".split())
+#: Formulas are text, on a line of its own or not; their annotations (other notations of the same) aren't shown.
+INLINE |= frozenset("math semantics annotation annotation-xml mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd".split())
 #: Which open elements a start tag ends: the nearest of the first set, not beyond one of the second.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -28,7 +30,8 @@ ENDS = {
     "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
 }
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|textarea|title|noscript|iframe|xmp|noembed|noframes|template|svg)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<svg(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"  # closed by itself, as only foreign elements can be: empty
+    r"|<(?P<raw>script|style|textarea|title|noscript|iframe|xmp|noembed|noframes|template|svg)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>|<[!?][^>]*+>",
     re.S | re.I,
 )

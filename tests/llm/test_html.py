@@ -94,3 +94,14 @@ def test_query(spark, sf):
         inner = re.search(r"<article[^>]*>(.*?)</article>", r.html, re.S)[1]
         blocks = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in re.split(r"</?(?:p|h1|br)\b[^>]*>", inner))
         assert found[r.page_id].text == " ".join(filter(None, blocks)) and found[r.page_id].n_chars == len(found[r.page_id].text)
+
+
+@pytest.mark.parametrize("icon", ["<svg class='icon'/>", "<svg/>", '<svg viewBox="0 0 1 1" data-a="a/b" />', "<svg-icon name=x></svg-icon>", "<title-bar></title-bar>", "<template-x></template-x>", "<svg data-a='/'><text>no</text></svg>"])
+def test_icons_and_custom_elements_swallow_nothing(model, icon):
+    want = "Some text is here, with words. And a second one."
+    assert text(model, f"<body><div>{icon}</div><article><p>Some text is here, with words.</p><p>And {icon}a second one.</p></article></body>") == want
+
+
+def test_formulas_are_text(model):
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='application/x-tex'>x = \\two</annotation></semantics></math>"
+    assert text(model, f"<article><p>Here {formula}, as we know.</p></article>") == "Here x=2, as we know."
