@@ -26,6 +26,8 @@ SCRIPTS = [
     (0xA000, ""), (0xAC00, "Hangul"), (0xD7B0, ""), (0xF900, "Han"), (0xFB00, ""), (0x20000, "Han"), (0x30000, ""),
 ]
 _STARTS = [a for a, _ in SCRIPTS]
+#: A run of more letters is judged in pieces, each a place of the path: script without spaces, text that lost them.
+PIECE = 64
 
 
 def script(char: str) -> str:
@@ -33,9 +35,16 @@ def script(char: str) -> str:
     return SCRIPTS[i][1] if i >= 0 else ""
 
 
+def pieces(words: list[str]) -> list[str]:
+    """The words, with each of more than PIECE letters as consecutive pieces of like length: nothing of a run-on text is left out."""
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[len(w) * i // n:len(w) * (i + 1) // n] for w in words for n in [-(-len(w) // PIECE)] for i in range(n)]
+
+
 def grams(word: str) -> list[str]:
     """Pairs and triples of characters of a word between marks of its ends, and the word itself if short."""
-    w = f"_{word[:64]}_"  # one word of a run-on text; the text itself isn't cut
+    w = f"_{word}_"
     out = [w[i:i + 2] for i in range(len(w) - 1)] + [w[i:i + 3] for i in range(len(w) - 2)]
     return out + ["=" + word] if len(word) <= 6 else out
 
@@ -135,6 +144,7 @@ class Model:
         """(language, score, spans of words) of each text."""
         split = [WORD.findall((t or "").lower()) for t in texts]
         split = [ws if any(c.isalpha() for w in ws for c in w) else [] for ws in split]  # WORD also takes signs like ½
+        whole, split = split, [pieces(ws) for ws in split]
         out: list = [("und", 0.0, [])] * len(texts)
         if not self.langs:
             return out
@@ -154,7 +164,11 @@ class Model:
                 sure = np.exp(matrix[:, win].astype(np.float64)) * letters
                 score = 0.5 * mass[win] / letters.sum() + 0.5 * float(sure.sum() / letters.sum())
                 cut = np.concatenate(([0], np.flatnonzero(path[1:] != path[:-1]) + 1, [len(path)]))
-                spans = [(int(a), int(b) - 1, self.langs[path[a]]) for a, b in zip(cut, cut[1:])]
+                ends = [(int(a), int(b) - 1) for a, b in zip(cut, cut[1:])]
+                if len(whole[i]) < len(split[i]):  # spans count words; one whose pieces differ is in both
+                    word = np.repeat(np.arange(len(whole[i])), [-(-len(w) // PIECE) for w in whole[i]])
+                    ends = [(int(word[a]), int(word[b])) for a, b in ends]
+                spans = [(a, b, self.langs[path[k]]) for (a, b), k in zip(ends, cut)]
                 out[i] = (self.langs[win], min(1.0, max(0.0, score)), spans)
             at = end
         return out
@@ -179,7 +193,7 @@ def fit(docs: DataFrame, sample: int = 2_000, model_grams: int = 200_000, max_la
         found: Counter = Counter()
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for w, n in Counter(WORD.findall(text.lower())).items():
+                for w, n in Counter(pieces(WORD.findall(text.lower()))).items():
                     found[lang, "s" + script(w[0])] += n
                     for g in grams(w):
                         found[lang, "g" + g] += n
@@ -210,7 +224,7 @@ def fit(docs: DataFrame, sample: int = 2_000, model_grams: int = 200_000, max_la
 def identify(docs: DataFrame, model: Model, spans: bool = True, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with lang_pred, score and, if asked, spans: array of (first word, last word, language), words from 0.
 
-    A word is a run of letters. lang_pred has most letters in its spans; score is half its share of the letters and half
+    A word is a run of letters; one of more than PIECE is judged in pieces, and may end a span and begin the next. lang_pred has most letters in its spans; score is half its share of the letters and half
     the mean posterior of the words for it, 0 to 1. Null texts and texts without a letter: 'und', 0 and no spans; so are
     all texts if the model knows no language. Ties go to the language first in order. Whole texts are read, of any length.
     Columns of the three names are replaced; others pass.

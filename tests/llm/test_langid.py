@@ -62,3 +62,12 @@ def test_held_out_accuracy(spark):
     rows = langid.op4_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
     assert len(rows) == 1000 and sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
+
+
+def test_a_run_of_letters_is_read_whole(model):
+    """A text that lost its spaces goes by all its letters, not by its first 64."""
+    title, body = prose(1, 30).replace(" ", "").replace(".", "")[:64], prose(2, 900, "de").replace(" ", "").replace(".", "")
+    (lang, _, spans), *_ = [x[:3] for x in model.label([title + body])]
+    assert lang == "de" and [s[2] for s in spans] == ["en", "de"] and all(s[:2] == (0, 0) for s in spans)
+    (lang, _, spans), *_ = [x[:3] for x in model.label([prose(3, 20) + " " + title + body + " " + prose(4, 20)])]
+    assert lang == "de" and spans[0][0] == 0 and spans[-1][1] == 40 and "de" in [s[2] for s in spans]
