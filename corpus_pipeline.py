@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, line_dedup, mixing, simhash
+from tessera.llm import bpe, langid, line_dedup, mixing, near_copies
 from tessera.llm.common import fold, folder, table
 
 #: A document whose language is less sure than this isn't clean text of a known language.
@@ -34,8 +34,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of the smallest id."""
-    return simhash.simhash_keep_one(docs).select(*(f"`{c}`" for c in docs.columns))
+    """One document of each group of near copies (0.8 of their five-word shingles alike), the one of the smallest id."""
+    return near_copies.keep_one(docs).select(*(f"`{c}`" for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
