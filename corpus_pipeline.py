@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, langid, line_dedup, mixing, near_copies
 from tessera.llm.common import fold, folder, table
 
-#: A document whose language is less sure than this isn't clean text of a known language.
-LEAST_SCORE = 0.35
+#: A document with less evidence than this (see langid.Model.label) isn't text of learned languages, one or several.
+LEAST_EVIDENCE = 0.75
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a known language: not 'und', score LEAST_SCORE at least. Learns as op4 does, from documents not held out."""
+    """Documents in known languages: not 'und', evidence LEAST_EVIDENCE at least. Learns as op4 does, from documents not held out."""
     model = langid.fit(docs.filter(fold(F.col("doc_id"), 4) != 2))
-    own = {c: f"_tz_own_{c}" for c in docs.columns if c in ("lang_pred", "score")}  # columns of these names stay as they are
-    found = langid.identify(docs.withColumnsRenamed(own), model, spans=False)
-    sure = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+    own = {c: f"_tz_own_{c}" for c in docs.columns if c in ("lang_pred", "score", "evidence")}  # columns of these names stay as they are
+    found = langid.identify(docs.withColumnsRenamed(own), model, spans=False, evidence=True)
+    sure = found.filter((F.col("lang_pred") != "und") & (F.col("evidence") >= LEAST_EVIDENCE)).drop("lang_pred", "score", "evidence")
     return sure.withColumnsRenamed({v: k for k, v in own.items()}).select(*(f"`{c}`" for c in docs.columns))
 
 

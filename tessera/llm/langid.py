@@ -51,7 +51,10 @@ def grams(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """langs in order; for each gram a row of log likelihoods; scripts[s]: which languages are written in s."""
+    """langs in order; for each gram a row of log likelihoods; scripts[s]: which languages are written in s; seen: which languages have the gram.
+
+    usual: the share of a new text's grams that the model should have of each language, by Good and Turing's estimate.
+    """
 
     langs: list[str]
     index: dict[str, int]
@@ -62,13 +65,26 @@ class Model:
     known: dict[str, int] = field(default_factory=dict)
     rows: list[np.ndarray] = field(default_factory=list)
     limit: int = 300_000
+    seen: np.ndarray | None = None
+    usual: np.ndarray | None = None
 
     def __post_init__(self) -> None:
+        if self.usual is None:
+            self.usual = np.ones(len(self.langs))
+        if self.seen is None:
+            self.seen = np.ones(self.scores.shape, bool)
+        self.fits = np.zeros((self.limit + 1, max(1, len(self.langs))), np.float16)
         self.table = np.zeros((self.limit + 1, max(1, len(self.langs))), np.float32)  # the last row: a word that says nothing
 
     def learn(self, words: list[str]) -> None:
-        """Scores of new words, into the table: log posteriors under equal priors, not below the floor."""
+        """Scores of new words, into the table: log posteriors under equal priors, not below the floor.
+
+        Into fits: the share of a word's grams that each language has, to the usual one; 0 where no language is written in
+        its script.
+        """
         found = [[k for k in map(self.index.get, grams(w)) if k is not None] for w in words]
+        every = np.array([2 * len(w) + 1 + (len(w) <= 6) for w in words], np.float64)  # of grams(w)
+        fits = np.zeros((len(words), len(self.langs)))
         sizes = np.array([len(x) for x in found])
         total = np.zeros((len(words), len(self.langs)))
         if sizes.sum():
@@ -76,15 +92,21 @@ class Model:
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             some = sizes > 0
             total[some] = np.add.reduceat(flat, starts[some], axis=0)
+            own = self.seen[np.fromiter((k for x in found for k in x), np.int64, int(sizes.sum()))].astype(np.float64)
+            fits[some] = np.add.reduceat(own, starts[some], axis=0) / every[some, None]
         for i, w in enumerate(words):
             allowed = self.scripts.get(script(w[0]))
             if allowed is not None:
                 total[i, ~allowed] = -1e9
+                fits[i, ~allowed] = 0
+            else:
+                fits[i] = 0
         top = total.max(axis=1, keepdims=True)
         total -= top + np.log(np.exp(total - top).sum(axis=1, keepdims=True))
         total = np.maximum(total, self.floor)
         at = len(self.known)
         self.table[at:at + len(words)] = total
+        self.fits[at:at + len(words)] = fits / self.usual
         self.known.update(zip(words, range(at, at + len(words))))
 
     def places(self, words: list[str]) -> np.ndarray:
@@ -101,11 +123,14 @@ class Model:
             self.learn(fresh)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    def emissions(self, words: list[str]) -> np.ndarray:
+    def emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the table and of the fits."""
         try:
-            return self.table[self.places(words)]
+            places = self.places(words)
+            return self.table[places], self.fits[places]
         except OverflowError as e:
-            return np.concatenate([self.emissions(words[:e.args[0]]), self.emissions(words[e.args[0]:])])
+            parts = self.emissions(words[:e.args[0]]), self.emissions(words[e.args[0]:])
+            return tuple(map(np.concatenate, zip(*parts)))
 
     def paths(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         """The best language of each word of each text (a matrix: words by languages), texts side by side."""
@@ -140,12 +165,16 @@ class Model:
             out[i] = path[: length[i], j]
         return out
 
-    def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-        """(language, score, spans of words) of each text."""
+    def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]], float]]:
+        """(language, score, spans of words, evidence) of each text.
+
+        Evidence: the share of grams, by letters, that the language of the path there has, to its usual one. It speaks for the text being in
+        learned languages, one or several; it has no floor, and doesn't depend on which language is the likeliest.
+        """
         split = [WORD.findall((t or "").lower()) for t in texts]
         split = [ws if any(c.isalpha() for w in ws for c in w) else [] for ws in split]  # WORD also takes signs like ½
         whole, split = split, [pieces(ws) for ws in split]
-        out: list = [("und", 0.0, [])] * len(texts)
+        out: list = [("und", 0.0, [], 0.0)] * len(texts)
         if not self.langs:
             return out
         todo = sorted((i for i in range(len(texts)) if split[i]), key=lambda i: len(split[i]))
@@ -157,7 +186,7 @@ class Model:
                 end += 1
             some = todo[at:end]
             matrices = [self.emissions(split[i]) for i in some]
-            for i, matrix, path in zip(some, matrices, self.paths(matrices)):
+            for i, (matrix, fits), path in zip(some, matrices, self.paths([m for m, _ in matrices])):
                 letters = np.fromiter(map(len, split[i]), np.int64, len(split[i]))
                 mass = np.bincount(path, weights=letters, minlength=len(self.langs))
                 win = int(mass.argmax())
@@ -169,7 +198,8 @@ class Model:
                     word = np.repeat(np.arange(len(whole[i])), [-(-len(w) // PIECE) for w in whole[i]])
                     ends = [(int(word[a]), int(word[b])) for a, b in ends]
                 spans = [(a, b, self.langs[path[k]]) for (a, b), k in zip(ends, cut)]
-                out[i] = (self.langs[win], min(1.0, max(0.0, score)), spans)
+                known = float((fits[np.arange(len(path)), path].astype(np.float64) * letters).sum() / letters.sum())
+                out[i] = (self.langs[win], min(1.0, max(0.0, score)), spans, min(1.0, known))
             at = end
         return out
 
@@ -195,7 +225,9 @@ def fit(docs: DataFrame, sample: int = 2_000, model_grams: int = 200_000, max_la
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for w, n in Counter(pieces(WORD.findall(text.lower()))).items():
                     found[lang, "s" + script(w[0])] += n
-                    for g in grams(w):
+                    own = grams(w)
+                    found[lang, "t"] += n * len(own)
+                    for g in own:
                         found[lang, "g" + g] += n
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "what", "n"])
 
@@ -209,31 +241,37 @@ def fit(docs: DataFrame, sample: int = 2_000, model_grams: int = 200_000, max_la
             index.setdefault(r.what[1:], len(index))
     table_ = np.full((len(index), len(langs)), 0.5)
     scripts: dict[str, np.ndarray] = {}
+    every_gram, held = np.ones(len(langs)), np.zeros(len(langs))
     for r in got:
         if r.what[0] == "g":
             table_[index[r.what[1:]], place[r.lang]] += r.n
+            held[place[r.lang]] += r.n if r.n > 2 else 0
+        elif r.what == "t":
+            every_gram[place[r.lang]] = r.n
         else:
             scripts.setdefault(r.what[1:], np.zeros(len(langs)))[place[r.lang]] = r.n
     total = {s: x for s, x in scripts.items()}
     every = np.sum(list(total.values()), axis=0) if total else np.ones(len(langs))
     allowed = {s: x >= 0.01 * every for s, x in total.items() if s}
     allowed = {s: x for s, x in allowed.items() if x.any()}
-    return Model(langs, index, np.log(table_ / table_.sum(axis=0)).astype(np.float32), allowed, switch)
+    return Model(langs, index, np.log(table_ / table_.sum(axis=0)).astype(np.float32), allowed, switch, seen=table_ > 1, usual=np.clip(held / every_gram, 0.2, 1))
 
 
-def identify(docs: DataFrame, model: Model, spans: bool = True, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def identify(docs: DataFrame, model: Model, spans: bool = True, text_col: str = "text", keep_text: bool = True, evidence: bool = False) -> DataFrame:
     """docs with lang_pred, score and, if asked, spans: array of (first word, last word, language), words from 0.
 
     A word is a run of letters; one of more than PIECE is judged in pieces, and may end a span and begin the next. lang_pred has most letters in its spans; score is half its share of the letters and half
     the mean posterior of the words for it, 0 to 1. Null texts and texts without a letter: 'und', 0 and no spans; so are
     all texts if the model knows no language. Ties go to the language first in order. Whole texts are read, of any length.
-    Columns of the three names are replaced; others pass.
+    If asked, evidence: the share of n-grams that the languages of the spans have, by letters; 0 for a word in a script that
+    no learned language uses. Columns of these names are replaced; others pass.
     """
     base = packed(docs, text_col, beside=text_col)
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.index, model.scores, model.scripts, model.switch))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.index, model.scores, model.scripts, model.switch, model.seen, model.usual))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*shared.value)
+        *learned, seen, usual = shared.value
+        own = Model(*learned, seen=seen, usual=usual)
         span = pa.list_(pa.struct([("first_word", pa.int32()), ("last_word", pa.int32()), ("lang", pa.string())]))
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
@@ -242,14 +280,16 @@ def identify(docs: DataFrame, model: Model, spans: bool = True, text_col: str =
                 parts = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
                 if spans:
                     parts.append(pa.array([[{"first_word": p, "last_word": q, "lang": g} for p, q, g in x[2]] for x in found], span))
+                if evidence:
+                    parts.append(pa.array([x[3] for x in found], pa.float64()))
                 if keep_text:
                     parts.append(b.column(1))
                 yield pa.RecordBatch.from_arrays([b.column(0), *parts], names=names)
 
-    names = ["_tz_row", "a", "b"] + ["c"] * spans + ["t"] * keep_text
-    kind = "a string, b double" + ", c array<struct<first_word:int,last_word:int,lang:string>>" * spans + ", t string" * keep_text
+    names = ["_tz_row", "a", "b"] + ["c"] * spans + ["e"] * evidence + ["t"] * keep_text
+    kind = "a string, b double" + ", c array<struct<first_word:int,last_word:int,lang:string>>" * spans + ", e double" * evidence + ", t string" * keep_text
     out = shipped(base).mapInArrow(run, row_and(base, kind))
-    added = ({text_col: F.col("t")} if keep_text else {}) | {"lang_pred": F.col("a"), "score": F.col("b")} | ({"spans": F.col("c")} if spans else {})
+    added = ({text_col: F.col("t")} if keep_text else {}) | {"lang_pred": F.col("a"), "score": F.col("b")} | ({"spans": F.col("c")} if spans else {}) | ({"evidence": F.col("e")} if evidence else {})
     return unpacked(out, docs, None if keep_text else text_col, **added)
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -84,3 +85,19 @@ def test_every_stage_takes_odd_and_empty_tables(spark, sf, odd_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, sf)
             assert out.count() >= 0 and (name == "bpe" or out.columns == cols), name
+
+
+def test_language_drops_what_no_learned_language_explains(spark, sf):
+    """Unlearned scripts and languages and gibberish go; short texts and mixes of learned languages stay."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    clean = {x: docs.filter(f"lang = '{x}' and length(text) > 300").orderBy("doc_id").first().text for x in ("de", "en", "es", "fr")}
+    r = random.Random(5)
+    odd = {
+        -1: "人人生而自由,在尊严和权利上一律平等。" * 9, -2: "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι. " * 9, -3: "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกัน" * 9,
+        -4: "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. " * 9, -5: "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności. " * 9,
+        -6: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(200)),
+    }
+    stay = {-11: "\n".join(clean[x] for x in ("de", "en", "es")), -12: "\n".join(clean.values()), -13: clean["fr"]}
+    added = spark.createDataFrame([(i, t, None, "planted", len(t)) for i, t in (odd | stay).items()], docs.schema)
+    got = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(added), sf).filter("doc_id < 0").collect()}
+    assert got == set(stay)
