@@ -22,6 +22,7 @@ ATTRIBUTION_PATTERNS = [
     r"\b(?:located|based|situated) (?:in|at|on) [^.!?]+", r"\bknown (?:for|as) [^.!?]+",
 ]
 ENTITY_PATTERNS = [r"\b\d{4}\b", r"\b\d+(?:\.\d+)?\s*(?:percent|%|million|billion|thousand|dollars?)\b"]
+ENTITY_NAMES = [r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", r"\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2}(?:,\s*\d{4})?\b"]
 STOP_WORDS = """the a an and or but in on at to for of with by from up about into through during before after above below between among
 within is are was were be been being have has had do does did will would could should may might this that these those i me my myself we
 us our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs
@@ -130,8 +131,16 @@ def significant_words(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS) & ~(w.rlike("^[a-z]+$") & (F.length(w) < 4))))
 
 
-def entities(text: Column) -> Column:
-    """Years and numbers with units in lower-cased text."""
+def entities(text: Column, mode: str = "compat") -> Column:
+    """Years and numbers with units in lower-cased text, which is all that the original's patterns can match there.
+
+    mode='fixed': patterns are looked for in the text as it is, so names and dates are found too, and so is a percent sign
+    before a space; the entities are lower-cased afterwards.
+    """
+    if mode == "fixed":
+        patterns = [ENTITY_PATTERNS[0], ENTITY_PATTERNS[1].replace("%|", "").replace(")\\b", ")\\b|\\b\\d+(?:\\.\\d+)?\\s*%"), *ENTITY_NAMES]
+        found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit("(?U)" + p), F.lit(0)) for p in patterns)))
+        return F.array_distinct(F.transform(found, lambda x: F.trim(F.lower(x))))
     low = F.lower(text)
     found = F.flatten(F.array(*(F.regexp_extract_all(low, F.lit("(?U)" + p), F.lit(0)) for p in ENTITY_PATTERNS)))
     return F.array_distinct(F.transform(found, lambda x: F.trim(x)))

@@ -12,8 +12,12 @@ def neighbours(hits: DataFrame, window: int = 2) -> DataFrame:
     return hits.withColumn("start", F.greatest(F.lit(0), F.col("chunk_index") - window)).withColumn("end", F.least(F.col("total_chunks") - 1, F.col("chunk_index") + window))
 
 
-def merge_ranges(ranges: DataFrame, by: list[str], lower_is_better: bool = True) -> DataFrame:
-    """(by, start, end, score, hits): ranges that overlap or follow one another become one, with the best of their scores."""
+def merge_ranges(ranges: DataFrame, by: list[str], lower_is_better: bool = True, compat: str | None = None) -> DataFrame:
+    """(by, start, end, score, hits): ranges that overlap or follow one another become one, with the best of their scores.
+
+    compat='min': the smallest score, whichever way is better, as the original does even after reranking.
+    """
+    lower_is_better = lower_is_better or compat == "min"
     order = W.partitionBy(*by).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     fresh = ranges.withColumn("fresh", F.when(reach.isNull() | (F.col("start") > reach + 1), 1).otherwise(0))
@@ -39,3 +43,41 @@ def expand(ranges: DataFrame, chunks: DataFrame, by: list[str], keep: list[str]
 def sizes(expanded: DataFrame, by: list[str]) -> DataFrame:
     """(by, contexts, context_chars, mean_chars): the whole mean, as whole numbers."""
     return expanded.groupBy(*by).agg(F.count("*").alias("contexts"), F.sum(F.length("text")).alias("context_chars"), F.floor(F.sum(F.length("text")) / F.count("*")).alias("mean_chars"))
+
+
+def grouped(hits: DataFrame, source: str = "source") -> DataFrame:
+    """hits (query_id, rank, source, ...) with source_place from 1 and place_in_source from 1: sources in the order in which they are first seen."""
+    first = F.min("rank").over(W.partitionBy("query_id", source))
+    out = hits.withColumn("_first", first).withColumn("source_place", F.dense_rank().over(W.partitionBy("query_id").orderBy("_first", source)))
+    return out.withColumn("place_in_source", F.row_number().over(W.partitionBy("query_id", source).orderBy("rank"))).drop("_first")
+
+
+def expand_hits(hits: DataFrame, chunks: DataFrame, window: int = 2, lower_is_better: bool = True, compat: bool = False) -> DataFrame:
+    """(query_id, place from 1, source, chunk_index, expanded_range, expansion_window, chunk_count, score, rank, text): what the hits become.
+
+    hits: query_id, rank, source, chunk_index, total_chunks, score, text; chunks: source, chunk_index, text. Hits of a
+    source whose ranges touch become one text; its chunk_index is that of the first chunk found, its rank that of the hit
+    that begins the range, its expanded_range 'start-end' and its expansion_window the number of chunks sought. A range of
+    which no chunk is found keeps the text and index of that hit. A hit without a place (no chunk_index or total_chunks),
+    and every hit if window is 0, stays as it is, without range and counts.
+
+    The best score comes first, ties by rank. compat: by source in the order first seen, hits without a place before the
+    ranges of their source, and the smallest score of a range.
+    """
+    own = ["query_id", "source", "rank", "chunk_index", "score", "text"]
+    no_place = F.col("chunk_index").isNull() | F.col("total_chunks").isNull() | F.lit(window == 0)
+    order = grouped(hits).groupBy("query_id", "source").agg(F.min("source_place").alias("source_place"))
+    alone = hits.filter(no_place).select(*own, F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("int").alias("chunk_count"))
+    near = neighbours(hits.filter(~no_place), window)
+    by = ["query_id", "source"]
+    ranges = merge_ranges(near, by, lower_is_better, "min" if compat else None).drop("hits")
+    begins = near.groupBy(*by, "start").agg(F.min(F.struct("rank", "chunk_index", "text")).alias("hit"))
+    found = expand(ranges, chunks, ["source"], ["query_id"]).join(begins, [*by, "start"])
+    some = F.col("chunk_count") > 0
+    wide = found.select(*by, F.col("hit.rank").alias("rank"), F.when(some, F.col("first_chunk")).otherwise(F.col("hit.chunk_index")).alias("chunk_index"), "score", F.when(some, F.col("text")).otherwise(F.col("hit.text")).alias("text"), "start", "end", "chunk_count")
+    all_ = alone.unionByName(wide.select(alone.columns)).join(order, by)
+    better = F.col("score") if lower_is_better else -F.col("score")
+    keys = ["source_place", F.col("start").isNotNull(), F.coalesce("start", "rank")] if compat else [better, "rank", F.col("start").isNotNull()]
+    all_ = all_.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(*keys)))
+    ranged = F.when(F.col("start").isNotNull(), F.concat_ws("-", "start", "end"))
+    return all_.select("query_id", "place", "source", "chunk_index", ranged.alias("expanded_range"), (F.col("end") - F.col("start") + 1).alias("expansion_window"), "chunk_count", "score", "rank", "text")

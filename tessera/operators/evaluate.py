@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.sources.saved import placed
+
 
 def first_match(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, found_rank, success): the smallest rank with is_match, for every query, null where there is none."""
@@ -56,17 +58,10 @@ def rolling_success(results: DataFrame, order: str = "query_id") -> DataFrame:
     """
     rows = results.count()
     w = min(50, rows // 5) if rows > 20 else 5
-    parts = max(1, min(rows // 1000, 200))
-    dealt = results.select(F.col(order).alias("o"), F.col("success").cast("int").alias("s")).repartitionByRange(parts, "o").sortWithinPartitions("o").cache()
-    dealt = dealt.withColumn("id", F.monotonically_increasing_id())
-    sizes = dict(dealt.groupBy(F.shiftright("id", 33).alias("p")).count().collect())
-    place, before = F.lit(0).cast("long"), 0
-    for p in sorted(sizes):
-        place = F.when(F.shiftright("id", 33) == p, F.lit(before)).otherwise(place)
-        before += sizes[p]
-    placed = dealt.withColumn("place", place + F.col("id").bitwiseAND((1 << 33) - 1) + 1)
+    dealt = placed(results.select(F.col(order).alias("o"), F.col("success").cast("int").alias("s")), ["o"], rows=rows)
+    placed_ = dealt.withColumn("place", F.col("place") + 1)
     block = max(w, 1000)
-    own = placed.withColumn("block", F.floor((F.col("place") - 1) / block)).withColumn("own", F.lit(True))
+    own = placed_.withColumn("block", F.floor((F.col("place") - 1) / block)).withColumn("own", F.lit(True))
     lead = own.filter((F.col("place") - 1) % block >= block - w + 1).withColumn("block", F.col("block") + 1).withColumn("own", F.lit(False))
     over = W.partitionBy("block").orderBy("place").rowsBetween(-(w - 1), 0)
     rolled = own.unionByName(lead).withColumn("rolling", F.when(F.col("place") >= w, F.avg("s").over(over)))
@@ -121,9 +116,49 @@ def outcomes(results: DataFrame) -> DataFrame:
     return results.groupBy("success").agg(F.count("*").alias("n"))
 
 
-def report(results: DataFrame, k: int) -> str:
-    """A short report in Markdown from the aggregates, which are a few rows."""
-    m = metrics(results, k).first()
-    lines = ["# Retrieval quality", "", f"- questions: {m.total_questions}", f"- found: {m.successful}", f"- MRR: {m.mrr:.4f}", f"- hit@1: {m.hit_at_1:.1%}", f"- hit@{k}: {m.hit_at_k:.1%}", f"- mean rank: {m.avg_position:.2f}", "", "| rank | questions | share |", "|-|-|-|"]
-    lines += [f"| {r.found_rank} | {r.n} | {r.share:.1%} |" for r in rank_distribution(results).orderBy("found_rank").collect()]
+def ordered(results: DataFrame) -> list:
+    """The order of a report: found ones first, by rank, then the others; ties by query. For orderBy()."""
+    return [F.col("success").cast("int").desc(), F.col("found_rank").asc_nulls_last(), "query_id"]
+
+
+def detailed(results: DataFrame, each: int = 10) -> DataFrame:
+    """results (query_id, found_rank, success, retrieved; impossible, if there is such a column) with section and place, the first `each` of a section.
+
+    Sections: 'found', 'not found' and, of questions without an answer, 'impossible'. chunk: of a found one the first that
+    matches, else the best; others: up to three more of one not found, three of an impossible one.
+    """
+    impossible = F.coalesce(F.col("impossible"), F.lit(False)) if "impossible" in results.columns else F.lit(False)
+    out = results.withColumn("section", F.when(impossible, "impossible").when(F.col("success"), "found").otherwise("not found"))
+    matches = F.filter("retrieved", lambda x: x["is_match"])
+    out = out.withColumn("chunk", F.when(F.col("section") == "found", F.get(matches, 0)).when(F.col("section") == "not found", F.get("retrieved", 0)))
+    rest = F.when(F.col("section") == "impossible", F.slice("retrieved", 1, 3)).when(F.col("section") == "not found", F.slice("retrieved", 2, 3))
+    order = W.partitionBy("section").orderBy(F.col("found_rank").asc_nulls_last(), "query_id")
+    return out.withColumn("others", rest).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each)
+
+
+def report(results: DataFrame, k: int, settings: dict[str, str] | None = None, detail: bool = False, each: int = 10) -> str:
+    """A report in Markdown. It is made of aggregates, which are a few rows, and with detail of `each` results of a section."""
+    could = failed(results.withColumn("success", F.lit(False)))  # all that could be answered
+    m = metrics(could, k).first()
+    lines = ["# Retrieval quality", "", *(f"- {name}: {value}" for name, value in (settings or {}).items())]
+    lines += [f"- questions: {m.total_questions}", f"- found: {m.successful}", f"- MRR: {m.mrr:.4f}", f"- hit@1: {m.hit_at_1:.1%}", f"- hit@{k}: {m.hit_at_k:.1%}", f"- mean rank: {m.avg_position:.2f}"]
+    lines += ["", "| k | accuracy | MRR |", "|-|-|-|", *(f"| {r.k} | {r.accuracy:.2%} | {r.mrr_at_k:.4f} |" for r in by_k(could, min(10, k)).orderBy("k").collect())]
+    lines += ["", "| rank | questions | share |", "|-|-|-|", *(f"| {r.found_rank} | {r.n} | {r.share:.1%} |" for r in rank_distribution(could).orderBy("found_rank").collect())]
+    if "impossible" in results.columns:
+        r = false_positives(results).first()
+        if r.n:
+            lines += ["", f"- questions without an answer: {r.n}, answered all the same: {r.false_positive_rate:.1%}"]
+    if "sources" in results.columns:
+        r = many_sources(results).first()
+        lines += [f"- questions with several sources: {r.multi_source}"] if r.multi_source else []
+    if detail:
+        sizes = dict(detailed(results, 2**31 - 1).groupBy("section").count().collect())
+        rows = detailed(results, each).orderBy("section", "place").collect()
+        say = lambda c: ", ".join(f"{name}: {value}" for name, value in c.asDict().items())
+        for section in ("found", "not found", "impossible"):
+            own = [r for r in rows if r.section == section]
+            lines += ["", f"## {section.capitalize()} ({len(own)} of {sizes[section]})"] if own else []
+            for r in own:
+                lines += ["", f"### {r.place}: query {r.query_id}" + (f", rank {r.found_rank}" if r.found_rank else "")]
+                lines += [f"- {say(c)}" for c in ([r.chunk] if r.chunk else []) + (r.others or [])]
     return "\n".join(lines) + "\n"

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,6 +25,22 @@ def score_sentence(sentence: str, position: int, count: int) -> int:
     return sum(tests)
 
 
+def packs(sentences: list[str], said: str) -> Iterator[str]:
+    """Sentences that aren't said yet, in order, joined to just under PACK letters; packs of over SHORT are given, and are said then."""
+    held: list[str] = []
+    for s in [*sentences, None]:
+        if s is not None and s in said:
+            continue
+        joined = " ".join(held)
+        if s is not None and len(joined) + len(s) < PACK:
+            held.append(s)
+            continue
+        if len(joined) > SHORT:
+            said += " " + joined
+            yield joined
+        held = [s or ""]
+
+
 def passages(text: str) -> list[str]:
     """Up to three passages of a chunk.
 
@@ -49,18 +65,7 @@ def passages(text: str) -> list[str]:
         if SHORT <= len(joined) <= LONG:
             out.append(joined)
     if len(out) < PASSAGES:
-        pack = ""
-        for s in sentences:
-            if s in " ".join(out):
-                continue
-            if len(pack) + len(s) < PACK:
-                pack = f"{pack} {s}" if pack else s
-                continue
-            if len(pack) > SHORT:
-                out.append(pack)
-            pack = s
-        if len(pack) > SHORT:
-            out.append(pack)
+        out += packs(sentences, " ".join(out))
     if not out:
         first = " ".join(sentences[:PASSAGES])
         out = [first] if first else []
@@ -86,6 +91,21 @@ def with_questions(found: DataFrame) -> DataFrame:
     return out.withColumn("reject_reason", T.reject_reason(F.col("question"), T.clean(F.col("passage"))))
 
 
+def rounds(found: DataFrame, by: str, ask: Callable[[Column, Column], Column], wanted: int = 3, most: int = 10) -> DataFrame:
+    """(by, attempt from 0, passage, question): the first `wanted` questions of each group that pass all filters.
+
+    found: by, passage_index, passage. A group's passages take turns; there are twice as many attempts as passages, `most`
+    at most. ask(passage, attempt) is the question of an attempt, or null.
+    """
+    size = found.groupBy(by).agg(F.count("*").alias("_n"), F.array_sort(F.collect_list(F.struct("passage_index", "passage"))).alias("_all"))
+    turns = size.withColumn("attempt", F.explode(F.sequence(F.lit(0).cast("long"), F.least(2 * F.col("_n"), F.lit(most)) - 1)))
+    turns = turns.withColumn("passage", F.get("_all", F.pmod("attempt", "_n").cast("int"))["passage"])
+    turns = turns.withColumn("question", T.question_text(ask(F.col("passage"), F.col("attempt"))))
+    kept = turns.filter(T.reject_reason(F.col("question"), T.clean(F.col("passage"))) == "kept")
+    kept = kept.withColumn("_d", F.row_number().over(W.partitionBy(by).orderBy("attempt"))).filter(F.col("_d") <= wanted)
+    return kept.select(by, "attempt", "passage", "question")
+
+
 def quota(questions: DataFrame, by: str, order: list[str], per_group: int, total: int | None = None) -> DataFrame:
     """The first per_group kept questions of each group, and of those the first `total`, if given."""
     kept = questions.filter("reject_reason = 'kept'").withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(*order))).filter(F.col("place") <= per_group)

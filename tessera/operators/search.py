@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,12 +16,16 @@ from tessera.functions.vectors import LOWER_IS_BETTER, better_first
 from tessera.sources.code import shipped
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, kind: str = "l2sq", block_rows: int = 50_000, query_rows: int = 20_000, collection: str | None = None, exclude_self: bool = True) -> DataFrame:
+#: What the vectors of one block may take.
+BLOCK_BYTES = 64 << 20
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, kind: str = "l2sq", block_rows: int | None = None, query_rows: int | None = None, collection: str | None = None, exclude_self: bool = True) -> DataFrame:
     """(query_id, rank from 1, id, score): the k nearest rows of vectors (id, vector) for each of queries (query_id, vector).
 
     Both sides are dealt into blocks, and each pair of blocks is one task's matrix product, which keeps k rows a query; a
     window over what the blocks kept gives the result. No side is broadcast and no pair of rows is ever a row. Scores are
-    summed in order in double precision. Ties go to the smaller id. With `collection`, a column of vectors, the k nearest
+    summed in order in double precision. Blocks hold block_rows and query_rows rows; if not given, 64 MB of the longest vectors. Ties go to the smaller id. With `collection`, a column of vectors, the k nearest
     of each collection are found, and the column is in the result. Null ids and vectors, and vectors of another length
     than the query's, take no part.
     """
@@ -28,7 +36,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, kind: str = "l2sq", bl
     part = F.col(collection).cast("string") if collection else F.lit("")
     base = vectors.filter("id is not null and vector is not null").select(F.col("id").cast("long").alias("id"), part.alias("part"), F.col("vector").cast("array<double>").alias("vector"))
     asks = queries.filter("query_id is not null and vector is not null").select(F.col("query_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    n, m = base.count(), asks.count()
+    n, m, longest = base.count(), asks.count(), 0
+    if block_rows is None or query_rows is None:
+        longest = base.agg(F.max(F.size("vector"))).first()[0] or 1
+        block_rows, query_rows = (x or max(1, min(most, BLOCK_BYTES // (8 * longest))) for x, most in ((block_rows, 50_000), (query_rows, 20_000)))
     width, height = max(1, -(-n // block_rows)), max(1, -(-m // query_rows))
     columns, lines = (F.sequence(F.lit(0), F.lit(x - 1)) for x in (width, height))
     left = base.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(width)).cast("int")).withColumn("line", F.explode(lines)).withColumn("asks", F.lit(False))
@@ -112,10 +123,30 @@ def sweep(hits: DataFrame, ks: list[int]) -> DataFrame:
     return hits.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).filter(F.col("rank") <= F.col("k"))
 
 
-def parse_sweep(text: str) -> list[tuple[int, int | None]]:
-    """'5=3,10' and the like: pairs of k and the number kept after reranking."""
+def parse_sweep(text: str) -> list[tuple[str, int, int]]:
+    """'k=5:kk=3, k=10' and the like: (name, k, number kept after reranking, which is k where none is given)."""
     out = []
     for part in filter(None, (x.strip() for x in text.split(","))):
-        k, _, kk = part.partition("=")
-        out.append((int(k), int(kk) if kk else None))
+        found = re.fullmatch(r"k\s*=\s*(-?\d+)\s*(?::\s*kk\s*=\s*(-?\d+)\s*)?", part)
+        if not found:
+            raise ValueError(f"not 'k=N' or 'k=N:kk=M': {part!r}")
+        k, kk = int(found[1]), int(found[2] or found[1])
+        out.append((f"k={k}, kk={kk}" if found[2] else f"k={k}", k, kk))
     return out
+
+
+def search_collections(names: list[str], one: Callable[[str], DataFrame], on_missing: Callable[[str, Exception], None] | None = None) -> DataFrame:
+    """The hits of several collections, each with its name in collection_name; one(name) gives those of one.
+
+    A collection that can't be searched (it raises) is told to on_missing and left out; if none is left, that is a LookupError.
+    """
+    found = []
+    for name in names:
+        try:
+            found.append(one(name).withColumn("collection_name", F.lit(name)))
+        except Exception as e:  # noqa: BLE001 - a store may raise anything; it's told, and the others are searched
+            if on_missing:
+                on_missing(name, e)
+    if not found:
+        raise LookupError(f"none of the collections could be searched: {names}")
+    return reduce(DataFrame.unionByName, found)

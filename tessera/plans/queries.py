@@ -5,6 +5,7 @@ Searches ask every row whose id is divisible by 50 against all rows. Every other
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import misc as X
 from tessera.functions import text as T
-from tessera.functions.vectors import cosine, similarity
+from tessera.functions.vectors import similarity
 from tessera.operators import context as C
 from tessera.operators import evaluate as E
 from tessera.operators import ingest as I
@@ -22,7 +23,10 @@ from tessera.operators import questions as Q
 from tessera.operators import search as S
 from tessera.plans import answer as A
 from tessera.sources import models as M
+from tessera.sources import readers as R
 from tessera.sources import sinks as K
+from tessera.sources.saved import folder, remove, saved
+from tessera.sources.store import open_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,20 +105,20 @@ def knn_cosine_batch(spark, sf):
     return _hits(spark, sf, kind="cosine_distance")
 
 
-_L2_HALF = _L2.replace("a.embedding", "a.embedding[1:32]").replace("b.embedding", "b.embedding[1:32]")
+_L1 = f"list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: abs({_PAIR.format('-')})))"
 
 
-@query("WITH " + _search_sql(_L2_HALF, 100, extra=f", {_COS} AS cos") + """,
-n AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, rank) - 1 AS INTEGER) AS new_rank FROM h)
-SELECT query_id, id, score, cos AS rerank_score, rank - 1 AS original_rank, new_rank,
+@query("WITH " + _search_sql(_L2, 100, extra=f", -{_L1} AS second") + """,
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY second DESC, rank) - 1 AS INTEGER) AS new_rank FROM h)
+SELECT query_id, id, score, second AS rerank_score, rank - 1 AS original_rank, new_rank,
        CASE WHEN new_rank < rank - 1 THEN 'up' WHEN new_rank > rank - 1 THEN 'down' ELSE 'same' END AS direction FROM n WHERE new_rank < 10""")
 def knn_overfetch_rerank(spark, sf):
-    """A hundred by half the dimensions, reranked by the cosine of all, ten kept."""
+    """A hundred by squared distance, reranked by another measure (less the sum of distances), ten kept."""
     v, q = _vectors(spark, sf)
-    half = lambda df: df.withColumn("vector", F.slice("vector", 1, 32))
-    hits = S.top_k(half(v), half(q), 100)
-    both = hits.join(v.select("id", F.col("vector").alias("v")), "id").join(q.select("query_id", F.col("vector").alias("q")), "query_id")
-    return S.rerank(both, cosine(F.col("q"), F.col("v")), 10).select("query_id", "id", "score", "rerank_score", "original_rank", "new_rank", "direction")
+    both = S.top_k(v, q, 100).join(v.select("id", F.col("vector").alias("v")), "id").join(q.select("query_id", F.col("vector").alias("q")), "query_id")
+    gaps = F.zip_with("q", "v", lambda x, y: F.abs(x.cast("double") - y.cast("double")))
+    second = -F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x)
+    return S.rerank(both, second, 10).select("query_id", "id", "score", "rerank_score", "original_rank", "new_rank", "direction")
 
 
 _MULTI = "WITH " + _search_sql(_L2, 3, ", b.label").replace("PARTITION BY query_id, b.label", "PARTITION BY query_id, label")
@@ -695,3 +699,194 @@ def single_chunk_lookup(spark, sf):
 def false_positive_rate(spark, sf):
     """Labels as outcomes: toxic rows stand for questions without an answer, quality for having found one."""
     return E.false_positives(read(spark, sf, "labels").select((F.col("quality") == 1).alias("success"), (F.col("toxic") == 1).alias("impossible")))
+
+
+# ---- grouping and expansion of hits: a shelf of ten documents is what a question is asked of, its hits hold 'licen'
+
+_SHELF = _CHUNKS + """, ht AS (SELECT doc_id // 10 AS query_id, doc_id AS source, CASE WHEN doc_id % 7 > 0 THEN chunk_index END AS chunk_index, total_chunks, CAST(strpos(lower(text), 'licen') AS DOUBLE) AS score, text, chunk_index AS pos FROM ch WHERE contains(lower(text), 'licen')),
+hi AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, source, pos) AS rank FROM ht),
+gr AS (SELECT *, min(rank) OVER (PARTITION BY query_id, source) AS seen FROM hi),
+go AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY seen) AS source_place, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS place_in_source FROM gr)"""
+
+
+def _shelf_hits(spark, sf):
+    """Hits with a rank; those of every seventh document have lost their place in it."""
+    at = F.instr(F.lower("text"), F.lit("licen"))
+    hits = _chunks(spark, sf).filter(at > 0).select(F.floor(F.col("doc_id") / 10).alias("query_id"), F.col("doc_id").alias("source"), F.when(F.col("doc_id") % 7 > 0, F.col("chunk_index")).alias("chunk_index"), "total_chunks", at.cast("double").alias("score"), "text", F.col("chunk_index").alias("at"))
+    return hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "source", "at"))).drop("at")
+
+
+@query(f"WITH {_SHELF} SELECT query_id, rank, source, CAST(source_place AS INTEGER) AS source_place, CAST(place_in_source AS INTEGER) AS place_in_source FROM go")
+def hits_by_source(spark, sf):
+    return C.grouped(_shelf_hits(spark, sf)).select("query_id", "rank", "source", "source_place", "place_in_source")
+
+
+def _expanded_sql(order: str) -> str:
+    return f"""WITH {_SHELF}, r0 AS (SELECT *, greatest(0, chunk_index - 1) AS "start", least(total_chunks - 1, chunk_index + 1) AS "end" FROM go WHERE chunk_index IS NOT NULL),
+f AS (SELECT *, coalesce(max("end") OVER (PARTITION BY query_id, source ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 < "start", true) AS fresh FROM r0),
+i AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, source ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM f),
+me AS (SELECT query_id, source, min(source_place) AS source_place, min("start") AS "start", max("end") AS "end", min(score) AS score, island FROM i GROUP BY query_id, source, island),
+mr AS (SELECT me.*, (SELECT min(i.rank) FROM i WHERE i.query_id = me.query_id AND i.source = me.source AND i."start" = me."start") AS rank FROM me),
+ex AS (SELECT mr.query_id, mr.source, source_place, "start", "end", score, rank, string_agg(ch.text, chr(10) || chr(10) ORDER BY ch.chunk_index) AS text, count(*) AS chunk_count, min(ch.chunk_index) AS chunk_index
+       FROM mr JOIN ch ON ch.doc_id = mr.source AND ch.chunk_index BETWEEN "start" AND "end" GROUP BY ALL),
+al AS (SELECT query_id, source, source_place, CAST(NULL AS BIGINT) AS "start", NULL AS "end", score, rank, text, NULL AS chunk_count, NULL AS chunk_index FROM go WHERE chunk_index IS NULL UNION ALL SELECT * FROM ex)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS INTEGER) AS place, source, CAST(chunk_index AS INTEGER) AS chunk_index, "start" || '-' || "end" AS expanded_range,
+       CAST("end" - "start" + 1 AS INTEGER) AS expansion_window, CAST(chunk_count AS INTEGER) AS chunk_count, score, sha256(text) AS text_id FROM al"""
+
+
+def _expanded(spark, sf, **options):
+    chunks = _chunks(spark, sf).select(F.col("doc_id").alias("source"), "chunk_index", "text")
+    out = C.expand_hits(_shelf_hits(spark, sf), chunks, 1, **options)
+    return out.select("query_id", "place", "source", "chunk_index", "expanded_range", "expansion_window", "chunk_count", "score", I.content_id("text").alias("text_id"))
+
+
+@query(_expanded_sql('score, rank, "start" IS NOT NULL'))
+def expanded_hits(spark, sf):
+    return _expanded(spark, sf)
+
+
+@query(_expanded_sql('source_place, "start" IS NOT NULL, coalesce("start", rank)'))
+def expanded_hits_compat(spark, sf):
+    """By source in the order first seen, as the original gives them."""
+    return _expanded(spark, sf, compat=True)
+
+
+@query(f"""WITH {_CHUNKS}, id AS (SELECT *, sha256(text) AS c FROM ch), sh AS (SELECT c FROM id GROUP BY c HAVING count(DISTINCT doc_id) > 1),
+ra AS (SELECT doc_id, greatest(0, chunk_index - 1) AS "start", least(total_chunks - 1, chunk_index + 1) AS "end" FROM id WHERE c IN (SELECT c FROM sh)),
+f AS (SELECT *, coalesce(max("end") OVER (PARTITION BY doc_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 < "start", true) AS fresh FROM ra),
+i AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM f),
+me AS (SELECT doc_id, min("start") AS "start", max("end") AS "end" FROM i GROUP BY doc_id, island)
+SELECT me.doc_id, CAST("start" AS INTEGER) AS "start", CAST("end" AS INTEGER) AS "end", sha256(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index)) AS text_id, CAST(count(*) AS INTEGER) AS chunk_count
+FROM me JOIN ch ON ch.doc_id = me.doc_id AND chunk_index BETWEEN "start" AND "end" GROUP BY me.doc_id, "start", "end" """)
+def shared_chunk_expansion(spark, sf):
+    """Chunks that several documents hold are stored once, and expanded in each of the documents by their occurrences."""
+    places = _chunks(spark, sf).withColumn("chunk_id", I.content_id("text"))
+    shared = places.select("chunk_id", "doc_id").distinct().groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1")
+    hits = places.join(shared.select("chunk_id"), "chunk_id", "left_semi").select("doc_id", "chunk_index", "total_chunks", F.lit(0.0).alias("score"))
+    ranges = C.merge_ranges(C.neighbours(hits, 1), ["doc_id"])
+    out = C.expand(ranges, places.select("doc_id", "chunk_index", "text"), ["doc_id"])
+    return out.select("doc_id", "start", "end", I.content_id("text").alias("text_id"), "chunk_count")
+
+
+# ---- reports, comparisons
+
+_POSSIBLE = _R + ", e AS (SELECT query_id, found_rank, query_id % 200 = 0 AS impossible FROM r)"
+
+
+def _with_impossible(spark, sf):
+    """Every fourth query (by id) stands for a question without an answer."""
+    return _judged(spark, sf)[1].withColumn("impossible", F.col("query_id") % 200 == 0)
+
+
+@query(_POSSIBLE + """SELECT count(*) AS total_questions, count(found_rank) AS successful, round(avg(coalesce(1.0::DOUBLE / found_rank, 0)), 12) AS mrr, avg(CASE WHEN found_rank IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) AS success_rate FROM e WHERE NOT impossible""")
+def eval_possible_metrics(spark, sf):
+    return E.possible_metrics(_with_impossible(spark, sf), K10).select("total_questions", "successful", F.round("mrr", 12).alias("mrr"), "success_rate")
+
+
+@query(_POSSIBLE + "SELECT query_id FROM e WHERE found_rank IS NULL AND NOT impossible")
+def eval_failed(spark, sf):
+    return E.failed(_with_impossible(spark, sf)).select("query_id")
+
+
+@query("SELECT count(*) FILTER (WHERE n > 1) AS multi_source, count(*) AS n FROM (SELECT lang, count(DISTINCT source) AS n FROM documents GROUP BY lang)")
+def eval_many_sources(spark, sf):
+    """A language as a question, its sources as those expected."""
+    return E.many_sources(read(spark, sf, "documents").select("lang", "source").distinct().groupBy("lang").agg(F.collect_list("source").alias("sources")))
+
+
+@query(_POSSIBLE + """, c AS (SELECT e.*, CASE WHEN impossible THEN 'impossible' WHEN found_rank IS NOT NULL THEN 'found' ELSE 'not found' END AS section FROM e),
+d AS (SELECT *, CAST(row_number() OVER (PARTITION BY section ORDER BY found_rank NULLS LAST, query_id) AS INTEGER) AS place FROM c)
+SELECT section, place, query_id, CAST(found_rank AS DOUBLE) AS found_rank, CASE section WHEN 'found' THEN (SELECT m.id FROM m WHERE m.query_id = d.query_id AND m.is_match ORDER BY m.rank LIMIT 1) WHEN 'not found' THEN (SELECT m.id FROM m WHERE m.query_id = d.query_id AND m.rank = 1) END AS chunk_id,
+       CASE section WHEN 'impossible' THEN (SELECT string_agg(m.id::VARCHAR, ',' ORDER BY m.rank) FROM m WHERE m.query_id = d.query_id AND m.rank <= 3) WHEN 'not found' THEN (SELECT string_agg(m.id::VARCHAR, ',' ORDER BY m.rank) FROM m WHERE m.query_id = d.query_id AND m.rank BETWEEN 2 AND 4) ELSE '' END AS others
+FROM d WHERE place <= 10""")
+def eval_report_rows(spark, sf):
+    """What the detailed report shows: ten of each section, found ones by rank."""
+    lists = _nested(spark, sf).withColumn("impossible", F.col("query_id") % 200 == 0)
+    out = E.detailed(lists).select("section", "place", "query_id", F.col("found_rank").cast("double").alias("found_rank"), F.col("chunk.id").alias("chunk_id"), F.array_join(F.transform("others", lambda x: x["id"].cast("string")), ",").alias("others"))
+    return out.withColumn("others", F.coalesce("others", F.lit("")))
+
+
+_REFS = "from_json(get_json_object({0}, '$.references'), 'array<struct<rank:int,id:long,chunk:int,similarity:double,text:string>>')"
+
+
+@query(_H + "SELECT query_id, 'near ' || query_id AS query, rank, id, 1 AS chunk, 1.0::DOUBLE / (1.0::DOUBLE + score) AS similarity, CAST(count(*) OVER (PARTITION BY query_id) AS INTEGER) AS total FROM h")
+def answer_json_fields(spark, sf):
+    """The answers' JSON, read back: places count from 1, and similarities grow with nearness."""
+    out = answer_json(spark, sf).select("query_id", F.get_json_object("json", "$.query").alias("query"), F.expr(_REFS.format("json")).alias("refs"), F.get_json_object("json", "$.metadata.total_references").cast("int").alias("total"))
+    return out.select("query_id", "query", F.explode("refs").alias("x"), "total").select("query_id", "query", "x.rank", "x.id", "x.chunk", "x.similarity", "total")
+
+
+@query(SQL["keyword_rerank"].split("SELECT conv_id, turn, id, CAST")[0] + """, w AS (SELECT conv_id, turn, 'without reranking' AS config, id, 0 AS x FROM n WHERE original_rank = 0 UNION ALL SELECT conv_id, turn, 'with reranking', id, 0 FROM n WHERE new_rank = 0)
+SELECT w.config, w.conv_id, w.turn, w.id, sha256(c.text) AS answer_id FROM w JOIN conversations c ON c.conv_id = w.conv_id AND c.turn = w.id""")
+def compare_reranking(spark, sf):
+    """The answer of two configurations to each question: the first hit, and the first after reranking by the question's words."""
+    ranked = keyword_rerank(spark, sf)
+    both = ranked.filter("original_rank = 0").withColumn("config", F.lit("without reranking")).unionByName(ranked.filter("new_rank = 0").withColumn("config", F.lit("with reranking")))
+    turns = read(spark, sf, "conversations").select("conv_id", F.col("turn").alias("id"), I.content_id("text").alias("answer_id"))
+    return both.select("config", "conv_id", "turn", "id").join(turns, ["conv_id", "id"]).select("config", "conv_id", "turn", "id", "answer_id")
+
+
+# ---- stores, caches, small expressions
+
+@query(f"""WITH {_CHUNKS}, o AS (SELECT CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS collection, ch.* FROM ch JOIN labels l USING (doc_id))
+SELECT collection, count(DISTINCT sha256(text)) AS chunks, count(DISTINCT doc_id) AS sources, 'none' AS embedding_model, count(*) AS places FROM o GROUP BY collection""")
+def store_collections(spark, sf):
+    """Chunks of the labelled documents, written to a store of two collections and read back: its catalogue, and all places."""
+    at = f"{folder(spark)}/store-{uuid.uuid4().hex}"
+    store = open_store("parquet", spark, at)
+    chunks = _chunks(spark, sf).join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    rows = chunks.select(I.content_id("text").alias("doc_id"), F.col("doc_id").cast("string").alias("source"), "chunk_index", "total_chunks", "text", "quality")
+    for name, quality in (("good", 1), ("poor", 0)):
+        store.add(rows.filter(F.col("quality") == quality).drop("quality"), name, "none")
+    places = store.occurrences().groupBy("collection").agg(F.count("*").alias("places"))
+    out = saved(store.describe().select("collection", "chunks", "sources", "embedding_model").join(places, "collection"))
+    remove(spark, at)
+    return out
+
+
+@query("""SELECT 'doc-' || d.doc_id AS path, sha256(CASE WHEN l.doc_id IS NOT NULL AND strlen(text) = n_chars THEN 'kept ' || d.doc_id ELSE text END) AS text_id, NOT (l.doc_id IS NOT NULL AND strlen(text) = n_chars) AS fresh FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def transcript_cache(spark, sf):
+    """Labelled documents have transcripts, taken when their size was n_chars; the others, and those whose size differs, are read anew."""
+    docs = read(spark, sf, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("path"), F.col("doc_id").cast("double").alias("mtime"), F.octet_length("text").cast("long").alias("size"), "doc_id", "n_chars", "text")
+    known = docs.join(read(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select("path", "mtime", F.col("n_chars").alias("size"), F.concat(F.lit("kept "), "doc_id").alias("text"))
+    all_, fresh = R.through_cache(docs.select("path", "mtime", "size"), known, lambda files: files.select("path").join(docs.select("path", "text"), "path"))
+    new = fresh.select("path", F.lit(True).alias("new"))
+    return all_.join(new, "path", "left").select("path", I.content_id("text").alias("text_id"), F.coalesce("new", F.lit(False)).alias("fresh"))
+
+
+@query("""SELECT doc_id, CASE WHEN quality = 1 THEN 'author,title' ELSE 'author' END AS kept, round(1 / (1 + exp(toxic - quality)), 12) AS yes, format('{:.1f}%', (doc_id % 1000) / 10.0) AS share FROM labels""")
+def small_expressions(spark, sf):
+    """Metadata by its allow-list, two logits as a probability, and a share in percent."""
+    title = F.when(F.col("quality") == 1, F.lit("t"))
+    entries = F.create_map(F.lit("title"), title, F.lit("author"), F.lit("a"), F.lit("secret"), F.lit("s"))
+    return read(spark, sf, "labels").select("doc_id", F.array_join(F.array_sort(F.map_keys(X.kept_metadata(entries))), ",").alias("kept"), F.round(X.yes_probability(F.col("quality").cast("double"), F.col("toxic").cast("double")), 12).alias("yes"), X.percent((F.col("doc_id") % 1000) / 1000.0).alias("share"))
+
+
+@query("SELECT conv_id, count(*) AS asked FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY conv_id")
+def blank_questions_skipped(spark, sf):
+    """Every user's turn, and a blank one beside each: the blank ones are no questions."""
+    turns = read(spark, sf, "conversations").filter("role = 'user'").select("conv_id", F.explode(F.array(F.col("text"), F.lit(" "), F.lit(""))).alias("question"))
+    return A.asked(turns).groupBy("conv_id").agg(F.count("*").alias("asked"))
+
+
+@query(f"""WITH p0 AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE role = 'assistant'), p AS (SELECT conv_id, i - 1 AS i, text, count(*) OVER (PARTITION BY conv_id) AS n FROM p0 WHERE i <= 3),
+t AS (SELECT conv_id, n, unnest(range(0, least(2 * n, 10))) AS attempt FROM (SELECT DISTINCT conv_id, n FROM p)),
+q AS (SELECT t.conv_id, attempt, text, 'Which harbour does traveller number ' || attempt || ' reach in the ' || CASE WHEN attempt % 2 = 0 THEN 'passage' ELSE 'evening' END || '?' AS question FROM t JOIN p ON p.conv_id = t.conv_id AND p.i = t.attempt % t.n)
+SELECT conv_id, attempt, question FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY attempt) AS d FROM q WHERE attempt % 2 = 1) WHERE d <= 3""")
+def question_rounds(spark, sf):
+    """The first three answers of a conversation take turns; every other attempt names the passage, and is filtered out."""
+    own = read(spark, sf, "conversations").filter("role = 'assistant'").withColumn("passage_index", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1).filter("passage_index < 3")
+    word = lambda attempt: F.when(attempt % 2 == 0, F.lit("passage")).otherwise(F.lit("evening"))
+    ask = lambda _, attempt: F.concat(F.lit("Which harbour does traveller number "), attempt, F.lit(" reach in the "), word(attempt), F.lit("?"))
+    return Q.rounds(own.select("conv_id", "passage_index", F.col("text").alias("passage")), "conv_id", ask).select("conv_id", "attempt", "question")
+
+
+@query("SELECT doc_id, true AS bounded, true AS counted, 0 AS lost FROM documents WHERE regexp_matches(text, '[^\\s]')")
+def chunk_recursive_rules(spark, sf):
+    """What recursive chunks keep to: 1 to 1000 characters, stripped, numbered without gaps, and no word of the text lost."""
+    docs = spread(spark, sf, "documents").select("doc_id", "text")
+    own = I.chunk_recursive(docs)
+    fine = F.length("text").between(1, 1000) & (F.trim("text") != "")
+    per = own.groupBy("doc_id").agg(F.min(fine).alias("bounded"), (F.count("*") == F.max("total_chunks")) .alias("n"), (F.max("chunk_index") + 1 == F.max("total_chunks")).alias("m"), F.flatten(F.collect_list(F.array_distinct(T.tokens(F.col("text"))))).alias("words"))
+    both = docs.join(per, "doc_id").withColumn("short", F.filter(T.tokens(F.col("text")), lambda w: F.length(w) <= 1000))
+    return both.select("doc_id", "bounded", (F.col("n") & F.col("m")).alias("counted"), F.size(F.array_except("short", "words")).alias("lost"))

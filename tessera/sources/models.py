@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,31 +136,107 @@ class KeywordReranker:
         return out
 
 
-def score_pairs(df: DataFrame, model: Reranker, question_col: str = "question", text_col: str = "text", to: str = "rerank_score", on_error: float | None = None) -> DataFrame:
+class ModelReranker:
+    """A reranker over any generator of text: the number that it says about a question and a passage, as a share."""
+
+    def __init__(self, say: Callable[[str], str]):
+        self.say = say
+
+    def score(self, pairs: list[tuple[str, str]]) -> list[float]:
+        out = []
+        for q, t in pairs:
+            reply = self.say(f"Query: {q}\nPassage: {t}").strip()
+            found = re.search(r"\d+\.?\d*", reply)
+            number = float(found[0]) if found else len(reply) / 100
+            out.append(min(1.0, number / 100 if found and number > 1 else number))
+        return out
+
+
+#: Rerankers by name; a factory takes keyword arguments. Hosted and local models are entered here by whoever has them.
+RERANKERS: dict[str, Callable[..., "Reranker"]] = {"keyword": KeywordReranker, "model": ModelReranker}
+
+
+def reranker(name: str, **options) -> "Reranker":
+    if name not in RERANKERS:
+        raise ValueError(f"unknown reranker: {name}; known: {sorted(RERANKERS)}; like it: {similar_models(name, sorted(RERANKERS))}")
+    return RERANKERS[name](**options)
+
+
+#: What happens to a hit that a reranker fails on; a number is the score of that hit.
+ON_ERROR = ("raise", "keep_score", "keep_order")
+
+
+def score_pairs(df: DataFrame, model: Reranker, question_col: str = "question", text_col: str = "text", to: str = "rerank_score", on_error: float | str = "raise", score_col: str = "score", query_col: str = "query_id") -> DataFrame:
     """df with scores and an `error` column, batch by batch.
 
-    A batch that fails is scored row by row; a row that fails has on_error as its score and says why, or fails the task if
-    on_error is None.
+    A batch that fails is scored row by row; a row that fails says why, and goes by on_error: 'raise' fails the task;
+    'keep_score' takes the row's own score; 'keep_order' gives all hits of its query the score 0, so that they keep their
+    order; a number is its score.
     """
+    if isinstance(on_error, str) and on_error not in ON_ERROR:
+        raise ValueError(f"on_error must be a number or one of {ON_ERROR}")
     schema = T.StructType([*(f for f in df.schema.fields if f.name not in (to, "error")), T.StructField(to, T.DoubleType()), T.StructField("error", T.StringType())])
     names = [f.name for f in schema.fields]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             pairs = list(zip(frame[question_col].fillna(""), frame[text_col].fillna("")))
+            own = frame[score_col].tolist() if on_error == "keep_score" else [0.0 if on_error == "keep_order" else on_error] * len(pairs)
             errors: list[str | None] = [None] * len(pairs)
             try:
                 scores = [float(x) for x in model.score(pairs)]
             except Exception:
-                if on_error is None:
+                if on_error == "raise":
                     raise
                 scores = []
                 for i, p in enumerate(pairs):
                     try:
                         scores.append(float(model.score([p])[0]))
                     except Exception as e:  # noqa: BLE001 - a model may raise anything; it's reported in its row
-                        scores.append(on_error)
+                        scores.append(float(own[i]))
                         errors[i] = f"{type(e).__name__}: {e}"
             yield frame.assign(**{to: scores, "error": errors})[names]
 
-    return shipped(df).mapInPandas(run, schema)
+    out = shipped(df).mapInPandas(run, schema)
+    if on_error == "keep_order":
+        failed = F.max(F.col("error").isNotNull()).over(W.partitionBy(query_col))
+        out = out.withColumn(to, F.when(failed, F.lit(0.0)).otherwise(F.col(to)))
+    return out
+
+
+class Fallback:
+    """A generator that asks each of several in turn, until one gives an answer that isn't blank."""
+
+    def __init__(self, *generators: Generator):
+        self.generators = generators
+
+    def generate(self, question: str, context: str) -> str:
+        last: Exception | None = None
+        for g in self.generators:
+            try:
+                said = g.generate(question, context)
+            except Exception as e:  # noqa: BLE001 - a model may raise anything; the next one is asked
+                last = e
+                continue
+            if said and said.strip():
+                return said
+        if last:
+            raise RuntimeError("no generator could answer") from last
+        return ""
+
+
+def probe(model: object) -> tuple[bool, str]:
+    """Whether a model answers a small request, and what it said or raised."""
+    asks = {"embed_documents": (["probe"],), "generate": ("probe", "probe"), "score": ([("probe", "probe")],)}
+    for name, given in asks.items():
+        if hasattr(model, name):
+            try:
+                return True, f"{name}: {type(getattr(model, name)(*given)).__name__}"
+            except Exception as e:  # noqa: BLE001 - a probe tells what a model raises
+                return False, f"{name}: {type(e).__name__}: {e}"
+    return False, "neither an embedder, a generator nor a reranker"
+
+
+def embed_query(model: Embedder, text: str) -> list[float]:
+    """The vector of one text."""
+    return model.embed_documents([text])[0]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import preview
 from tessera.functions.vectors import LOWER_IS_BETTER, similarity
+from tessera.sources.readers import versions
+from tessera.sources.saved import remove
 
 
 def flat_results(results: DataFrame) -> DataFrame:
@@ -35,8 +37,22 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def error_json(failed: DataFrame) -> DataFrame:
+    """(query_id, json) of (query_id, question, error): what is said instead of an answer."""
+    return failed.select("query_id", F.to_json(F.struct("error", F.coalesce("question", F.lit("unknown")).alias("query"))).alias("json"))
+
+
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    """Overwrites through a staging folder, so that a manifest can be made from the one it replaces."""
-    spark = manifest.sparkSession
-    manifest.write.mode("overwrite").parquet(f"{path}.new")
-    spark.read.parquet(f"{path}.new").write.mode("overwrite").parquet(path)
+    """Writes the next version of a manifest beside the last one, which goes once the new one is whole.
+
+    readers.manifest() takes the last whole version, so a crash leaves the old one, and a manifest can be made from itself.
+    """
+    spark, before = manifest.sparkSession, versions(manifest.sparkSession, path)
+    manifest.write.mode("overwrite").parquet(f"{path}/v{max(before, default=0) + 1}")
+    for v in before:
+        remove(spark, f"{path}/v{v}")
+
+
+def write_transcripts(texts: DataFrame, path: str) -> None:
+    """Appends texts (path, mtime, size, text) to the transcripts that readers.through_cache() reads through."""
+    texts.select("path", "mtime", "size", "text").write.mode("append").parquet(path)

@@ -12,11 +12,12 @@ from tessera.operators.ingest import first_wins, new_only
 from tessera.operators.search import top_k
 
 CHUNKS = "collection string, doc_id string, source string, source_type string, chunk_index int, total_chunks int, text string, vector array<float>, extra map<string,string>"
+OCCURRENCES = "collection string, doc_id string, source string, chunk_index int, total_chunks int"
 METADATA = "collection string, embedding_model string, embedding_dimension int, chunk_size int, chunk_overlap int, created_at string, total_documents long"
 
 
 class ChunkStore:
-    """Chunks with vectors. Ids are hashes of the text, so a chunk is stored once a collection; metadata is a table of its own."""
+    """Chunks with vectors. Ids are hashes of the text, so a chunk is stored once a collection; where it stands, in one source or several, is a table of its own, and so is metadata."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -37,7 +38,8 @@ class ChunkStore:
 
     def collections(self) -> DataFrame:
         """(collection, chunks, sources)."""
-        return self.chunks().groupBy("collection").agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("sources"))
+        n = self.chunks().groupBy("collection").agg(F.count("*").alias("chunks"))
+        return n.join(self._read("occurrences", OCCURRENCES).groupBy("collection").agg(F.countDistinct("source").alias("sources")), "collection", "left")
 
     def add(self, chunks: DataFrame, collection: str, model: str = "", dimension: int = 0, size: int = 1000, overlap: int = 400) -> dict:
         """Appends chunks that the collection doesn't hold yet; returns counts of new, duplicate and stored ones."""
@@ -46,19 +48,35 @@ class ChunkStore:
             if f.name not in own.columns:
                 own = own.withColumn(f.name, F.lit(None).cast(f.dataType))
         own = own.select(*[f.name for f in self.spark.createDataFrame([], CHUNKS).schema.fields])
-        kinds = first_wins(own, ["doc_id"], ["source", "chunk_index"]).persist()
-        fresh = new_only(kinds, self.chunks(collection), "doc_id").persist()
-        given, unique, added = own.count(), kinds.count(), fresh.count()
-        if added:
-            fresh.write.mode("append").partitionBy("collection").parquet(f"{self.path}/chunks")
-        known = self.metadata().filter(F.col("collection") == collection).count()
-        if not known:
-            row = [(collection, model, dimension, size, overlap, datetime.now(timezone.utc).isoformat(), added)]
-            self.spark.createDataFrame(row, METADATA).write.mode("append").parquet(f"{self.path}/metadata")
-        kinds.unpersist()
-        fresh.unpersist()
+        places = own.select("collection", "doc_id", "source", "chunk_index", "total_chunks").distinct()
+        kinds = fresh = None
+        try:
+            kinds = first_wins(own, ["doc_id"], ["source", "chunk_index"]).persist()
+            fresh = new_only(kinds, self.chunks(collection), "doc_id").persist()
+            given, unique, added = own.count(), kinds.count(), fresh.count()
+            if added:
+                fresh.write.mode("append").partitionBy("collection").parquet(f"{self.path}/chunks")
+            key = ["doc_id", "source", "chunk_index"]
+            known = self._read("occurrences", OCCURRENCES).filter(F.col("collection") == collection).select(*key)
+            on = [places[c].eqNullSafe(known[c]) for c in key]
+            new = places.join(known, on, "left_anti")
+            if not new.isEmpty():
+                new.write.mode("append").partitionBy("collection").parquet(f"{self.path}/occurrences")
+            if self.metadata().filter(F.col("collection") == collection).isEmpty():
+                row = [(collection, model, dimension, size, overlap, datetime.now(timezone.utc).isoformat(), added)]
+                self.spark.createDataFrame(row, METADATA).write.mode("append").parquet(f"{self.path}/metadata")
+        finally:
+            for df in (kinds, fresh):
+                if df is not None:
+                    df.unpersist()
         return {"given": given, "duplicates": given - unique, "stored": unique - added, "added": added}
 
+    def occurrences(self, collection: str | None = None) -> DataFrame:
+        """(collection, doc_id, source, chunk_index, total_chunks, text): each place of each chunk, so that no source has gaps."""
+        at = self._read("occurrences", OCCURRENCES)
+        at = at if collection is None else at.filter(F.col("collection") == collection)
+        return at.join(self.chunks(collection).select("collection", "doc_id", "text"), ["collection", "doc_id"])
+
     def embedding_model(self, collection: str | None = None) -> str | None:
         """The model that the collection (or the first that names one) was embedded with."""
         m = self.metadata().filter("embedding_model <> ''")
@@ -67,15 +85,30 @@ class ChunkStore:
         return row[0].embedding_model if row else None
 
     def search(self, queries: DataFrame, k: int = 4, kind: str = "cosine_distance", collections: list[str] | None = None) -> DataFrame:
-        """The k nearest chunks of each query, of each collection if several are named, joined to their text."""
+        """The k nearest chunks of each query, of each collection if several are named, joined to their text.
+
+        A name without a chunk finds nothing; missing() tells which. None of several having any is a LookupError.
+        """
+        if collections and len(self.missing(collections)) == len(set(collections)):
+            raise LookupError(f"no chunks in any of the collections {sorted(set(collections))}")
         df = self.chunks() if collections is None else self.chunks().filter(F.col("collection").isin(collections))
         keyed = df.withColumn("id", F.xxhash64("collection", "doc_id"))
         hits = top_k(keyed.select("id", "vector", "collection"), queries, k, kind, collection="collection" if collections and len(collections) > 1 else None, exclude_self=False)
         return hits.drop("collection").join(keyed.drop("vector"), "id")
 
+    def missing(self, collections: list[str]) -> list[str]:
+        """Those of the collections that hold nothing."""
+        held = {r.collection for r in self.chunks().filter(F.col("collection").isin(collections)).select("collection").distinct().collect()}
+        return sorted(set(collections) - held)
+
+    def placed(self, hits: DataFrame) -> DataFrame:
+        """hits once for each place of their chunk: a chunk that several sources share is expanded in each of them."""
+        at = self._read("occurrences", OCCURRENCES)
+        return hits.drop("source", "chunk_index", "total_chunks").join(at, ["collection", "doc_id"])
+
     def chunk(self, source: str, index: int, collection: str | None = None) -> DataFrame:
         """One chunk by its place."""
-        return self.chunks(collection).filter((F.col("source") == source) & (F.col("chunk_index") == index)).limit(1)
+        return self.occurrences(collection).filter((F.col("source") == source) & (F.col("chunk_index") == index)).limit(1)
 
     def describe(self) -> DataFrame:
         """(collection, chunks, sources, embedding_model, embedding_dimension)."""
@@ -92,11 +125,27 @@ class ChunkStore:
         return out
 
 
-STORES = {"parquet": ChunkStore}
+class HostedStore:
+    """The place of a hosted vector index: what an implementation has to offer. Using this one says what is missing."""
+
+    #: Kinds that need a service, which isn't here.
+    needs = "a hosted index: enter a class with ChunkStore's methods (chunks, metadata, add, search, occurrences) in STORES['hosted']"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def __getattr__(self, name: str):
+        raise NotImplementedError(f"{name} needs {type(self).needs}")
+
+    def problems(self, dimension: int | None = None) -> list[str]:
+        return [f"not available: it needs {self.needs}"]
+
+
+STORES = {"parquet": ChunkStore, "hosted": HostedStore}
 
 
-def open_store(kind: str, spark: SparkSession, path: str) -> ChunkStore:
-    """A store by the name of its layout. A hosted store would be a class with the same methods, entered in STORES."""
+def open_store(kind: str, spark: SparkSession, path: str) -> ChunkStore | HostedStore:
+    """A store by the name of its layout."""
     if kind not in STORES:
         raise ValueError(f"unknown store: {kind}; known: {sorted(STORES)}")
     return STORES[kind](spark, path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import ingest as I
 from tessera.operators import pages as P
 from tessera.operators import questions as Q
-from tessera.plans.answer import answer
+from tessera.plans.answer import Setting, answer, compare, with_and_without, with_models, with_sizes
 from tessera.sources import models as M
 from tessera.sources import readers as R
 from tessera.sources import sinks as K
@@ -103,7 +103,8 @@ def test_sources(spark, tmp_path):
     at = str(tmp_path / "in")
     assert [r.text for r in R.texts(spark, at + "/*.txt").collect()] == ["Hello there\nyou"]
     assert sorted(r.path.split("/")[-1] for r in R.files(spark, at).collect()) == ["a.txt", "b.PDF", "c.pdf"]
-    assert {r.path.split("/")[-1]: r.valid for r in R.pdf_health(spark, at).collect()} == {"c.pdf": False}
+    assert {r.path.split("/")[-1]: r.valid for r in R.pdf_health(spark, at).collect()} == {"b.PDF": True, "c.pdf": False}
+    assert tuple(R.health_counts(R.pdf_health(spark, at, None)).first()) == (1, 1)
 
     def parse(path, content):
         if path.endswith("xyz"):
@@ -120,9 +121,79 @@ def test_sources(spark, tmp_path):
     assert m.count() == 0
     K.write_manifest(R.files(spark, at), str(tmp_path / "manifest"))
     K.write_manifest(R.manifest(spark, str(tmp_path / "manifest")), str(tmp_path / "manifest"))
+    assert sorted(p.name for p in (tmp_path / "manifest").iterdir()) == ["v2"]
+    (tmp_path / "manifest" / "v3").mkdir()  # a version that a crash left half-written
+    assert R.manifest(spark, str(tmp_path / "manifest")).count() == 3
     assert I.changed_files(R.files(spark, at), R.manifest(spark, str(tmp_path / "manifest"))).count() == 0
 
 
+def pdf(pages, info=b"", lang=b""):
+    """A small PDF file of pages with their instructions."""
+    n = len(pages)
+    out = b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R " + lang + b" >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (10 + i) for i in range(n)) + b"] /Count %d >>\nendobj\n" % n
+    for i, (content, packed) in enumerate(pages):
+        import zlib
+
+        data, how = (zlib.compress(content), b"/Filter /FlateDecode ") if packed else (content, b"")
+        out += b"%d 0 obj\n<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>\nendobj\n%d 0 obj\n<< %s/Length %d >>\nstream\n%s\nendstream\nendobj\n" % (10 + i, 50 + i, 50 + i, how, len(data), data)
+    return out + b"3 0 obj\n<< " + info + b" >>\nendobj\ntrailer\n<< /Root 1 0 R /Info 3 0 R >>\n%%EOF"
+
+
+def test_pdf_files(spark, tmp_path):
+    from tessera.sources import pdf as P2
+
+    one = (b"BT /F1 12 Tf 10 700 Td (First \\(page\\) of it) Tj 0 -14 Td [(Sec) 20 (ond) -300 (line \\351)] TJ ET", True)
+    two = (b"BT <48656C6C6F> Tj T* (there) ' ET", False)
+    whole = pdf([one, two], b"/Author (Ann B.) /Title <FEFF00E90041> /Producer (x)", b"/Lang (en)")
+    pages, about = P2.read(whole)
+    assert pages == ["First (page) of it\nSecond line é", "Hello\nthere"]
+    assert about == {"author": "Ann B.", "title": "éA", "language": "en", "total_pages": "2"}
+    for bad in (b"", b"x", b"%PDF-1.4 trailer << /Encrypt 9 0 R >>"):
+        with pytest.raises(ValueError):
+            P2.read(bad)
+    (tmp_path / "a.pdf").write_bytes(whole)
+    (tmp_path / "b.pdf").write_bytes(b"no pdf")
+    (tmp_path / "c.pdf").write_bytes(pdf([(b"BT (x) Tj ET", False)]))
+    got = {r.path.split("/")[-1]: r for r in R.pdf_texts(spark, str(tmp_path)).collect()}
+    assert got["a.pdf"].text == "\n".join(pages) and got["a.pdf"].extra["author"] == "Ann B." and got["b.pdf"].error == "ValueError: not a PDF file" and got["b.pdf"].text is None
+    health = {r.path.split("/")[-1]: (r.valid, r.pages) for r in R.pdf_health(spark, str(tmp_path)).collect()}
+    assert health == {"a.pdf": (True, 2), "b.pdf": (False, None), "c.pdf": (False, 1)}
+
+
+def test_transcripts_are_used_again(spark, tmp_path):
+    at = str(tmp_path / "t")
+    asked = []
+
+    def extract(files):
+        rows = files.collect()
+        asked.append(sorted(r.path for r in rows))
+        return spark.createDataFrame([(r.path, f"text of {r.path} {r.size}") for r in rows], "path string, text string")
+
+    files = lambda size: spark.createDataFrame([("/x/a", 1.0, 5), ("/y/a", 1.0, size)], "path string, mtime double, size long")
+    for size in (7, 7, 8):
+        texts, fresh = R.through_cache(files(size), R.transcripts(spark, at), extract)
+        assert {r.path: r.text for r in texts.collect()} == {"/x/a": "text of /x/a 5", "/y/a": f"text of /y/a {size}"}
+        K.write_transcripts(fresh, at)
+    assert asked[0] == ["/x/a", "/y/a"] and asked[-1] == ["/y/a"] and R.transcripts(spark, at).count() == 3
+
+
+def test_rounds_and_errors(spark):
+    found = spark.createDataFrame([(1, 0, "One passage."), (1, 1, "Two passages."), (2, 0, "Lone passage.")], "doc_id int, passage_index int, passage string")
+    told = lambda p, n: F.when(n != 1, F.concat(F.lit("Which harbour does the traveller number "), n.cast("string"), F.lit(" reach at last in the evening")))
+    got = [(r.doc_id, r.attempt, r.passage) for r in Q.rounds(found, "doc_id", told, 2).orderBy("doc_id", "attempt").collect()]
+    assert got == [(1, 0, "One passage."), (1, 2, "One passage."), (2, 0, "Lone passage.")]
+    failed = spark.createDataFrame([(1, "q", "E: x"), (2, None, "E")], "query_id int, question string, error string")
+    assert [r.json for r in K.error_json(failed).orderBy("query_id").collect()] == ['{"error":"E: x","query":"q"}', '{"error":"E","query":"unknown"}']
+
+
+def test_entities_as_they_were_meant(spark):
+    from tessera.functions import text as T
+
+    row = spark.sql("SELECT 'In March 5, 2020 Ada Lovelace had 12% and 3 million' AS t")
+    assert row.select(T.entities(F.col("t")).alias("e")).first().e == ["2020", "3 million"]
+    assert sorted(row.select(T.entities(F.col("t"), "fixed").alias("e")).first().e) == ["12%", "2020", "3 million", "ada lovelace", "in march", "march 5, 2020"]
+
+
 def test_models(spark):
     assert {r.name: r.dimension for r in M.registry(spark).collect()}["text-embedding-3-large"] == 3072
     cost = spark.sql("SELECT 5000 AS t, 0.0001D AS c").select(M.embedding_cost(F.col("t"), F.col("c")).alias("x")).first().x
@@ -148,12 +219,17 @@ def test_store_stream_and_answers(spark, tmp_path):
     (folder / "three.txt").write_text((folder / "two.txt").read_text())
     run()
     assert store.chunks().count() == n  # the same chunks under another name
-    assert [(r.collection, r.chunks, r.sources) for r in store.collections().collect()] == [("notes", n, 2)]
+    assert [(r.collection, r.chunks, r.sources) for r in store.collections().collect()] == [("notes", n, 3)]
 
     asked = spark.createDataFrame([(1, "When was the harbour of Genoa built?"), (2, "zzz qqq")], "query_id long, question string")
     got = {r.query_id: r for r in answer(store, asked, model, M.ExtractiveGenerator(), k=3, window=1).collect()}
     assert "Genoa was built in 1200" in got[1].answer and got[1].valid and got[1].final_answer == got[1].answer
     assert any("one.txt" in x.source for x in got[1].references) and got[2].final_answer == "I don't know" and got[2].references is None
+    base = Setting("base", model, M.ExtractiveGenerator(), k=3, window=1)
+    many = with_models(base, {"one": M.ExtractiveGenerator(), "two": M.Fallback(M.ExtractiveGenerator())}) + with_and_without(base, M.KeywordReranker()) + with_sizes(Setting("x", model, M.ExtractiveGenerator(), reranker=M.KeywordReranker()), "k=3:kk=1, k=2")
+    said = {(r.config, r.query_id): r.final_answer for r in compare(store, asked, many).collect()}
+    assert {c for c, _ in said} == {"one", "two", "without reranking", "with reranking", "k=3, kk=1", "k=2"} and len(said) == 12
+    assert all("Genoa" in a for (_, q), a in said.items() if q == 1)
     lines = K.answer_json(spark.createDataFrame([r for r in got.values() if r.references]), "cosine_distance", 40).collect()
     assert '"total_references"' in lines[0].json and '"similarity"' in lines[0].json
 
@@ -169,6 +245,33 @@ def test_rerankers_report_what_fails(spark):
     assert [r.rerank_score for r in M.score_pairs(df, M.KeywordReranker()).collect()] == [0.5, 0.5, 0.0]
     got = {r.text: (r.rerank_score, r.error) for r in M.score_pairs(df, Fails(), on_error=0.5).collect()}
     assert got["bad"] == (0.5, "ValueError: no") and got["y"] == (1.0, None)
+    hits = spark.createDataFrame([(1, "q", "bad", 0.7), (1, "q", "x", 0.2), (2, "q", "y", 0.1)], "query_id int, question string, text string, score double")
+    by = lambda how: {r.text: r.rerank_score for r in M.score_pairs(hits, Fails(), on_error=how).collect()}
+    assert by("keep_score") == {"bad": 0.7, "x": 1.0, "y": 1.0} and by("keep_order") == {"bad": 0.0, "x": 0.0, "y": 1.0}
+    with pytest.raises(ValueError):
+        M.score_pairs(hits, Fails(), on_error="other")
+
+
+def test_models_by_name_and_in_turn():
+    assert isinstance(M.reranker("keyword"), M.KeywordReranker)
+    with pytest.raises(ValueError):
+        M.reranker("keyword rerank")
+    said = M.reranker("model", say=lambda prompt: "85 of 100" if "good" in prompt else "0.25" if "some" in prompt else "no")
+    assert said.score([("q", "good"), ("q", "some"), ("q", "x")]) == [0.85, 0.25, 0.02]
+
+    class Down:
+        def generate(self, question, context):
+            raise OSError("down")
+
+    class Mute:
+        def generate(self, question, context):
+            return "  "
+
+    assert M.Fallback(Down(), Mute(), M.ExtractiveGenerator()).generate("what is a cat", "A cat is small.") == "A cat is small."
+    with pytest.raises(RuntimeError):
+        M.Fallback(Down(), Mute()).generate("q", "c")
+    assert M.probe(Down()) == (False, "generate: OSError: down") and M.probe(M.HashingEmbedder(4))[0] and M.probe(M.KeywordReranker())[0] and not M.probe(3)[0]
+    assert len(M.embed_query(M.HashingEmbedder(4), "a b")) == 4
 
 
 def test_settings(monkeypatch):
@@ -196,6 +299,17 @@ def test_stores(spark, tmp_path):
     assert [r.text for r in store.search(asks, 2).orderBy("rank").collect()] == ["u", "t"]
     with pytest.raises(ValueError):
         open_store("other", spark, "x")
+    assert sorted((r.source, r.chunk_index, r.text) for r in store.occurrences("c").collect()) == [("r", 0, "t"), ("s", 0, "t"), ("s", 1, "u")]
+    assert store.add(rows.filter("source = 'r'").replace("r", "q", ["source"]), "c", "m", 2)["added"] == 0 and store.occurrences().count() == 4
+    hits = store.search(asks, 1).select("query_id", "rank", "collection", "doc_id", "source", "chunk_index", "total_chunks", "score")
+    assert [r.source for r in store.placed(store.search(asks, 2)).filter("doc_id = 'd1'").orderBy("source").collect()] == ["q", "r", "s"] and hits.count() == 1
+    assert store.missing(["c", "z"]) == ["z"] and store.search(asks, 1, collections=["c", "z"]).count() == 1
+    with pytest.raises(LookupError):
+        store.search(asks, 1, collections=["y", "z"])
+    hosted = open_store("hosted", spark, "x")
+    assert "hosted index" in hosted.problems()[0]
+    with pytest.raises(NotImplementedError):
+        hosted.chunks()
 
 
 def test_small_expressions(spark):

@@ -71,7 +71,62 @@ def test_rerank_keeps_ties_in_order(spark):
 
 
 def test_sweeps():
-    assert S.parse_sweep("5=3, 10,,2") == [(5, 3), (10, None), (2, None)]
+    assert S.parse_sweep("k=5:kk=3, k=10,,k=2 : kk=2") == [("k=5, kk=3", 5, 3), ("k=10", 10, 10), ("k=2, kk=2", 2, 2)]
+    assert S.parse_sweep("k=-1") == [("k=-1", -1, -1)]  # the original takes such numbers; searches refuse them
+    for bad in ("5", "5=3", "k=", "kk=3", "k=5:k=3"):
+        with pytest.raises(ValueError):
+            S.parse_sweep(bad)
+
+
+def test_collections_that_fail(spark):
+    hits = spark.createDataFrame([(1, 0.5)], "query_id int, score double")
+    told = []
+
+    def one(name):
+        if name == "bad":
+            raise OSError("gone")
+        return hits
+
+    got = S.search_collections(["a", "bad", "b"], one, lambda n, e: told.append((n, str(e)))).collect()
+    assert sorted(r.collection_name for r in got) == ["a", "b"] and told == [("bad", "gone")]
+    with pytest.raises(LookupError):
+        S.search_collections(["bad"], one)
+
+
+def test_blocks_are_sized_by_bytes(table, monkeypatch):
+    _, df = table
+    asks = df.filter("id < 3").select(F.col("id").alias("query_id"), "vector")
+    want = sorted(map(tuple, S.top_k(df, asks, 4).collect()))
+    monkeypatch.setattr(S, "BLOCK_BYTES", 8 * 5 * 7)
+    assert sorted(map(tuple, S.top_k(df, asks, 4).collect())) == want
+
+
+def test_hits_by_source_and_what_they_become(spark):
+    hits = spark.createDataFrame([(1, 1, "b", 4, 20, 0.3, "h4"), (1, 2, "a", None, None, 0.1, "loose"), (1, 3, "b", 6, 20, 0.2, "h6"), (1, 4, "a", 0, 2, 0.4, "h0"), (1, 5, "c", 9, 10, 0.9, "gone")], "query_id int, rank int, source string, chunk_index int, total_chunks int, score double, text string")
+    assert {(r["rank"], r.source_place, r.place_in_source) for r in C.grouped(hits).collect()} == {(1, 1, 1), (3, 1, 2), (2, 2, 1), (4, 2, 2), (5, 3, 1)}
+    chunks = spark.createDataFrame([("b", i, f"b{i}") for i in range(20)] + [("a", i, f"a{i}") for i in range(2)], "source string, chunk_index int, text string")
+    row = lambda r: (r.source, r.chunk_index, r.expanded_range, r.expansion_window, r.chunk_count, r.score, r.text.replace("\n\n", " "))
+    wide = ("b", 2, "2-8", 7, 7, 0.2, "b2 b3 b4 b5 b6 b7 b8")
+    got = [row(r) for r in C.expand_hits(hits, chunks).orderBy("place").collect()]
+    assert got == [("a", None, None, None, None, 0.1, "loose"), wide, ("a", 0, "0-1", 2, 2, 0.4, "a0 a1"), ("c", 9, "7-9", 3, 0, 0.9, "gone")]
+    compat = [row(r)[:3] for r in C.expand_hits(hits, chunks, compat=True).orderBy("place").collect()]
+    assert compat == [("b", 2, "2-8"), ("a", None, None), ("a", 0, "0-1"), ("c", 9, "7-9")]
+    assert [row(r)[5] for r in C.expand_hits(hits, chunks, lower_is_better=False).orderBy("place").collect()] == [0.9, 0.4, 0.3, 0.1]
+    assert {r.score for r in C.expand_hits(hits, chunks, lower_is_better=False, compat=True).filter("source = 'b'").collect()} == {0.2}
+    assert C.expand_hits(hits, chunks, 0).filter("expanded_range is null").count() == 5
+
+
+def test_report(spark):
+    chunk = "array<struct<rank:int,id:long,score:double,is_match:boolean>>"
+    rows = [(i, (i % 4) or None, bool(i % 4), [(r, 100 * i + r, 0.1 * r, r == i % 4) for r in range(1, 5)], i == 8, ["a", "b"] if i == 1 else ["a"]) for i in range(1, 31)]
+    df = spark.createDataFrame(rows, f"query_id int, found_rank int, success boolean, retrieved {chunk}, impossible boolean, sources array<string>")
+    found = E.detailed(df).orderBy("section", "place").collect()
+    assert [r.found_rank for r in found if r.section == "found"] == [1] * 8 + [2] * 2 and all(r.chunk.is_match for r in found if r.section == "found")
+    assert [(r.query_id, len(r.others), r.chunk.rank) for r in found if r.section == "not found"][:2] == [(4, 3, 1), (12, 3, 1)]
+    assert [r.query_id for r in df.orderBy(*E.ordered(df)).limit(3).collect()] == [1, 5, 9]
+    text = E.report(df, 4, {"model": "m"}, detail=True)
+    assert "- model: m" in text and "## Found (10 of 23)" in text and "## Not found (6 of 6)" in text and "## Impossible (1 of 1)" in text and "several sources: 1" in text
+    assert "questions: 29" in text and "answered all the same: 0.0%" in text and "### 1: query 1, rank 1" in text and "## Found" not in E.report(df, 4)
 
 
 @pytest.mark.parametrize("hits,window,total,want", [([4, 6], 2, 20, [(2, 8)]), ([2, 7], 2, 20, [(0, 9)]), ([2, 8], 2, 20, [(0, 4), (6, 10)]), ([0], 2, 2, [(0, 1)]), ([0, 19], 3, 20, [(0, 3), (16, 19)])])
