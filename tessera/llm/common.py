@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.sources.code import shipped  # noqa: F401 - for the operators
+from tessera.sources.saved import folder, placed, saved  # noqa: F401 - for the operators
 
 #: The white space of every contract here: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -40,24 +37,6 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds
 
 
-def folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that isn't set (tests)."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            named = tempfile.mkdtemp(prefix="tessera-checkpoint-")  # local mode only: no shared folder was named
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-        context.setCheckpointDir(named)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder that all executors share, with its lineage cut."""
-    folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def packed(docs: DataFrame, *columns: str, beside: str | None = None) -> DataFrame:
     """The named columns as _tz_NAME, and the whole row as _tz_row: extra columns of any name can't clash.
 

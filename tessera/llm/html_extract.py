@@ -20,7 +20,7 @@ RAW = "script style textarea title template noscript iframe svg object select da
 #: Elements whose content is never page text; the tokens of most of them aren't markup either.
 DROPPED = frozenset(RAW.split()) | {"button", "option", "label", "legend", "input", "annotation", "annotation-xml"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var x-content".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var x-content x-noise".split())
 #: Formulas are text, on a line of its own or not; their annotations (other notations of the same) aren't shown.
 INLINE |= frozenset("math semantics annotation annotation-xml mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd".split())
 #: Which open elements a start tag ends: the nearest of the first set, not beyond one of the second.
@@ -35,7 +35,7 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>|<[!?][^>]*+>",
     re.S | re.I,
 )
-ATTR = re.compile(r"(?:\bclass|\bid|\brole)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+ATTR = re.compile(r"(?<![\w:.-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 SPACE = re.compile(r"\s+")
 #: Names that pages give to their parts, by what they say about them.
 HINTS = {
@@ -63,7 +63,7 @@ def hint(attrs: str) -> str:
 
 @dataclass
 class Tree:
-    """Nodes in page order: parent's place, tag, hint, text blocks (place of the node, text) and content marks."""
+    """Nodes in page order: parent's place, tag, hint, texts, letters of links, text blocks (place of the node, text), and content marks."""
 
     parent: list[int]
     tag: list[str]
@@ -71,16 +71,46 @@ class Tree:
     text: list[list[str]]
     linked: list[int]
     blocks: list[tuple[int, str]]
-    marked: list[bool]
+    marked: list[int]  # 1 within content, 2 within noise put into it, else 0
+
+
+class Open:
+    """The open elements: names, and of each name and of the blocks where they are, so that nothing is searched for."""
+
+    def __init__(self) -> None:
+        self.nodes, self.names = [0], ["#root"]
+        self.at: dict[str, list[int]] = {"#root": [0]}
+        self.blocks = [0]
+
+    def push(self, node: int, name: str) -> None:
+        if name not in INLINE:
+            self.blocks.append(len(self.names))
+        self.at.setdefault(name, []).append(len(self.names))
+        self.nodes.append(node)
+        self.names.append(name)
+
+    def last(self, *names: str) -> int:
+        """Where the innermost of these is, or -1."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def cut(self, to: int) -> bool:
+        """Closes all from place `to` on; whether a block was among them."""
+        for name in self.names[to:]:
+            self.at[name].pop()
+        held = self.blocks[-1] >= to
+        while self.blocks[-1] >= to:
+            self.blocks.pop()
+        del self.nodes[to:], self.names[to:]
+        return held
 
 
 def parse(page: str) -> Tree:
     """The page's elements and blocks of text, with tags that nothing closes or opens taken as browsers take them."""
-    t = Tree([-1], ["#root"], [""], [[]], [0], [], [False])
-    stack, names = [0], ["#root"]
+    t = Tree([-1], ["#root"], [""], [[]], [0], [], [0])
+    now = Open()
     pieces: list[str] = []
     owner = 0
-    dropped = 0  # place in the stack, plus one, of the outermost dropped element
+    dropped = 0  # place among the open elements, plus one, of the outermost dropped one
 
     def flush() -> None:
         nonlocal pieces
@@ -92,19 +122,18 @@ def parse(page: str) -> Tree:
             pieces = []
 
     def push(tag: str, attrs: str = "") -> None:
-        stack.append(len(t.parent))
-        t.parent.append(stack[-2])
-        names.append(tag)
+        t.parent.append(now.nodes[-1])
+        now.push(len(t.parent) - 1, tag)
         t.tag.append(tag)
         t.hint.append(hint(attrs) if attrs else "")
         t.text.append([])
         t.linked.append(0)
-        t.marked.append("x-content" in names)
+        t.marked.append(2 if now.last("x-noise") > 0 else int(now.last("x-content") > 0))
 
     def ensure_body() -> None:
         """Pages may leave out html and body; browsers put them in."""
-        if names == ["#root"] or names == ["#root", "html"]:
-            for tag in ("html", "body")[len(names) - 1:]:
+        if len(now.names) == 1 or now.names == ["#root", "html"]:
+            for tag in ("html", "body")[len(now.names) - 1:]:
                 push(tag)
 
     def words(raw: str) -> None:
@@ -113,18 +142,18 @@ def parse(page: str) -> Tree:
             return
         if raw.strip():
             ensure_body()
-        block = next(i for i in range(len(stack) - 1, -1, -1) if names[i] not in INLINE)
+        block = now.blocks[-1]
         if not pieces:
-            owner = stack[block]
+            owner = now.nodes[block]
         pieces.append(raw)
-        if "a" in names[block:]:
+        if now.last("a") >= block:
             t.linked[owner] += len(raw)
 
     def pop(to: int) -> None:
         nonlocal dropped
-        if any(n not in INLINE for n in names[to:]):
+        if now.blocks[-1] >= to:
             flush()
-        del stack[to:], names[to:]
+        now.cut(to)
         if dropped > to:
             dropped = 0
 
@@ -139,50 +168,40 @@ def parse(page: str) -> Tree:
             continue
         tag = tag.lower()
         if m["end"]:
-            for i in range(len(names) - 1, 0, -1):
-                if names[i] == tag:
-                    pop(i)
-                    break
-                if names[i] in ("td", "th", "table") and tag in INLINE:
-                    break
-            else:
-                if tag in ("p", "br"):
-                    flush()
+            place = now.last(tag)
+            if place > 0 and not (tag in INLINE and now.last("td", "th", "table") > place):
+                pop(place)
+            elif place < 1 and tag in ("p", "br"):
+                flush()
             continue
         if tag in ("br", "hr"):
             flush()
         if tag in VOID:
             continue
-        if "head" in names:  # what may stand in a head was read above; anything else ends it
-            pop(names.index("head"))
+        if now.last("head") > 0:  # what may stand in a head was read above; anything else ends it
+            pop(now.last("head"))
         inline = tag in INLINE
         if not inline:
             flush()
-            if "p" in names and not names[-1] == "button":
-                i = len(names) - 1 - names[::-1].index("p")
-                if not any(n in ("td", "th", "table", "button") for n in names[i:]):
-                    pop(i)
+            p = now.last("p")
+            if p > 0 and now.last("td", "th", "table", "button") < p:
+                pop(p)
             if tag in ENDS:
                 mine, stop = ENDS[tag]
-                for i in range(len(names) - 1, 0, -1):
-                    if names[i] in mine:
-                        pop(i)
-                        break
-                    if names[i] in stop:
-                        break
-        if tag in ("body", "html") and tag in names:
+                if now.last(*mine) > max(0, now.last(*stop)):
+                    pop(now.last(*mine))
+        if tag in ("body", "html") and now.last(tag) > 0:
             continue
         if m["attrs"].endswith("/") and tag in INLINE and tag not in ("a", "span"):
             continue
-        if tag not in ("html", "head", "body", "x-content"):
+        if tag not in ("html", "head", "body", "x-content", "x-noise"):
             ensure_body()
         if inline:
-            stack.append(stack[-1])
-            names.append(tag)
+            now.push(now.nodes[-1], tag)
         else:
             push(tag, m["attrs"] or "")
         if tag in DROPPED and not dropped:
-            dropped = len(names)
+            dropped = len(now.names)
     words(page[at:])
     flush()
     return t
@@ -252,13 +271,10 @@ def trained(n: int = 3_000, seed: int = 17) -> Potentials:
 
 
 def _labels(t: Tree) -> np.ndarray:
-    """1 for nodes within content that no noise put into it holds; also for what holds the parts of an article bare."""
-    y = np.zeros(len(t.parent), np.int64)
+    """1 for nodes that the generator marked as content, and for what holds the parts of an article bare."""
+    y = np.array([int(m == 1) for m in t.marked], np.int64)
     for i in range(1, len(y)):
-        noise = t.hint[i] in ("ad", "side", "reader", "notice", "menu", "frame") or t.tag[i] in ("nav", "aside", "form", "footer")
-        started = t.marked[i] and (not t.marked[t.parent[i]])
-        y[i] = int(t.marked[i] and not noise and (started or y[t.parent[i]] == 1))
-        if started and y[i] and t.tag[i] not in ("article", "main", "div"):
+        if y[i] and not t.marked[t.parent[i]] and t.tag[i] not in ("article", "main", "div"):
             y[t.parent[i]] = 1
     return y
 

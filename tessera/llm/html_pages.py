@@ -55,7 +55,7 @@ def _inner(r: random.Random) -> str:
             parts.append(f"<div>{text}</div>")
     for kind in ("ad", "share", "related", "aside", "comments", "notice", "form", "nav", "footer"):
         if r.random() < 0.06:
-            parts.insert(r.randint(0, len(parts)), _noise(r, kind))
+            parts.insert(r.randint(0, len(parts)), f"<x-noise>{_noise(r, kind)}</x-noise>")
     if not parts or not any("<p" in x for x in parts):
         parts.append(f"<p>{_sentences(r, 1, 3)}</p>")
     return "".join(parts)

@@ -11,9 +11,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, packed, row_and, shipped, table, unpacked
+from tessera.llm.common import fold, packed, row_and, saved, shipped, table, unpacked
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Where blocks of one script begin in Unicode, and the script from there on ('' is any other).
@@ -26,6 +27,7 @@ SCRIPTS = [
     (0xA000, ""), (0xAC00, "Hangul"), (0xD7B0, ""), (0xF900, "Han"), (0xFB00, ""), (0x20000, "Han"), (0x30000, ""),
 ]
 _STARTS = [a for a, _ in SCRIPTS]
+LATIN = re.compile("[A-Za-z\u00AA\u00BA\u00C0-\u02AF\u1E00-\u1EFF]*")
 #: A run of more letters is judged in pieces, each a place of the path: script without spaces, text that lost them.
 PIECE = 64
 
@@ -35,11 +37,30 @@ def script(char: str) -> str:
     return SCRIPTS[i][1] if i >= 0 else ""
 
 
-def pieces(words: list[str]) -> list[str]:
-    """The words, with each of more than PIECE letters as consecutive pieces of like length: nothing of a run-on text is left out."""
-    if max(map(len, words), default=0) <= PIECE:
-        return words
-    return [w[len(w) * i // n:len(w) * (i + 1) // n] for w in words for n in [-(-len(w) // PIECE)] for i in range(n)]
+def by_script(word: str) -> list[str]:
+    """The word cut where its script changes; signs of no script here go with what is before them."""
+    if word.isascii() or LATIN.fullmatch(word):
+        return [word]
+    cuts, last = [0], ""
+    for i, c in enumerate(word):
+        now = script(c)
+        if now and last and now != last:
+            cuts.append(i)
+        last = now or last
+    return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)])]
+
+
+def pieces(words: list[str]) -> tuple[list[str], list[int] | None]:
+    """What is judged, and of which word each is (None: one a word): words cut by script, and those of over PIECE letters into pieces of like length."""
+    if all(w.isascii() and len(w) <= PIECE for w in words):
+        return words, None
+    out, of = [], []
+    for k, w in enumerate(words):
+        for part in by_script(w):
+            n = -(-len(part) // PIECE)
+            out += [part[len(part) * i // n:len(part) * (i + 1) // n] for i in range(n)]
+            of += [k] * n
+    return (words, None) if len(out) == len(words) else (out, of)
 
 
 def grams(word: str) -> list[str]:
@@ -51,30 +72,30 @@ def grams(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """langs in order; for each gram a row of log likelihoods; scripts[s]: which languages are written in s; seen: which languages have the gram.
+    """langs in order. Gram g of the index has the entries begin[g] to begin[g + 1]: a language, and how much likelier the gram is there than one not seen.
 
-    usual: the share of a new text's grams that the model should have of each language, by Good and Turing's estimate.
+    base: log likelihood of a gram not seen, by language. scripts[s]: which languages are written in s. usual: the share of
+    a new text's grams that the model should have of each language, by Good and Turing's estimate. At most `limit` words
+    (fewer, if there are many languages) are remembered at a time, which changes no result.
     """
 
     langs: list[str]
     index: dict[str, int]
-    scores: np.ndarray
+    begin: np.ndarray
+    of: np.ndarray
+    more: np.ndarray
+    base: np.ndarray
     scripts: dict[str, np.ndarray]
+    usual: np.ndarray
     switch: float = 6.0
     floor: float = -8.0
+    limit: int = 200_000
     known: dict[str, int] = field(default_factory=dict)
-    rows: list[np.ndarray] = field(default_factory=list)
-    limit: int = 300_000
-    seen: np.ndarray | None = None
-    usual: np.ndarray | None = None
 
     def __post_init__(self) -> None:
-        if self.usual is None:
-            self.usual = np.ones(len(self.langs))
-        if self.seen is None:
-            self.seen = np.ones(self.scores.shape, bool)
-        self.fits = np.zeros((self.limit + 1, max(1, len(self.langs))), np.float16)
-        self.table = np.zeros((self.limit + 1, max(1, len(self.langs))), np.float32)  # the last row: a word that says nothing
+        self.limit = min(self.limit, max(1024, 4_000_000 // max(1, len(self.langs))))
+        self.fits = np.zeros((self.limit, max(1, len(self.langs))), np.float16)
+        self.table = np.zeros((self.limit, max(1, len(self.langs))), np.float32)
 
     def learn(self, words: list[str]) -> None:
         """Scores of new words, into the table: log posteriors under equal priors, not below the floor.
@@ -84,16 +105,13 @@ class Model:
         """
         found = [[k for k in map(self.index.get, grams(w)) if k is not None] for w in words]
         every = np.array([2 * len(w) + 1 + (len(w) <= 6) for w in words], np.float64)  # of grams(w)
-        fits = np.zeros((len(words), len(self.langs)))
-        sizes = np.array([len(x) for x in found])
-        total = np.zeros((len(words), len(self.langs)))
-        if sizes.sum():
-            flat = self.scores[np.fromiter((k for x in found for k in x), np.int64, int(sizes.sum()))]
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            some = sizes > 0
-            total[some] = np.add.reduceat(flat, starts[some], axis=0)
-            own = self.seen[np.fromiter((k for x in found for k in x), np.int64, int(sizes.sum()))].astype(np.float64)
-            fits[some] = np.add.reduceat(own, starts[some], axis=0) / every[some, None]
+        sizes, n = np.array([len(x) for x in found]), len(self.langs)
+        flat = np.fromiter((k for x in found for k in x), np.int64, int(sizes.sum()))
+        held = self.begin[flat + 1] - self.begin[flat]
+        entry = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held) + np.repeat(self.begin[flat], held)
+        cell = np.repeat(np.repeat(np.arange(len(words)), sizes), held) * n + self.of[entry]
+        total = sizes[:, None] * self.base + np.bincount(cell, self.more[entry], len(words) * n).reshape(-1, n)
+        fits = np.bincount(cell, minlength=len(words) * n).reshape(-1, n) / every[:, None]
         for i, w in enumerate(words):
             allowed = self.scripts.get(script(w[0]))
             if allowed is not None:
@@ -117,8 +135,7 @@ class Model:
             known.clear()
             fresh = list(set(words))
         if len(fresh) > self.limit:  # one text with more kinds of words than are remembered: in parts
-            half = len(words) // 2
-            raise OverflowError(half)
+            raise OverflowError(len(words) // 2)
         if fresh:
             self.learn(fresh)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
@@ -152,7 +169,8 @@ class Model:
             high = np.take_along_axis(b, top[:, None], 1) - self.switch
             stay = b >= high
             came[t, :m] = np.where(stay, own, top[:, None])
-            best[:m] = np.where(stay, b, high) + scores[t, :m]
+            b = np.where(stay, b, high) + scores[t, :m]
+            best[:m] = b - b.max(axis=1, keepdims=True)  # what all share says nothing, and would cost digits
         path = np.zeros((long, n), np.int16)
         state = best.argmax(axis=1)
         at = np.arange(n)
@@ -165,117 +183,156 @@ class Model:
             out[i] = path[: length[i], j]
         return out
 
-    def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]], float]]:
-        """(language, score, spans of words, evidence) of each text.
+    def long_path(self, words: list[str], step: int) -> np.ndarray:
+        """paths() of one text, `step` words at a time: of each word only its best predecessor and a bit a language are kept."""
+        best, n = np.zeros(len(self.langs), np.float32), len(words)
+        tops, stays = np.zeros(n, np.int32), np.zeros((n, -(-len(self.langs) // 8)), np.uint8)
+        for at in range(0, n, step):
+            for t, scores in enumerate(self.emissions(words[at:at + step])[0], at):
+                tops[t] = best.argmax()
+                high = best[tops[t]] - self.switch
+                stay = best >= high
+                stays[t] = np.packbits(stay)
+                best = np.where(stay, best, high) + scores
+                best -= best.max()
+        path, state = np.zeros(n, np.int32), int(best.argmax())
+        for t in range(n - 1, -1, -1):
+            path[t] = state
+            if not stays[t, state >> 3] >> (7 - (state & 7)) & 1:
+                state = int(tops[t])
+        return path
+
+    def verdict(self, words: list[str], path: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]] | None, step: int) -> tuple[str, float, float]:
+        """(language, score, evidence) of a path; blocks: the emissions, worked out again step by step if None."""
+        letters = np.fromiter(map(len, words), np.int64, len(words))
+        mass = np.bincount(path, weights=letters, minlength=len(self.langs))
+        win, all_, sure, known = int(mass.argmax()), letters.sum(), 0.0, 0.0
+        at = 0
+        for matrix, fits in blocks or (self.emissions(words[i:i + step]) for i in range(0, len(words), step)):
+            own = letters[at:at + len(matrix)]
+            sure += float((np.exp(matrix[:, win].astype(np.float64)) * own).sum())
+            known += float((fits[np.arange(len(own)), path[at:at + len(own)]].astype(np.float64) * own).sum())
+            at += len(own)
+        score = 0.5 * mass[win] / all_ + 0.5 * sure / all_
+        return self.langs[win], float(min(1.0, max(0.0, score))), float(min(1.0, known / all_))
+
+    def label(self, texts: list[str | None], cells: int = 2_000_000) -> list[tuple[str, float, list[tuple[int, int, str]], float]]:
+        """(language, score, spans of words, evidence) of each text; about `cells` emissions are held at a time.
 
         Evidence: the share of grams, by letters, that the language of the path there has, to its usual one. It speaks for the text being in
         learned languages, one or several; it has no floor, and doesn't depend on which language is the likeliest.
         """
         split = [WORD.findall((t or "").lower()) for t in texts]
-        split = [ws if any(c.isalpha() for w in ws for c in w) else [] for ws in split]  # WORD also takes signs like ½
-        whole, split = split, [pieces(ws) for ws in split]
+        cut = [pieces(ws) if any(c.isalpha() for w in ws for c in w) else ([], None) for ws in split]  # WORD also takes signs like ½
         out: list = [("und", 0.0, [], 0.0)] * len(texts)
         if not self.langs:
             return out
-        todo = sorted((i for i in range(len(texts)) if split[i]), key=lambda i: len(split[i]))
-        at = 0
+        words = [ws for ws, _ in cut]
+        todo = sorted((i for i in range(len(texts)) if words[i]), key=lambda i: len(words[i]))
+        at, step = 0, max(1, cells // len(self.langs))
         while at < len(todo):
-            # texts of like length side by side; the largest is whole, however long
+            # texts of like length side by side; a long one alone, in steps
             end = at + 1
-            while end < len(todo) and end - at < 512 and len(split[todo[end]]) * (end - at + 1) * len(self.langs) <= 2_000_000:
+            while end < len(todo) and end - at < 512 and len(words[todo[end]]) * (end - at + 1) <= step:
                 end += 1
             some = todo[at:end]
-            matrices = [self.emissions(split[i]) for i in some]
-            for i, (matrix, fits), path in zip(some, matrices, self.paths([m for m, _ in matrices])):
-                letters = np.fromiter(map(len, split[i]), np.int64, len(split[i]))
-                mass = np.bincount(path, weights=letters, minlength=len(self.langs))
-                win = int(mass.argmax())
-                sure = np.exp(matrix[:, win].astype(np.float64)) * letters
-                score = 0.5 * mass[win] / letters.sum() + 0.5 * float(sure.sum() / letters.sum())
-                cut = np.concatenate(([0], np.flatnonzero(path[1:] != path[:-1]) + 1, [len(path)]))
-                ends = [(int(a), int(b) - 1) for a, b in zip(cut, cut[1:])]
-                if len(whole[i]) < len(split[i]):  # spans count words; one whose pieces differ is in both
-                    word = np.repeat(np.arange(len(whole[i])), [-(-len(w) // PIECE) for w in whole[i]])
-                    ends = [(int(word[a]), int(word[b])) for a, b in ends]
-                spans = [(a, b, self.langs[path[k]]) for (a, b), k in zip(ends, cut)]
-                known = float((fits[np.arange(len(path)), path].astype(np.float64) * letters).sum() / letters.sum())
-                out[i] = (self.langs[win], min(1.0, max(0.0, score)), spans, min(1.0, known))
+            if len(words[some[0]]) > step:
+                found = [(some[0], self.long_path(words[some[0]], step), None)]
+            else:
+                matrices = [self.emissions(words[i]) for i in some]
+                found = list(zip(some, self.paths([m for m, _ in matrices]), matrices))
+            for i, path, matrix in found:
+                lang, score, known = self.verdict(words[i], path, matrix and [matrix], step)
+                starts = np.concatenate(([0], np.flatnonzero(path[1:] != path[:-1]) + 1, [len(path)]))
+                of = cut[i][1] or range(len(path))  # spans count words; one whose pieces differ is in both
+                spans = [(int(of[a]), int(of[b - 1]), self.langs[path[a]]) for a, b in zip(starts, starts[1:])]
+                out[i] = (lang, score, spans, known)
             at = end
         return out
 
 
-def fit(docs: DataFrame, sample: int = 2_000, model_grams: int = 200_000, max_langs: int = 256, switch: float = 6.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, sample: int = 2_000, model_grams: int = 400_000, lang_grams: int = 50_000, most_langs: int = 4_096, switch: float = 6.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the languages in docs, from about `sample` whole texts of each (chosen by a hash of the id).
 
-    Rows without text or language teach nothing. The model holds the model_grams most frequent n-grams and the max_langs
-    most frequent languages at most; these are its size, and what comes to the driver.
+    Rows without text or language teach nothing; a language none of whose texts has a letter isn't learned. The model
+    holds the most frequent n-grams of each language: lang_grams, or its share of model_grams where there are many
+    languages, but 500. Every language is learned: more than most_langs are refused (ValueError), not cut, as the column
+    then holds something else.
     """
-    rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.xxhash64(id_col, F.lit(11)).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    spark = docs.sparkSession
+    rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.xxhash64(id_col, F.lit(11)).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    counts = rows.groupBy("lang").count().limit(most_langs + 1).collect()
+    if len(counts) > most_langs:
+        raise ValueError(f"over {most_langs} languages in {lang_col}")
     if not counts:
-        return Model([], {}, np.zeros((0, 0), np.float32), {}, switch)
-    chosen = F.lit(False)
+        return Model([], {}, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), {}, np.ones(0), switch)
+    shares = spark.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in counts], "lang string, share double")
     unit = F.pmod("h", F.lit(1 << 20)) / float(1 << 20)
-    for lang, n in counts:
-        chosen = F.when(F.col("lang") == lang, unit < min(1.0, sample / n)).otherwise(chosen)
+    chosen = rows.join(F.broadcast(shares), "lang").filter(unit < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for w, n in Counter(pieces(WORD.findall(text.lower()))).items():
+                for w, n in Counter(pieces(WORD.findall(text.lower()))[0]).items():
                     found[lang, "s" + script(w[0])] += n
                     own = grams(w)
                     found[lang, "t"] += n * len(own)
                     for g in own:
                         found[lang, "g" + g] += n
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "what", "n"])
-
-    seen = shipped(rows).filter(chosen).select("lang", "text").mapInArrow(count, "lang string, what string, n long").groupBy("lang", "what").agg(F.sum("n").alias("n"))
-    got = seen.filter("n > 1").orderBy(F.desc("n"), "what", "lang").limit(model_grams).collect()
-    langs = sorted({r.lang for r in got})
+            if len(found) > 500_000:
+                yield told(found)
+                found.clear()
+        yield told(found)
+
+    def told(found: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "what", "n"])
+
+    seen = saved(shipped(chosen).mapInArrow(count, "lang string, what string, n long").groupBy("lang", "what").agg(F.sum("n").alias("n")))
+    langs = sorted(r.lang for r in seen.select("lang").distinct().collect())
+    if not langs:
+        return fit(docs.limit(0), sample, model_grams, lang_grams, most_langs, switch, id_col, text_col, lang_col)
+    budget = min(lang_grams, max(500, model_grams // len(langs)))
+    is_gram, order = F.col("what").startswith("g"), W.partitionBy("lang").orderBy(F.desc("n"), "what")
+    got = seen.filter(is_gram).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= budget).select("lang", "what", "n").collect()
     place = {x: i for i, x in enumerate(langs)}
-    index: dict[str, int] = {}
-    for r in got:
-        if r.what[0] == "g":
-            index.setdefault(r.what[1:], len(index))
-    table_ = np.full((len(index), len(langs)), 0.5)
-    scripts: dict[str, np.ndarray] = {}
-    every_gram, held = np.ones(len(langs)), np.zeros(len(langs))
-    for r in got:
-        if r.what[0] == "g":
-            table_[index[r.what[1:]], place[r.lang]] += r.n
-            held[place[r.lang]] += r.n if r.n > 2 else 0
-        elif r.what == "t":
-            every_gram[place[r.lang]] = r.n
+    got = sorted((r.what[1:], place[r.lang], r.n) for r in got)
+    index = {g: i for i, g in enumerate(dict.fromkeys(g for g, _, _ in got))}
+    gram, of, n = (np.array(x) for x in zip(*((index[g], i, c) for g, i, c in got)))
+    total = np.bincount(of, n, len(langs)) + 0.5 * len(index)  # half a sighting for each gram of the index
+    begin = np.searchsorted(gram, np.arange(len(index) + 1))
+    every, by_script_ = np.ones(len(langs)), {}
+    for r in seen.filter(~is_gram).collect():  # a row a language, and one for each of its scripts
+        if r.what == "t":
+            every[place[r.lang]] = r.n
         else:
-            scripts.setdefault(r.what[1:], np.zeros(len(langs)))[place[r.lang]] = r.n
-    total = {s: x for s, x in scripts.items()}
-    every = np.sum(list(total.values()), axis=0) if total else np.ones(len(langs))
-    allowed = {s: x >= 0.01 * every for s, x in total.items() if s}
-    allowed = {s: x for s, x in allowed.items() if x.any()}
-    return Model(langs, index, np.log(table_ / table_.sum(axis=0)).astype(np.float32), allowed, switch, seen=table_ > 1, usual=np.clip(held / every_gram, 0.2, 1))
+            by_script_.setdefault(r.what[1:], np.zeros(len(langs)))[place[r.lang]] = r.n
+    all_ = np.sum(list(by_script_.values()), axis=0)
+    allowed = {s: x >= 0.01 * all_ for s, x in by_script_.items() if s}
+    allowed = {s: x & (by_script_[s] > 0) for s, x in allowed.items()}
+    usual = np.clip(np.bincount(of, n * (n > 1), len(langs)) / every, 0.2, 1)
+    return Model(langs, index, begin, of, np.log1p(n / 0.5), np.log(0.5 / total), {s: x for s, x in allowed.items() if x.any()}, usual, switch)
 
 
 def identify(docs: DataFrame, model: Model, spans: bool = True, text_col: str = "text", keep_text: bool = True, evidence: bool = False) -> DataFrame:
     """docs with lang_pred, score and, if asked, spans: array of (first word, last word, language), words from 0.
 
-    A word is a run of letters; one of more than PIECE is judged in pieces, and may end a span and begin the next. lang_pred has most letters in its spans; score is half its share of the letters and half
-    the mean posterior of the words for it, 0 to 1. Null texts and texts without a letter: 'und', 0 and no spans; so are
+    A word is a run of letters; one of several scripts or of more than PIECE letters is judged in pieces, and may end a
+    span and begin the next. lang_pred has most letters in its spans; score is half its share of the letters and half the
+    mean posterior of the words for it, 0 to 1. Null texts and texts without a letter: 'und', 0 and no spans; so are
     all texts if the model knows no language. Ties go to the language first in order. Whole texts are read, of any length.
     If asked, evidence: the share of n-grams that the languages of the spans have, by letters; 0 for a word in a script that
     no learned language uses. Columns of these names are replaced; others pass.
     """
     base = packed(docs, text_col, beside=text_col)
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.index, model.scores, model.scripts, model.switch, model.seen, model.usual))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.index, model.begin, model.of, model.more, model.base, model.scripts, model.usual, model.switch))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *learned, seen, usual = shared.value
-        own = Model(*learned, seen=seen, usual=usual)
+        own = Model(*shared.value)
         span = pa.list_(pa.struct([("first_word", pa.int32()), ("last_word", pa.int32()), ("lang", pa.string())]))
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
                 found = own.label(b.column(1).to_pylist())
                 parts = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
                 if spans:

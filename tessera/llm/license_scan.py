@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, UPPER, ascii_lower, packed, table, unpacked
+from tessera.llm.common import LOWER, UPPER, ascii_lower, join_skewed, packed, saved, table, unpacked
 
 #: Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -43,72 +45,111 @@ def template_words(text: str) -> list[str]:
     return [w for w in re.split(BREAKS, text.translate(str.maketrans(UPPER, LOWER))) if w]
 
 
-def _grams(words: str, k: int) -> Column:
-    """The hash of each run of k words of an array column; empty if there are fewer."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k))))
-    return F.when(F.size(words) >= k, runs)
-
-
-def _spread(text: Column) -> Column:
-    """How many words a string of ' word ' units holds."""
-    return ((F.char_length(text) - F.char_length(F.replace(text, F.lit(" ")))) / 2).cast("long")
-
-
-def license_scan(docs: DataFrame, k: int = 4, min_share: float = 0.6, slack: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _run(i: Column, k: int) -> Column:
+    """The hash of the k words from place i of _tz_words."""
+    return F.xxhash64(*(F.get("_tz_words", i + j) for j in range(k)))
+
+
+def _known(spark: SparkSession, k: int) -> DataFrame:
+    """(t, tpos, gram): the runs of k words of the templates, a few hundred whatever the documents."""
+    rows = [(i, template_words(text)) for i, (_, text) in enumerate(TEMPLATES)]
+    listed = F.array(*(F.struct(F.lit(i).alias("t"), F.array(*map(F.lit, ws)).alias("_tz_words")) for i, ws in rows if len(ws) >= k))
+    runs = spark.range(1).select(F.inline(listed)).select("t", "_tz_words", F.explode(F.sequence(F.lit(0), F.size("_tz_words") - k)).alias("tpos"))
+    return runs.select("t", "tpos", _run(F.col("tpos"), k).alias("gram"))
+
+
+def _candidates(hits: DataFrame, known: DataFrame, k: int, min_votes: float) -> DataFrame:
+    """(_tz_h1, _tz_h2, _tz_found): for each text with enough votes in one band, its bands (template, diagonals, extent)."""
+    sizes = F.array(*(F.lit(len(template_words(text))) for _, text in TEMPLATES))
+    text = ["_tz_h1", "_tz_h2"]
+    votes = hits.select(*text, F.explode("_tz_hits").alias("x")).select(*text, "x.*").join(F.broadcast(known), "gram")
+    lines = votes.groupBy(*text, "t", (F.col("pos") - F.col("tpos")).alias("d")).agg(F.collect_set("tpos").alias("at"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    lines = lines.withColumn("size", F.get(sizes, F.col("t"))).withColumn("slack", F.greatest(F.lit(2), F.floor(F.col("size") / 8)))
+    order = W.partitionBy(*text, "t").orderBy("d")
+    lines = lines.withColumn("new", F.coalesce((F.col("d") - F.lag("d").over(order) > F.col("slack")).cast("int"), F.lit(1))).withColumn("band", F.sum("new").over(order))
+    line = F.struct("d", "lo", "hi", "at")
+    bands = lines.groupBy(*text, "t", "size", "slack", "band").agg(F.array_sort(F.collect_list(line)).alias("own"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    one = lambda x, ds: F.struct(ds.alias("ds"), x["lo"].alias("lo"), x["hi"].alias("hi"), F.size(x["at"]).alias("votes"))
+    every = F.struct(F.transform("own", lambda x: x["d"]).alias("ds"), "lo", "hi", F.size(F.array_distinct(F.flatten(F.transform("own", lambda x: x["at"])))).alias("votes"))
+    fits = F.col("hi") + k - F.col("lo") <= 1.25 * F.col("size") + F.col("slack")
+    parts = F.when(fits, F.array(every)).otherwise(F.transform("own", lambda x: one(x, F.array(x["d"]))))
+    found = bands.select(*text, "t", "size", F.explode(parts).alias("x")).select(*text, "t", "size", "x.*")
+    sound = found.filter(F.col("votes") >= min_votes * (F.col("size") - k + 1))
+    return sound.groupBy(*text).agg(F.array_sort(F.collect_list(F.struct("t", "lo", "hi", "ds"))).alias("_tz_found"))
+
+
+def _verified(k: int, min_share: float) -> Column:
+    """The spans of _tz_found whose words are the template's, of overlapping ones the best."""
+    said = F.array(*(F.array(*map(F.lit, template_words(text))) for _, text in TEMPLATES))
+    labels = F.array(*(F.lit(label) for label, _ in TEMPLATES))
+
+    def check(x: Column) -> Column:
+        template = F.get(said, x["t"])
+        same = F.filter(F.sequence(F.lit(0), F.size(template) - 1), lambda j: F.exists(x["ds"], lambda d: F.get("_tz_words", (j + d).cast("int")) == F.get(template, j)))
+        share = F.size(same) / F.size(template)
+        return F.struct(share.alias("share"), F.size(template).alias("size"), (-x["t"]).alias("t"), x["lo"].alias("lo"), (x["hi"] + k - 1).alias("hi"))
+
+    checked = F.filter(F.transform("_tz_found", check), lambda x: x["share"] >= min_share)
+    over = lambda a, b: (a["lo"] <= b["hi"]) & (b["lo"] <= a["hi"])
+    best = lambda all_: F.filter(all_, lambda x: ~F.exists(all_, lambda y: over(x, y) & (y > x)))
+    span = lambda x: F.struct(F.get(labels, -x["t"]).alias("label"), x["lo"].cast("long").alias("first_word"), x["hi"].cast("long").alias("last_word"), x["share"].alias("share"))
+    return F.array_sort(F.array_distinct(F.transform(best(checked), span)))
+
+
+def license_scan(docs: DataFrame, k: int = 4, min_votes: float = 0.3, min_share: float = 0.7, text_col: str = "text") -> DataFrame:
     """docs without the text, with n_words, n_base, first_word, last_word, base_labels, labels, score and spans.
 
-    A template's label is given where its runs of k words, voted by document and diagonal (place in the document less
-    place in the template), with diagonals no further apart than `slack` merged (words left out or put in), hold at least
-    min_share of the template's runs within a span no longer than the template and a quarter. spans: array of (label,
-    first_word, last_word, share). score: the largest share, or 0.5 if there is only a base phrase, else 0.
-
-    Null text: no words, empty strings, 0 and null places; rows without an id are scanned like others. Rows alike in id
-    and text get the same result. Empty input: empty output. Columns of the names made here are replaced. The templates
-    are a fixed list, whose few hundred runs are broadcast; documents' runs are not shuffled, only those that match, by
-    document. A document's votes are bounded by its own length.
+    Runs of k words are joined to the templates' and vote by text and diagonal (place in the text less place in the
+    template). Neighbouring diagonals (words left out or put in; no further apart than an eighth of the template, or 2)
+    are one band; if that is longer than the template and a quarter, its diagonals stand alone. A band with votes from at
+    least min_votes of the template's runs is verified word by word: min_share of the template's words must stand on one
+    of its diagonals. Of overlapping spans the one of the largest share stays, then of the longer template, then of the
+    first. spans: array of (label, first_word, last_word, share). score: the largest share, or 0.5 if there is only a
+    base phrase, else 0.
+
+    Null text: no words, empty strings, 0 and null places. Rows alike in text get the same result. Empty input: empty
+    output. Columns of the names made here are replaced. The templates are a fixed list, whose few hundred runs are
+    broadcast. Texts are read once and aren't shuffled but for those with a run of a template; these go by two hashes
+    of the text, and hot ones (copies) by join_skewed().
     """
     spark = docs.sparkSession
-    base = packed(docs, id_col, text_col, beside=text_col).select("_tz_row", F.col(f"_tz_{id_col}").alias("_tz_id"), F.coalesce(F.col(f"_tz_{text_col}"), F.lit("")).alias("_tz_text"))
-    base = base.withColumn("_tz_hash", F.xxhash64("_tz_id", "_tz_text")).withColumn("_tz_hash2", F.xxhash64(F.lit(1), "_tz_id", "_tz_text"))
-    split = base.withColumn("_tz_low", ascii_lower(F.col("_tz_text"))).withColumn("_tz_words", F.array_remove(F.split("_tz_low", BREAKS), "")).drop("_tz_text", "_tz_low")
-
-    # base phrases: each word between spaces of its own, so that phrases can't share one
-    units = split.withColumn("_tz_n", F.size("_tz_words").cast("long")).withColumn("_tz_units", F.concat(F.lit(" "), F.array_join("_tz_words", "  "), F.lit(" ")))
-    shapes = {f" {p.replace(' ', '  ')} ": (label, len(p.split())) for p, label in PHRASES.items()}
-    units = units.withColumn("_tz_places", F.array(*(F.instr("_tz_units", F.lit(s)) for s in shapes)))
-    any_ = F.array_max("_tz_places") > 0
-    number, firsts, lasts, labels = F.lit(0).cast("long"), [], [], []
-    for i, (s, (label, size)) in enumerate(shapes.items()):
-        at = F.get("_tz_places", i)
-        number = number + ((F.char_length("_tz_units") - F.char_length(F.replace("_tz_units", F.lit(s)))) / len(s)).cast("long")
-        back = F.instr(F.reverse("_tz_units"), F.lit(s[::-1]))
-        firsts.append(F.when(at > 0, _spread(F.substring("_tz_units", F.lit(1), at - 1))))
-        lasts.append(F.when(at > 0, F.col("_tz_n") - size - _spread(F.substring(F.reverse("_tz_units"), F.lit(1), back - 1))))
-        labels.append(F.when(at > 0, F.lit(label)))
-    per = units.select(
-        "_tz_row", "_tz_hash", "_tz_hash2", "_tz_n", F.when(any_, number).otherwise(F.lit(0)).cast("long").alias("_tz_base"),
-        F.when(any_, F.array_min(F.array(*firsts))).alias("_tz_first"), F.when(any_, F.array_max(F.array(*lasts))).alias("_tz_last"),
-        F.when(any_, F.array_sort(F.array_compact(F.array(*labels)))).otherwise(F.array().cast("array<string>")).alias("_tz_base_labels"),
-    )
-
-    rows = [(i, label, template_words(text)) for i, (label, text) in enumerate(TEMPLATES)]
-    listed = F.array(*(F.struct(F.lit(i).alias("t"), F.lit(label).alias("label"), F.array(*map(F.lit, ws)).alias("ws")) for i, label, ws in rows))
-    known = spark.range(1).select(F.inline(listed)).withColumn("size", F.size("ws")).withColumn("runs", F.size("ws") - k + 1)
-    known = known.select("t", "label", "size", "runs", F.posexplode(_grams("ws", k)).alias("tpos", "gram"))
-    votes = split.select("_tz_hash", "_tz_hash2", F.posexplode(_grams("_tz_words", k)).alias("pos", "gram")).join(F.broadcast(known), "gram")
-    lines = votes.groupBy("_tz_hash", "_tz_hash2", "t", "label", "size", "runs", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("at"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    order = W.partitionBy("_tz_hash", "_tz_hash2", "t").orderBy("diagonal")
-    lines = lines.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > slack).cast("int"), F.lit(1))).withColumn("band", F.sum("new").over(order))
-    bands = lines.groupBy("_tz_hash", "_tz_hash2", "t", "label", "size", "runs", "band").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("found"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    sound = bands.filter((F.col("found") >= min_share * F.col("runs")) & (F.col("hi") + k - F.col("lo") <= F.ceil(1.25 * F.col("size"))))
-    span = F.struct("label", F.col("lo").cast("long").alias("first_word"), (F.col("hi") + k - 1).cast("long").alias("last_word"), (F.col("found") / F.col("runs")).alias("share"))
-    spans = sound.groupBy("_tz_hash", "_tz_hash2").agg(F.array_sort(F.collect_set(span)).alias("_tz_spans"))
-
-    out = per.join(spans, ["_tz_hash", "_tz_hash2"], "left").withColumn("_tz_spans", F.coalesce("_tz_spans", F.array().cast(spans.schema["_tz_spans"].dataType)))
+    known = _known(spark, k)
+    runs = sorted(r.gram for r in known.select("gram").distinct().collect())
+    starts = sorted({w for _, text in TEMPLATES for w in template_words(text)})
+    base = packed(docs, text_col, beside=text_col).select("_tz_row", ascii_lower(F.coalesce(F.col(f"_tz_{text_col}").cast("string"), F.lit(""))).alias("_tz_low"))
+    split = base.withColumn("_tz_words", F.array_remove(F.split("_tz_low", BREAKS), ""))
+    n, none = F.size("_tz_words"), F.array().cast("array<int>")
+
+    # base phrases: only texts that hold a phrase's words at all are looked through
+    phrases = [(p.split(), label) for p, label in PHRASES.items()]
+    holds = reduce(or_, (reduce(and_, (F.contains("_tz_low", F.lit(w)) for w in ws)) for ws, _ in phrases))
+    heads = [ws[0] for ws, _ in phrases]
+    split = split.withColumn("_tz_heads", F.when(holds & (n > 0), F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("_tz_words", i).isin(heads))).otherwise(none))
+    standing = lambda ws: F.filter("_tz_heads", lambda i: reduce(and_, (F.get("_tz_words", i + j) == w for j, w in enumerate(ws))))
+    places = [standing(ws) for ws, _ in phrases]
+    at = F.filter(F.sequence(F.lit(0), n - k), lambda i: F.get("_tz_words", i).isin(starts) & F.get("_tz_words", i + k - 1).isin(starts))
+    hits = F.filter(F.transform(at, lambda i: F.struct(i.alias("pos"), _run(i, k).alias("gram"))), lambda x: x["gram"].isin(runs))
+    split = split.withColumn("_tz_places", F.array(*places)).withColumn("_tz_hits", F.when(n >= k, hits))
+    named = F.array_compact(F.transform(F.array(*(F.lit(label) for _, label in phrases)), lambda x, i: F.when(F.size(F.get("_tz_places", i)) > 0, x)))
+    every, voted = F.flatten("_tz_places"), F.size("_tz_hits") > 0
+    made = saved(split.select(
+        "_tz_row", n.cast("long").alias("_tz_n"), F.size(every).cast("long").alias("_tz_base"), F.array_min(every).cast("long").alias("_tz_first"), F.array_max(every).cast("long").alias("_tz_last"),
+        F.array_sort(named).alias("_tz_base_labels"), *(F.when(voted, c).alias(a) for c, a in ((F.col("_tz_hits"), "_tz_hits"), (F.col("_tz_low"), "_tz_low"), (F.xxhash64("_tz_low"), "_tz_h1"), (F.xxhash64(F.lit(1), "_tz_low"), "_tz_h2"))),
+    ))
+
+    some = made.filter("_tz_hits is not null")
+    found = _candidates(some, known, k, min_votes)
+    texts = some.groupBy("_tz_h1", "_tz_h2").agg(F.count("*").alias("_tz_rows")).join(found, ["_tz_h1", "_tz_h2"], "left")
+    met = join_skewed(some.drop("_tz_hits"), saved(texts), ["_tz_h1", "_tz_h2"], "_tz_rows", ["_tz_found"], F.xxhash64("_tz_low", "_tz_row"))
+    met = met.withColumn("_tz_words", F.when(F.col("_tz_found").isNotNull(), F.array_remove(F.split("_tz_low", BREAKS), "")))
+    met = met.withColumn("_tz_spans", _verified(k, min_share))
+    no_spans = F.array().cast(met.schema["_tz_spans"].dataType)
+    columns = ["_tz_row", "_tz_n", "_tz_base", "_tz_first", "_tz_last", "_tz_base_labels"]
+    out = made.filter("_tz_hits is null").select(*columns, no_spans.alias("_tz_spans")).unionByName(met.select(*columns, F.coalesce("_tz_spans", no_spans).alias("_tz_spans")))
     all_ = F.array_sort(F.array_union("_tz_base_labels", F.transform("_tz_spans", lambda x: x["label"])))
     share = F.coalesce(F.array_max(F.transform("_tz_spans", lambda x: x["share"])), F.when(F.col("_tz_base") > 0, F.lit(0.5)), F.lit(0.0))
     return unpacked(out, docs, text_col, n_words=F.col("_tz_n"), n_base=F.col("_tz_base"), first_word=F.col("_tz_first"), last_word=F.col("_tz_last"),
-                    base_labels=F.array_join(F.array_distinct("_tz_base_labels"), ","), labels=F.array_join(all_, ","), score=share, spans=F.col("_tz_spans"))
+                    base_labels=F.array_join("_tz_base_labels", ","), labels=F.array_join(all_, ","), score=share, spans=F.col("_tz_spans"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,15 +10,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import packed, saved, table, unpacked, words
 
-#: Function words that are frequent in any text of a language.
-COMMON = {
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "dem", "nicht", "ein", "eine", "als"],
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "as", "was", "with", "be", "by", "on", "not", "he", "this", "are"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "a", "par", "plus", "pas", "au"],
-}
-LANGS = sorted(COMMON)
-LIST = sorted({w for x in COMMON.values() for w in x})
 #: Character classes, by a pattern of what belongs to each; the last class is all else.
 CLASSES = ["[a-z]", "[A-Z]", r"[\p{Ll}&&[^a-z]]", r"[\p{L}&&[^\p{Ll}A-Z]]", "[0-9]", r"[ \t-\r]", r"[.,;:!?'\"()\-]"]
 SCALE = 1 << 40  # proportions are summed as whole numbers, so that the order of adding doesn't show
@@ -28,9 +19,23 @@ def _count(text: Column, pattern: str) -> Column:
     return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
 
 
-def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """_tz_row with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes and commons (counts by class and word)."""
-    base = packed(docs, text_col, beside=text_col).select("_tz_row", F.coalesce(F.col(f"_tz_{text_col}"), F.lit("")).alias("_tz_text"))
+def common_words(docs: DataFrame, most: int = 20, least_docs: int = 20, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
+    """The `most` most frequent words of each language that labels at least least_docs documents, counted over all documents.
+
+    Counted by a sketch of bounded size a language: a word over a 5,000th of a language's words can't be missed. A few
+    words a language come to the driver.
+    """
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    each = known.select("lang", F.explode(words(F.col("text"))).alias("word")).groupBy("lang").agg(F.expr(f"approx_top_k(lower(word), {most}, 20000)").alias("top"))
+    enough = known.groupBy("lang").count().filter(F.col("count") >= least_docs).select("lang")
+    rows = each.join(enough, "lang").select("lang", F.transform("top", lambda x: x["item"]).alias("top")).collect()
+    return {r["lang"]: sorted(r["top"]) + [""] * (most - len(r["top"])) for r in rows}  # '' is no word, and fills up a short list
+
+
+def base_counts(docs: DataFrame, text_col: str = "text", also: str | None = None, listed: list[str] = ()) -> DataFrame:
+    """_tz_row, the column `also` as _tz_also, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars, classes (counts) and common: the words that are listed."""
+    base = packed(docs, *([also] if also else []), text_col, beside=text_col)
+    base = base.select("_tz_row", (F.col(f"_tz_{also}").cast("string") if also else F.lit(None).cast("string")).alias("_tz_also"), F.coalesce(F.col(f"_tz_{text_col}"), F.lit("")).alias("_tz_text"))
     base = base.withColumns({"_tz_words": words(F.col("_tz_text")), "_tz_lines": F.filter(F.split("_tz_text", "\n"), lambda x: x.rlike(r"[^ \t-\r]"))})
     at = lambda i, k: F.get("_tz_words", i + k)
     hashes = F.when(F.size("_tz_words") > 5, F.transform(F.sequence(F.lit(0), F.size("_tz_words") - 5), lambda i: F.xxhash64(*(at(i, k) for k in range(5)))))
@@ -44,17 +49,15 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     marked = marked.withColumn("_tz_rest", F.regexp_replace("_tz_text", f"{CLASSES[0]}+", ""))
     chars, rest = F.char_length("_tz_text"), F.col("_tz_rest")
     counted = [chars - F.char_length(rest), *(_count(rest, f"{c}+") for c in CLASSES[1:])]
-    common = F.filter(F.transform("_tz_words", F.lower), lambda w: w.isin(LIST))
-    out = marked.withColumn("_tz_common", common).select(
-        "_tz_row", F.size("_tz_words").cast("long").alias("n_words"),
+    common = F.filter(F.transform("_tz_words", F.lower), lambda w: w.isin(listed)) if listed else F.array().cast("array<string>")
+    return marked.select(
+        "_tz_row", "_tz_also", F.size("_tz_words").cast("long").alias("n_words"),
         (chars - _count(rest, r"[ \t-\r]+")).cast("long").alias("word_chars"),
         _count(rest, r"[#*$%&|<>]+").cast("long").alias("n_symbols"),
         (F.size("_tz_lines") - F.size(F.array_distinct("_tz_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        chars.cast("long").alias("chars"), F.array(*counted).alias("classes"),
-        F.array(*(F.size("_tz_common") - F.size(F.array_remove("_tz_common", w)) for w in LIST)).alias("commons"),
+        chars.cast("long").alias("chars"), F.array(*counted).alias("classes"), common.alias("common"),
     )
-    return out
 
 
 def _shares(counts: Column, total: Column) -> Column:
@@ -70,69 +73,83 @@ def divergence(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda s, x: s + x)))
 
 
-def quality_rules(docs: DataFrame, min_words: int = 10, repeat_percent: int = 20, guard_words: int = 40, guard_chars: int = 200, most_classes: float = 0.33, most_both: float = 0.46, text_col: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 10, repeat_percent: int = 20, guard_words: int = 40, guard_chars: int = 200, most_classes: float = 0.33, most_both: float = 0.46, top_words: int = 20, least_docs: int = 20, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """docs without the text, with the counts, base_failed, class_distance, word_distance and kept.
 
     base_failed: n_words < min_words, or 100 * n_repeat_words > repeat_percent * n_words. A document that passes is kept
     unless its histogram of character classes (guard_chars characters at least) is farther than most_classes from the
     reference of its language, or that distance and the one of its common words (guard_words words at least) together
-    are over most_both. Its language is the one whose common words it has most of, the first in order if equal. A text
-    too short for a guard isn't judged by that histogram.
+    are over most_both. A text too short for a guard isn't judged by that histogram.
 
-    The references are made from the same documents, all that pass the base rules and the guards: first the mean
-    histogram of a language, then the mean of those within the limits of the first, so that junk doesn't define what is
-    usual. Four languages are known, so a reference table is of fixed size. A language of which no document
-    is left, or a text without common words, has no reference of its own; such texts are held against the nearest one,
-    and without any reference they are kept.
+    References are learned from the documents. A language is a value of lang_col with least_docs documents; its common
+    words are the top_words most frequent ones. Its histograms are means over all its documents that pass the base rules
+    and the guards, then over those of them within the limits of the first mean, so that junk doesn't define what is
+    usual. A text is held against the language it is labelled with and the one of which it has most common words (the
+    first in order, if equal), and counts by the nearer. Labels may be wrong or missing; but a text labelled with a language
+    without a reference, or without a label and without a common word, is left to the base rules, and so are all if
+    lang_col is None or no column.
 
     Null text: no words; all counts 0, base_failed. Null or odd values in other columns don't matter. Empty input: empty
     output. Columns of the names made here are replaced. Windows are compared by 64-bit hashes within one document.
     """
-    made = base_counts(docs, text_col)
-    own = F.array(*(F.aggregate(F.array(*(F.get("commons", LIST.index(w)) for w in COMMON[g])), F.lit(0), lambda a, x: a + x) for g in LANGS))
-    made = made.withColumn("own", own).withColumn("lang", F.when(F.array_max("own") > 0, F.array_position("own", F.array_max("own")).cast("int")).otherwise(F.lit(0)))
+    labelled = lang_col if lang_col in docs.columns else None
+    lists = common_words(docs, top_words, least_docs, text_col, labelled) if labelled else {}
+    langs = sorted(lists)
+    made = base_counts(docs, text_col, labelled, sorted({w for x in lists.values() for w in x}))
     made = made.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")))
-    made = saved(made.withColumn("p_classes", F.when(F.col("chars") >= guard_chars, _shares(F.col("classes"), F.col("chars")))).withColumn("p_words", F.when(F.col("n_words") >= guard_words, _shares(F.col("commons"), F.col("n_words")))).drop("classes", "commons", "own"))
+    made = made.withColumn("p_classes", F.when(F.col("chars") >= guard_chars, _shares(F.col("classes"), F.col("chars"))))
+    # languages as numbers from 1; 0: none
+    label = F.coalesce(F.array_position(F.array(*map(F.lit, langs)), F.col("_tz_also")).cast("int"), F.lit(0)) if langs else F.lit(0)
+    having = lambda x: F.size(F.filter("common", lambda w: w.isin(x)))
+    own = F.array(*(having(lists[g]) for g in langs)) if langs else F.array(F.lit(0))
+    made = made.withColumn("label", label).withColumn("own", own)
+    most = F.when(F.array_max("own") > 0, F.array_position("own", F.array_max("own")).cast("int")).otherwise(F.lit(0))
+    unknown = F.col("_tz_also").isNotNull() & (F.col("label") == 0)
+    made = made.withColumn("most", F.when(unknown, F.lit(0)).otherwise(most))
+    made = made.withColumn("lang", F.when(F.col("label") > 0, F.col("label")).otherwise(F.col("most"))).withColumn("other", F.when(F.col("most") != F.col("lang"), F.col("most")).otherwise(F.lit(0)))
+    said = F.array(*(F.array(*map(F.lit, lists[g])) for g in langs)) if langs else F.array().cast("array<array<string>>")
+    times = lambda g: F.transform(F.get(said, F.col(g) - 1), lambda w: F.size("common") - F.size(F.array_remove("common", w)))
+    p_words = lambda g: F.when((F.col("n_words") >= guard_words) & (F.col(g) > 0), _shares(times(g), F.col("n_words")))
+    made = saved(made.withColumn("p_words", p_words("lang")).withColumn("p_other", p_words("other")).drop("classes", "common", "own", "label", "most", "_tz_also", "chars"))
 
     sound = made.filter(~F.col("base_failed") & (F.col("lang") > 0) & F.col("p_classes").isNotNull() & F.col("p_words").isNotNull())
-    first = _references(sound)
     far = lambda c, w: F.coalesce(c > most_classes, F.lit(False)) | F.coalesce(c + w > most_both, F.lit(False))
-    near = ~far(_distance("p_classes", first, "classes"), _distance("p_words", first, "words"))
-    refs = _references(sound.filter(near)) or first
-    made = made.withColumn("class_distance", _distance("p_classes", refs, "classes")).withColumn("word_distance", _distance("p_words", refs, "words"))
+    first = _references(sound, top_words + 1)
+    near = ~far(_distance("p_classes", "lang", first, "classes"), _distance("p_words", "lang", first, "words"))
+    refs = first | _references(sound.filter(near), top_words + 1)
+    for name, own_p, other_p in (("class_distance", "p_classes", "p_classes"), ("word_distance", "p_words", "p_other")):
+        kind = name.split("_")[0] + ("es" if own_p == "p_classes" else "s")
+        made = made.withColumn(name, F.least(_distance(own_p, "lang", refs, kind), _distance(other_p, "other", refs, kind)))
     odd = far(F.col("class_distance"), F.col("word_distance"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance"]
     return unpacked(made, docs, text_col, **{c: F.col(c) for c in names}, kept=~F.col("base_failed") & ~odd)
 
 
-def _references(sound: DataFrame) -> dict[int, dict[str, list[float]]]:
-    """For each language (1, 2, ...) the mean histograms: at most len(LANGS) rows come to the driver."""
-    whole = lambda c, i: F.sum(F.floor(F.get(c, i) * SCALE).cast("decimal(20,0)"))
-    sums = [whole("p_classes", i).alias(f"c{i}") for i in range(len(CLASSES) + 1)] + [whole("p_words", i).alias(f"w{i}") for i in range(len(LIST) + 1)]
+def _references(sound: DataFrame, bins: int) -> dict[int, dict[str, list[float]]]:
+    """For each language (1, 2, ...) the mean histograms: one row a language comes to the driver."""
+    whole = lambda c, i: F.coalesce(F.sum(F.floor(F.get(c, i) * SCALE).cast("decimal(20,0)")), F.lit(0))
+    sums = [whole("p_classes", i).alias(f"c{i}") for i in range(len(CLASSES) + 1)] + [whole("p_words", i).alias(f"w{i}") for i in range(bins)]
     out = {}
     for r in sound.groupBy("lang").agg(*sums).collect():
         histograms = {}
-        for name, letter, n in (("classes", "c", len(CLASSES) + 1), ("words", "w", len(LIST) + 1)):
+        for name, letter, n in (("classes", "c", len(CLASSES) + 1), ("words", "w", bins)):
             values = [float(r[f"{letter}{i}"]) for i in range(n)]
             histograms[name] = [v / sum(values) for v in values]
         out[r["lang"]] = histograms
     return out
 
 
-def _distance(column: str, refs: dict[int, dict[str, list[float]]], name: str) -> Column:
-    """To the reference of the row's language; without one, to the nearest; null if there is none or no histogram."""
+def _distance(column: str, lang: str, refs: dict[int, dict[str, list[float]]], name: str) -> Column:
+    """To the reference of the language; null without one or without a histogram."""
     if not refs:
         return F.lit(None).cast("double")
-    each = {g: divergence(F.col(column), F.array(*map(F.lit, refs[g][name]))) for g in sorted(refs)}
-    nearest = F.least(*each.values(), F.lit(2.0))
-    out = nearest
-    for g, d in each.items():
-        out = F.when(F.col("lang") == g, d).otherwise(out)
-    return F.when(F.col(column).isNotNull(), out)
+    all_ = F.array(*(F.array(*map(F.lit, refs[g][name])) if g in refs else F.lit(None).cast("array<double>") for g in range(1, max(refs) + 1)))
+    own = F.get(all_, F.col(lang) - 1)
+    return F.when(F.col(column).isNotNull() & own.isNotNull(), divergence(F.col(column), own))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("class_distance", "word_distance")
+    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("lang", "class_distance", "word_distance")
 
 
 def op5_counts_oracle() -> str:

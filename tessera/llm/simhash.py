@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -149,43 +151,76 @@ def _turned(fp: np.ndarray, by: np.ndarray) -> np.ndarray:
     return np.where(by == 0, fp, (fp << by) | (fp >> ((np.uint64(BITS) - by) % np.uint64(BITS))))
 
 
-def links(prints: DataFrame, budget: int = 4, bucket_limit: int = 200_000, split_bits: int = 6, rows_at_once: int = 100_000) -> DataFrame:
+def _begun(cells: DataFrame, blocks: list[tuple[int, int]]) -> DataFrame:
+    """cells with key, the fingerprint turned so that its block is in front, and begin, where that block is."""
+    begin = F.get(F.array(*(F.lit(a) for a, _ in blocks)), F.col("block"))
+    return cells.withColumn("begin", begin).withColumn("key", F.expr("shiftleft(fp, begin) | shiftrightunsigned(fp, (64 - begin) % 64)"))
+
+
+def _children(cells: DataFrame, blocks: list[tuple[int, int]], budget: int, step: int) -> DataFrame:
+    """cells (fp, block, depth, a, b), each row once for each pair of nodes `step` bits deeper that holds it and is within the budget.
+
+    A cell is a pair of nodes of the block's trie by their paths a <= b; a row is in it if its own path is one of them. A
+    pair is sought in the first block that it shares, so each block before that holds an error: one of the budget is kept
+    back for each of those that the path hasn't reached yet.
+    """
+    wide = _begun(cells, blocks).withColumn("width", F.least(F.lit(step), BITS - F.col("depth")).cast("int")).withColumn("deep", F.col("depth") + F.col("width"))
+    unseen = reduce(add, (((F.lit(j) < F.col("block")) & (F.col("deep") <= BITS - F.col("begin") + a)).cast("int") for j, (a, _) in enumerate(blocks)))
+    wide = wide.withColumn("own", F.expr("shiftrightunsigned(key, 64 - depth)")).withColumn("x", F.expr("shiftrightunsigned(key, 64 - deep) & (shiftleft(1L, width) - 1)"))
+    left = budget - unseen - F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, width) - 1")), lambda y: F.bit_count(F.col("x").bitwiseXOR(y)) <= F.col("left"))
+    pair = lambda x, y: F.struct((F.expr("shiftleft(a, width)") + x).alias("a"), (F.expr("shiftleft(b, width)") + y).alias("b"))
+    same, on_a = F.col("a") == F.col("b"), F.col("own") == F.col("a")
+    pairs = F.transform(others, lambda y: F.when(same, pair(F.least("x", y), F.greatest("x", y))).when(on_a, pair(F.col("x"), y)).otherwise(pair(y, F.col("x"))))
+    return wide.withColumn("left", left).select("fp", "block", F.col("deep").alias("depth"), F.explode(pairs).alias("pair")).select("fp", "block", "depth", "pair.a", "pair.b")
+
+
+def links(prints: DataFrame, budget: int = 4, bucket_limit: int = 200_000, step: int = 3, rows_at_once: int = 100_000) -> DataFrame:
     """(u, v) over distinct fingerprints (fp): edges that join each pair within `budget` bits, but not each pair as an edge.
 
     The trie is dealt out by the nodes at the end of one of budget + 1 blocks of bits, each block once turned to the
-    front: two fingerprints within the budget share a block, so their paths meet in a node there. A node with over
-    bucket_limit fingerprints is dealt out once more, as pairs of its descendants split_bits below whose prefixes differ
-    in no more than the budget; there is no limit on what a node may hold.
+    front: two fingerprints within the budget share a block, and their paths meet in a node of the first such. Pairs of
+    nodes with over bucket_limit fingerprints (or a 40,000th of all rows, which bounds their number) go down `step` bits
+    at a time, each with the errors that it has spent, and a pair over its budget is pruned; so do pairs of which one
+    node is empty. The others, small ones, are walked to the end in one task each by trie_links().
     """
     blocks = _blocks(budget)
     bits = F.col("fp")
-    first = F.array(*(F.struct(F.lit(i).alias("b"), F.shiftrightunsigned(F.shiftleft(bits, a), BITS - n).alias("k"), F.shiftrightunsigned(_turn(bits, a + n), BITS - split_bits).alias("s")) for i, (a, n) in enumerate(blocks)))
-    rows = prints.select("fp", F.explode(first).alias("x")).select("fp", (F.col("x.b") * (1 << 20) + F.col("x.k")).alias("node"), F.col("x.s").alias("s"))
-    # budget + 1 blocks of about 64 / (budget + 1) bits: the number of nodes is fixed, whatever the data
-    count = rows.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_limit).select("node", F.lit(True).alias("large"))
-    rows = rows.join(F.broadcast(count), "node", "left")
-    near = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << split_bits) - 1).cast("long")), lambda q: F.bit_count(F.col("s").bitwiseXOR(q)) <= budget)
-    pairs = F.transform(near, lambda q: F.least("s", q) * (1 << split_bits) + F.greatest("s", q))
-    rows = rows.select("fp", "node", F.explode(F.when(F.col("large"), pairs).otherwise(F.array(F.lit(-1).cast("long")))).alias("pair"))
+    first = F.array(*(F.struct(F.lit(i).alias("block"), F.lit(n).alias("depth"), F.shiftrightunsigned(_turn(bits, a), BITS - n).alias("a")) for i, (a, n) in enumerate(blocks)))
+    cells = prints.select("fp", F.explode(first).alias("x")).select("fp", "x.block", "x.depth", "x.a", F.col("x.a").alias("b"))
+    cell = ["block", "depth", "a", "b"]
+    ready = []
+    while True:
+        on_a = F.expr("shiftrightunsigned(key, 64 - depth) = a")
+        sizes = saved(_begun(cells, blocks).groupBy(*cell).agg(F.count("*").alias("n"), F.count_if(on_a).alias("na")).filter(F.col("n") > 1))
+        total = sizes.agg(F.sum("n")).first()[0] or 0
+        limit = max(bucket_limit, total // 40_000)
+        large = sizes.filter((F.col("n") > limit) & (F.col("depth") < BITS)).withColumn("empty", (F.col("a") != F.col("b")) & ((F.col("na") == 0) | (F.col("na") == F.col("n")))).select(*cell, "empty")
+        if large.isEmpty():
+            ready.append(cells)
+            break
+        marked = cells.join(F.broadcast(large), cell, "left")
+        ready.append(marked.filter("empty is null").drop("empty"))
+        cells = saved(_children(marked.filter("not empty").drop("empty"), blocks, budget, step))
+    dealt = reduce(DataFrame.unionByName, ready).repartition(*cell).sortWithinPartitions(*cell)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         n = 0
-        for b in batches:
-            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]))
-            n += b.num_rows
+        for batch in batches:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+            n += batch.num_rows
             if n >= rows_at_once:
                 block = np.concatenate(held, axis=1)
                 change = np.flatnonzero((block[1:, 1:] != block[1:, :-1]).any(axis=0))
                 cut = int(change[-1]) + 1 if len(change) else 0
                 if cut:
-                    yield from _joined(block[:, :cut], blocks, budget, split_bits)
+                    yield from _joined(block[:, :cut], blocks, budget)
                 held, n = [block[:, cut:]], block.shape[1] - cut
         if n:
-            yield from _joined(np.concatenate(held, axis=1), blocks, budget, split_bits)
+            yield from _joined(np.concatenate(held, axis=1), blocks, budget)
 
-    dealt = rows.repartition("node", "pair").sortWithinPartitions("node", "pair")
-    return shipped(dealt).select("fp", "node", "pair").mapInArrow(run, "u long, v long")
+    return shipped(dealt).select("fp", *cell).mapInArrow(run, "u long, v long")
 
 
 def _turn(bits, by: int):
@@ -194,36 +229,28 @@ def _turn(bits, by: int):
     return bits if not by else F.shiftleft(bits, by).bitwiseOR(F.shiftrightunsigned(bits, BITS - by))
 
 
-def _joined(block: np.ndarray, blocks: list[tuple[int, int]], budget: int, split_bits: int) -> Iterator[pa.RecordBatch]:
-    fp, node, pair = block[0].astype(np.int64).view(np.uint64), block[1], block[2]
-    which = node >> 20
-    begin, length = np.array([a for a, _ in blocks])[which], np.array([n for _, n in blocks])[which]
-    key = _turned(fp, begin)
-    order = np.lexsort((key, pair, node))
-    key, fp, node, pair, length = key[order], fp[order], node[order], pair[order], length[order]
-    edge = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (pair[1:] != pair[:-1]))))
-    starts = np.concatenate((edge, [len(key)]))
-    depth = length[edge] + np.where(pair[edge] >= 0, split_bits, 0)
-    halves = np.full(len(edge), -1)
-    split = (1 << split_bits) - 1
-    for g in np.flatnonzero((pair[edge] >= 0) & ((pair[edge] >> split_bits) != (pair[edge] & split))):
-        lo, hi = starts[g], starts[g + 1]
-        part = (key[lo:hi] >> (np.uint64(BITS) - depth[g].astype(np.uint64))) & np.uint64(split)
-        halves[g] = lo + int(np.searchsorted(part, part[0], side="right"))
-        if halves[g] == hi:  # one half is empty
-            halves[g], depth[g] = hi, BITS
-    keep = halves != starts[1:]
-    if not keep.all():
-        take = np.concatenate([np.arange(a, b) for a, b, k in zip(starts[:-1], starts[1:], keep) if k] or [np.zeros(0, np.int64)])
-        sizes = (starts[1:] - starts[:-1])[keep]
-        moved = np.concatenate(([0], np.cumsum(sizes)))
-        halves = np.where(halves[keep] < 0, -1, halves[keep] - starts[:-1][keep] + moved[:-1])
-        key, fp, starts, depth = key[take], fp[take], moved, depth[keep]
-    if not len(key):
+def _joined(rows: np.ndarray, blocks: list[tuple[int, int]], budget: int) -> Iterator[pa.RecordBatch]:
+    """Links within cells; rows: fp, block, depth, a and b, cell by cell."""
+    fp, block, depth, a, b = rows
+    key = _turned(fp.view(np.uint64), np.array([x for x, _ in blocks])[block])
+    order = np.lexsort((key, b, a, depth, block))
+    key, fp, block, depth, a, b = (x[order] for x in (key, fp, block, depth, a, b))
+    edge = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (depth[1:] != depth[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    ends = np.concatenate((edge[1:], [len(key)]))
+    path = (key >> (np.uint64(BITS) - depth.astype(np.uint64))).view(np.int64)
+    in_b = np.add.reduceat((path == b) & (a != b), edge)  # keys are in order, so those of b follow those of a
+    two = a[edge] != b[edge]
+    halves = np.where(two, ends - in_b, -1)
+    keep = ~two | ((halves > edge) & (halves < ends))
+    keep &= ends - edge > 1
+    if not keep.any():
         return
-    label = trie_links(key, starts, depth, halves, budget)
-    tied = label != np.arange(len(key))
-    u, v = fp[tied].view(np.int64), fp[label[tied]].view(np.int64)
+    take = np.concatenate([np.arange(x, y) for x, y in zip(edge[keep], ends[keep])])
+    moved = np.concatenate(([0], np.cumsum(ends[keep] - edge[keep])))
+    halves = np.where(halves[keep] < 0, -1, halves[keep] - edge[keep] + moved[:-1])
+    label = trie_links(key[take], moved, depth[edge[keep]], halves, budget)
+    tied = label != np.arange(len(take))
+    u, v = fp[take][tied], fp[take][label[tied]]
     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 

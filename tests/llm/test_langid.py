@@ -43,7 +43,8 @@ def test_viterbi_against_brute_force(model):
 
 
 def test_memory_of_words_is_bounded(model):
-    small = langid.Model(model.langs, model.index, model.scores, model.scripts, limit=50)
+    small = langid.Model(model.langs, model.index, model.begin, model.of, model.more, model.base, model.scripts, model.usual, limit=50)
+    small.limit = 50
     texts = [prose(i, 400) for i in range(4)]
     assert [x[0] for x in small.label(texts)] == [x[0] for x in model.label(texts)] and len(small.known) <= 50
 
@@ -71,3 +72,67 @@ def test_a_run_of_letters_is_read_whole(model):
     assert lang == "de" and [s[2] for s in spans] == ["en", "de"] and all(s[:2] == (0, 0) for s in spans)
     (lang, _, spans), *_ = [x[:3] for x in model.label([prose(3, 20) + " " + title + body + " " + prose(4, 20)])]
     assert lang == "de" and spans[0][0] == 0 and spans[-1][1] == 40 and "de" in [s[2] for s in spans]
+
+
+def plain_label(model, text):
+    """The rule word by word: scores from the entries, all paths, letters and shares."""
+    import itertools
+    import math
+
+    words = langid.pieces(langid.WORD.findall(text.lower()))[0]
+    entries = {g: {int(model.of[e]): float(model.more[e]) for e in range(model.begin[i], model.begin[i + 1])} for g, i in model.index.items()}
+    n, rows, fits = len(model.langs), [], []
+    for w in words:
+        gs = langid.grams(w)
+        score = [sum(float(model.base[x]) + entries[g].get(x, 0.0) for g in gs if g in entries) for x in range(n)]
+        fit = [sum(x in entries[g] for g in gs if g in entries) / len(gs) / model.usual[x] for x in range(n)]
+        allowed = model.scripts.get(langid.script(w[0]))
+        score = [s if allowed is None or allowed[x] else -1e9 for x, s in enumerate(score)]
+        fits.append([0.0 if allowed is None or not allowed[x] else fit[x] for x in range(n)])
+        top = max(score)
+        every = top + math.log(sum(math.exp(s - top) for s in score))
+        rows.append([max(model.floor, s - every) for s in score])
+    value = lambda p: sum(rows[i][x] for i, x in enumerate(p)) - model.switch * sum(a != b for a, b in zip(p, p[1:]))
+    path = max(itertools.product(range(n), repeat=len(words)), key=value)
+    size = [len(w) for w in words]
+    mass = [sum(s for s, x in zip(size, path) if x == k) for k in range(n)]
+    win = mass.index(max(mass))
+    sure = sum(math.exp(r[win]) * s for r, s in zip(rows, size)) / sum(size)
+    known = sum(f[x] * s for f, x, s in zip(fits, path, size)) / sum(size)
+    return model.langs[win], 0.5 * mass[win] / sum(size) + 0.5 * sure, min(1.0, known), value(path)
+
+
+def test_label_against_brute_force(model):
+    for text in [prose(1, 5), prose(2, 6, "de"), prose(3, 3) + " " + prose(4, 4, "de"), "это текст the and", "zzz qqq", "日本 the", prose(5, 2) + "русский" + prose(6, 1)]:
+        lang, score, _, known = model.label([text])[0]
+        want = plain_label(model, text)
+        assert lang == want[0] and abs(score - want[1]) < 1e-4 and abs(known - want[2]) < 1e-2
+
+
+def test_long_texts_in_steps(model):
+    """A text over the cells held at a time has the same path, whatever the steps."""
+    for seed in range(4):
+        text = " ".join(prose(10 * seed + i, 40, ("en", "de")[i % 2]) for i in range(6))
+        whole, parts = model.label([text])[0], model.label([text], cells=60)[0]
+        assert whole[0] == parts[0] and whole[2] == parts[2] and abs(whole[1] - parts[1]) < 1e-6 and abs(whole[3] - parts[3]) < 1e-6
+
+
+def test_runs_of_several_scripts(model):
+    assert langid.by_script("абвabc日本") == ["абв", "abc", "日本"] and langid.by_script("café") == ["café"]
+    assert [s[2] for s in model.label(["русскийслово" * 3 + prose(1, 40).replace(" ", "").replace(".", "")])[0][2]] == ["ru", "en"]
+
+
+def test_every_language_is_learned(spark):
+    """A rare language keeps its n-grams however many others there are, and however small the model."""
+    import random
+
+    r = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{i:03d}": ["".join(r.choice(letters) for _ in range(5)) for _ in range(30)] for i in range(120)}
+    rows = [(1000 * i + k, " ".join(r.choice(ws) for _ in range(40)), lang) for i, (lang, ws) in enumerate(own.items()) for k in range(1 if i == 7 else 4)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model_grams=1000)
+    assert model.langs == sorted(own) and len(model.of) <= 120 * 500
+    got = model.label([" ".join(r.choice(ws) for _ in range(20)) for ws in own.values()])
+    assert [g[0] for g in got] == sorted(own)
+    with pytest.raises(ValueError):
+        langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_langs=100)

@@ -1,3 +1,5 @@
+import random
+
 from tessera.llm import license_scan as L
 
 
@@ -38,6 +40,69 @@ def test_voted_labels_and_spans(spark):
     assert got[9].labels == "" and got[9].score == 0 and got[2].score == 0.5
 
 
+def voted(text, k=4, min_votes=0.3, min_share=0.7):
+    """The spans by their rules, word by word: (label, first, last, share)."""
+    w = L.template_words(text or "")
+    found = []
+    for t, (label, said) in enumerate(L.TEMPLATES):
+        tw = L.template_words(said)
+        runs = len(tw) - k + 1
+        votes = {}
+        for p in range(len(w) - k + 1):
+            for q in range(runs):
+                if w[p:p + k] == tw[q:q + k]:
+                    votes.setdefault(p - q, []).append((p, q))
+        bands, slack = [], max(2, len(tw) // 8)
+        for d in sorted(votes):
+            if bands and d - bands[-1][-1] <= slack:
+                bands[-1].append(d)
+            else:
+                bands.append([d])
+        parts = []
+        for ds in bands:
+            ps = [p for d in ds for p, _ in votes[d]]
+            parts += [ds] if max(ps) + k - min(ps) <= 1.25 * len(tw) + slack else [[d] for d in ds]
+        for ds in parts:
+            at = [x for d in ds for x in votes[d]]
+            same = sum(any(0 <= j + d < len(w) and w[j + d] == tw[j] for d in ds) for j in range(len(tw)))
+            if len({q for _, q in at}) >= min_votes * runs and same / len(tw) >= min_share:
+                found.append((same / len(tw), len(tw), -t, min(p for p, _ in at), max(p for p, _ in at) + k - 1, label))
+    best = [x for x in found if not any(y[:5] > x[:5] and y[3] <= x[4] and x[3] <= y[4] for y in found)]
+    return sorted({(x[5], x[3], x[4], x[0]) for x in best})
+
+
+def test_votes_against_brute_force(spark, odd_docs):
+    r = random.Random(1)
+    texts = list(TEXTS)
+    for _ in range(60):
+        w = []
+        for _ in range(r.randint(1, 4)):
+            own = L.template_words(r.choice(L.TEMPLATES)[1])
+            for _ in range(r.choice([0, 0, 1, 2, 5])):
+                at = r.randrange(len(own))
+                own[at:at + r.randint(0, 1)] = [r.choice(["of", "license", "zzz", "software"])] * r.randint(0, 4)
+            w += [r.choice(["x", "the", "mit", "license"])] * r.randint(0, 12) + own[r.choice([0, 0, 0, 3]):]
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    some = 0
+    for d in (df, odd_docs.select("doc_id", "text")):
+        for row in L.license_scan(d.withColumn("raw", d["text"])).collect():
+            want = voted(row.raw)
+            some += len(want)
+            assert [tuple(s) for s in row.spans] == want
+            assert row.labels == ",".join(sorted({s[0] for s in want} | set(brute(row.raw)[4].split(",")) - {""}))
+            assert row.score == (max((s[3] for s in want), default=0.5 if brute(row.raw)[1] else 0))
+    assert some > 60
+
+
+def test_copies_and_repeated_rows(spark):
+    """Half of all rows are one text, some with one id; each row has its result, and none is lost."""
+    text = "x y z. Released under the MIT License. " * 3
+    df = spark.range(4000).selectExpr("if(id < 1000, 7, id) AS doc_id", f"if(id % 2 = 0, '{text}', concat('this program is free software ', id)) AS text")
+    got = L.license_scan(df, k=3).groupBy("labels", "n_base", "score").count().collect()
+    assert sorted((r.labels, r.n_base, r["count"]) for r in got) == [("", 0, 2000), ("mit", 3, 2000)]
+
+
 def test_every_template_finds_itself(spark):
     df = spark.createDataFrame([(i, "before it " + t + " after it") for i, (_, t) in enumerate(L.TEMPLATES)], "doc_id long, text string")
     for r in L.license_scan(df).collect():

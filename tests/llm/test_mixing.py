@@ -67,3 +67,16 @@ def test_many_buckets_and_reruns(spark):
         assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 37
     took = mixing.take(df, bucket_rows=50, fan=4)
     assert took.count() == sum(first.values()) and took.columns == df.columns
+
+
+def test_repeated_rows_move_a_source_by_one_row_at_most(spark):
+    """3000 rows alike in a source of 40,000 words: each copy is taken on its own; they are spelt out again in parts."""
+    df = spark.range(4000).selectExpr("if(id < 3000, 1, id) AS doc_id", "repeat('w ', if(id < 3000, 10, 11)) AS text", "if(id < 3900, 'a', 'b') AS source", "map('k', if(id < 2000, 1, 2)) AS m")
+    for at_once in (10_000, 700):
+        rows = mixing.mix(df, at_once=at_once).collect()
+        assert len(rows) == 4000
+        for s in ("a", "b"):
+            own = [r for r in rows if r.source == s]
+            assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 11 and max(r.copies for r in own) <= 2
+        assert sum(r.doc_id == 1 for r in rows) == 3000 and sum(r.m["k"] == 1 for r in rows) == 2000
+    assert mixing.take(df).count() == sum(r.copies for r in rows)

@@ -1,3 +1,4 @@
+import random
 import re
 
 import duckdb
@@ -56,11 +57,22 @@ def test_distance(spark):
 
 def test_junk_goes_and_clean_stays(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
-    kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")).collect()}
+    kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")).collect()}
     by = {q: [kept[r.doc_id] for r in rows.collect() if r.quality == q and len(r.text.split()) >= 40] for q in (0, 1)}
     assert np.mean(by[1]) > 0.97 and np.mean(by[0]) < 0.1
 
 
+def test_a_fifth_language_gets_a_reference(spark):
+    """Texts in a script and with words of their own are usual among their like; those of a language that few texts have are left alone."""
+    r = random.Random(4)
+    words = "και το να του η με για την που είναι στο από τα θα δεν στην ένα αυτό οι ότι άνθρωποι γεννιούνται ελεύθεροι ίσοι λόγος κόσμος νερό δρόμος".split()
+    greek = [" ".join(r.choice(words[:20]) if r.random() < 0.4 else r.choice(words[20:]) + r.choice(words[20:]) for _ in range(150)) + "." for _ in range(40)]
+    rows = [(i, t, "el") for i, t in enumerate(greek)] + [(100 + i, prose(i, 150), "en") for i in range(60)] + [(200, "слово ещё одно и потом другое " * 9 + prose(7, 30), "ru"), (201, "слово ещё одно и потом другое " * 9, None), (202, " ".join(f"q{i}zx%" for i in range(150)), "en")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), repeat_percent=100).collect()}
+    assert all(got[i].kept for i in [*range(40), *range(100, 160), 200, 201]) and not got[202].kept
+    assert got[200].class_distance is None and got[0].class_distance < 0.2
+
+
 def test_learning_from_positives_only():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(size=(3000, 120)), rng.normal(size=(600, 120))
@@ -71,6 +83,44 @@ def test_learning_from_positives_only():
     assert np.mean(z(good[2500:]) > 0) > 0.9 and np.mean(z(bad[300:]) < 0) > 0.75
 
 
+def test_risk_against_plain_sums():
+    """The two parts by their definition, one text at a time, and their gradients by small steps."""
+    rng = np.random.default_rng(2)
+    p, u, w, b, prior = rng.normal(size=(7, 3)), rng.normal(size=(9, 3)), rng.normal(size=3), 0.3, 0.6
+    loss = lambda x, w, b, y: np.log(1 + np.exp(-y * (sum(a * c for a, c in zip(x, w)) + b)))
+    one = lambda w, b: prior * sum(loss(x, w, b, 1) for x in p) / len(p)
+    two = lambda w, b: sum(loss(x, w, b, -1) for x in u) / len(u) - prior * sum(loss(x, w, b, -1) for x in p) / len(p)
+    first, second, grad1, grad2 = quality_model.risk(w, b, p, u, prior)
+    assert abs(first - one(w, b)) < 1e-12 and abs(second - two(w, b)) < 1e-12
+    for f, (gw, gb) in ((one, grad1), (two, grad2)):
+        for i in range(3):
+            step = np.eye(3)[i] * 1e-6
+            assert abs((f(w + step, b) - f(w - step, b)) / 2e-6 - gw[i]) < 1e-6
+        assert abs((f(w, b + 1e-6) - f(w, b - 1e-6)) / 2e-6 - gb) < 1e-6
+
+
+def test_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(3)
+    for share in (0.3, 0.6, 0.9):
+        n = int(4000 * share)
+        positive, unlabelled = rng.normal(2, 1, (2000, 110)), np.concatenate([rng.normal(2, 1, (n, 110)), rng.normal(-2, 1, (4000 - n, 110))])
+        assert abs(quality_model.class_prior(positive, unlabelled) - share) < 0.06
+    assert quality_model.class_prior(positive[:10], unlabelled[:10]) == 0.5
+
+
+def test_an_id_in_half_the_table_is_drawn_once(spark):
+    """What comes to the driver is bounded by the two numbers, whatever ids and texts repeat."""
+    docs = spark.range(6000).selectExpr("if(id % 2 = 0, 7, id) AS doc_id", "if(id % 4 = 0, 'the same text again', concat('text number ', id, ' of many')) AS text")
+    labels = spark.createDataFrame([(7, 1), (9, 1), (11, 0)], "doc_id long, quality int")
+    seen = []
+    keep, quality_model.train = quality_model.train, lambda p, u, prior, **_: seen.append((len(p), len(u))) or keep(p, u, prior, epochs=1)
+    try:
+        assert quality_model.fit(docs, labels, positives=50, unlabelled=100) is not None
+    finally:
+        quality_model.train = keep
+    assert all(p <= 50 and u <= 100 for p, u in seen) and seen[-1][0] > 10
+
+
 def test_held_out_ranking(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
