@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, langid, line_dedup, mixing, near_copies
 from tessera.llm.common import fold, folder, table
+from tessera.sources.saved import remove
 
 #: A document with less evidence than this (see langid.Model.label) isn't text of learned languages, one or several.
 LEAST_EVIDENCE = 0.75
@@ -69,7 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
         if before is not None:
-            path = spark._jvm.org.apache.hadoop.fs.Path(before)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(spark, before)
         before = out
     return docs
