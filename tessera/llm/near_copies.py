@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, sets decide, components group."""
+"""Near copies by the Jaccard similarity of word shingles: SimHash links and MinHash bands find candidates, sets decide, components group."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm import simhash
 from tessera.llm.common import join_skewed, saved, shipped
 from tessera.llm.graph import components
 
@@ -30,13 +31,17 @@ def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends)), np.uint64, n))
 
 
-def bands(found: np.ndarray) -> list[int]:
-    """A number for each band of minima, with the band in it."""
+def signature(found: np.ndarray) -> tuple[list[int], bytes, int]:
+    """Of a set of hashes: a number for each band of minima, with the band in it; a byte of each minimum; the majority bits."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    ones = np.zeros(64, np.int64)
     for at in range(0, len(found), 1024):
-        np.minimum(least, (found[at:at + 1024, None] * _BY).min(axis=0), out=least)
+        block = found[at:at + 1024]
+        np.minimum(least, (block[:, None] * _BY).min(axis=0), out=least)
+        ones += np.unpackbits(block.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     raw = least.tobytes()
-    return [xxhash.xxh64_intdigest(raw[8 * ROWS * i:8 * ROWS * (i + 1)], i) for i in range(BANDS)]
+    numbers = [xxhash.xxh64_intdigest(raw[8 * ROWS * i:8 * ROWS * (i + 1)], i) for i in range(BANDS)]
+    return numbers, least.astype(np.uint8).tobytes(), int.from_bytes(np.packbits(2 * ones > len(found)).tobytes(), "big")
 
 
 def _signed(values) -> pa.Array:
@@ -51,7 +56,6 @@ def _kept(df: DataFrame) -> DataFrame:
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Of pairs (u, v) of keys, those whose sets (key, found) have the similarity `least` at least."""
-    pairs = _kept(pairs.distinct())
     for side in ("u", "v"):
         held = pairs.groupBy(F.col(side)).agg(F.count("*").alias("n"))
         own = held.join(sets, F.col(side) == F.col("key")).select(side, "n", F.col("found").alias(f"{side}_found"))
@@ -69,63 +73,113 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return _kept(shipped(pairs).select("u", "v", "u_found", "v_found").mapInArrow(run, "u long, v long"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", salt: int = 2000) -> DataFrame:
+def _melted(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """keys with root: the smallest key of their group over the links."""
+    root = components(links)
+    return _kept(keys.join(root, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node"))
+
+
+def _mixed(keys: DataFrame, size: int) -> DataFrame:
+    """(band, key, n, root, c, size): the keys of buckets of `size` at least that hold several groups, with the smallest key of the bucket."""
+    spread = keys.select("key", "n", "root", F.explode("bands").alias("band"))
+    buckets = spread.groupBy("band").agg(F.min(F.struct("key", "n", "root")).alias("c"), F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size"))
+    buckets = _kept(buckets.filter((F.col("a") != F.col("b")) & (F.col("size") >= size)).select("band", "c", "size"))
+    return join_skewed(spread, buckets, ["band"], "size", ["c", "size"], F.xxhash64("key"), inner=True)
+
+
+def _by_signature(rows: DataFrame, least: float, salt: int) -> DataFrame:
+    """(u, v) of rows (band, size, key, n, root, sig): pairs of a bucket, of two groups, whose sizes and signatures allow the similarity.
+
+    A large bucket is cut into parts of about `salt` keys by a hash; each pair of parts is one task's product. Of 125
+    minima, a pair at 0.8 shares under three fifths with a chance of 1e-8.
+    """
+    parts = F.ceil(F.col("size") / salt)
+    own = F.pmod(F.xxhash64("key"), parts)
+    dealt = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    dealt = dealt.select("band", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), "own", "key", "n", "root", "sig")
+
+    def run(t: pa.Table) -> pa.Table:
+        own, key, n, root = (t.column(c).to_numpy() for c in ("own", "key", "n", "root"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
+        a, b = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        found = []
+        for i in a:
+            some = b[(root[b] != root[i]) & (np.minimum(n[b], n[i]) >= least * np.maximum(n[b], n[i])) & ((p != q) | (key[b] > key[i]))]
+            some = some[(sig[some] == sig[i]).sum(axis=1) >= 0.6 * BANDS * ROWS]
+            found.append(np.stack([np.full(len(some), key[i]), key[some]]))
+        u, v = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
+
+    return shipped(dealt).groupBy("band", "p", "q").applyInArrow(run, "u long, v long")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, budget: int = 4, id_col: str = "doc_id", text_col: str = "text", salt: int = 2000) -> DataFrame:
     """docs with one document of each group of near copies, the one of the smallest id.
 
     Two texts are linked if their sets of word shingles have the Jaccard similarity `least` at least; groups are components
     of links. Texts without a word are copies of each other. Rows without an id pass and link nothing. Of rows of the same
     id in one group, the one with the smallest text (null first) stays; in several groups, one of each.
 
-    Equal sets are one key. In each bucket of a band the keys are first held against the smallest one; then, where a bucket
-    has keys of several groups, each against those of the other groups: no group of near copies is spelt out as pairs.
+    Equal sets are one key. Candidates come in three turns, and each is checked on the sets: SimHash fingerprints within
+    `budget` bits, by the trie join; in each bucket of a MinHash band that still holds several groups, the keys against the
+    smallest one; and last, where buckets still do, the keys against those of the other groups, by their signatures. So no
+    group of near copies is spelt out as pairs, and a pair is missed only if the bands miss it.
     """
     keyed = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = keyed.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingles(t.as_py(), shingle) for t in b.column(2)]
-            parts = [_signed([xxhash.xxh64_intdigest(x.tobytes()) for x in found]), pa.array([len(x) for x in found], pa.int64())]
-            flat = _signed([h for x in found for h in bands(x)])
-            sizes = pa.array(np.arange(len(found) + 1) * BANDS, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *parts, pa.ListArray.from_arrays(sizes, flat)], names=["id", "th", "key", "n", "bands"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                found = [shingles(t.as_py(), shingle) for t in b.column(2)]
+                signs = [signature(x) for x in found]
+                sizes = pa.array(np.arange(len(found) + 1) * BANDS, pa.int32())
+                columns = [_signed([xxhash.xxh64_intdigest(x.tobytes()) for x in found]), pa.array([len(x) for x in found], pa.int64()), pa.ListArray.from_arrays(sizes, _signed([h for x in signs for h in x[0]])), pa.array([x[1] for x in signs], pa.binary()), _signed([x[2] for x in signs])]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["id", "th", "key", "n", "bands", "sig", "fp"])
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingles(t.as_py(), shingle).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["key", "found"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], names=["key", "found"])
 
     hashed = keyed.select("id", F.xxhash64("text").alias("th"), "text")
-    rows = saved(shipped(hashed).mapInArrow(run, f"id {kind}, th long, key long, n long, bands array<long>"))
+    rows = saved(shipped(hashed).mapInArrow(run, f"id {kind}, th long, key long, n long, bands array<long>, sig binary, fp long"))
     # one row a key; equal sets need no bands of their own
-    keys = rows.groupBy("key").agg(F.min(F.struct("id", "th")).alias("of"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    spread = saved(keys.select("key", "n", "of", F.explode("bands").alias("band")))
-    buckets = _kept(spread.groupBy("band").agg(F.min(F.struct("key", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1"))
-    met = _kept(join_skewed(spread, buckets, ["band"], "size", ["c", "size"], F.xxhash64("key")).filter("c is not null"))
+    keys = _kept(rows.groupBy("key").agg(F.min(F.struct("id", "th")).alias("of"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "bands", "sig", "fp"))))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Of pairs (u, v) of keys those that are similar, by the sets of the texts they are of."""
+        pairs = _kept(pairs.filter("u <> v").distinct())
+        used = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(keys.select("key", "of"), "key")
+        texts = used.select("key", F.col("of.id").alias("_tz_of"), F.col("of.th").alias("_tz_th"))
+        want = hashed.join(texts, (F.col("id") == F.col("_tz_of")) & (F.col("th") == F.col("_tz_th"))).dropDuplicates(["key"]).select("key", "text")
+        return _similar(pairs, _kept(shipped(want).mapInArrow(full, "key long, found binary")), least)
+
     alike = lambda a, b: F.least(a, b) >= least * F.greatest(a, b)  # noqa: E731 - else no similarity of `least`
-    texts = met.select("of", "key").distinct().select(F.col("of.id").alias("_tz_of"), F.col("of.th").alias("_tz_th"), "key")
-    want = hashed.join(texts, (F.col("id") == F.col("_tz_of")) & (F.col("th") == F.col("_tz_th"))).dropDuplicates(["key"]).select("key", "text")
-    sets = saved(shipped(want).mapInArrow(full, "key long, found binary"))
-
-    links = _similar(met.filter((F.col("key") != F.col("c.key")) & alike(F.col("n"), F.col("c.n"))).select(F.col("c.key").alias("u"), F.col("key").alias("v")), sets, least)
-    root = _kept(components(links))
-    weights = root.groupBy("node", "root").agg(F.count("*").alias("w")).select(F.col("node").alias("key"), "root", F.lit(BANDS).alias("w"))
-    placed = met.join(weights, "key", "left").select("key", "n", "band", "c", F.coalesce("root", "key").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size")).filter("a <> b and size > 2")
-    others = _kept(join_skewed(_kept(placed), _kept(mixed.select("band", "size")), ["band"], "size", ["size"], F.xxhash64("key")).filter("size is not null and key <> c.key"))
-    # a large bucket is dealt out: one side by a hash of the key, the other to all parts
-    parts = F.ceil(F.col("size") / salt)
-    one = others.select("band", F.pmod(F.xxhash64("key"), parts).alias("part"), F.col("key").alias("v"), F.col("n").alias("n1"), F.col("root").alias("r1"))
-    two = others.select("band", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("key").alias("u"), F.col("n").alias("n2"), F.col("root").alias("r2"))
-    crossed = one.join(two, ["band", "part"]).filter((F.col("u") < F.col("v")) & (F.col("r1") != F.col("r2")) & alike(F.col("n1"), F.col("n2"))).select("u", "v")
-    more = _similar(crossed, sets, least)
+    prints = _kept(keys.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("c"), F.count("*").alias("size")))
+    same = join_skewed(keys.select("key", "n", "fp"), prints.filter("size > 1"), ["fp"], "size", ["c"], F.xxhash64("key"), inner=True).select(F.col("c.key").alias("u"), F.col("key").alias("v"), F.col("c.n").alias("n1"), F.col("n").alias("n2"))
+    print_of = lambda side: prints.select(F.col("fp").alias(side), F.col("c").alias(f"c{side}"))
+    near = simhash.links(prints.select("fp"), budget).join(print_of("u"), "u").join(print_of("v"), "v").select(F.col("cu.key").alias("u"), F.col("cv.key").alias("v"), F.col("cu.n").alias("n1"), F.col("cv.n").alias("n2"))
+    links = checked(same.unionByName(near).filter(alike(F.col("n1"), F.col("n2"))).select("u", "v"))
+    melted = _melted(keys, links)
+
+    met = _mixed(melted, 2).filter((F.col("root") != F.col("c.root")) & alike(F.col("n"), F.col("c.n")))
+    links = _kept(links.unionByName(checked(met.select(F.col("c.key").alias("u"), F.col("key").alias("v")))))
+    melted = _melted(keys, links)
+
+    rest = _kept(_mixed(melted, 3).select("band", "size", "key", "n", "root"))
+    more = checked(_by_signature(rest.join(keys.select("key", "sig"), "key"), least, salt).distinct())
     if not more.isEmpty():
-        root = _kept(components(links.unionByName(more)))
+        melted = _melted(keys, links.unionByName(more))
 
-    groups = _kept(rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).join(root, F.col("key") == F.col("node"), "left").select("key", "first", "n", F.coalesce("root", "key").alias("root")))
+    groups = _kept(melted.select("key", "copies", "root", F.col("of.id").alias("first")))
     smallest = _kept(groups.groupBy("root").agg(F.min("first").alias("stays"), F.count("*").alias("prints")))
     named = join_skewed(groups, smallest, ["root"], "prints", ["stays"], F.xxhash64("key")).filter("first = stays")
-    stay = rows.join(named.select("key", "root", "stays"), "key").filter("id = stays").select(F.col("id").alias("_tz_id0"), F.col("th").alias("_tz_th"), F.col("root").alias("_tz_root")).distinct()
+    of_key = join_skewed(rows.select("key", "id", "th"), _kept(named.select("key", "copies", "root", "stays")), ["key"], "copies", ["root", "stays"], F.xxhash64("id"), inner=True)
+    stay = of_key.filter("id = stays").select(F.col("id").alias("_tz_id0"), F.col("th").alias("_tz_th"), F.col("root").alias("_tz_root")).distinct()
     some = docs.filter(F.col(id_col).isNotNull()).join(stay, (F.col(id_col) == F.col("_tz_id0")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_tz_th")))
     order = W.partitionBy(id_col, "_tz_root").orderBy(text_col)
     some = some.withColumn("_tz_n", F.row_number().over(order)).filter("_tz_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
