@@ -42,13 +42,14 @@ HINTS = {
     "main": "article content entry story body text post main hentry prose",
     "menu": "menu nav navbar navigation breadcrumb breadcrumbs topbar pagination pager toc",
     "frame": "header footer masthead banner logo copyright bottom colophon",
-    "side": "sidebar side aside widget rail related recommended popular more tags share social meta byline toolbar",
+    "side": "sidebar side aside widget rail",
+    "more": "related recommended popular more tags share social meta byline toolbar",
     "ad": "ad ads advert advertisement adverts sponsor sponsored promo promotion adsense",
     "notice": "cookie cookies consent gdpr notice alert newsletter popup modal subscribe signup login",
     "reader": "comment comments reply replies disqus responses respond discussion feedback",
 }
 _HINT = {w: k for k, ws in HINTS.items() for w in ws.split()}
-_STRONG = ("reader", "ad", "notice", "menu", "side", "frame", "main")
+_STRONG = ("reader", "ad", "notice", "menu", "side", "more", "frame", "main")
 
 
 def hint(attrs: str) -> str:
@@ -228,7 +229,7 @@ def describe(t: Tree) -> np.ndarray:
     return out
 
 
-DAMPED = 0.4
+DAMPED = 0.2
 SIZES = (len(TAGS), len(KINDS), 7, 4, 5)
 
 

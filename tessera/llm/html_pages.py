@@ -19,9 +19,18 @@ def _links(r: random.Random, n: int, tag: str = "li") -> str:
     return "".join(f'<{tag}><a href="/{i}">{_words(r, 1, 3)}</a></{tag}>' for i in range(n))
 
 
+#: How often a part has a name that says nothing, and a part of an article one that says something else.
+ODD, MISLEADING = 0.08, 0.08
+
+
+def _name(r: random.Random, names: list[str]) -> str:
+    """One of the names or, now and then, one that no list has."""
+    return r.choice(names) if r.random() >= ODD else f"{_words(r, 1, 1)}-{r.randint(1, 99)}"
+
+
 def _mark(r: random.Random, names: list[str], always: bool = True) -> str:
     kind = r.random() * (0.9 if always else 1)
-    name = r.choice(names)
+    name = _name(r, names)
     name = r.choice([name, name + r.choice(["-1", "-box", "_main", "-wrapper", " clearfix"])])
     return f' class="{name}"' if kind < 0.5 else f' id="{name}"' if kind < 0.8 else f' class="{name}" id="{r.choice(names)}"' if kind < 0.9 else ""
 
@@ -53,6 +62,9 @@ def _inner(r: random.Random) -> str:
             parts.append(f"<figure><figcaption>{_words(r, 3, 12)}</figcaption></figure>")
         else:
             parts.append(f"<div>{text}</div>")
+        if r.random() < MISLEADING:
+            own = r.choice(["more", "story-tags", "share-quote", "post-meta", "side-note", "header-text", "related-facts", "top-banner"])
+            parts[-1] = f"<div {r.choice(['class', 'id'])}=\"{own}\">{parts[-1]}</div>"
     for kind in ("ad", "share", "related", "aside", "comments", "notice", "form", "nav", "footer"):
         if r.random() < 0.06:
             parts.insert(r.randint(0, len(parts)), f"<x-noise>{_noise(r, kind)}</x-noise>")
@@ -76,17 +88,17 @@ def _noise(r: random.Random, kind: str) -> str:
         body = r.choice([f"<h3>{_words(r, 1, 3)}</h3><ul>{_links(r, r.randint(2, 8))}</ul>", f"<p>{text}</p>", f"<div><p>{text}</p></div>"])
         return f"<aside>{body}</aside>" if r.random() < 0.6 else f'<div{_mark(r, ["sidebar", "side", "widget", "rail"])}>{body}</div>'
     if kind == "ad":
-        return f'<{(t := r.choice(["div", "div", "section", "ins", "p"]))} class="{r.choice(["ad", "ads", "advert", "advertisement", "banner", "sponsored", "promo", "ad-box", "ad-slot"])}">{r.choice([text, f"<p>{text}</p>", f"<a href=#>{_words(r, 2, 6)}</a>"])}</{t}>'
+        return f'<{(t := r.choice(["div", "div", "section", "ins", "p"]))} class="{_name(r, ["ad", "ads", "advert", "advertisement", "banner", "sponsored", "promo", "ad-box", "ad-slot"])}">{r.choice([text, f"<p>{text}</p>", f"<a href=#>{_words(r, 2, 6)}</a>"])}</{t}>'
     if kind == "notice":
         return f'<div{_mark(r, ["cookie", "cookie-notice", "notice", "consent", "gdpr", "alert", "newsletter", "popup", "modal"])}><p>{text}</p><button>{_words(r, 1, 2)}</button></div>'
     if kind == "form":
         return f"<form action=/x><label>{_words(r, 1, 3)}</label><input name=q><select><option>{_words(r, 1, 2)}</option></select><button>{_words(r, 1, 2)}</button>{r.choice(['', f'<p>{text}</p>'])}</form>"
     if kind == "comments":
-        each = "".join(f'<{(t := r.choice(["div", "li", "article"]))} class="{r.choice(["comment", "reply", "comment-body"])}"><b>{_words(r, 1, 2)}</b><p>{_sentences(r, 1, 4)}</p></{t}>' for _ in range(r.randint(1, 5)))
-        return f'<{(t := r.choice(["section", "div", "ol"]))} {r.choice(["class", "id"])}="{r.choice(["comments", "comment-list", "disqus", "responses", "discussion", "replies"])}">{r.choice(["", f"<h2>{_words(r, 1, 3)}</h2>"])}{each}</{t}>'
+        each = "".join(f'<{(t := r.choice(["div", "li", "article"]))} class="{_name(r, ["comment", "reply", "comment-body"])}"><b>{_words(r, 1, 2)}</b><p>{_sentences(r, 1, 4)}</p></{t}>' for _ in range(r.randint(1, 5)))
+        return f'<{(t := r.choice(["section", "div", "ol"]))} {r.choice(["class", "id"])}="{_name(r, ["comments", "comment-list", "disqus", "responses", "discussion", "replies"])}">{r.choice(["", f"<h2>{_words(r, 1, 3)}</h2>"])}{each}</{t}>'
     if kind == "share":
-        return f'<div class="{r.choice(["share", "social", "tags", "meta", "byline", "toolbar"])}">{_links(r, r.randint(1, 5), "span")}</div>'
-    return f'<div class="{r.choice(["related", "recommended", "more", "related-posts", "popular"])}"><h3>{_words(r, 1, 3)}</h3><ul>{_links(r, r.randint(2, 7))}</ul></div>'
+        return f'<div class="{_name(r, ["share", "social", "tags", "meta", "byline", "toolbar"])}">{_links(r, r.randint(1, 5), "span")}</div>'
+    return f'<div class="{_name(r, ["related", "recommended", "more", "related-posts", "popular"])}"><h3>{_words(r, 1, 3)}</h3><ul>{_links(r, r.randint(2, 7))}</ul></div>'
 
 
 def pages(n: int, seed: int = 17) -> list[str]:

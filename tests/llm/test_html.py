@@ -1,4 +1,5 @@
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -71,8 +72,30 @@ def test_unseen_pages_of_the_generator(model):
     for page in pages(300, seed=4321):
         tree = H.parse(page)
         y = H._labels(tree)
-        same += text(model, page.replace("<x-content>", "").replace("</x-content>", "")) == " ".join(b for n, b in tree.blocks if y[n])
-    assert same > 270
+        same += text(model, re.sub("</?x-(?:content|noise)>", "", page)) == " ".join(b for n, b in tree.blocks if y[n])
+    assert same > 235
+
+
+def test_names_that_say_nothing_or_something_else(model):
+    """Labels come from the generator's marks, so a name is one piece of evidence among others."""
+    ad = "<body><div class='zone-7'><p>Buy this great thing now, everyone.</p></div>%s</body>"
+    body = "<article><p>Some text of words here.</p><div class='more'><p>Article paragraph in a more box.</p></div><div id='story-tags'><p>Another article paragraph, as text.</p></div></article>"
+    assert text(model, ad % body) == "Some text of words here. Article paragraph in a more box. Another article paragraph, as text."
+    assert H.hint(" data-id='ads' ng:class='menu'") == "" and H.hint(' ID="site-footer"') == "frame"
+
+
+def test_depth_takes_no_more_than_its_share_of_time():
+    import time
+
+    def spent(n):
+        page = "<div><b>" * n + "deep" + "</b></div>" * n
+        began = time.process_time()
+        tree = H.parse(page)
+        assert len(tree.parent) == n + 3 and tree.blocks[0][1] == "deep"
+        return time.process_time() - began
+
+    spent(500)
+    assert spent(16_000) < 40 * max(0.02, spent(1_000))
 
 
 def test_table(spark, model):
@@ -85,7 +108,6 @@ def test_table(spark, model):
 
 def test_query(spark, sf):
     import html
-    import re
 
     found = {r.page_id: r for r in H.op7_html(spark, sf).collect()}
     rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
