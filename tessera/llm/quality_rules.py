@@ -73,7 +73,7 @@ def divergence(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda s, x: s + x)))
 
 
-def quality_rules(docs: DataFrame, min_words: int = 10, repeat_percent: int = 20, guard_words: int = 40, guard_chars: int = 200, most_classes: float = 0.33, most_both: float = 0.46, top_words: int = 20, least_docs: int = 20, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 10, repeat_percent: int = 20, guard_words: int = 40, guard_chars: int = 200, most_classes: float = 0.33, most_both: float = 0.52, top_words: int = 20, least_docs: int = 20, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """docs without the text, with the counts, base_failed, class_distance, word_distance and kept.
 
     base_failed: n_words < min_words, or 100 * n_repeat_words > repeat_percent * n_words. A document that passes is kept
