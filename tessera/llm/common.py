@@ -61,21 +61,27 @@ def unpacked(df: DataFrame, schema_of: DataFrame, without: str | None = None, **
     return df.select(*kept, *(v.alias(k) for k, v in added.items() if k not in names))
 
 
-def join_skewed(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, payload: list[str], spread: Column, hot_keys: int = 1000, inner: bool = False) -> DataFrame:
+def join_skewed(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, payload: list[str], spread: Column | None = None, hot_keys: int = 1000, inner: bool = False) -> DataFrame:
     """rows left join lookup on keys (inner, if asked), with no task that gathers a hot key.
 
-    lookup has one row a key; `weight` says how many of `rows` hold the key at most. A key with over 1/hot_keys of
-    the sum of weights is hot: there are fewer than hot_keys of those whatever the data, so they are broadcast; rows
-    that hold one are dealt out by `spread` in the shuffle join with the other keys, where they match nothing.
+    lookup, a saved table, has one row a key; `weight` says how many of `rows` hold the key at most. A key with over
+    1/hot_keys of the sum of weights is hot: there are fewer than hot_keys of those whatever the data, so they are
+    broadcast. Rows that hold one take no part in the shuffle join with the other keys; where working `rows` out twice is
+    dear, `spread`, which must tell such rows apart, deals them out in that join instead, where they match nothing.
     """
     total = lookup.agg(F.sum(weight)).first()[0] or 0
-    hot = lookup.filter(F.col(weight) > total / hot_keys).select(*keys, *(F.col(c).alias(f"_tz_hot_{c}") for c in payload), F.lit(True).alias("_tz_is_hot"))
-    cold = lookup.filter(F.col(weight) <= total / hot_keys).select(*(F.col(k).alias(f"_tz_cold_{k}") for k in keys), F.lit(False).alias("_tz_cold_flag"), *(F.col(c).alias(f"_tz_cold_{c}") for c in payload))
-    marked = rows.join(F.broadcast(hot), keys, "left").withColumn("_tz_is_hot", F.coalesce("_tz_is_hot", F.lit(False)))
+    is_hot = F.col(weight) > total / hot_keys
+    hot, cold = lookup.filter(is_hot).select(*keys, *payload), lookup.filter(~is_hot)
+    cold = cold.select(*(F.col(k).alias(f"_tz_cold_{k}") for k in keys), F.lit(False).alias("_tz_cold_flag"), *(F.col(c).alias(f"_tz_cold_{c}") for c in payload))
     on = reduce(and_, (F.col(k) == F.col(f"_tz_cold_{k}") for k in keys))
-    if inner:  # rows without a match go nowhere, so there is nothing to deal out
-        hot_ones = marked.filter("_tz_is_hot").select(*rows.columns, *(F.col(f"_tz_hot_{c}").alias(c) for c in payload))
-        return hot_ones.unionByName(rows.join(cold, on).select(*rows.columns, *(F.col(f"_tz_cold_{c}").alias(c) for c in payload)))
+    how, found = ("inner" if inner else "left"), [*rows.columns, *(F.col(f"_tz_cold_{c}").alias(c) for c in payload)]
+    if hot.isEmpty():
+        return rows.join(cold, on, how).select(*found)
+    if spread is None or inner:
+        rest = rows if inner else rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+        return rows.join(F.broadcast(hot), keys).select(*rows.columns, *payload).unionByName(rest.join(cold, on, how).select(*found))
+    marks = hot.select(*keys, *(F.col(c).alias(f"_tz_hot_{c}") for c in payload), F.lit(True).alias("_tz_is_hot"))
+    marked = rows.join(F.broadcast(marks), keys, "left").withColumn("_tz_is_hot", F.coalesce("_tz_is_hot", F.lit(False)))
     marked = marked.withColumn("_tz_key", F.when(F.col("_tz_is_hot"), spread).otherwise(F.col(keys[0])))
     on = (F.col("_tz_key") == F.col(f"_tz_cold_{keys[0]}")) & (F.col("_tz_is_hot") == F.col("_tz_cold_flag"))
     for k in keys[1:]:

@@ -140,7 +140,7 @@ def license_scan(docs: DataFrame, k: int = 4, min_votes: float = 0.3, min_share:
     some = made.filter("_tz_hits is not null")
     found = _candidates(some, known, k, min_votes)
     texts = some.groupBy("_tz_h1", "_tz_h2").agg(F.count("*").alias("_tz_rows")).join(found, ["_tz_h1", "_tz_h2"], "left")
-    met = join_skewed(some.drop("_tz_hits"), saved(texts), ["_tz_h1", "_tz_h2"], "_tz_rows", ["_tz_found"], F.xxhash64("_tz_low", "_tz_row"))
+    met = join_skewed(some.drop("_tz_hits"), saved(texts), ["_tz_h1", "_tz_h2"], "_tz_rows", ["_tz_found"])
     met = met.withColumn("_tz_words", F.when(F.col("_tz_found").isNotNull(), F.array_remove(F.split("_tz_low", BREAKS), "")))
     met = met.withColumn("_tz_spans", _verified(k, min_share))
     no_spans = F.array().cast(met.schema["_tz_spans"].dataType)

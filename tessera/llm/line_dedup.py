@@ -21,7 +21,7 @@ FROM m GROUP BY doc_id
 """
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, many: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the kept text in text_col, and n_lines and n_dropped.
 
     A line's key is the line without white space at its ends and with A-Z lower-cased. A key of at least min_chars code
@@ -33,7 +33,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     those names.
 
     Keys travel as two 64-bit hashes, so two lines are taken for one another with a chance of 2^-128 a pair. The
-    count is a two-step aggregate (by key and id, then by key), so a line that a third of all rows hold meets in no task.
+    count is a two-step aggregate (by key and id, then by key), so a line that a third of all rows hold meets in no task;
+    nor do the lines of one document that stands in many rows (`many` at least, to be looked at), nor these rows.
     """
     text = F.coalesce(F.col(f"_tz_{text_col}"), F.lit(""))
     base = packed(docs, id_col, text_col, beside=text_col).select("_tz_row", F.col(f"_tz_{id_col}").alias("_tz_id"), text.alias("_tz_text"))
@@ -44,12 +45,15 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     lines = lines.withColumn("_tz_line", ascii_lower(F.col("_tz_line")))
     keyed = lines.select("_tz_id", "_tz_hash", "_tz_pos", F.xxhash64("_tz_line").alias("_tz_h1"), F.xxhash64(F.lit(1), "_tz_line").alias("_tz_h2"))
 
-    shared = keyed.groupBy("_tz_h1", "_tz_h2").agg(F.count_distinct("_tz_id").alias("_tz_n"), F.max("_tz_id").alias("_tz_keeper"))
-    shared = saved(shared.filter(F.col("_tz_n") >= min_docs))
-    met = join_skewed(keyed, shared, ["_tz_h1", "_tz_h2"], "_tz_n", ["_tz_keeper"], F.xxhash64("_tz_id", "_tz_pos"))
+    shared = keyed.groupBy("_tz_h1", "_tz_h2").agg(F.count_distinct("_tz_id").alias("_tz_n"), F.max("_tz_id").alias("_tz_keeper"), F.count("*").alias("_tz_rows"))
+    shared = shared.filter((F.col("_tz_n") >= min_docs) | (F.col("_tz_rows") >= many)).withColumn("_tz_keeper", F.when(F.col("_tz_n") >= min_docs, F.col("_tz_keeper")))
+    met = join_skewed(keyed, saved(shared), ["_tz_h1", "_tz_h2"], "_tz_rows", ["_tz_keeper"], F.xxhash64("_tz_id", "_tz_pos"))
     gone = met.filter(F.col("_tz_keeper") != F.col("_tz_id")).groupBy("_tz_id", "_tz_hash").agg(F.collect_set("_tz_pos").alias("_tz_gone"))
 
-    out = base.join(gone.hint("shuffle_hash"), ["_tz_id", "_tz_hash"], "left").withColumn("_tz_lines", F.split("_tz_text", "\n"))
+    # rows alike in id and text meet nowhere: they are counted first, and many of them are a hot key
+    repeats = base.filter(F.col("_tz_id").isNotNull()).groupBy("_tz_id", "_tz_hash").agg(F.count("*").alias("_tz_rows")).filter("_tz_rows > 1")
+    found = saved(gone.join(repeats, ["_tz_id", "_tz_hash"], "full").withColumn("_tz_rows", F.coalesce("_tz_rows", F.lit(1))))
+    out = join_skewed(base, found, ["_tz_id", "_tz_hash"], "_tz_rows", ["_tz_gone"]).withColumn("_tz_lines", F.split("_tz_text", "\n"))
     out = out.withColumn("_tz_stay", F.when(F.col("_tz_gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_tz_lines") - 1), "_tz_gone")))
     kept = F.when(F.col("_tz_stay").isNull(), F.col("_tz_text")).otherwise(F.array_join(F.transform("_tz_stay", lambda p: F.get("_tz_lines", p)), "\n"))
     dropped = F.when(F.col("_tz_stay").isNull(), F.lit(0)).otherwise(F.size("_tz_lines") - F.size("_tz_stay"))

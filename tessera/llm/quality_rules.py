@@ -40,10 +40,10 @@ def base_counts(docs: DataFrame, text_col: str = "text", also: str | None = None
     at = lambda i, k: F.get("_tz_words", i + k)
     hashes = F.when(F.size("_tz_words") > 5, F.transform(F.sequence(F.lit(0), F.size("_tz_words") - 5), lambda i: F.xxhash64(*(at(i, k) for k in range(5)))))
     base = base.withColumn("_tz_h", hashes)
-    marked = base.withColumn("_tz_sorted", F.when(F.size(F.array_distinct("_tz_h")) < F.size("_tz_h"), F.array_sort(F.transform("_tz_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    marked = base.withColumn("_tz_sorted", F.when(F.size(F.array_distinct("_tz_h")) < F.size("_tz_h"), F.sort_array(F.transform("_tz_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
     twice = F.filter("_tz_sorted", lambda x, j: same(x, F.get("_tz_sorted", j - 1)) | same(x, F.get("_tz_sorted", j + 1)))
-    marked = marked.withColumn("_tz_at", F.array_sort(F.transform(twice, lambda x: x["i"])))
+    marked = marked.withColumn("_tz_at", F.sort_array(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate(F.transform("_tz_at", lambda p, j: F.least(F.lit(5), F.coalesce(F.get("_tz_at", j + 1), p + 5) - p)), F.lit(0), lambda a, x: a + x)
     # most of a text is a-z: what is left without it is short, and all else is counted there
     marked = marked.withColumn("_tz_rest", F.regexp_replace("_tz_text", f"{CLASSES[0]}+", ""))

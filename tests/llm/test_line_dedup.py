@@ -54,6 +54,15 @@ def test_a_hot_line_in_most_rows(spark):
     assert out.filter("n_dropped = 1").count() == 2999 and out.filter("doc_id = 2999 and n_dropped = 0").count() == 1
 
 
+def test_repeated_rows_meet_nowhere(spark):
+    """Half of all rows are one document, with a line that few others hold, or that many do."""
+    own, shared = "a line that only the repeated document holds, in each of its rows", "a line that each document of this table holds, whatever its id is"
+    df = spark.range(4000).selectExpr("if(id % 2 = 0, 7, id) AS doc_id", f"if(id % 2 = 0, '{own}\n{shared}', concat('own ', id, '\n{shared}')) AS text")
+    got = line_dedup(df, many=100).groupBy("doc_id", "n_dropped", "text").count().collect()
+    by = {(r.doc_id, r.n_dropped, r.text): r["count"] for r in got}
+    assert by[7, 1, own] == 2000 and by[3999, 0, f"own 3999\n{shared}"] == 1 and by[9, 1, "own 9"] == 1 and sum(by.values()) == 4000
+
+
 def test_query_equals_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
