@@ -161,7 +161,7 @@ def _search(rows: DataFrame, d: int, k: int, orders: int, axes: int, bits: int,
     each = n + asking  # of one ordering
     places = placed(keys, ["o", "key", "asks", "u"], rows=each * orders).withColumn("place", F.col("place") - F.col("o") * each).select("o", "place", "asks", "u")
     half = window(unique, places, d, k, probes, recall)
-    block = min(max(half, least), max(least, block_bytes // (d * np.dtype(kind).itemsize)))
+    block = min(max(-(-half // 4), least), max(least, block_bytes // (d * np.dtype(kind).itemsize)))
     ends = [F.floor(x / block) for x in (F.greatest(F.lit(0), F.col("place") - half), F.least(F.lit(each - 1), F.col("place") + half))]
     blocks = F.when(F.col("asks"), F.sequence(*ends)).otherwise(F.array(F.floor(F.col("place") / block)))
     dealt = places.join(unique.select("u", F.get("ids", 0).alias("first"), "v"), "u").select("o", F.explode(blocks).alias("block"), "asks", "u", "first", "v")
@@ -190,15 +190,15 @@ def _search(rows: DataFrame, d: int, k: int, orders: int, axes: int, bits: int,
     return join_skewed(rows.filter("asks").select("id", "h1", "h2"), lists, ["h1", "h2"], "askers", ["list", "q"], F.xxhash64("id"))
 
 
-def nearest(vectors: DataFrame, query: str, k: int = 20, orders: int = 8, axes: int = 8, bits: int = 5, least: int = 512, block_bytes: int = 16 << 20, recall: float = 0.96, probes: int = 64, sample: int = 20_000, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, query: str, k: int = 20, orders: int = 8, axes: int = 8, bits: int = 5, least: int = 512, block_bytes: int = 16 << 20, recall: float = 0.95, probes: int = 64, sample: int = 20_000, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id_col, score): for each row that the SQL condition `query` picks, the k rows of largest inner product found.
 
     Distinct vectors, and once more those that ask, are put in `orders` Hilbert orderings, each range-partitioned and
     numbered. A query meets the vectors around its own place in each ordering, at least as far as window() finds that it
     takes for `recall` of the nearest; what it finds is merged and scored in double precision on the vectors as they are.
     The window follows from the vectors alone: it is narrow where they have structure, and a share of the table where they
-    have none. Orderings are cut into blocks of the window's half (`least` places at least), or several to a half if that
-    is over block_bytes, so a task's memory is bounded. The grids are fitted on about `sample` vectors, chosen by a hash.
+    have none. Orderings are cut into blocks of a quarter of the window's half (`least` places at least, block_bytes at
+    most), so a task's memory is bounded. The grids are fitted on about `sample` vectors, chosen by a hash.
 
     Vectors that are null, zero, or hold a null or non-finite component take no part, neither do rows without an id.
     Vectors of one length are searched among themselves: there is no inner product between lengths. A row is its id and
