@@ -27,7 +27,8 @@ SCRIPTS = [
     (0xA000, ""), (0xAC00, "Hangul"), (0xD7B0, ""), (0xF900, "Han"), (0xFB00, ""), (0x20000, "Han"), (0x30000, ""),
 ]
 _STARTS = [a for a, _ in SCRIPTS]
-LATIN = re.compile("[A-Za-z\u00AA\u00BA\u00C0-\u02AF\u1E00-\u1EFF]*")
+#: What no text of Latin letters only has: a sign of another block, but for general punctuation and what follows up to arrows.
+OTHER = re.compile("[^\x00-\u02AF\u1E00-\u1EFF\u2000-\u21FF]")
 #: A run of more letters is judged in pieces, each a place of the path: script without spaces, text that lost them.
 PIECE = 64
 
@@ -39,7 +40,7 @@ def script(char: str) -> str:
 
 def by_script(word: str) -> list[str]:
     """The word cut where its script changes; signs of no script here go with what is before them."""
-    if word.isascii() or LATIN.fullmatch(word):
+    if not OTHER.search(word):
         return [word]
     cuts, last = [0], ""
     for i, c in enumerate(word):
@@ -50,9 +51,9 @@ def by_script(word: str) -> list[str]:
     return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)])]
 
 
-def pieces(words: list[str]) -> tuple[list[str], list[int] | None]:
-    """What is judged, and of which word each is (None: one a word): words cut by script, and those of over PIECE letters into pieces of like length."""
-    if all(w.isascii() and len(w) <= PIECE for w in words):
+def pieces(words: list[str], text: str) -> tuple[list[str], list[int] | None]:
+    """What is judged of a text's words, and of which word each is (None: one a word): words cut by script, and those of over PIECE letters into pieces of like length."""
+    if max(map(len, words), default=0) <= PIECE and (text.isascii() or not OTHER.search(text)):
         return words, None
     out, of = [], []
     for k, w in enumerate(words):
@@ -112,13 +113,13 @@ class Model:
         cell = np.repeat(np.repeat(np.arange(len(words)), sizes), held) * n + self.of[entry]
         total = sizes[:, None] * self.base + np.bincount(cell, self.more[entry], len(words) * n).reshape(-1, n)
         fits = np.bincount(cell, minlength=len(words) * n).reshape(-1, n) / every[:, None]
-        for i, w in enumerate(words):
-            allowed = self.scripts.get(script(w[0]))
+        written = [script(w[0]) for w in words]
+        for name in set(written):
+            own = np.fromiter((x == name for x in written), bool, len(words))
+            allowed = self.scripts.get(name)
             if allowed is not None:
-                total[i, ~allowed] = -1e9
-                fits[i, ~allowed] = 0
-            else:
-                fits[i] = 0
+                total[np.ix_(own, ~allowed)] = -1e9
+            fits[np.ix_(own, ~allowed if allowed is not None else np.ones(n, bool))] = 0
         top = total.max(axis=1, keepdims=True)
         total -= top + np.log(np.exp(total - top).sum(axis=1, keepdims=True))
         total = np.maximum(total, self.floor)
@@ -222,14 +223,18 @@ class Model:
         Evidence: the share of grams, by letters, that the language of the path there has, to its usual one. It speaks for the text being in
         learned languages, one or several; it has no floor, and doesn't depend on which language is the likeliest.
         """
-        split = [WORD.findall((t or "").lower()) for t in texts]
-        cut = [pieces(ws) if any(c.isalpha() for w in ws for c in w) else ([], None) for ws in split]  # WORD also takes signs like ½
+        low = [(t or "").lower() for t in texts]
+        split = [WORD.findall(t) for t in low]
+        cut = [pieces(ws, t) if any(c.isalpha() for w in ws for c in w) else ([], None) for ws, t in zip(split, low)]  # WORD also takes signs like ½
         out: list = [("und", 0.0, [], 0.0)] * len(texts)
         if not self.langs:
             return out
         words = [ws for ws, _ in cut]
         todo = sorted((i for i in range(len(texts)) if words[i]), key=lambda i: len(words[i]))
         at, step = 0, max(1, cells // len(self.langs))
+        every = set().union(*words)
+        if len(every) <= self.limit:  # all new words of the texts at once
+            self.places(list(every))
         while at < len(todo):
             # texts of like length side by side; a long one alone, in steps
             end = at + 1
@@ -274,7 +279,8 @@ def fit(docs: DataFrame, sample: int = 2_000, model_grams: int = 400_000, lang_g
         found: Counter = Counter()
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for w, n in Counter(pieces(WORD.findall(text.lower()))[0]).items():
+                low = text.lower()
+                for w, n in Counter(pieces(WORD.findall(low), low)[0]).items():
                     found[lang, "s" + script(w[0])] += n
                     own = grams(w)
                     found[lang, "t"] += n * len(own)

@@ -79,7 +79,7 @@ def plain_label(model, text):
     import itertools
     import math
 
-    words = langid.pieces(langid.WORD.findall(text.lower()))[0]
+    words = langid.pieces(langid.WORD.findall(text.lower()), text.lower())[0]
     entries = {g: {int(model.of[e]): float(model.more[e]) for e in range(model.begin[i], model.begin[i + 1])} for g, i in model.index.items()}
     n, rows, fits = len(model.langs), [], []
     for w in words:
