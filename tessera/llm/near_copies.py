@@ -74,17 +74,24 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _melted(keys: DataFrame, links: DataFrame) -> DataFrame:
-    """keys with root: the smallest key of their group over the links."""
+    """(key, root): the smallest key of each key's group over the links."""
     root = components(links)
-    return _kept(keys.join(root, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node"))
+    return _kept(keys.select("key").join(root, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root")))
 
 
-def _mixed(keys: DataFrame, size: int) -> DataFrame:
+def _shared(keys: DataFrame) -> DataFrame:
+    """(band, key, n): the keys that aren't alone in a bucket."""
+    spread = keys.select("key", "n", F.explode("bands").alias("band"))
+    buckets = _kept(spread.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"))
+    return _kept(join_skewed(spread, buckets, ["band"], "size", [], F.xxhash64("key"), inner=True).select("band", "key", "n"))
+
+
+def _mixed(shared: DataFrame, melted: DataFrame, size: int) -> DataFrame:
     """(band, key, n, root, c, size): the keys of buckets of `size` at least that hold several groups, with the smallest key of the bucket."""
-    spread = keys.select("key", "n", "root", F.explode("bands").alias("band"))
-    buckets = spread.groupBy("band").agg(F.min(F.struct("key", "n", "root")).alias("c"), F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size"))
+    placed = _kept(shared.join(melted, "key").select("band", "key", "n", "root"))
+    buckets = placed.groupBy("band").agg(F.min(F.struct("key", "n", "root")).alias("c"), F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size"))
     buckets = _kept(buckets.filter((F.col("a") != F.col("b")) & (F.col("size") >= size)).select("band", "c", "size"))
-    return join_skewed(spread, buckets, ["band"], "size", ["c", "size"], F.xxhash64("key"), inner=True)
+    return join_skewed(placed, buckets, ["band"], "size", ["c", "size"], F.xxhash64("key"), inner=True)
 
 
 def _by_signature(rows: DataFrame, least: float, salt: int) -> DataFrame:
@@ -150,32 +157,31 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, budget: int
     # one row a key; equal sets need no bands of their own
     keys = _kept(rows.groupBy("key").agg(F.min(F.struct("id", "th")).alias("of"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "bands", "sig", "fp"))))
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        """Of pairs (u, v) of keys those that are similar, by the sets of the texts they are of."""
-        pairs = _kept(pairs.filter("u <> v").distinct())
-        used = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(keys.select("key", "of"), "key")
-        texts = used.select("key", F.col("of.id").alias("_tz_of"), F.col("of.th").alias("_tz_th"))
-        want = hashed.join(texts, (F.col("id") == F.col("_tz_of")) & (F.col("th") == F.col("_tz_th"))).dropDuplicates(["key"]).select("key", "text")
-        return _similar(pairs, _kept(shipped(want).mapInArrow(full, "key long, found binary")), least)
-
     alike = lambda a, b: F.least(a, b) >= least * F.greatest(a, b)  # noqa: E731 - else no similarity of `least`
     prints = _kept(keys.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("c"), F.count("*").alias("size")))
     same = join_skewed(keys.select("key", "n", "fp"), prints.filter("size > 1"), ["fp"], "size", ["c"], F.xxhash64("key"), inner=True).select(F.col("c.key").alias("u"), F.col("key").alias("v"), F.col("c.n").alias("n1"), F.col("n").alias("n2"))
     print_of = lambda side: prints.select(F.col("fp").alias(side), F.col("c").alias(f"c{side}"))
     near = simhash.links(prints.select("fp"), budget).join(print_of("u"), "u").join(print_of("v"), "v").select(F.col("cu.key").alias("u"), F.col("cv.key").alias("v"), F.col("cu.n").alias("n1"), F.col("cv.n").alias("n2"))
-    links = checked(same.unionByName(near).filter(alike(F.col("n1"), F.col("n2"))).select("u", "v"))
-    melted = _melted(keys, links)
+    first, shared = _kept(same.unionByName(near).filter(alike(F.col("n1"), F.col("n2"))).select("u", "v").distinct()), _shared(keys)
+
+    # the sets of all keys that can be in a pair, worked out once from a text of each
+    used = first.select(F.explode(F.array("u", "v")).alias("key")).union(shared.select("key")).distinct().join(keys.select("key", "of"), "key")
+    texts = used.select("key", F.col("of.id").alias("_tz_of"), F.col("of.th").alias("_tz_th"))
+    want = hashed.join(texts, (F.col("id") == F.col("_tz_of")) & (F.col("th") == F.col("_tz_th"))).dropDuplicates(["key"]).select("key", "text")
+    sets = _kept(shipped(want).mapInArrow(full, "key long, found binary"))
+    checked = lambda pairs: _similar(_kept(pairs.filter("u <> v").distinct()), sets, least)
 
-    met = _mixed(melted, 2).filter((F.col("root") != F.col("c.root")) & alike(F.col("n"), F.col("c.n")))
+    links = checked(first)
+    met = _mixed(shared, _melted(keys, links), 2).filter((F.col("root") != F.col("c.root")) & alike(F.col("n"), F.col("c.n")))
     links = _kept(links.unionByName(checked(met.select(F.col("c.key").alias("u"), F.col("key").alias("v")))))
     melted = _melted(keys, links)
 
-    rest = _kept(_mixed(melted, 3).select("band", "size", "key", "n", "root"))
-    more = checked(_by_signature(rest.join(keys.select("key", "sig"), "key"), least, salt).distinct())
+    rest = _kept(_mixed(shared, melted, 3).select("band", "size", "key", "n", "root"))
+    more = checked(_by_signature(rest.join(keys.select("key", "sig"), "key"), least, salt))
     if not more.isEmpty():
         melted = _melted(keys, links.unionByName(more))
 
-    groups = _kept(melted.select("key", "copies", "root", F.col("of.id").alias("first")))
+    groups = _kept(melted.join(keys.select("key", "copies", F.col("of.id").alias("first")), "key"))
     smallest = _kept(groups.groupBy("root").agg(F.min("first").alias("stays"), F.count("*").alias("prints")))
     named = join_skewed(groups, smallest, ["root"], "prints", ["stays"], F.xxhash64("key")).filter("first = stays")
     of_key = join_skewed(rows.select("key", "id", "th"), _kept(named.select("key", "copies", "root", "stays")), ["key"], "copies", ["root", "stays"], F.xxhash64("id"), inner=True)
