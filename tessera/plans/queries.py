@@ -752,7 +752,7 @@ def expanded_hits_compat(spark, sf):
 
 
 @query(f"""WITH {_CHUNKS}, id AS (SELECT *, sha256(text) AS c FROM ch), sh AS (SELECT c FROM id GROUP BY c HAVING count(DISTINCT doc_id) > 1),
-ra AS (SELECT doc_id, greatest(0, chunk_index - 1) AS "start", least(total_chunks - 1, chunk_index + 1) AS "end" FROM id WHERE c IN (SELECT c FROM sh)),
+ra AS (SELECT DISTINCT doc_id, greatest(0, chunk_index - 1) AS "start", least(total_chunks - 1, chunk_index + 1) AS "end" FROM id WHERE c IN (SELECT c FROM sh)),
 f AS (SELECT *, coalesce(max("end") OVER (PARTITION BY doc_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 < "start", true) AS fresh FROM ra),
 i AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM f),
 me AS (SELECT doc_id, min("start") AS "start", max("end") AS "end" FROM i GROUP BY doc_id, island)
