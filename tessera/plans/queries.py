@@ -723,8 +723,8 @@ def hits_by_source(spark, sf):
 
 def _expanded_sql(order: str) -> str:
     return f"""WITH {_SHELF}, r0 AS (SELECT *, greatest(0, chunk_index - 1) AS "start", least(total_chunks - 1, chunk_index + 1) AS "end" FROM go WHERE chunk_index IS NOT NULL),
-f AS (SELECT *, coalesce(max("end") OVER (PARTITION BY query_id, source ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 < "start", true) AS fresh FROM r0),
-i AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, source ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM f),
+f AS (SELECT *, coalesce(max("end") OVER (PARTITION BY query_id, source ORDER BY "start", "end", rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 < "start", true) AS fresh FROM r0),
+i AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, source ORDER BY "start", "end", rank ROWS UNBOUNDED PRECEDING) AS island FROM f),
 me AS (SELECT query_id, source, min(source_place) AS source_place, min("start") AS "start", max("end") AS "end", min(score) AS score, island FROM i GROUP BY query_id, source, island),
 mr AS (SELECT me.*, (SELECT min(i.rank) FROM i WHERE i.query_id = me.query_id AND i.source = me.source AND i."start" = me."start") AS rank FROM me),
 ex AS (SELECT mr.query_id, mr.source, source_place, "start", "end", score, rank, string_agg(ch.text, chr(10) || chr(10) ORDER BY ch.chunk_index) AS text, count(*) AS chunk_count, min(ch.chunk_index) AS chunk_index
