@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import ann, bpe, html_extract, langid, license_scan, line_dedup, mixing, quality_model, quality_rules, simhash
+from tessera.llm import ann, bpe, conversations, html_extract, langid, license_scan, line_dedup, mixing, quality_model, quality_rules, simhash, token_align, url_filter
 
 
 def queries() -> dict[str, Callable]:
@@ -19,8 +19,11 @@ def queries() -> dict[str, Callable]:
         "op8_license_scan": license_scan.op8_license_scan,
         "op9_mixing": mixing.op9_mixing,
         "op10_ann": ann.op10_ann,
+        "op11_conversations": conversations.op11_conversations,
+        "op12_token_align": token_align.op12_token_align,
+        "op13_url_filter": url_filter.op13_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op11_conversations": conversations.ORACLE, "op13_url_filter": url_filter.ORACLE}
