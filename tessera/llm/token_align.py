@@ -17,6 +17,7 @@ import sentencepiece
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from tokenizers import Tokenizer
 
 from tessera.llm.bpe import byte_characters
@@ -269,13 +270,14 @@ def align(docs: DataFrame, byte_level: str, sentence: str, text_col: str = "text
                 number += 1
                 yield pa.RecordBatch.from_arrays(columns, names=["_tz_row", "batch", "n_a", "n_b", "n_groups", "n_links", "sha", "size", "links", "a", "b", "n"])
 
-    schema = row_and(base, "batch long, n_a long, n_b long, n_groups long, n_links long, sha string, size long, links binary, a array<long>, b array<long>, n array<long>")
+    row = StructField("_tz_row", base.schema["_tz_row"].dataType, True)  # the row of a batch's pairs has none
+    schema = StructType([row, *row_and(base, "batch long, n_a long, n_b long, n_groups long, n_links long, sha string, size long, links binary, a array<long>, b array<long>, n array<long>").fields[1:]])
     made = saved(shipped(base).mapInArrow(run, schema))
     some = made.filter("a is not null").select("batch", F.explode(F.arrays_zip("a", "b", "n")).alias("x")).select("batch", "x.*")
     counts = saved(some.groupBy("a", "b").agg(F.sum("n").alias("n")))
     most = counts.groupBy("a").agg(F.max("n").alias("most"))
     pairs = counts.join(most, "a").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
-    back = some.select("batch", "a", "b").join(pairs, ["a", "b"])
+    back = some.select(F.col("batch").alias("of"), "a", "b").join(pairs, ["a", "b"])
 
     def count(docs_: pa.Table, pairs_: pa.Table) -> pa.Table:
         t = pairs_.sort_by([("a", "ascending"), ("b", "ascending")])
@@ -290,7 +292,7 @@ def align(docs: DataFrame, byte_level: str, sentence: str, text_col: str = "text
         return out
 
     own = made.filter("a is null").drop("a", "b", "n")
-    done = own.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(count, row_and(base, "n_a long, n_b long, n_groups long, n_links long, sha string, n_best long, count_sum long"))
+    done = own.groupBy("batch").cogroup(back.groupBy("of")).applyInArrow(count, StructType([row, *StructType.fromDDL("n_a long, n_b long, n_groups long, n_links long, sha string, n_best long, count_sum long").fields]))
     names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
     return unpacked(done, docs, text_col, **{c: F.col(c) for c in names}, groups_sha256=F.col("sha")), pairs
 
