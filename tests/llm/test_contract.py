@@ -1,4 +1,4 @@
-"""The eleven queries are registered and return the columns and types that were asked for."""
+"""The fourteen queries are registered and return the columns and types that were asked for."""
 
 import pytest
 
@@ -15,6 +15,9 @@ COLUMNS = {
     "op8_license_scan": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
     "op9_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op10_ann": "query_id bigint, rank int, vec_id bigint, score double",
+    "op11_conversations": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
+    "op12_token_align": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
+    "op13_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
     "pipeline": "doc_id bigint, source string, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
 }
 
@@ -26,7 +29,7 @@ def test_columns(spark, sf, name):
 
 
 def test_names():
-    assert set(COLUMNS) <= set(entry.queries()) and {n for n in entry.oracle_sql() if n in COLUMNS} == {"op1_line_dedup"}
+    assert set(COLUMNS) <= set(entry.queries()) and {n for n in entry.oracle_sql() if n in COLUMNS} == {"op1_line_dedup", "op11_conversations", "op13_url_filter"}
 
 
 def test_folds_are_those_of_the_contract(spark):
