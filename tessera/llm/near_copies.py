@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import simhash
-from tessera.llm.common import join_skewed, saved, shipped
+from tessera.llm.common import folder, join_skewed, saved, shipped
 from tessera.llm.graph import components
+from tessera.sources.saved import remove
 
 #: Candidates share one of BANDS bands of ROWS minima: a pair at 0.8 is missed with (1 - 0.8**5)**25 = 0.00005, one at 0.9 never.
 BANDS, ROWS = 25, 5
@@ -48,50 +49,70 @@ def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """saved(), without the estimate of its size: those of joins of joins get so long that plans take minutes."""
-    found = saved(df)
-    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(found._jdf.toJavaRDD(), found._jdf.schema()), df.sparkSession)
+class _Tables:
+    """Intermediate tables of one call, as Parquet in the folder that all executors share: small there, and of known size to the planner. close() removes them."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at, self.n = spark, f"{folder(spark)}/near-copies-{uuid.uuid4().hex}", 0
 
-def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Of pairs (u, v) of keys, those whose sets (key, found) have the similarity `least` at least."""
-    for side in ("u", "v"):
-        held = pairs.groupBy(F.col(side)).agg(F.count("*").alias("n"))
-        own = held.join(sets, F.col(side) == F.col("key")).select(side, "n", F.col("found").alias(f"{side}_found"))
-        pairs = join_skewed(pairs, _kept(own), [side], "n", [f"{side}_found"], F.xxhash64("u", "v"))
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.at}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.at}/{self.n}")
+
+    def close(self) -> None:
+        remove(self.spark, self.at)
+
+
+def _similar(tables: _Tables, pairs: DataFrame, sets: DataFrame, least: float, salt: int = 1000) -> DataFrame:
+    """Of pairs (u, v) of keys, those whose sets (key, found) have the similarity `least` at least.
+
+    Each v goes, with its set, to its u; where u has many, to one of several places, each with a copy of u's set. There sets pass one by one.
+    """
+    pairs = tables.keep(pairs.filter("u <> v").distinct())
+    held = tables.keep(pairs.groupBy("u").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / salt)))
+    members = join_skewed(pairs, held, ["u"], "n", ["parts"], F.col("v")).withColumn("salt", F.pmod(F.xxhash64("v"), F.col("parts")))
+    members = members.join(sets, F.col("v") == F.col("key")).select("u", "salt", "v", "found")
+    centres = held.join(sets, F.col("u") == F.col("key")).select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("v"), "found")
+    ordered = members.unionByName(centres).repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("v").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = np.zeros(0, np.uint64)
         for b in batches:
             near = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+            for v, found in zip(b.column(2), b.column(3)):
+                found = np.frombuffer(found.as_py(), np.uint64)
+                if not v.is_valid:
+                    centre = found
+                    near.append(False)
+                    continue
+                both = len(np.intersect1d(centre, found, assume_unique=True))
+                near.append(both >= least * (len(centre) + len(found) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    return _kept(shipped(pairs).select("u", "v", "u_found", "v_found").mapInArrow(run, "u long, v long"))
+    return tables.keep(shipped(ordered).mapInArrow(run, "u long, v long"))
 
 
-def _melted(keys: DataFrame, links: DataFrame) -> DataFrame:
+def _melted(tables: _Tables, keys: DataFrame, links: DataFrame) -> DataFrame:
     """(key, root): the smallest key of each key's group over the links."""
     root = components(links)
-    return _kept(keys.select("key").join(root, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root")))
+    return tables.keep(keys.select("key").join(root, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root")))
 
 
-def _shared(keys: DataFrame) -> DataFrame:
+def _shared(tables: _Tables, keys: DataFrame) -> DataFrame:
     """(band, key, n): the keys that aren't alone in a bucket."""
     spread = keys.select("key", "n", F.explode("bands").alias("band"))
-    buckets = _kept(spread.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"))
-    return _kept(join_skewed(spread, buckets, ["band"], "size", [], F.xxhash64("key"), inner=True).select("band", "key", "n"))
+    buckets = tables.keep(spread.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"))
+    return tables.keep(join_skewed(spread, buckets, ["band"], "size", [], F.col("key"), inner=True).select("band", "key", "n"))
 
 
-def _mixed(shared: DataFrame, melted: DataFrame, size: int) -> DataFrame:
-    """(band, key, n, root, c, size): the keys of buckets of `size` at least that hold several groups, with the smallest key of the bucket."""
-    placed = _kept(shared.join(melted, "key").select("band", "key", "n", "root"))
-    buckets = placed.groupBy("band").agg(F.min(F.struct("key", "n", "root")).alias("c"), F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size"))
-    buckets = _kept(buckets.filter((F.col("a") != F.col("b")) & (F.col("size") >= size)).select("band", "c", "size"))
-    return join_skewed(placed, buckets, ["band"], "size", ["c", "size"], F.xxhash64("key"), inner=True)
+def _mixed(tables: _Tables, shared: DataFrame, melted: DataFrame) -> DataFrame:
+    """(band, key, n, root, low, high, size): the keys of buckets that hold several groups, with the smallest and the largest key of the bucket."""
+    placed = tables.keep(shared.select("band", "key", "n").join(melted, "key").select("band", "key", "n", "root"))
+    one = F.struct("key", "n", "root")
+    buckets = placed.groupBy("band").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size"))
+    buckets = tables.keep(buckets.filter("a <> b").select("band", "low", "high", "size"))
+    return tables.keep(join_skewed(placed, buckets, ["band"], "size", ["low", "high", "size"], F.col("key"), inner=True))
 
 
 def _by_signature(rows: DataFrame, least: float, salt: int) -> DataFrame:
@@ -126,13 +147,29 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, budget: int
 
     Two texts are linked if their sets of word shingles have the Jaccard similarity `least` at least; groups are components
     of links. Texts without a word are copies of each other. Rows without an id pass and link nothing. Of rows of the same
-    id in one group, the one with the smallest text (null first) stays; in several groups, one of each.
+    id in one group, the one whose text has the smallest hash stays, and one of those alike in id and text; in several groups, one of each.
 
-    Equal sets are one key. Candidates come in three turns, and each is checked on the sets: SimHash fingerprints within
+    Equal sets are one key. Candidates come in turns, and each is checked on the sets: SimHash fingerprints within
     `budget` bits, by the trie join; in each bucket of a MinHash band that still holds several groups, the keys against the
-    smallest one; and last, where buckets still do, the keys against those of the other groups, by their signatures. So no
-    group of near copies is spelt out as pairs, and a pair is missed only if the bands miss it.
+    smallest one, then in those that still do against the largest one; and last, where buckets still do, the keys against
+    those of the other groups, by their signatures. A pair is missed only if the bands miss it. Rows alike in id and text
+    are made one before they are dealt out, so no join gathers copies with their texts.
     """
+    tables = _Tables(docs.sparkSession)
+    try:
+        stay = _staying(tables, docs, shingle, least, budget, id_col, text_col, salt)
+        stay = saved(stay)
+    finally:
+        tables.close()
+    given = docs.filter(F.col(id_col).isNotNull())
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = given.select(F.col(f"`{id_col}`").alias("_tz_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("_tz_th"), row.alias("_tz_row")).groupBy("_tz_id", "_tz_th").agg(F.first("_tz_row").alias("_tz_row"))
+    some = one.join(stay.select(F.col("id").alias("_tz_id"), F.col("th").alias("_tz_th")), ["_tz_id", "_tz_th"])
+    return some.select(*(F.col("_tz_row")[c].alias(c) for c in docs.columns)).unionByName(docs.filter(F.col(id_col).isNull()))
+
+
+def _staying(tables: _Tables, docs: DataFrame, shingle: int, least: float, budget: int, id_col: str, text_col: str, salt: int) -> DataFrame:
+    """(id, th): of each group the smallest id, with the hash of its text."""
     keyed = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = keyed.schema["id"].dataType.simpleString()
 
@@ -152,41 +189,33 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, budget: int
                 b = whole.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], names=["key", "found"])
 
-    hashed = keyed.select("id", F.xxhash64("text").alias("th"), "text")
-    rows = saved(shipped(hashed).mapInArrow(run, f"id {kind}, th long, key long, n long, bands array<long>, sig binary, fp long"))
+    hashed = keyed.select("id", F.xxhash64("text").alias("th"), "text").groupBy("id", "th").agg(F.first("text").alias("text"))
+    rows = shipped(hashed).mapInArrow(run, f"id {kind}, th long, key long, n long, bands array<long>, sig binary, fp long")
     # one row a key; equal sets need no bands of their own
-    keys = _kept(rows.groupBy("key").agg(F.min(F.struct("id", "th")).alias("of"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "bands", "sig", "fp"))))
+    keys = tables.keep(rows.groupBy("key").agg(F.min(F.struct("id", "th")).alias("of"), *(F.first(c).alias(c) for c in ("n", "bands", "sig", "fp"))))
 
     alike = lambda a, b: F.least(a, b) >= least * F.greatest(a, b)  # noqa: E731 - else no similarity of `least`
-    prints = _kept(keys.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("c"), F.count("*").alias("size")))
-    same = join_skewed(keys.select("key", "n", "fp"), prints.filter("size > 1"), ["fp"], "size", ["c"], F.xxhash64("key"), inner=True).select(F.col("c.key").alias("u"), F.col("key").alias("v"), F.col("c.n").alias("n1"), F.col("n").alias("n2"))
+    prints = tables.keep(keys.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("c"), F.count("*").alias("size")))
+    same = join_skewed(keys.select("key", "n", "fp"), prints.filter("size > 1"), ["fp"], "size", ["c"], F.col("key"), inner=True).select(F.col("c.key").alias("u"), F.col("key").alias("v"), F.col("c.n").alias("n1"), F.col("n").alias("n2"))
     print_of = lambda side: prints.select(F.col("fp").alias(side), F.col("c").alias(f"c{side}"))
     near = simhash.links(prints.select("fp"), budget).join(print_of("u"), "u").join(print_of("v"), "v").select(F.col("cu.key").alias("u"), F.col("cv.key").alias("v"), F.col("cu.n").alias("n1"), F.col("cv.n").alias("n2"))
-    first, shared = _kept(same.unionByName(near).filter(alike(F.col("n1"), F.col("n2"))).select("u", "v").distinct()), _shared(keys)
+    first, shared = tables.keep(same.unionByName(near).filter(alike(F.col("n1"), F.col("n2"))).select("u", "v").distinct()), _shared(tables, keys)
 
     # the sets of all keys that can be in a pair, worked out once from a text of each
     used = first.select(F.explode(F.array("u", "v")).alias("key")).union(shared.select("key")).distinct().join(keys.select("key", "of"), "key")
-    texts = used.select("key", F.col("of.id").alias("_tz_of"), F.col("of.th").alias("_tz_th"))
-    want = hashed.join(texts, (F.col("id") == F.col("_tz_of")) & (F.col("th") == F.col("_tz_th"))).dropDuplicates(["key"]).select("key", "text")
-    sets = _kept(shipped(want).mapInArrow(full, "key long, found binary"))
-    checked = lambda pairs: _similar(_kept(pairs.filter("u <> v").distinct()), sets, least)
-
-    links = checked(first)
-    met = _mixed(shared, _melted(keys, links), 2).filter((F.col("root") != F.col("c.root")) & alike(F.col("n"), F.col("c.n")))
-    links = _kept(links.unionByName(checked(met.select(F.col("c.key").alias("u"), F.col("key").alias("v")))))
-    melted = _melted(keys, links)
-
-    rest = _kept(_mixed(shared, melted, 3).select("band", "size", "key", "n", "root"))
-    more = checked(_by_signature(rest.join(keys.select("key", "sig"), "key"), least, salt))
-    if not more.isEmpty():
-        melted = _melted(keys, links.unionByName(more))
-
-    groups = _kept(melted.join(keys.select("key", "copies", F.col("of.id").alias("first")), "key"))
-    smallest = _kept(groups.groupBy("root").agg(F.min("first").alias("stays"), F.count("*").alias("prints")))
-    named = join_skewed(groups, smallest, ["root"], "prints", ["stays"], F.xxhash64("key")).filter("first = stays")
-    of_key = join_skewed(rows.select("key", "id", "th"), _kept(named.select("key", "copies", "root", "stays")), ["key"], "copies", ["root", "stays"], F.xxhash64("id"), inner=True)
-    stay = of_key.filter("id = stays").select(F.col("id").alias("_tz_id0"), F.col("th").alias("_tz_th"), F.col("root").alias("_tz_root")).distinct()
-    some = docs.filter(F.col(id_col).isNotNull()).join(stay, (F.col(id_col) == F.col("_tz_id0")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_tz_th")))
-    order = W.partitionBy(id_col, "_tz_root").orderBy(text_col)
-    some = some.withColumn("_tz_n", F.row_number().over(order)).filter("_tz_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
-    return some.unionByName(docs.filter(F.col(id_col).isNull()))
+    texts = used.select("key", F.col("of.id").alias("id"), F.col("of.th").alias("th"))
+    sets = tables.keep(shipped(hashed.join(texts, ["id", "th"]).select("key", "text")).mapInArrow(full, "key long, found binary"))
+
+    links = _similar(tables, first, sets, least)
+    melted = _melted(tables, keys, links)
+    for centre in ("low", "high"):
+        shared = _mixed(tables, shared, melted)
+        c = F.col(centre)
+        met = shared.filter((F.col("root") != c["root"]) & alike(F.col("n"), c["n"])).select(c["key"].alias("u"), F.col("key").alias("v"))
+        links = links.unionByName(_similar(tables, met, sets, least))
+        melted = _melted(tables, keys, links)
+    rest = _mixed(tables, shared, melted).filter("size > 2").select("band", "size", "key", "n", "root")
+    if not rest.isEmpty():
+        more = _similar(tables, _by_signature(rest.join(keys.select("key", "sig"), "key"), least, salt), sets, least)
+        melted = _melted(tables, keys, links.unionByName(more))
+    return melted.join(keys.select("key", "of"), "key").groupBy("root").agg(F.min("of").alias("of")).select("of.id", "of.th")

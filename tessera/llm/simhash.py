@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import join_skewed, saved, shipped, table
@@ -272,20 +271,6 @@ def simhash_components(docs: DataFrame, shingle: int = 4, budget: int = 4, id_co
     return join_skewed(rows, named.select("fp", "n", "component"), ["fp"], "n", ["component"], F.xxhash64("id"))
 
 
-def simhash_keep_one(docs: DataFrame, shingle: int = 4, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: the one of the smallest id.
-
-    Rows without an id belong to no component here and pass. Of several rows of the id that stays, the one with the
-    smallest text (null first) stays.
-    """
-    found = simhash_components(docs, shingle, budget, id_col, text_col)
-    stay = found.filter(F.col("id") == F.col("component")).select(F.col("id").alias("_tz_stay")).distinct()
-    some = docs.filter(F.col(id_col).isNotNull()).join(stay, F.col(id_col) == F.col("_tz_stay"), "left_semi")
-    order = W.partitionBy(id_col).orderBy(text_col)
-    some = some.withColumn("_tz_n", F.row_number().over(order)).filter("_tz_n = 1").drop("_tz_n")
-    return some.unionByName(docs.filter(F.col(id_col).isNull()))
-
-
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

@@ -73,3 +73,17 @@ def test_groups_of_a_repeated_id_all_stay(spark):
 def test_a_large_mixed_bucket_is_dealt_out(spark, planted):
     docs = spark.createDataFrame(planted, "doc_id long, text string")
     assert sorted(r.doc_id for r in near_copies.keep_one(docs, salt=2).collect()) == survivors(planted)
+
+
+def test_one_document_in_half_the_table_and_a_dense_group(spark, planted):
+    same = [(i % 3 + 9000, planted[0][1]) for i in range(400)]
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(200)]
+    dense = []
+    for i in range(150):
+        other = words.copy()
+        other[r.randrange(200)] = f"x{i}"
+        dense.append((20_000 + i, " ".join(other)))
+    rows = planted + same + dense
+    got = sorted(r.doc_id for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), salt=20).collect())
+    assert got == survivors(rows)

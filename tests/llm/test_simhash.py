@@ -91,12 +91,3 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 400)] + [(500, 499), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got[50] == 0 and got[499] == 100 and got[500] == 100 and 0 not in got and 7 in got and len(got) == 50 + 400
-
-
-def test_one_of_each_group_stays(odd_docs, no_docs):
-    out = simhash.simhash_keep_one(odd_docs)
-    assert out.columns == odd_docs.columns
-    ids = [r.doc_id for r in out.collect()]
-    want = {c for i, _, c in brute([(r.doc_id, r.text) for r in odd_docs.collect()]) if i is not None}
-    assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 3
-    assert simhash.simhash_keep_one(no_docs).count() == 0
