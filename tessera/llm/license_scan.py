@@ -59,7 +59,7 @@ def _known(spark: SparkSession, k: int) -> DataFrame:
 
 
 def _candidates(hits: DataFrame, known: DataFrame, k: int, min_votes: float) -> DataFrame:
-    """(_tz_h1, _tz_h2, _tz_found): for each text with enough votes in one band, its bands (template, diagonals, extent)."""
+    """(_tz_h1, _tz_h2, _tz_found): for each text with enough votes in one band, its bands (template, diagonals, extent), by stretch of _longest() words."""
     sizes = F.array(*(F.lit(len(template_words(text))) for _, text in TEMPLATES))
     text = ["_tz_h1", "_tz_h2"]
     votes = hits.select(*text, F.explode("_tz_hits").alias("x")).select(*text, "x.*").join(F.broadcast(known), "gram")
@@ -75,11 +75,21 @@ def _candidates(hits: DataFrame, known: DataFrame, k: int, min_votes: float) ->
     parts = F.when(fits, F.array(every)).otherwise(F.transform("own", lambda x: one(x, F.array(x["d"]))))
     found = bands.select(*text, "t", "size", F.explode(parts).alias("x")).select(*text, "t", "size", "x.*")
     sound = found.filter(F.col("votes") >= min_votes * (F.col("size") - k + 1))
-    return sound.groupBy(*text).agg(F.array_sort(F.collect_list(F.struct("t", "lo", "hi", "ds"))).alias("_tz_found"))
+    dealt = sound.groupBy(*text, F.floor(F.col("lo") / _longest(k)).alias("at")).agg(F.collect_list(F.struct("t", "lo", "hi", "ds")).alias("own"))
+    return dealt.groupBy(*text).agg(F.array_sort(F.collect_list(F.struct("at", "own"))).alias("_tz_found"))
 
 
-def _verified(k: int, min_share: float) -> Column:
-    """The spans of _tz_found whose words are the template's, of overlapping ones the best."""
+def _longest(k: int) -> int:
+    """No band is longer, in words: see _candidates()."""
+    size = max(len(template_words(text)) for _, text in TEMPLATES)
+    return int(1.25 * size) + max(2, size // 8) + k
+
+
+def _verified(met: DataFrame, k: int, min_share: float) -> DataFrame:
+    """met with _tz_spans: the spans of _tz_found whose words are the template's, of overlapping ones the best.
+
+    Overlapping spans begin in the same stretch of a text or in neighbouring ones, so each is held against those only: the work grows with the text.
+    """
     said = F.array(*(F.array(*map(F.lit, template_words(text))) for _, text in TEMPLATES))
     labels = F.array(*(F.lit(label) for label, _ in TEMPLATES))
 
@@ -89,11 +99,19 @@ def _verified(k: int, min_share: float) -> Column:
         share = F.size(same) / F.size(template)
         return F.struct(share.alias("share"), F.size(template).alias("size"), (-x["t"]).alias("t"), x["lo"].alias("lo"), (x["hi"] + k - 1).alias("hi"))
 
-    checked = F.filter(F.transform("_tz_found", check), lambda x: x["share"] >= min_share)
-    over = lambda a, b: (a["lo"] <= b["hi"]) & (b["lo"] <= a["hi"])
-    best = lambda all_: F.filter(all_, lambda x: ~F.exists(all_, lambda y: over(x, y) & (y > x)))
+    own = lambda b: F.filter(F.transform(b["own"], check), lambda x: x["share"] >= min_share)
+    met = met.withColumn("_tz_checked", F.transform("_tz_found", lambda b: F.struct(b["at"].alias("at"), own(b).alias("own"))))
+    beaten = lambda x, all_: F.exists(all_, lambda y: (x["lo"] <= y["hi"]) & (y["lo"] <= x["hi"]) & (y > x))
+
+    def best(b: Column, i: Column) -> Column:
+        sides = [(F.get("_tz_checked", i + n), n) for n in (-1, 1)]
+        by_side = lambda x: reduce(or_, (F.coalesce((o["at"] == b["at"] + n) & beaten(x, o["own"]), F.lit(False)) for o, n in sides))
+        return F.filter(b["own"], lambda x: ~beaten(x, b["own"]) & ~by_side(x))
+
     span = lambda x: F.struct(F.get(labels, -x["t"]).alias("label"), x["lo"].cast("long").alias("first_word"), x["hi"].cast("long").alias("last_word"), x["share"].alias("share"))
-    return F.array_sort(F.array_distinct(F.transform(best(checked), span)))
+    met = met.withColumn("_tz_sorted", F.array_sort(F.transform(F.flatten(F.transform("_tz_checked", best)), span)))
+    # alike ones stand beside each other; array_distinct() holds each struct against all others
+    return met.withColumn("_tz_spans", F.filter("_tz_sorted", lambda x, i: (i == 0) | (x != F.get("_tz_sorted", i - 1))))
 
 
 def license_scan(docs: DataFrame, k: int = 4, min_votes: float = 0.3, min_share: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -142,7 +160,7 @@ def license_scan(docs: DataFrame, k: int = 4, min_votes: float = 0.3, min_share:
     texts = some.groupBy("_tz_h1", "_tz_h2").agg(F.count("*").alias("_tz_rows")).join(found, ["_tz_h1", "_tz_h2"], "left")
     met = join_skewed(some.drop("_tz_hits"), saved(texts), ["_tz_h1", "_tz_h2"], "_tz_rows", ["_tz_found"])
     met = met.withColumn("_tz_words", F.when(F.col("_tz_found").isNotNull(), F.array_remove(F.split("_tz_low", BREAKS), "")))
-    met = met.withColumn("_tz_spans", _verified(k, min_share))
+    met = _verified(met, k, min_share)
     no_spans = F.array().cast(met.schema["_tz_spans"].dataType)
     columns = ["_tz_row", "_tz_n", "_tz_base", "_tz_first", "_tz_last", "_tz_base_labels"]
     out = made.filter("_tz_hits is null").select(*columns, no_spans.alias("_tz_spans")).unionByName(met.select(*columns, F.coalesce("_tz_spans", no_spans).alias("_tz_spans")))

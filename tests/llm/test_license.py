@@ -113,3 +113,37 @@ def test_query(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = L.op8_license_scan(spark, sf).collect()
     assert len(rows) == len(texts) and all((r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(texts[r.doc_id]) for r in rows)
+
+
+def test_many_notices_in_one_text_take_time_that_grows_with_it(spark):
+    import time
+
+    one = "Released under the MIT License. and then Licensed under the Apache License, Version 2.0. x y z "
+    took = []
+    for n in (500, 20_000):
+        began = time.monotonic()
+        row = L.license_scan(spark.createDataFrame([(1, one * n)], "doc_id long, text string")).first()
+        took.append(time.monotonic() - began)
+        assert len(row.spans) == 2 * n and row.n_base == 2 * n and row.spans[0].first_word == 7
+    assert took[1] < 40
+
+
+def test_spans_as_by_all_pairs(spark):
+    import random
+
+    r = random.Random(3)
+    texts = []
+    for _ in range(30):
+        parts = [r.choice(["Released under the MIT License.", "Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0.", L.TEMPLATES[1][1], L.TEMPLATES[2][1], "foo bar", "licensed under the"]) for _ in range(12)]
+        texts.append(" ".join(parts))
+    for row in L.license_scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect():
+        w = L.template_words(texts[row.doc_id])
+        spans = [(s.label, s.first_word, s.last_word, s.share) for s in row.spans]
+        assert spans == sorted(set(spans))
+        for a in spans:  # no span overlaps one that is surer
+            assert not any(a[1] <= b[2] and b[1] <= a[2] and b[3] > a[3] for b in spans)
+        for i, (label, text) in enumerate(L.TEMPLATES):  # whole notices are found, unless a better one stands there
+            t = L.template_words(text)
+            for at in range(len(w) - len(t) + 1):
+                if w[at:at + len(t)] == t and len(t) >= 4:
+                    assert any(s[1] <= at + len(t) - 1 and at <= s[2] and s[3] == 1.0 for s in spans)
