@@ -35,6 +35,9 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>|<[!?][^>]*+>",
     re.S | re.I,
 )
+#: What is still open at the end of a match that reaches the page's last '>'; and what may begin after that and is never closed.
+OPEN_END = re.compile(r"\A(?:<!--(?!.*-->\Z)|<!\[CDATA\[(?!.*\]\]>\Z)|<(script|style|textarea|title|noscript|iframe|xmp|noembed|noframes|template|svg)(?=[\s/>])(?!.*(?:/|</\1\s*)>\Z))", re.S | re.I)
+LAST = re.compile(r"<!--.*|<!\[CDATA\[(?P<text>.*)", re.S)
 ATTR = re.compile(r"(?<![\w:.-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 SPACE = re.compile(r"\s+")
 #: Names that pages give to their parts, by what they say about them.
@@ -158,14 +161,17 @@ def parse(page: str) -> Tree:
         if dropped > to:
             dropped = 0
 
-    at = 0
-    for m in TOKEN.finditer(page):
+    at, stop = 0, page.rfind(">") + 1
+    for m in TOKEN.finditer(page, 0, stop):  # no tag ends further on, so none is looked for there
         words(page[at:m.start()])
         at = m.end()
         tag = m["tag"]
         if m["raw"] or tag is None:
+            closed = at < stop or OPEN_END.search(m[0]) is None
             if m[0].startswith("<![CDATA["):
-                words(entities.escape(m[0][9:].removesuffix("]]>")))
+                words(entities.escape((m[0] if closed else page[m.start():])[9:].removesuffix("]]>")))
+            if not closed:
+                at = len(page)
             continue
         tag = tag.lower()
         if m["end"]:
@@ -203,7 +209,10 @@ def parse(page: str) -> Tree:
             push(tag, m["attrs"] or "")
         if tag in DROPPED and not dropped:
             dropped = len(now.names)
-    words(page[at:])
+    rest = LAST.search(page, max(at, stop))
+    words(page[at:rest.start() if rest else len(page)])
+    if rest and rest["text"]:
+        words(entities.escape(rest["text"]))
     flush()
     return t
 

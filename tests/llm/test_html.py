@@ -127,3 +127,18 @@ def test_icons_and_custom_elements_swallow_nothing(model, icon):
 def test_formulas_are_text(model):
     formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='application/x-tex'>x = \\two</annotation></semantics></math>"
     assert text(model, f"<article><p>Here {formula}, as we know.</p></article>") == "Here x=2, as we know."
+
+
+def test_hostile_pages_take_time_that_grows_with_them():
+    import time
+
+    began = time.monotonic()
+    for page in ("<a " * 500_000, "<svg " * 300_000, "<p>x</p>" + "<a href='" * 300_000, "<!" * 500_000, "</a " * 500_000, "<a " * 300_000 + ">", "<a x=\"" * 200_000 + ">\"", "<script>" * 100_000, "<!--" * 300_000):
+        H.parse(page)
+    assert time.monotonic() - began < 20
+
+
+def test_what_nothing_closes():
+    texts = lambda page: [b[1] for b in H.parse(page).blocks]
+    assert texts("<p>hi</p> more <!-- x") == ["hi", "more"] and texts("<p>a</p><!-- b > c") == ["a"] and texts("<p>hi</p><script>a>b c") == ["hi"]
+    assert texts("<p>a</p><![CDATA[x > y") == ["a", "x > y"] and texts("<p>a</p><![CDATA[x y") == ["a", "x y"] and texts("<svg a/>q<svg b>r") == ["q"] and texts("<script>x</script>y") == ["y"]
