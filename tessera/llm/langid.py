@@ -10,13 +10,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fold, packed, row_and, saved, shipped, table, unpacked
 
-WORD = re.compile(r"[^\W\d_]+")
+LATIN = re.compile(r"[^\W\d_]+")
+#: Letters with the signs that belong to them: vowels and tones of Indic and other scripts, combining accents, joiners.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}\u200C\u200D]*")
 #: Where blocks of one script begin in Unicode, and the script from there on ('' is any other).
 SCRIPTS = [
     (0x0041, "Latin"), (0x0250, "Latin"), (0x02B0, ""), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"),
@@ -33,6 +36,11 @@ OTHER = re.compile("[^\x00-\u02AF\u1E00-\u1EFF\u2000-\u21FF]")
 PIECE = 64
 
 
+def split(text: str) -> list[str]:
+    """The words of a text: runs of letters."""
+    return WORD.findall(text) if OTHER.search(text) else LATIN.findall(text)
+
+
 def script(char: str) -> str:
     i = bisect_right(_STARTS, ord(char)) - 1
     return SCRIPTS[i][1] if i >= 0 else ""
@@ -224,8 +232,8 @@ class Model:
         learned languages, one or several; it has no floor, and doesn't depend on which language is the likeliest.
         """
         low = [(t or "").lower() for t in texts]
-        split = [WORD.findall(t) for t in low]
-        cut = [pieces(ws, t) if any(c.isalpha() for w in ws for c in w) else ([], None) for ws, t in zip(split, low)]  # WORD also takes signs like ½
+        found = [split(t) for t in low]
+        cut = [pieces(ws, t) if any(c.isalpha() for w in ws for c in w) else ([], None) for ws, t in zip(found, low)]  # LATIN also takes signs like ½
         out: list = [("und", 0.0, [], 0.0)] * len(texts)
         if not self.langs:
             return out
@@ -280,7 +288,7 @@ def fit(docs: DataFrame, sample: int = 2_000, model_grams: int = 400_000, lang_g
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 low = text.lower()
-                for w, n in Counter(pieces(WORD.findall(low), low)[0]).items():
+                for w, n in Counter(pieces(split(low), low)[0]).items():
                     found[lang, "s" + script(w[0])] += n
                     own = grams(w)
                     found[lang, "t"] += n * len(own)
@@ -323,7 +331,7 @@ def fit(docs: DataFrame, sample: int = 2_000, model_grams: int = 400_000, lang_g
 def identify(docs: DataFrame, model: Model, spans: bool = True, text_col: str = "text", keep_text: bool = True, evidence: bool = False) -> DataFrame:
     """docs with lang_pred, score and, if asked, spans: array of (first word, last word, language), words from 0.
 
-    A word is a run of letters; one of several scripts or of more than PIECE letters is judged in pieces, and may end a
+    A word is a run of letters, with the marks that belong to them; one of several scripts or of more than PIECE letters is judged in pieces, and may end a
     span and begin the next. lang_pred has most letters in its spans; score is half its share of the letters and half the
     mean posterior of the words for it, 0 to 1. Null texts and texts without a letter: 'und', 0 and no spans; so are
     all texts if the model knows no language. Ties go to the language first in order. Whole texts are read, of any length.

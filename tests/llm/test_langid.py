@@ -136,3 +136,17 @@ def test_every_language_is_learned(spark):
     assert [g[0] for g in got] == sorted(own)
     with pytest.raises(ValueError):
         langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_langs=100)
+
+
+def test_marks_belong_to_words(spark):
+    assert langid.split("हिन्दी भाषा में लिखा हुआ") == ["हिन्दी", "भाषा", "में", "लिखा", "हुआ"] and langid.split("ภาษาไทยดีมาก") == ["ภาษาไทยดีมาก"] and langid.split("cafe\u0301 ab_c1d") == ["cafe\u0301", "ab", "c", "d"]
+    # two languages of one script, told apart by their vowel signs alone
+    import random
+
+    r = random.Random(2)
+    bases, signs = "कखगतनपमरलसह", {"hi": "ािी", "mr": "ेुू"}
+    text = lambda lang: " ".join("".join(r.choice(bases) + r.choice(signs[lang]) for _ in range(3)) for _ in range(30))
+    rows = [(i, text(lang), lang) for i in range(60) for lang in ("hi", "mr")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for lang in ("hi", "mr"):
+        assert [x[0] for x in model.label([text(lang) for _ in range(20)])] == [lang] * 20
