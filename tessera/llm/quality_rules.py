@@ -5,6 +5,9 @@ DataFrame functions only; each document is worked on in its own row, and only hi
 
 from __future__ import annotations
 
+import json
+
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,21 +22,53 @@ def _count(text: Column, pattern: str) -> Column:
     return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
 
 
-def common_words(docs: DataFrame, most: int = 20, least_docs: int = 20, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
+def common_words(docs: DataFrame, most: int = 20, least_docs: int = 20, most_langs: int = 4_096, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
     """The `most` most frequent words of each language that labels at least least_docs documents, counted over all documents.
 
     Counted by a sketch of bounded size a language: a word over a 5,000th of a language's words can't be missed. A few
-    words a language come to the driver.
+    words a language come to the driver; more than most_langs languages are refused (ValueError), as the column then
+    holds something else.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     each = known.select("lang", F.explode(words(F.col("text"))).alias("word")).groupBy("lang").agg(F.expr(f"approx_top_k(lower(word), {most}, 20000)").alias("top"))
-    enough = known.groupBy("lang").count().filter(F.col("count") >= least_docs).select("lang")
+    enough = known.groupBy("lang").count().filter(F.col("count") >= least_docs).select("lang").limit(most_langs + 1)
     rows = each.join(enough, "lang").select("lang", F.transform("top", lambda x: x["item"]).alias("top")).collect()
+    if len(rows) > most_langs:
+        raise ValueError(f"over {most_langs} languages in {lang_col}")
     return {r["lang"]: sorted(r["top"]) + [""] * (most - len(r["top"])) for r in rows}  # '' is no word, and fills up a short list
 
 
-def base_counts(docs: DataFrame, text_col: str = "text", also: str | None = None, listed: list[str] = ()) -> DataFrame:
-    """_tz_row, the column `also` as _tz_also, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars, classes (counts) and common: the words that are listed."""
+def _fixed(values: list, kind: str) -> Column:
+    """A constant of nested arrays and structs, written as one literal: the plan has one expression whatever its size."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def _finder(lists: dict[str, list[str]]) -> Column | None:
+    """The lists as buckets of words by their XXH64: of each word the languages (numbers from 1) that list it, and its place there (from 1)."""
+    found: dict[str, list[dict]] = {}
+    for i, lang in enumerate(sorted(lists), 1):
+        for j, w in enumerate(lists[lang], 1):
+            if w:
+                found.setdefault(w, []).append({"l": i, "b": j})
+    buckets: list = [None] * (2 * len(found) or 1)
+    for w in sorted(found):
+        at = xxhash.xxh64_intdigest(w.encode(), 42)
+        at = (at - (1 << 64) if at >> 63 else at) % len(buckets)
+        buckets[at] = [*(buckets[at] or []), {"w": w, "g": found[w]}]
+    table = _fixed(buckets, "array<array<struct<w:string,g:array<struct<l:int,b:int>>>>>")
+    return lambda w: F.get(F.filter(F.get(table, F.pmod(F.xxhash64(w), F.lit(len(buckets))).cast("int")), lambda x: x["w"] == w), F.lit(0))["g"]
+
+
+def _runs(values: Column, name: str, df: DataFrame) -> DataFrame:
+    """df with `name`: (how often, minus the value) of each value of an array."""
+    df = df.withColumn("_tz_v", F.sort_array(values))
+    n = F.size("_tz_v")
+    df = df.withColumn("_tz_at", F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | (i == 0) | (F.get("_tz_v", i) != F.get("_tz_v", i - 1))))
+    return df.withColumn(name, F.transform(F.slice("_tz_at", 1, F.greatest(F.size("_tz_at") - 1, F.lit(0))), lambda i, j: F.struct((F.get("_tz_at", j + 1) - i).alias("n"), (-F.get("_tz_v", i)).alias("v")))).drop("_tz_v", "_tz_at")
+
+
+def base_counts(docs: DataFrame, text_col: str = "text", also: str | None = None, lists: dict[str, list[str]] | None = None) -> DataFrame:
+    """_tz_row, the column `also` as _tz_also, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars, classes (counts) and common: for each word that is listed, once a language, the language and the place in its list."""
     base = packed(docs, *([also] if also else []), text_col, beside=text_col)
     base = base.select("_tz_row", (F.col(f"_tz_{also}").cast("string") if also else F.lit(None).cast("string")).alias("_tz_also"), F.coalesce(F.col(f"_tz_{text_col}"), F.lit("")).alias("_tz_text"))
     base = base.withColumns({"_tz_words": words(F.col("_tz_text")), "_tz_lines": F.filter(F.split("_tz_text", "\n"), lambda x: x.rlike(r"[^ \t-\r]"))})
@@ -49,7 +84,7 @@ def base_counts(docs: DataFrame, text_col: str = "text", also: str | None = None
     marked = marked.withColumn("_tz_rest", F.regexp_replace("_tz_text", f"{CLASSES[0]}+", ""))
     chars, rest = F.char_length("_tz_text"), F.col("_tz_rest")
     counted = [chars - F.char_length(rest), *(_count(rest, f"{c}+") for c in CLASSES[1:])]
-    common = F.filter(F.transform("_tz_words", F.lower), lambda w: w.isin(listed)) if listed else F.array().cast("array<string>")
+    common = F.flatten(F.array_compact(F.transform(F.transform("_tz_words", F.lower), _finder(lists)))) if lists else F.array().cast("array<struct<l:int,b:int>>")
     return marked.select(
         "_tz_row", "_tz_also", F.size("_tz_words").cast("long").alias("n_words"),
         (chars - _count(rest, r"[ \t-\r]+")).cast("long").alias("word_chars"),
@@ -85,7 +120,8 @@ def quality_rules(docs: DataFrame, min_words: int = 10, repeat_percent: int = 20
     words are the top_words most frequent ones. Its histograms are means over all its documents that pass the base rules
     and the guards, then over those of them within the limits of the first mean, so that junk doesn't define what is
     usual. A text is held against the language it is labelled with and the one of which it has most common words (the
-    first in order, if equal), and counts by the nearer. Labels may be wrong or missing; but a text labelled with a language
+    first in order, if equal), and counts by the nearer. What is known of the languages is one constant each of the plan,
+    in which words are found by their hash, so the work doesn't grow with the number of languages. Labels may be wrong or missing; but a text labelled with a language
     without a reference, or without a label and without a common word, is left to the base rules, and so are all if
     lang_col is None or no column.
 
@@ -95,22 +131,21 @@ def quality_rules(docs: DataFrame, min_words: int = 10, repeat_percent: int = 20
     labelled = lang_col if lang_col in docs.columns else None
     lists = common_words(docs, top_words, least_docs, text_col, labelled) if labelled else {}
     langs = sorted(lists)
-    made = base_counts(docs, text_col, labelled, sorted({w for x in lists.values() for w in x}))
+    made = base_counts(docs, text_col, labelled, lists)
     made = made.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")))
     made = made.withColumn("p_classes", F.when(F.col("chars") >= guard_chars, _shares(F.col("classes"), F.col("chars"))))
     # languages as numbers from 1; 0: none
-    label = F.coalesce(F.array_position(F.array(*map(F.lit, langs)), F.col("_tz_also")).cast("int"), F.lit(0)) if langs else F.lit(0)
-    having = lambda x: F.size(F.filter("common", lambda w: w.isin(x)))
-    own = F.array(*(having(lists[g]) for g in langs)) if langs else F.array(F.lit(0))
-    made = made.withColumn("label", label).withColumn("own", own)
-    most = F.when(F.array_max("own") > 0, F.array_position("own", F.array_max("own")).cast("int")).otherwise(F.lit(0))
+    label = F.coalesce(F.array_position(_fixed(langs, "array<string>"), F.col("_tz_also")).cast("int"), F.lit(0))
+    made = _runs(F.transform("common", lambda x: x["l"]), "own", made.withColumn("label", label))
+    most = F.coalesce(-F.array_max("own")["v"], F.lit(0))
     unknown = F.col("_tz_also").isNotNull() & (F.col("label") == 0)
     made = made.withColumn("most", F.when(unknown, F.lit(0)).otherwise(most))
     made = made.withColumn("lang", F.when(F.col("label") > 0, F.col("label")).otherwise(F.col("most"))).withColumn("other", F.when(F.col("most") != F.col("lang"), F.col("most")).otherwise(F.lit(0)))
-    said = F.array(*(F.array(*map(F.lit, lists[g])) for g in langs)) if langs else F.array().cast("array<array<string>>")
-    times = lambda g: F.transform(F.get(said, F.col(g) - 1), lambda w: F.size("common") - F.size(F.array_remove("common", w)))
+    for g in ("lang", "other"):
+        made = made.withColumn(f"in_{g}", F.transform(F.filter("common", lambda x: x["l"] == F.col(g)), lambda x: x["b"]))
+    times = lambda g: F.transform(F.sequence(F.lit(1), F.lit(top_words)), lambda b: F.size(f"in_{g}") - F.size(F.array_remove(f"in_{g}", b)))
     p_words = lambda g: F.when((F.col("n_words") >= guard_words) & (F.col(g) > 0), _shares(times(g), F.col("n_words")))
-    made = saved(made.withColumn("p_words", p_words("lang")).withColumn("p_other", p_words("other")).drop("classes", "common", "own", "label", "most", "_tz_also", "chars"))
+    made = saved(made.withColumn("p_words", p_words("lang")).withColumn("p_other", p_words("other")).drop("classes", "common", "own", "label", "most", "in_lang", "in_other", "_tz_also", "chars"))
 
     sound = made.filter(~F.col("base_failed") & (F.col("lang") > 0) & F.col("p_classes").isNotNull() & F.col("p_words").isNotNull())
     far = lambda c, w: F.coalesce(c > most_classes, F.lit(False)) | F.coalesce(c + w > most_both, F.lit(False))
@@ -143,7 +178,7 @@ def _distance(column: str, lang: str, refs: dict[int, dict[str, list[float]]], n
     """To the reference of the language; null without one or without a histogram."""
     if not refs:
         return F.lit(None).cast("double")
-    all_ = F.array(*(F.array(*map(F.lit, refs[g][name])) if g in refs else F.lit(None).cast("array<double>") for g in range(1, max(refs) + 1)))
+    all_ = _fixed([refs[g][name] if g in refs else None for g in range(1, max(refs) + 1)], "array<array<double>>")
     own = F.get(all_, F.col(lang) - 1)
     return F.when(F.col(column).isNotNull() & own.isNotNull(), divergence(F.col(column), own))
 
