@@ -12,29 +12,56 @@ def neighbours(hits: DataFrame, window: int = 2) -> DataFrame:
     return hits.withColumn("start", F.greatest(F.lit(0), F.col("chunk_index") - window)).withColumn("end", F.least(F.col("total_chunks") - 1, F.col("chunk_index") + window))
 
 
-def merge_ranges(ranges: DataFrame, by: list[str], lower_is_better: bool = True, compat: str | None = None) -> DataFrame:
-    """(by, start, end, score, hits): ranges that overlap or follow one another become one, with the best of their scores.
+#: Places of one segment of a source, and chunks of one bin.
+SEGMENT, BIN = 4096, 256
 
-    compat='min': the smallest score, whichever way is better, as the original does even after reranking.
-    """
-    lower_is_better = lower_is_better or compat == "min"
+
+def _islands(ranges: DataFrame, by: list[str], best: F.Column) -> DataFrame:
+    """(by, start, end, score, hits): ranges (by, start, end, score, hits) that overlap or follow one another, made one, in a window by `by`."""
     order = W.partitionBy(*by).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     fresh = ranges.withColumn("fresh", F.when(reach.isNull() | (F.col("start") > reach + 1), 1).otherwise(0))
     island = fresh.withColumn("island", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    best = F.min("score") if lower_is_better else F.max("score")
-    return island.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), best.alias("score"), F.count("*").alias("hits")).drop("island")
+    return island.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), best.alias("score"), F.sum("hits").alias("hits")).drop("island")
 
 
-def expand(ranges: DataFrame, chunks: DataFrame, by: list[str], keep: list[str] | None = None) -> DataFrame:
+def merge_ranges(ranges: DataFrame, by: list[str], lower_is_better: bool = True, compat: str | None = None, segment: int = SEGMENT) -> DataFrame:
+    """(by, start, end, score, hits): ranges that overlap or follow one another become one, with the best of their scores.
+
+    compat='min': the smallest score, whichever way is better, as the original does even after reranking.
+
+    No task sees all ranges of a source: they are merged by segments of `segment` places of their starts. What lies before a
+    segment can meet only the islands that begin within its reach (they are one then), and of a segment only the island that reaches
+    furthest can go beyond it; so two rows a segment are merged in a second pass, and the other islands are whole already.
+    """
+    lower_is_better = lower_is_better or compat == "min"
+    best = F.min("score") if lower_is_better else F.max("score")
+    cut = F.floor(F.col("start") / segment)
+    local = _islands(ranges.select(*by, "start", "end", "score", F.lit(1).cast("long").alias("hits"), cut.alias("_segment")), [*by, "_segment"], best)
+    names = [f"_by{i}" for i in range(len(by))]
+    ends = local.groupBy(*(F.col(c).alias(n) for c, n in zip(by, names)), F.col("_segment").alias("_seg")).agg(F.max("end").alias("_most"))
+    before = F.max("_most").over(W.partitionBy(*names).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.withColumn("_reach", before)
+    on = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names)] + [F.col("_segment") == F.col("_seg")]
+    met = local.join(ends, on).withColumn("_head", F.coalesce(F.col("start") <= F.col("_reach") + 1, F.lit(False))).withColumn("_edge", F.col("_head") | (F.col("end") == F.col("_most")))
+    columns = [*by, "start", "end", "score", "hits"]
+    heads = met.filter("_head").groupBy(*by, "_segment").agg(F.min("start").alias("start"), F.max("end").alias("end"), best.alias("score"), F.sum("hits").alias("hits")).select(columns)
+    edges = heads.unionByName(met.filter("_edge and not _head").select(columns))
+    return _islands(edges, by, best).unionByName(met.filter("not _edge").select(columns))
+
+
+def expand(ranges: DataFrame, chunks: DataFrame, by: list[str], keep: list[str] | None = None, bin_size: int = BIN) -> DataFrame:
     """ranges with text (the chunks of the range in order, a blank line between), first_chunk and chunk_count.
 
-    An equi-join on `by` with the range as its residual condition; `keep` are further columns of ranges, which tell alike
+    An equi-join on `by` and bins of chunk_index, each range dealt to the bins that it meets, with the range as its residual
+    condition: a task holds a few hundred chunks of a source and what asks for them, however long the source. `keep` are further columns of ranges, which tell alike
     ranges apart. A range of which no chunk exists has no text.
     """
     own = [*by, *(keep or []), "start", "end", "score"]
-    same = [F.col(f"r.{c}") == F.col(f"c.{c}") for c in by] + [F.col("c.chunk_index").between(F.col("r.start"), F.col("r.end"))]
-    joined = ranges.alias("r").join(chunks.alias("c"), same, "left")
+    bin_of = lambda c: F.floor(F.col(c) / bin_size)
+    dealt = ranges.select(*own, F.explode(F.sequence(bin_of("start"), F.greatest(bin_of("start"), bin_of("end")))).alias("_bin"))
+    same = [F.col(f"r.{c}") == F.col(f"c.{c}") for c in by] + [F.col("r._bin") == F.col("c._bin"), F.col("c.chunk_index").between(F.col("r.start"), F.col("r.end"))]
+    joined = dealt.alias("r").join(chunks.withColumn("_bin", bin_of("chunk_index")).alias("c"), same, "left")
     part = F.struct(F.col("c.chunk_index").alias("i"), F.col("c.text").alias("t"))
     got = joined.groupBy(*(F.col(f"r.{c}").alias(c) for c in own)).agg(F.array_sort(F.collect_list(F.when(F.col("c.chunk_index").isNotNull(), part))).alias("parts"))
     return got.select(*own, F.array_join(F.transform("parts", lambda x: x["t"]), "\n\n").alias("text"), F.get("parts", 0)["i"].alias("first_chunk"), F.size("parts").alias("chunk_count"))

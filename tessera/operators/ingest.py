@@ -115,6 +115,20 @@ def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return joined.filter(F.col("_known").isNull() | ~F.col("mtime").eqNullSafe(F.col("_m")) | ~F.col("size").eqNullSafe(F.col("_s"))).drop("_m", "_s", "_known")
 
 
+def file_changes(files: DataFrame, known: DataFrame) -> DataFrame:
+    """(path, mtime, size, change): how files (path, mtime, size) differ from what is known of them (the same, the last version of each): 'new', 'changed' or 'gone'.
+
+    A gone file has the time and size that it had. One full join on the path; files that are as they were aren't in it.
+    """
+    k = known.select(F.col("path").alias("_path"), F.col("mtime").alias("_mtime"), F.col("size").alias("_size"), F.lit(True).alias("_known"))
+    both = files.select("path", "mtime", "size", F.lit(True).alias("_here")).join(k, F.col("path") == F.col("_path"), "full")
+    same = F.col("mtime").eqNullSafe(F.col("_mtime")) & F.col("size").eqNullSafe(F.col("_size"))
+    change = F.when(F.col("_known").isNull(), "new").when(F.col("_here").isNull(), "gone").when(~same, "changed")
+    gone = F.col("_here").isNull()
+    pick = lambda c: F.when(gone, F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+    return both.select(pick("path"), pick("mtime"), pick("size"), change.alias("change")).filter("change is not null")
+
+
 def source_profile(chunks: DataFrame, source: str = "source") -> DataFrame:
     """(source, chunks, documents): rows a source."""
     return chunks.groupBy(source).agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents"))

@@ -36,9 +36,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, kind: str = "l2sq", bl
     part = F.col(collection).cast("string") if collection else F.lit("")
     base = vectors.filter("id is not null and vector is not null").select(F.col("id").cast("long").alias("id"), part.alias("part"), F.col("vector").cast("array<double>").alias("vector"))
     asks = queries.filter("query_id is not null and vector is not null").select(F.col("query_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    n, m, longest = base.count(), asks.count(), 0
+    told = lambda df: df.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    (n, longest), (m, _) = told(base), told(asks)
     if block_rows is None or query_rows is None:
-        longest = base.agg(F.max(F.size("vector"))).first()[0] or 1
         block_rows, query_rows = (x or max(1, min(most, BLOCK_BYTES // (8 * longest))) for x, most in ((block_rows, 50_000), (query_rows, 20_000)))
     width, height = max(1, -(-n // block_rows)), max(1, -(-m // query_rows))
     columns, lines = (F.sequence(F.lit(0), F.lit(x - 1)) for x in (width, height))

@@ -21,6 +21,7 @@ from tessera.operators import ingest as I
 from tessera.operators import pages as P
 from tessera.operators import questions as Q
 from tessera.operators import search as S
+from tessera.operators.index import VectorIndex
 from tessera.plans import answer as A
 from tessera.sources import models as M
 from tessera.sources import readers as R
@@ -240,6 +241,17 @@ def answer_json(spark, sf):
     return K.answer_json(lists.withColumn("question", F.concat(F.lit("near "), "query_id")).withColumn("answer", F.lit("")), "l2sq")
 
 
+@query(_H + "SELECT query_id, rank, id, score FROM h")
+def knn_saved_index(spark, sf):
+    """The same search through a saved index: balls of clusters, of which a query meets those that can hold one of its rows."""
+    v, q = _vectors(spark, sf)
+    at = f"{folder(spark)}/index-{uuid.uuid4().hex}"
+    hits, _ = VectorIndex(spark, at).build(v).search(q, K10)
+    out = saved(hits)
+    remove(spark, at)
+    return out
+
+
 # ---- ingestion
 
 @query("SELECT doc_id, sha256(text) AS chunk_id, CAST(length(text) AS BIGINT) AS n FROM documents")
@@ -283,6 +295,46 @@ def manifest_changed(spark, sf):
     return I.changed_files(docs.select("path", "mtime", "size"), known)
 
 
+@query("""WITH b AS (SELECT d.doc_id, text FROM documents d JOIN labels USING (doc_id)), k AS (SELECT DISTINCT sha256(text) AS c FROM b), a AS (SELECT sha256(text) AS c, count(*) AS n FROM documents GROUP BY 1)
+SELECT 'first' AS step, (SELECT count(*) FROM b) AS given, (SELECT count(*) FROM b) - (SELECT count(*) FROM k) AS duplicates, CAST(0 AS BIGINT) AS stored, (SELECT count(*) FROM k) AS added, (SELECT count(*) FROM k) AS chunks
+UNION ALL SELECT 'second', CAST(sum(n) AS BIGINT), CAST(sum(n - 1) AS BIGINT), (SELECT count(*) FROM k), count(*) - (SELECT count(*) FROM k), count(*) FROM a""")
+def store_increments(spark, sf):
+    """The labelled documents are put into a store, then all: what each step counts, and what is stored after it."""
+    at = f"{folder(spark)}/store-{uuid.uuid4().hex}"
+    store, docs = open_store("parquet", spark, at), read(spark, sf, "documents")
+    rows = docs.select(I.content_id("text").alias("doc_id"), F.col("doc_id").cast("string").alias("source"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), "text", F.col("doc_id").alias("n"))
+    told = []
+    for step, some in (("first", rows.join(read(spark, sf, "labels").select(F.col("doc_id").alias("n")), "n", "left_semi")), ("second", rows)):
+        counts = store.add(some.drop("n"), "docs")
+        told.append((step, *(int(counts[c]) for c in ("given", "duplicates", "stored", "added")), store.chunks("docs").count()))
+    remove(spark, at)
+    return spark.createDataFrame(told, "step string, given long, duplicates long, stored long, added long, chunks long")
+
+
+@query("""WITH d AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)),
+v AS (SELECT doc_id, 2 AS version, CASE WHEN quality = 0 THEN substring(text, 1, 100) ELSE text END AS text FROM d WHERE quality IS NULL OR (quality = 0 AND toxic = 0)
+UNION ALL SELECT doc_id, 1, text FROM d WHERE quality = 1 AND toxic = 0)
+SELECT CAST(doc_id AS VARCHAR) AS source, CAST(version AS BIGINT) AS version, sha256(text) AS text_id FROM v""")
+def document_versions(spark, sf):
+    """Version 1 are the labelled documents. In version 2 toxic ones are gone, poor ones are cut to 100 characters, and the unlabelled ones come: what readers of the store see then."""
+    at = f"{folder(spark)}/store-{uuid.uuid4().hex}"
+    store, docs = open_store("parquet", spark, at), read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id", "left")
+    named = docs.select(F.col("doc_id").cast("string").alias("path"), F.col("doc_id").cast("double").alias("mtime"), "text", "quality", "toxic")
+    before = named.filter("quality is not null").withColumn("size", F.lit(0).cast("long"))
+    after = named.filter("toxic is null or toxic = 0").withColumn("text", F.when(F.col("quality") == 0, F.substring("text", 1, 100)).otherwise(F.col("text"))).withColumn("size", F.when(F.col("quality") == 0, 1).otherwise(0).cast("long"))
+    known = spark.createDataFrame([], "path string, mtime double, size long")
+    for version, files in ((1, before), (2, after)):
+        changes = saved(I.file_changes(files.select("path", "mtime", "size"), known).withColumn("version", F.lit(version)))
+        texts = files.join(changes.filter("change <> 'gone'").select("path", "version"), "path")
+        chunks = texts.select(I.content_id("text").alias("doc_id"), F.col("path").alias("source"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), "text", "version")
+        store.put(changes.select(F.col("path").alias("source"), "version", F.when(F.col("change") == "gone", "gone").otherwise("live").alias("state"), "mtime", "size"), chunks, "docs")
+        known = store.versions("docs").filter("state = 'live'").select(F.col("source").alias("path"), "mtime", "size")
+    last = store.versions("docs").select("source", "version")
+    out = saved(store.occurrences("docs").join(last, "source").select("source", "version", F.col("doc_id").alias("text_id")))
+    remove(spark, at)
+    return out
+
+
 @query("SELECT source, count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM documents GROUP BY source")
 def profile_sources(spark, sf):
     return I.source_profile(read(spark, sf, "documents"))
@@ -759,13 +811,19 @@ me AS (SELECT doc_id, min("start") AS "start", max("end") AS "end" FROM i GROUP
 SELECT me.doc_id, CAST("start" AS INTEGER) AS "start", CAST("end" AS INTEGER) AS "end", sha256(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index)) AS text_id, CAST(count(*) AS INTEGER) AS chunk_count
 FROM me JOIN ch ON ch.doc_id = me.doc_id AND chunk_index BETWEEN "start" AND "end" GROUP BY me.doc_id, "start", "end" """)
 def shared_chunk_expansion(spark, sf):
-    """Chunks that several documents hold are stored once, and expanded in each of the documents by their occurrences."""
-    places = _chunks(spark, sf).withColumn("chunk_id", I.content_id("text"))
-    shared = places.select("chunk_id", "doc_id").distinct().groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1")
-    hits = places.join(shared.select("chunk_id"), "chunk_id", "left_semi").select("doc_id", "chunk_index", "total_chunks", F.lit(0.0).alias("score"))
-    ranges = C.merge_ranges(C.neighbours(hits, 1), ["doc_id"])
-    out = C.expand(ranges, places.select("doc_id", "chunk_index", "text"), ["doc_id"])
-    return out.select("doc_id", "start", "end", I.content_id("text").alias("text_id"), "chunk_count")
+    """Chunks that several documents hold are stored once, and expanded in each of the documents by the store's occurrences."""
+    at = f"{folder(spark)}/store-{uuid.uuid4().hex}"
+    store = open_store("parquet", spark, at)
+    own = _chunks(spark, sf).select(I.content_id("text").alias("doc_id"), F.col("doc_id").cast("string").alias("source"), "chunk_index", "total_chunks", "text")
+    store.add(own, "docs")
+    places = store.occurrences("docs")
+    shared = places.groupBy("doc_id").agg(F.count_distinct("source").alias("n")).filter("n > 1").select("doc_id")
+    hits = places.join(shared, "doc_id", "left_semi").select("source", "chunk_index", "total_chunks", F.lit(0.0).alias("score"))
+    ranges = C.merge_ranges(C.neighbours(hits, 1), ["source"])
+    out = C.expand(ranges, places.select("source", "chunk_index", "text"), ["source"])
+    out = saved(out.select(F.col("source").cast("long").alias("doc_id"), "start", "end", I.content_id("text").alias("text_id"), "chunk_count"))
+    remove(spark, at)
+    return out
 
 
 # ---- reports, comparisons
@@ -854,6 +912,28 @@ def transcript_cache(spark, sf):
     return all_.join(new, "path", "left").select("path", I.content_id("text").alias("text_id"), F.coalesce("new", F.lit(False)).alias("fresh"))
 
 
+@query("SELECT 'doc-' || doc_id AS path, sha256(text) AS text_id, 'again' AS run FROM documents WHERE text IS NOT NULL")
+def transcripts_kept(spark, sf):
+    """Texts are taken from all documents and written as transcripts; a second run finds each of them there and takes none anew."""
+    at = f"{folder(spark)}/transcripts-{uuid.uuid4().hex}"
+    docs = read(spark, sf, "documents").filter("text is not null").select(F.concat(F.lit("doc-"), "doc_id").alias("path"), F.col("doc_id").cast("double").alias("mtime"), F.octet_length("text").cast("long").alias("size"), "text")
+    files, extract = docs.select("path", "mtime", "size"), lambda missing: missing.select("path").join(docs.select("path", "text"), "path")
+    _, fresh = R.through_cache(files, R.transcripts(spark, at), extract)
+    K.write_transcripts(fresh, at)
+    all_, none = R.through_cache(files, R.transcripts(spark, at), extract)
+    out = saved(all_.select("path", I.content_id("text").alias("text_id"), F.lit("again").alias("run")).unionByName(none.select("path", F.lit(None).cast("string").alias("text_id"), F.lit("anew").alias("run"))))
+    remove(spark, at)
+    return out
+
+
+@query("""SELECT conv_id * 1000 + turn AS query_id, 'no answer' AS error, coalesce(text, 'unknown') AS query FROM conversations WHERE role = 'user'""")
+def error_answers(spark, sf):
+    """What is said instead of an answer to each user's turn, as JSON, read back."""
+    asked = read(spark, sf, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"), F.lit("no answer").alias("error"))
+    said = K.error_json(asked).withColumn("x", F.from_json("json", "error string, query string"))
+    return said.select("query_id", "x.error", "x.query")
+
+
 @query("""SELECT doc_id, CASE WHEN quality = 1 THEN 'author,title' ELSE 'author' END AS kept, round(1 / (1 + exp(toxic - quality)), 12) AS yes, format('{:.1f}%', (doc_id % 1000) / 10.0) AS share FROM labels""")
 def small_expressions(spark, sf):
     """Metadata by its allow-list, two logits as a probability, and a share in percent."""

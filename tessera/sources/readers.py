@@ -51,6 +51,31 @@ def parsed_files(spark: SparkSession, folder: str, parse: Callable[[str, bytes],
     return shipped(raw).mapInArrow(run, "path string, text string, error string")
 
 
+def parsed_content(spark: SparkSession, paths: list[str], parsers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """(path, text, error) of files by name, each read by its kind: text (UTF-8), pdf, and what `parsers` (kind: reader of bytes) adds or replaces.
+
+    A kind without a parser, and a file whose parser fails, has an error in its row. No paths: no rows.
+    """
+    if not paths:
+        return spark.createDataFrame([], "path string, text string, error string")
+    known: dict[str, Callable[[bytes], str]] = {"text": lambda x: x.decode("utf-8", errors="replace"), "pdf": lambda x: "\n".join(pdf.read(x)[0])} | (parsers or {})
+    raw = spark.read.format("binaryFile").load(paths).select("path", kind_of(F.col("path")).alias("kind"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for path, kind, content in zip(*(c.to_pylist() for c in b.columns)):
+                try:
+                    if kind not in known:
+                        raise ValueError(f"no parser for {kind}")
+                    out.append((path, known[kind](content), None))
+                except Exception as e:  # noqa: BLE001 - a parser may raise anything; it's reported in its row
+                    out.append((path, None, f"{type(e).__name__}: {e}"))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(3)], names=["path", "text", "error"])
+
+    return shipped(raw).mapInArrow(run, "path string, text string, error string")
+
+
 def pdf_texts(spark: SparkSession, folder: str, parse: Callable[[bytes], tuple[list[str], dict[str, str]]] = pdf.read) -> DataFrame:
     """(path, text, extra, error): PDF files, their pages joined by a line break, with the allowed entries of their metadata."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,PDF}").load(folder).select("path", "content")

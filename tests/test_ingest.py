@@ -319,3 +319,145 @@ def test_small_expressions(spark):
     got = row.select(X.without_extension(X.base_name(F.col("p"))).alias("p"), X.safe_title(F.col("t")).alias("t"), X.kept_metadata(F.col("m")).alias("m"), X.yes_probability(F.col("y"), F.col("n")).alias("y"), X.percent(F.col("s")).alias("s"), X.distinctive_phrases(F.col("d")).alias("d"), X.check_prompt(F.col("p"), F.col("t"), F.col("d")).alias("c")).first()
     assert (got.p, got.t, got.m, got.y, got.s) == ("b.tar", "A bc_é-1", {"author": "x"}, 0.5, "12.3%")
     assert got.d == ["One two three four five six Seven eight nine ten"] and "Valid: Yes" in got.c
+
+
+def _pdf(text):
+    stream = f"BT /F1 12 Tf 50 700 Td ({text}) Tj ET"
+    return f"%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj\n2 0 obj<</Type/Pages/Kids[3 0 R]/Count 1>>endobj\n3 0 obj<</Type/Page/Parent 2 0 R/Contents 4 0 R/Resources<</Font<</F1 5 0 R>>>>>>endobj\n4 0 obj<</Length {len(stream)}>>stream\n{stream}\nendstream endobj\n5 0 obj<</Type/Font/Subtype/Type1/BaseFont/Helvetica>>endobj\ntrailer<</Root 1 0 R>>\n%%EOF".encode()
+
+
+def test_versions_of_files_from_a_log_of_changes(spark, tmp_path):
+    """Files are rewritten, deleted and added between runs, one of which is cut short: the store then is as one made of the last state."""
+    import os
+
+    from tessera.streaming import ingest as N
+
+    folder, model = tmp_path / "in", M.HashingEmbedder(16)
+    folder.mkdir()
+    put = lambda name, text, at: ((folder / name).write_bytes(text if isinstance(text, bytes) else text.encode()), os.utime(folder / name, (at, at)))
+    speech = {"media": lambda x: x.decode("ascii")}
+
+    def run(store, log, check, fail=False):
+        N.log_changes(spark, str(folder), str(tmp_path / log))
+        real = store._append_new
+        if fail:
+            store._append_new = lambda *a, **k: (_ for _ in ()).throw(RuntimeError("cut short"))
+        try:
+            N.ingest_versions(spark, str(folder), str(tmp_path / log), store, "c", model, str(tmp_path / check), 60, 10, speech).awaitTermination()
+        except Exception:  # noqa: BLE001 - the one that is cut short
+            assert fail
+        store._append_new = real
+
+    seen = lambda store: (sorted((r.source, r.chunk_index, r.total_chunks, r.text) for r in store.occurrences("c").collect()), sorted((r.doc_id, r.text, tuple(r.vector)) for r in store.chunks("c").collect()))
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    put("a.txt", "alpha beta gamma. " * 12, 1000)
+    put("b.txt", "what both say. " * 3, 1000)
+    put("c.txt", "what both say. " * 3 + "and more of it here", 1000)
+    put("d.pdf", _pdf("Words of a paper"), 1000)
+    put("e.mp3", "spoken words", 1000)
+    put("bad.pdf", b"no pdf at all", 1000)
+    run(store, "log", "check")
+    assert [r.source.rsplit("/", 1)[1] for r in store.failures().collect()] == ["bad.pdf"] and "Words of a paper" in {r.text for r in store.chunks("c").collect()}
+    put("a.txt", "alpha beta gamma. " * 5 + "changed at the end", 2000)
+    os.remove(folder / "b.txt")
+    put("e.mp3", b"\xff\xfe", 2000)  # its reader fails: the version before it stays
+    put("f.txt", "new here", 2000)
+    run(store, "log", "check", fail=True)
+    assert "new here" not in {r.text for r in store.chunks("c").collect()}
+    run(store, "log", "check")
+    put("f.txt", "newer here", 3000)
+    put("d.pdf", _pdf("Other words of a paper"), 3000)
+    run(store, "log", "check")
+    run(store, "log", "check")
+    assert {"spoken words", "newer here", "Other words of a paper"} <= {r.text for r in store.chunks("c").collect()} and "new here" not in {r.text for r in store.chunks("c").collect()}
+    assert N.log_changes(spark, str(folder), str(tmp_path / "log")) == 0
+    assert {(r.source.rsplit("/", 1)[1], r.version, r.state) for r in store.versions("c").collect()} == {("a.txt", 2, "live"), ("b.txt", 2, "gone"), ("c.txt", 1, "live"), ("d.pdf", 3, "live"), ("e.mp3", 1, "live"), ("f.txt", 3, "live")}
+    put("e.mp3", "spoken words", 4000)
+    run(store, "log", "check")
+    fresh = ChunkStore(spark, str(tmp_path / "again"))
+    run(fresh, "log2", "check2")
+    assert seen(store) == seen(fresh)
+    hits = store.search(spark.createDataFrame([(1, model.embed_documents(["what both say."])[0])], "query_id long, vector array<double>"), 3)
+    assert all("b.txt" not in r.source for r in store.placed(hits).collect())
+
+
+def test_an_increment_shuffles_no_stored_row(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"))
+    rows = lambda a, b: spark.range(a, b).select(F.sha2(F.col("id").cast("string"), 256).alias("doc_id"), F.lit("s").alias("source"), F.col("id").cast("int").alias("chunk_index"), F.lit(b).alias("total_chunks"), F.col("id").cast("string").alias("text"))
+    assert store.add(rows(0, 300), "c")["added"] == 300
+    ids = rows(299, 302).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(store.BUCKETS)).cast("int").alias("bucket"))
+    known = store.stored_ids(ids, "c", True)
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    scan = plan.index("FileScan parquet")
+    assert "Exchange hashpartitioning" not in plan[:scan] and "bucket" in plan[plan.index("PartitionFilters"):] and "ReadSchema: struct<doc_id:string>" in plan and known.count() == 1
+    assert store.stored_ids(ids, "c", False).count() == 1
+    assert store.add(rows(290, 310), "c") == {"given": 20, "duplicates": 0, "stored": 10, "added": 10} and store.chunks("c").count() == 310
+    store.SMALL = 0
+    assert store.add(rows(300, 320), "c")["added"] == 10 and set(store.chunks().columns) >= {"doc_id", "vector"} and "bucket" not in store.chunks().columns
+
+
+def test_first_of_each_id_of_a_stream(spark, tmp_path):
+    """Three batches with repeats, and a restart between them: the rows are those of the batch path."""
+    from tessera.streaming import ingest as N
+
+    N.use_rocksdb(spark)
+    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    schema = "chunk_id string, source string, chunk_index int"
+    batches = [[("a", "s", 2), ("a", "s", 1), ("b", "s", 3)], [("a", "r", 0), ("c", "r", 1), ("c", "q", 9)], [("b", "z", 0), ("d", "z", 1), ("d", "z", 1)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = N.first_wins_stream(spark.readStream.schema(schema).parquet(src), "chunk_id", ["source", "chunk_index"])
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.schema(schema).parquet(out).collect())
+    assert got == [("a", "s", 1), ("b", "s", 3), ("c", "q", 9), ("d", "z", 1)]
+
+
+def _paper(fonts, content):
+    """A PDF file of one page with fonts (name: (dictionary, character map))."""
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] /Count 1 /Resources << /Font << " + b" ".join(b"/%s %d 0 R" % (n.encode(), 10 + 2 * i) for i, n in enumerate(fonts)) + b" >> /ProcSet [/PDF] >> >>", 3: b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 600 800] /Contents 4 0 R >>", 4: b"<< /Length %d >>\nstream\n%s\nendstream" % (len(content), content)}
+    for i, (about, to) in enumerate(fonts.values()):
+        objects[10 + 2 * i] = b"<< /Type /Font " + about + (b" /ToUnicode %d 0 R" % (11 + 2 * i) if to else b"") + b" >>"
+        if to:
+            import zlib
+
+            packed = zlib.compress(to)
+            objects[11 + 2 * i] = b"<< /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(packed), packed)
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in objects.items()) + b"trailer\n<< /Root 1 0 R >>\n%%EOF"
+
+
+MAP = b"""begincmap
+1 begincodespacerange
+<0000> <FFFF>
+endcodespacerange
+2 beginbfchar
+<0001> <0048>
+<0005> <00660069>
+endbfchar
+2 beginbfrange
+<0010> <0029> <0061>
+<0040> <0042> [<00E9> <0020> <D835DC00>]
+endbfrange
+endcmap"""
+
+
+def test_fonts_by_their_character_maps():
+    from tessera.sources import pdf as P2
+
+    two = {"F1": (b"/Subtype /Type0 /Encoding /Identity-H", MAP), "F2": (b"/Subtype /Type1 /Encoding << /Differences [ 65 /fi /eacute /uni20AC /odieresis 90 /quoteright ] >>", None), "F3": (b"/Subtype /TrueType", MAP.replace(b"<0000> <FFFF>", b"<00> <FF>").replace(b"<0001> <0048>", b"<51> <004D>"))}
+    content = b"BT /F1 10 Tf 1 0 0 1 50 700 Tm <0001001400410040004200050099> Tj ET BT /F2 10 Tf 1 0 0 1 50 680 Tm (ABC DZs) Tj ET BT /F3 10 Tf 50 660 Td (Q\\020) Tj ET"
+    assert P2.read(_paper(two, content))[0] == ["He \u00e9\U0001d400fi\nfi\u00e9\u20ac \u00f6\u2019s\nMa"]
+    assert P2.character_map(b"")[1] == {} and P2.glyph("nothing") == "" and P2.glyph("u1F600") == "\U0001f600"
+
+
+def test_lines_and_columns_by_position():
+    from tessera.sources import pdf as P2
+
+    show = lambda x, y, t: f"1 0 0 1 {x} {y} Tm ({t}) Tj ".encode()
+    font = {"F1": (b"/Subtype /Type1", None)}
+    # written line by line over both columns, the title last
+    rows = b"".join(show(50, 600 - 14 * i, f"left {i} of the page here") + show(310, 600 - 14 * i, f"right {i} of the page") for i in range(5))
+    page = P2.read(_paper(font, b"BT /F1 12 Tf " + rows + show(50, 640, "A title that goes over both of the columns of this one page") + show(50, 500, "And a foot that goes over both of its columns once again here") + b"ET"))[0][0]
+    assert page.split("\n") == ["A title that goes over both of the columns of this one page", *(f"left {i} of the page here" for i in range(5)), *(f"right {i} of the page" for i in range(5)), "And a foot that goes over both of its columns once again here"]
+    # lines out of order, and one of several pieces
+    page = P2.read(_paper(font, b"BT /F1 12 Tf " + show(50, 100, "third") + show(50, 128, "first") + show(82, 128.5, "line") + show(50, 114, "second") + b"ET"))[0][0]
+    assert page == "first line\nsecond\nthird"

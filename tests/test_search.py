@@ -195,3 +195,24 @@ def test_verdicts_and_impossible_questions(spark):
     assert E.possible_metrics(df, 4).first().success_rate == 0.5 and [r.query_id for r in E.failed(df).collect()] == [3]
     r = E.false_positives(df).first()
     assert (r.false_positive_rate, r.n) == (0.5, 2)
+
+
+def test_ranges_of_a_hot_source_are_merged_by_segments(spark):
+    r = random.Random(3)
+    rows = [(s, a, a + r.choice([0, 1, 2, 5, 40]), r.random()) for s in ("hot", None) for a in (r.randrange(-20, 900) for _ in range(300))] + [("one", 5, 2000, 0.5), ("one", 2001, 2001, 0.1), ("one", 2003, 2003, 0.2)]
+    df = spark.createDataFrame(rows, "source string, start int, end int, score double")
+    ones = df.withColumn("hits", F.lit(1).cast("long"))
+    for better, best in ((True, F.min("score")), (False, F.max("score"))):
+        want = sorted(map(tuple, C._islands(ones, ["source"], best).collect()), key=repr)
+        for segment in (1, 7, 64, 10_000):
+            assert sorted(map(tuple, C.merge_ranges(df, ["source"], better, segment=segment).collect()), key=repr) == want
+    long = spark.range(200_000).select(F.lit("s").alias("source"), (F.col("id") * 3).alias("start"), (F.col("id") * 3 + F.col("id") % 3).alias("end"), F.lit(1.0).alias("score"))
+    merged = C.merge_ranges(long, ["source"])
+    assert merged.count() == 200_000 - 200_000 // 3 and merged.agg(F.sum("hits")).first()[0] == 200_000
+
+
+def test_long_sources_are_expanded_by_bins(spark):
+    chunks = spark.range(3000).filter("id % 11 <> 5").select(F.lit("s").alias("source"), F.col("id").cast("int").alias("chunk_index"), F.concat(F.lit("t"), "id").alias("text"))
+    ranges = spark.createDataFrame([("s", a, a + n, 0.5) for a, n in ((0, 4), (250, 10), (255, 0), (0, 2999), (5, 0), (2998, 400), (5000, 3))] + [("other", 1, 2, 0.5)], "source string, start int, end int, score double")
+    want = {tuple(r) for r in C.expand(ranges, chunks, ["source"], bin_size=10_000).collect()}
+    assert {tuple(r) for r in C.expand(ranges, chunks, ["source"]).collect()} == want == {tuple(r) for r in C.expand(ranges, chunks, ["source"], bin_size=7).collect()} and len(want) == 8
