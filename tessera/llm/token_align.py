@@ -27,7 +27,7 @@ from tessera.llm.common import packed, row_and, saved, shipped, table, unpacked
 CUT = re.compile(r"(?<=\S) (?=\S)")
 LOOSE = re.compile(r"\s\s")
 #: Text of one batch, and pieces of text that are remembered (shorter ones only).
-BATCH_CHARS, KNOWN, KNOWN_CHARS = 12_000_000, 300_000, 64
+BATCH_CHARS, KNOWN, KNOWN_CHARS = 4_000_000, 250_000, 64
 
 
 def pieces(text: str) -> list[str]:
@@ -95,6 +95,7 @@ class Aligner:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.once: set[int] = set()
         self.counts = np.zeros((0, 3), np.int64)  # tokens of A, of B, groups; of a piece that can't be aligned -1
         self.told: list[str] = []
         self.db.execute("CREATE OR REPLACE TABLE links (piece INT, a INT, b INT, n BIGINT)")
@@ -117,7 +118,8 @@ class Aligner:
             again = []
             for row, text, a, b in zip(rows, texts, *self.both.encode(texts)):
                 raw = b" " + text.encode()
-                if b"".join(map(self.both.bytes_a.__getitem__, a)) == raw == b"".join(map(self.both.bytes_b.__getitem__, b)):
+                # A is byte-level and changes no text: its bytes can't differ but in number
+                if self.both.size_a[a].sum() == len(raw) and b"".join(map(self.both.bytes_b.__getitem__, b)) == raw:
                     runs.append((row, a, b))
                 elif len(row) == 1:
                     bad.add(row[0])
@@ -168,9 +170,13 @@ class Aligner:
         if len(self.told) > KNOWN:
             self.forget()
         often = Counter(w for row in cut for w in row if w not in self.known)
-        # what is remembered comes first: short, and more than once in this batch
-        fresh = sorted(often, key=lambda w: often[w] < 2 or len(w) > KNOWN_CHARS)
-        stays = len(self.told) + sum(1 for w in fresh if often[w] > 1 and len(w) <= KNOWN_CHARS)
+        # what is remembered comes first: short pieces met twice, in this batch or in an earlier one (by their hash, for the time being)
+        twice = {w for w, n in often.items() if (n > 1 or hash(w) in self.once) and len(w) <= KNOWN_CHARS}
+        rest = [w for w in often if w not in twice]
+        fresh, stays = [*twice, *rest], len(self.told) + len(twice)
+        if len(self.once) > 2 * KNOWN:
+            self.once.clear()
+        self.once.update(map(hash, rest))
         self.known.update((w, len(self.told) + i) for i, w in enumerate(fresh))
         self.learn(fresh)
         out, docs, ids, times = [], [], [], []
@@ -196,9 +202,8 @@ class Aligner:
         self.db.execute("INSERT INTO links SELECT * FROM fresh WHERE piece < ?", [stays])
         del self.told[stays:]
         self.counts = self.counts[:stays]
-        for w in fresh:
-            if self.known[w] >= stays:
-                del self.known[w]
+        for w in rest:
+            del self.known[w]
         return out, links, pairs
 
 
