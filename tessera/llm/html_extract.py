@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import packed, row_and, shipped, table, unpacked
-from tessera.llm.html_pages import pages
+from tessera.llm.html_pages import SAID, pages
 
 RAW = "script style textarea title template noscript iframe svg object select datalist canvas audio video noembed noframes head xmp"
 #: Elements whose content is never page text; the tokens of most of them aren't markup either.
@@ -161,13 +161,13 @@ def parse(page: str) -> Tree:
         if dropped > to:
             dropped = 0
 
-    at, stop = 0, page.rfind(">") + 1
-    for m in TOKEN.finditer(page, 0, stop):  # no tag ends further on, so none is looked for there
+    at, final = 0, page.rfind(">") + 1
+    for m in TOKEN.finditer(page, 0, final):  # no tag ends further on, so none is looked for there
         words(page[at:m.start()])
         at = m.end()
         tag = m["tag"]
         if m["raw"] or tag is None:
-            closed = at < stop or OPEN_END.search(m[0]) is None
+            closed = at < final or OPEN_END.search(m[0]) is None
             if m[0].startswith("<![CDATA["):
                 words(entities.escape((m[0] if closed else page[m.start():])[9:].removesuffix("]]>")))
             if not closed:
@@ -209,7 +209,7 @@ def parse(page: str) -> Tree:
             push(tag, m["attrs"] or "")
         if tag in DROPPED and not dropped:
             dropped = len(now.names)
-    rest = LAST.search(page, max(at, stop))
+    rest = LAST.search(page, max(at, final))
     words(page[at:rest.start() if rest else len(page)])
     if rest and rest["text"]:
         words(entities.escape(rest["text"]))
@@ -222,10 +222,13 @@ TAGS = {x: i for i, x in enumerate("other #root html body main article section d
 KINDS = {x: i for i, x in enumerate(["", *HINTS])}
 
 
+SAYS = re.compile("|".join(re.escape(x) for x in SAID), re.I)
+
+
 def describe(t: Tree) -> np.ndarray:
-    """For each node the classes of its features: tag, hint, length of its own text, share of links, last sign, and its text's place."""
+    """For each node the classes of its features: tag, hint, length of its own text, share of links, last sign, and whether it says what adverts and notices say (1: in a short text, 2: in a long one)."""
     n = len(t.parent)
-    out = np.zeros((n, 5), np.int64)
+    out = np.zeros((n, 6), np.int64)
     for i in range(n):
         own = t.text[i]
         size = sum(map(len, own))
@@ -235,49 +238,86 @@ def describe(t: Tree) -> np.ndarray:
         share = 0 if not size else min(1.0, t.linked[i] / size)
         out[i, 3] = 0 if not size else 1 + (share > 0.2) + (share > 0.6)
         out[i, 4] = 0 if not size else 1 + (own[-1][-1] in ".!?…:;") + 2 * (own[0][:1] in "©")
+        if any(map(SAYS.search, own)):
+            out[i, 5] = 1 if size <= 160 else 2
     return out
 
 
-DAMPED = 0.2
-SIZES = (len(TAGS), len(KINDS), 7, 4, 5)
+DAMPED, CHILD = 0.2, 0.3
+SIZES = (len(TAGS), len(KINDS), 7, 4, 5, 3)
 
 
 @dataclass
 class Potentials:
-    """Log potentials: of each feature class by label; of (parent's label, label) by the child's tag and hint; of the root."""
+    """Log potentials: of each feature class by label; of (parent's label, label) by the child's tag and hint; of a child's tag by its parent's tag and label; of the root."""
 
     unary: list[np.ndarray]
     pair: np.ndarray
+    child: np.ndarray
     root: np.ndarray
 
 
-@functools.lru_cache(maxsize=2)
-def trained(n: int = 3_000, seed: int = 17) -> Potentials:
-    """Potentials counted on n labelled pages of the generator, with one added to each count."""
-    unary = [np.ones((2, s)) for s in SIZES]
-    pair = np.ones((len(TAGS), len(KINDS), 2, 2))
-    tag_only, any_ = np.ones((len(TAGS), 2, 2)), np.ones((2, 2))
-    root = np.ones(2)
-    for page in pages(n, seed):
+#: Labelled pages to learn from, and the parts in which they are made, each from a seed of its own.
+PAGES, PARTS = 3_000, 12
+
+
+def counted(part: int, n: int = PAGES, seed: int = 17) -> list[np.ndarray]:
+    """Counts of one part of the labelled pages: unary ones, pairs, children by parent, roots."""
+    unary = [np.zeros((2, s)) for s in SIZES]
+    pair, child, root = np.zeros((len(TAGS), len(KINDS), 2, 2)), np.zeros((len(TAGS), 2, len(TAGS))), np.zeros(2)
+    for page in pages(n // PARTS, seed * 1000 + part):
         t = parse(page)
         x, y = describe(t), _labels(t)
         for i in range(len(y)):
             if t.parent[i] < 0:
                 root[y[i]] += 1
                 continue
-            for f in range(2, 5):
+            for f in range(2, len(SIZES)):
                 unary[f][y[i], x[i, f]] += 1
-            at = (y[t.parent[i]], y[i])
-            pair[x[i, 0], x[i, 1], at[0], at[1]] += 1
-            tag_only[x[i, 0], at[0], at[1]] += 1
-            any_[at] += 1
+            above = t.parent[i]
+            pair[x[i, 0], x[i, 1], y[above], y[i]] += 1
+            child[x[above, 0], y[above], x[i, 0]] += 1
+    return [*unary, pair, child, root]
+
+
+def learned(parts: list[list[np.ndarray]]) -> Potentials:
+    """Potentials of the counts of all parts, with one added to each."""
+    *unary, pair, child, root = (sum(x) for x in zip(*parts))
     norm = lambda a: a / a.sum(axis=-1, keepdims=True)
-    # pairs not seen lean on the tag alone, and that on all
-    smooth = norm(tag_only - 1 + 4 * norm(any_))
-    pair = norm(pair - 1 + 4 * smooth[:, None])
+    unary = [norm(u + 1) for u in unary]
     unary[0][:], unary[1][:] = 1, 1  # the tag and the hint speak through the pair potentials
-    # the texts of a part are alike, so each is taken for a part of the evidence that it would be alone
-    return Potentials([DAMPED * np.log(norm(u)) for u in unary], np.log(pair), np.log(root / root.sum()))
+    # pairs not seen lean on the tag alone, and that on all
+    tag_only = pair.sum(axis=1)
+    smooth = norm(tag_only + 4 * norm(tag_only.sum(axis=0) + 1))
+    pair = norm(pair + 4 * smooth[:, None])
+    # the texts of a part are alike, and so are its children, so each is taken for a part of the evidence that it would be alone; what adverts say is whole evidence
+    damp = [DAMPED] * (len(SIZES) - 1) + [1.0]
+    return Potentials([d * np.log(u) for d, u in zip(damp, unary)], np.log(pair), CHILD * np.log(norm(child + 4 * norm(child.sum(axis=0) + 1))), np.log(norm(root + 1)))
+
+
+@functools.lru_cache(maxsize=2)
+def trained(n: int = PAGES, seed: int = 17) -> Potentials:
+    """The potentials, counted here."""
+    return learned([counted(part, n, seed) for part in range(PARTS)])
+
+
+_learned: dict[str, Potentials] = {}
+
+
+def trained_by(spark: SparkSession) -> Potentials:
+    """The same potentials, counted in tasks, once a session; of each part a few thousand numbers come to the driver."""
+    app = spark.sparkContext.applicationId
+    if app not in _learned:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for part in b.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.concatenate([x.ravel() for x in counted(part)]).tobytes()], pa.binary())], names=["part", "counts"])
+
+        shapes = [x.shape for x in counted(0, 0)]
+        cuts = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
+        rows = shipped(spark.range(PARTS).repartition(PARTS)).mapInArrow(run, "part long, counts binary").orderBy("part").collect()
+        _learned[app] = learned([[x.reshape(s) for x, s in zip(np.split(np.frombuffer(r.counts), cuts), shapes)] for r in rows])
+    return _learned[app]
 
 
 def _labels(t: Tree) -> np.ndarray:
@@ -293,6 +333,8 @@ def marginals(parent: np.ndarray, depth: np.ndarray, x: np.ndarray, model: Poten
     """P(content) of each node of a forest, exactly: messages to the parents, deepest first, then back down."""
     unary = sum(model.unary[f][:, x[:, f]].T for f in range(x.shape[1]))
     unary = np.where((parent < 0)[:, None], unary + model.root, unary)
+    inner = np.flatnonzero(parent >= 0)
+    np.add.at(unary, parent[inner], model.child[x[parent[inner], 0], :, x[inner, 0]])
     pair = model.pair[x[:, 0], x[:, 1]]
     order = np.argsort(depth, kind="stable")
     cuts = np.searchsorted(depth[order], np.arange(depth.max(initial=0) + 2))
@@ -338,7 +380,7 @@ def html_text(pages_: DataFrame, threshold: float = 0.5, html_col: str = "html",
     enough; any depth and length is read whole. Columns of the two names are replaced; others pass. Empty input: empty.
     """
     base = packed(pages_, html_col, beside=html_col)
-    shared = pages_.sparkSession.sparkContext.broadcast(trained())
+    shared = pages_.sparkSession.sparkContext.broadcast(trained_by(pages_.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

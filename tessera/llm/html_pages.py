@@ -4,6 +4,12 @@ from __future__ import annotations
 
 import random
 
+#: What adverts, notices and the like say, and articles seldom.
+SAID = [
+    "buy now", "click here", "order today", "best offers", "special offer", "sponsored", "advertisement", "free trial", "learn more", "sign up", "subscribe", "newsletter", "log in", "cookies", "accept all", "privacy policy", "terms of use",
+    "all rights reserved", "share this", "follow us", "leave a comment", "read more", "related articles", "jetzt kaufen", "hier klicken", "newsletter abonnieren", "anzeige", "alle rechte vorbehalten", "acheter maintenant", "cliquez ici", "abonnez-vous", "publicité",
+    "tous droits réservés", "compra ahora", "haz clic", "suscríbete", "publicidad", "todos los derechos reservados",
+]
 SYLLABLES = "ka lo mi ren tus vel dor fin gra hel jo lin mar nos pe qua ris sol ten ul".split()
 
 
@@ -41,6 +47,8 @@ def _inner(r: random.Random) -> str:
     for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 12])):
         k = r.random()
         text = _sentences(r, 1, 6) if k < 0.8 else _words(r, 1, 6)
+        if r.random() < 0.04:  # an article may speak of such things
+            text = f"{_sentences(r, 1, 3)} {_words(r, 2, 6).capitalize()} {r.choice(SAID)} {_words(r, 2, 6)}. {_sentences(r, 1, 2)}"
         if r.random() < 0.3:
             text += f" <{(t := r.choice(['b', 'i', 'em', 'strong', 'code', 'span']))}>{_words(r, 1, 5)}</{t}> " + _words(r, 0, 8)
         if r.random() < 0.2:
@@ -73,8 +81,18 @@ def _inner(r: random.Random) -> str:
     return "".join(parts)
 
 
+def _saying(r: random.Random) -> str:
+    """A line that an advert or a notice says."""
+    return " ".join(filter(None, (_words(r, 0, 4), r.choice(SAID), _words(r, 0, 5)))).capitalize() + r.choice([".", ".", "!", ""])
+
+
 def _noise(r: random.Random, kind: str) -> str:
     text = _sentences(r, 1, 3)
+    if kind in ("ad", "notice", "aside", "footer", "form", "related") and r.random() < 0.5:
+        text = " ".join(r.sample([_saying(r), _saying(r), _words(r, 1, 6) + "."], r.randint(1, 3))) if r.random() < 0.8 else _saying(r)
+        if kind in ("ad", "notice") and r.random() < 0.5:  # with no name, or one that says nothing
+            name = r.choice(["", f' class="{_words(r, 1, 1)}-{r.randint(1, 99)}"', ' class="zone"', ' class="box"', ' id="block"'])
+            return r.choice([f"<div{name}>{text}</div>", f"<div{name}><p>{text}</p></div>", f"<section{name}>{text}</section>", f"<p{name}>{text}</p>"])
     if kind == "nav":
         body = f"<ul>{_links(r, r.randint(2, 9))}</ul>" if r.random() < 0.7 else _links(r, r.randint(2, 7), "span")
         return f"<nav{_mark(r, ['menu', 'nav', 'top'])}>{body}</nav>" if r.random() < 0.6 else f"<div{_mark(r, ['menu', 'navigation', 'navbar', 'breadcrumb', 'breadcrumbs'])}>{body}</div>"
@@ -107,6 +125,11 @@ def pages(n: int, seed: int = 17) -> list[str]:
     out = []
     for _ in range(n):
         inner = _inner(r)
+        if r.random() < 0.06:  # a page of an article and nothing else
+            short = r.choice([inner, f"<p>{_words(r, 1, 4).capitalize()}.</p>", f"<p>{_sentences(r, 1, 2)}</p>", f"<h1>{_words(r, 1, 4)}</h1><p>{_words(r, 2, 9)}.</p>", f"<div>{_words(r, 2, 6)}.</div>"])
+            body = f"<x-content>{short}</x-content>" if r.random() < 0.7 else f"<div><x-content>{short}</x-content></div>"
+            out.append(f"<html><body>{body}</body></html>")
+            continue
         kind = r.random()
         if kind < 0.45:
             body = f"<article{_mark(r, ['post', 'entry', 'story']) if r.random() < 0.4 else ''}>{inner}</article>"

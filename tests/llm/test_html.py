@@ -61,7 +61,7 @@ def test_sum_product_against_all_labellings(model):
     total, mass = 0.0, np.zeros(len(parent))
     for y in itertools.product((0, 1), repeat=len(parent)):
         score = model.root[y[0]] + sum(model.unary[f][y[i], x[i, f]] for i in range(len(y)) for f in range(x.shape[1]))
-        score += sum(model.pair[x[i, 0], x[i, 1], y[parent[i]], y[i]] for i in range(1, len(y)))
+        score += sum(model.pair[x[i, 0], x[i, 1], y[parent[i]], y[i]] + model.child[x[parent[i], 0], y[parent[i]], x[i, 0]] for i in range(1, len(y)))
         total += np.exp(score)
         mass += np.exp(score) * np.array(y)
     assert np.allclose(H.marginals(parent, depth, x, model), mass / total)
@@ -142,3 +142,22 @@ def test_what_nothing_closes():
     texts = lambda page: [b[1] for b in H.parse(page).blocks]
     assert texts("<p>hi</p> more <!-- x") == ["hi", "more"] and texts("<p>a</p><!-- b > c") == ["a"] and texts("<p>hi</p><script>a>b c") == ["hi"]
     assert texts("<p>a</p><![CDATA[x > y") == ["a", "x > y"] and texts("<p>a</p><![CDATA[x y") == ["a", "x y"] and texts("<svg a/>q<svg b>r") == ["q"] and texts("<script>x</script>y") == ["y"]
+
+
+def test_parts_without_a_telling_name(model):
+    one, two = "<p>The first paragraph of the article is here, and it says something of interest.</p>", "<p>The second one goes on for some more words, and then it ends.</p>"
+    want = "The first paragraph of the article is here, and it says something of interest. The second one goes on for some more words, and then it ends."
+    for part in ("<div class='zone-7'>Buy now! Click here to get the best offers.</div>", "<div>Subscribe to our newsletter today.</div>"):
+        assert text(model, f"<article>{one}{part}{two}</article>") == want
+    assert text(model, f"<div class=content>{one}{two}</div><div>We use cookies on this site. Accept all cookies.</div>") == want
+    said = "<p>The paper says that its readers subscribe to the newsletter in large numbers, as they have for years, and that most of them read it in the morning before they go to work.</p>"
+    assert "newsletter in large numbers" in text(model, f"<article>{one}{said}{two}</article>")
+
+
+def test_short_pages(model):
+    assert text(model, "<html><body><p>Hello world.</p></body></html>") == "Hello world." and text(model, "<p>a. b</p>") == "a. b"
+
+
+def test_counted_in_tasks_as_here(spark, model):
+    found = H.trained_by(spark)
+    assert all((a == b).all() for a, b in zip([*found.unary, found.pair, found.child, found.root], [*model.unary, model.pair, model.child, model.root]))
