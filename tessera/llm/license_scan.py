@@ -93,9 +93,9 @@ def _verified(met: DataFrame, k: int, min_share: float) -> DataFrame:
     said = F.array(*(F.array(*map(F.lit, template_words(text))) for _, text in TEMPLATES))
     labels = F.array(*(F.lit(label) for label, _ in TEMPLATES))
 
-    def check(x: Column) -> Column:
+    def check(x: Column) -> Column:  # the words are named twice: an expression named once would be put in its place, and worked out for each x
         template = F.get(said, x["t"])
-        same = F.filter(F.sequence(F.lit(0), F.size(template) - 1), lambda j: F.exists(x["ds"], lambda d: F.get("_tz_words", (j + d).cast("int")) == F.get(template, j)))
+        same = F.filter(F.sequence(F.lit(0), F.size(template) - 1), lambda j: F.exists(x["ds"], lambda d: (j + d < F.size("_tz_words")) & (F.get("_tz_words", (j + d).cast("int")) == F.get(template, j))))
         share = F.size(same) / F.size(template)
         return F.struct(share.alias("share"), F.size(template).alias("size"), (-x["t"]).alias("t"), x["lo"].alias("lo"), (x["hi"] + k - 1).alias("hi"))
 
