@@ -82,7 +82,7 @@ def join_skewed(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str
         return rows.join(F.broadcast(hot), keys).select(*rows.columns, *payload).unionByName(rest.join(cold, on, how).select(*found))
     marks = hot.select(*keys, *(F.col(c).alias(f"_tz_hot_{c}") for c in payload), F.lit(True).alias("_tz_is_hot"))
     marked = rows.join(F.broadcast(marks), keys, "left").withColumn("_tz_is_hot", F.coalesce("_tz_is_hot", F.lit(False)))
-    marked = marked.withColumn("_tz_key", F.when(F.col("_tz_is_hot"), spread).otherwise(F.col(keys[0])))
+    marked = marked.withColumn("_tz_key", F.when(F.col("_tz_is_hot"), spread.cast(rows.schema[keys[0]].dataType)).otherwise(F.col(keys[0])))
     on = (F.col("_tz_key") == F.col(f"_tz_cold_{keys[0]}")) & (F.col("_tz_is_hot") == F.col("_tz_cold_flag"))
     for k in keys[1:]:
         on = on & (F.col(k) == F.col(f"_tz_cold_{k}"))
