@@ -129,7 +129,7 @@ def quality_rules(docs: DataFrame, min_words: int = 10, repeat_percent: int = 20
     output. Columns of the names made here are replaced. Windows are compared by 64-bit hashes within one document.
     """
     labelled = lang_col if lang_col in docs.columns else None
-    lists = common_words(docs, top_words, least_docs, text_col, labelled) if labelled else {}
+    lists = common_words(docs, top_words, least_docs, text_col=text_col, lang_col=labelled) if labelled else {}
     langs = sorted(lists)
     made = base_counts(docs, text_col, labelled, lists)
     made = made.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")))
