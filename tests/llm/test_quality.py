@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import numpy as np
+import pytest
 
 from tessera.llm import quality_model, quality_rules
 
@@ -140,3 +141,78 @@ def test_scores_of_odd_rows(spark, odd_docs, no_docs):
     assert quality_model.fit(odd_docs, labels.limit(0)) is None and quality_model.fit(no_docs, labels) is None
     assert {r.score for r in quality_model.score(odd_docs, None).collect()} == {0.5}
     assert quality_model.features(prose(1, 30)).shape == (quality_model.WIDTH,)
+
+
+def brute_kept(rows, most=20, least_docs=20):
+    """kept by plain sums, from rows (text, lang)."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    classes = [lambda c: "a" <= c <= "z", lambda c: "A" <= c <= "Z", lambda c: c.islower() and not "a" <= c <= "z", lambda c: c.isalpha() and not c.islower() and not "A" <= c <= "Z", lambda c: "0" <= c <= "9", lambda c: c in " \t\n\x0b\x0c\r", lambda c: c in ".,;:!?'\"()-"]
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    n, counts = Counter(lang for t, lang in rows if lang and t is not None), defaultdict(Counter)
+    for t, lang in rows:
+        if lang and t is not None:
+            counts[lang].update(w.lower() for w in split(t))
+    lists = {g: sorted(w for w, _ in counts[g].most_common(most)) for g in n if n[g] >= least_docs}
+    langs = sorted(lists)
+
+    def shares(found, total):
+        return [x / total for x in [*found, total - sum(found)]]
+
+    def away(p, q):
+        part = lambda a, m: a * math.log2(a / m) if a > 0 else 0.0
+        return math.sqrt(max(0.0, sum((part(a, (a + b) / 2) + part(b, (a + b) / 2)) / 2 for a, b in zip(p, q))))
+
+    docs = []
+    for t, lang in rows:
+        w, t = split(t), t or ""
+        windows = Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+        repeat = len({j for i in range(len(w) - 4) if windows[tuple(w[i:i + 5])] > 1 for j in range(i, i + 5)})
+        low = Counter(x.lower() for x in w)
+        own = {g: sum(low[x] for x in lists[g]) for g in langs}
+        best = max(langs, key=lambda g: (own[g], [-ord(c) for c in g])) if langs and max(own.values()) else None
+        best = None if lang is not None and lang not in lists else best
+        by = lang if lang in lists else best
+        words = lambda g: shares([low[x] for x in lists[g]] + [0] * (most - len(lists[g])), len(w)) if g and len(w) >= 40 else None
+        other = best if best != by else None
+        docs.append((len(w) < 10 or 100 * repeat > 20 * len(w), by, other, shares([sum(map(f, t)) for f in classes], len(t)) if len(t) >= 200 else None, words(by), words(other)))
+    sound = [d for d in docs if not d[0] and d[1] and d[3] and d[4]]
+
+    def references(some):
+        out = {}
+        for g in {d[1] for d in some}:
+            mine = [d for d in some if d[1] == g]
+            out[g] = [[sum(x) / len(mine) for x in zip(*(d[k] for d in mine))] for k in (3, 4)]
+        return out
+
+    far = lambda c, w: (c is not None and c > 0.33) or (c is not None and w is not None and c + w > 0.52)
+    near = lambda d, refs: (away(d[3], refs[d[1]][0]), away(d[4], refs[d[1]][1]))
+    first = references(sound)
+    refs = first | references([d for d in sound if not far(*near(d, first))])
+    kept = []
+    for failed, by, other, c, w, wo in docs:
+        least = lambda pairs: min((away(p, refs[g][k]) for p, g, k in pairs if p and g in refs), default=None)
+        kept.append(not failed and not far(least([(c, by, 0), (c, other, 0)]), least([(w, by, 1), (wo, other, 1)])))
+    return kept
+
+
+def test_kept_against_plain_sums(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")).collect()}
+    want = brute_kept([(r.text, r.lang) for r in rows])
+    assert [got[r.doc_id] for r in rows] == want and 0 < sum(want) < len(want)
+
+
+def test_languages_cost_no_expressions(spark):
+    """The plan is as long for 120 languages as for 4."""
+    def plan(n):
+        rows = [(i, " ".join(f"w{i % n}x{j % 25}" for j in range(60)), f"l{i % n}") for i in range(20 * n)]
+        out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), repeat_percent=100)
+        assert out.count() == 20 * n
+        return len(out._jdf.queryExecution().analyzed().treeString().split("\n"))
+
+    assert plan(4) == plan(120)
+    with pytest.raises(ValueError):
+        quality_rules.common_words(spark.createDataFrame([(f"l{i}", "a b c") for i in range(9)] * 20, "lang string, text string"), most_langs=8)
