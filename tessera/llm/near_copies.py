@@ -107,37 +107,48 @@ def _shared(tables: _Tables, keys: DataFrame) -> DataFrame:
 
 
 def _mixed(tables: _Tables, shared: DataFrame, melted: DataFrame) -> DataFrame:
-    """(band, key, n, root, low, high, size): the keys of buckets that hold several groups, with the smallest and the largest key of the bucket."""
+    """(band, key, n, root, low, high, size, mass): the keys of buckets that hold several groups, with the smallest and the largest key of the bucket, its keys and the sum of their n."""
     placed = tables.keep(shared.select("band", "key", "n").join(melted, "key").select("band", "key", "n", "root"))
     one = F.struct("key", "n", "root")
-    buckets = placed.groupBy("band").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size"))
-    buckets = tables.keep(buckets.filter("a <> b").select("band", "low", "high", "size"))
-    return tables.keep(join_skewed(placed, buckets, ["band"], "size", ["low", "high", "size"], F.col("key"), inner=True))
+    buckets = placed.groupBy("band").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size"), F.sum("n").alias("mass"))
+    buckets = tables.keep(buckets.filter("a <> b").select("band", "low", "high", "size", "mass"))
+    return tables.keep(join_skewed(placed, buckets, ["band"], "size", ["low", "high", "size", "mass"], F.col("key"), inner=True))
 
 
-def _by_signature(rows: DataFrame, least: float, salt: int) -> DataFrame:
-    """(u, v) of rows (band, size, key, n, root, sig): pairs of a bucket, of two groups, whose sizes and signatures allow the similarity.
+def _within(rows: DataFrame, least: float, salt: int) -> DataFrame:
+    """(u, v) of rows (band, size, mass, key, n, root, sig, bands, found): links of keys of one bucket and of two groups.
 
-    A large bucket is cut into parts of about `salt` keys by a hash; each pair of parts is one task's product. Of 125
-    minima, a pair at 0.8 shares under three fifths with a chance of 1e-8.
+    A large bucket is cut, by a hash, into parts of about `salt` keys and at most a million shingles; each pair of parts is one
+    task's product, and the sets are checked there, so no pair but a link is ever a row. A pair is checked in the first bucket
+    that it shares, and where its groups aren't linked yet. Signatures go first: of 125 minima, a pair at 0.8 shares under two thirds with a chance of 0.00005.
     """
-    parts = F.ceil(F.col("size") / salt)
+    parts = F.greatest(F.ceil(F.col("size") / salt), F.ceil(F.col("mass") / 1_000_000))
     own = F.pmod(F.xxhash64("key"), parts)
     dealt = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    dealt = dealt.select("band", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), "own", "key", "n", "root", "sig")
+    dealt = dealt.select("band", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), "own", "key", "n", "root", "sig", "bands", "found")
 
     def run(t: pa.Table) -> pa.Table:
         own, key, n, root = (t.column(c).to_numpy() for c in ("own", "key", "n", "root"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
+        bands, found = np.stack(t.column("bands").to_numpy()), t.column("found")
+        band, p, q = (t.column(c)[0].as_py() for c in ("band", "p", "q"))
         a, b = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        found = []
-        for i in a:
-            some = b[(root[b] != root[i]) & (np.minimum(n[b], n[i]) >= least * np.maximum(n[b], n[i])) & ((p != q) | (key[b] > key[i]))]
-            some = some[(sig[some] == sig[i]).sum(axis=1) >= 0.6 * BANDS * ROWS]
-            found.append(np.stack([np.full(len(some), key[i]), key[some]]))
-        u, v = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
+        _, group = np.unique(root, return_inverse=True)
+        held: dict[int, np.ndarray] = {}
+        read = lambda i: held[i] if i in held else held.setdefault(i, np.frombuffer(found[i].as_py(), np.uint64))
+        links = []
+        for i in a.tolist():
+            some = b[(group[b] != group[i]) & (np.minimum(n[b], n[i]) >= least * np.maximum(n[b], n[i])) & ((p != q) | (key[b] > key[i]))]
+            some = some[(sig[some] == sig[i]).sum(axis=1) >= 0.66 * BANDS * ROWS]
+            same = bands[some] == bands[i]
+            some = some[bands[i][same.argmax(axis=1)] == band]
+            for j in some.tolist():
+                if group[i] != group[j]:
+                    both = len(np.intersect1d(read(i), read(j), assume_unique=True))
+                    if both >= least * (n[i] + n[j] - both) - 1e-9:
+                        links.append((min(key[i], key[j]), max(key[i], key[j])))
+                        group[group == group[j]] = group[i]
+        return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([x for _, x in links], pa.int64())})
 
     return shipped(dealt).groupBy("band", "p", "q").applyInArrow(run, "u long, v long")
 
@@ -152,7 +163,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, budget: int
     Equal sets are one key. Candidates come in turns, and each is checked on the sets: SimHash fingerprints within
     `budget` bits, by the trie join; in each bucket of a MinHash band that still holds several groups, the keys against the
     smallest one, then in those that still do against the largest one; and last, where buckets still do, the keys against
-    those of the other groups, by their signatures. A pair is missed only if the bands miss it. Rows alike in id and text
+    those of the other groups, by their signatures. A pair is missed only if the bands or the signatures miss it (at 0.8 with a
+    chance of 0.00005 each). Rows alike in id and text
     are made one before they are dealt out, so no join gathers copies with their texts.
     """
     tables = _Tables(docs.sparkSession)
@@ -214,8 +226,8 @@ def _staying(tables: _Tables, docs: DataFrame, shingle: int, least: float, budge
         met = shared.filter((F.col("root") != c["root"]) & alike(F.col("n"), c["n"])).select(c["key"].alias("u"), F.col("key").alias("v"))
         links = links.unionByName(_similar(tables, met, sets, least))
         melted = _melted(tables, keys, links)
-    rest = _mixed(tables, shared, melted).filter("size > 2").select("band", "size", "key", "n", "root")
+    rest = _mixed(tables, shared, melted).filter("size > 2").select("band", "size", "mass", "key", "n", "root")
     if not rest.isEmpty():
-        more = _similar(tables, _by_signature(rest.join(keys.select("key", "sig"), "key"), least, salt), sets, least)
+        more = tables.keep(_within(rest.join(keys.select("key", "sig", "bands"), "key").join(sets, "key"), least, salt))
         melted = _melted(tables, keys, links.unionByName(more))
     return melted.join(keys.select("key", "of"), "key").groupBy("root").agg(F.min("of").alias("of")).select("of.id", "of.th")
