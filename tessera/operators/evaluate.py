@@ -121,14 +121,19 @@ def ordered(results: DataFrame) -> list:
     return [F.col("success").cast("int").desc(), F.col("found_rank").asc_nulls_last(), "query_id"]
 
 
+def section_of(results: DataFrame) -> F.Column:
+    """The section of a report that a result belongs to."""
+    impossible = F.coalesce(F.col("impossible"), F.lit(False)) if "impossible" in results.columns else F.lit(False)
+    return F.when(impossible, "impossible").when(F.col("success"), "found").otherwise("not found")
+
+
 def detailed(results: DataFrame, each: int = 10) -> DataFrame:
     """results (query_id, found_rank, success, retrieved; impossible, if there is such a column) with section and place, the first `each` of a section.
 
     Sections: 'found', 'not found' and, of questions without an answer, 'impossible'. chunk: of a found one the first that
     matches, else the best; others: up to three more of one not found, three of an impossible one.
     """
-    impossible = F.coalesce(F.col("impossible"), F.lit(False)) if "impossible" in results.columns else F.lit(False)
-    out = results.withColumn("section", F.when(impossible, "impossible").when(F.col("success"), "found").otherwise("not found"))
+    out = results.withColumn("section", section_of(results))
     matches = F.filter("retrieved", lambda x: x["is_match"])
     out = out.withColumn("chunk", F.when(F.col("section") == "found", F.get(matches, 0)).when(F.col("section") == "not found", F.get("retrieved", 0)))
     rest = F.when(F.col("section") == "impossible", F.slice("retrieved", 1, 3)).when(F.col("section") == "not found", F.slice("retrieved", 2, 3))
@@ -152,7 +157,7 @@ def report(results: DataFrame, k: int, settings: dict[str, str] | None = None, d
         r = many_sources(results).first()
         lines += [f"- questions with several sources: {r.multi_source}"] if r.multi_source else []
     if detail:
-        sizes = dict(detailed(results, 2**31 - 1).groupBy("section").count().collect())
+        sizes = dict(results.groupBy(section_of(results).alias("section")).count().collect())
         rows = detailed(results, each).orderBy("section", "place").collect()
         say = lambda c: ", ".join(f"{name}: {value}" for name, value in c.asDict().items())
         for section in ("found", "not found", "impossible"):
