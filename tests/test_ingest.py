@@ -101,6 +101,12 @@ def test_main_text_with_cut_references_is_as_its_sql(spark, cut_pages):
     assert got == sorted(con.execute(SQL["page_main_text"]).fetchall()) and got[0] == (1, CUT_TEXT + " and other words")
 
 
+def test_titles_with_cut_references_are_as_their_sql(spark, cut_pages):
+    sf, con = cut_pages
+    got = sorted((r.page_id, r.title) for r in QUERIES["page_title"](spark, sf).collect())
+    assert got == sorted(con.execute(SQL["page_title"]).fetchall()) == [(1, CUT_TEXT), (2, "a < b")]
+
+
 def test_passages(spark):
     long = "This sentence about Paris and London in 1999 shows what many people explain well today."
     text = " ".join([long.replace("1999", str(1900 + i)) for i in range(9)])
