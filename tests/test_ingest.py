@@ -107,6 +107,12 @@ def test_titles_with_cut_references_are_as_their_sql(spark, cut_pages):
     assert got == sorted(con.execute(SQL["page_title"]).fetchall()) == [(1, CUT_TEXT), (2, "a < b")]
 
 
+def test_safe_titles_with_cut_references_are_as_their_sql(spark, cut_pages):
+    sf, con = cut_pages
+    got = sorted((r.page_id, r.safe_title) for r in QUERIES["safe_titles"](spark, sf).collect())
+    assert got == sorted(con.execute(SQL["safe_titles"]).fetchall()) and got[0] == (1, "Rock amp roll s quot am notit copy amp")
+
+
 def test_passages(spark):
     long = "This sentence about Paris and London in 1999 shows what many people explain well today."
     text = " ".join([long.replace("1999", str(1900 + i)) for i in range(9)])
