@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 from tessera.sources.code import shipped
 
 SEPARATORS = ["\n\n", "\n", " ", ""]
+#: Bytes of text that a Python worker turns into chunks at a time; a longer text is taken alone.
+PART_BYTES = 1 << 20
 
 
 def content_id(text: str | F.Column) -> F.Column:
@@ -40,31 +45,35 @@ def split_text(text: str, size: int = 1000, overlap: int = 400, separators: list
     if overlap >= size:
         raise ValueError("overlap must be under the size")
 
-    def pieces(t: str, seps: list[str]) -> list[tuple[str, str]]:
-        """(piece, what stands before it)."""
+    def pieces(t: str, seps: list[str]) -> Iterator[tuple[str, str]]:
+        """(piece, what stands before it), one at a time."""
         at = next(i for i, s in enumerate(seps) if s == "" or s in t)
         sep = seps[at]
         if sep == "":
-            return [(c, "") for c in t]
-        out: list[tuple[str, str]] = []
-        for i, p in enumerate(t.split(sep)):
-            lead = sep if i else ""
+            yield from ((c, "") for c in t)
+            return
+        start, end = 0, 0
+        while end >= 0:
+            end = t.find(sep, start)
+            p = t[start:end] if end >= 0 else t[start:]
+            lead = sep if start else ""
             if len(p) <= size:
-                out.append((p, lead))
+                yield p, lead
             else:
-                inner = pieces(p, seps[at + 1:])
-                out += [(inner[0][0], lead), *inner[1:]]
-        return out
+                for inner, before in pieces(p, seps[at + 1:]):
+                    yield inner, before if lead is None else lead
+                    lead = None
+            start = end + len(sep)
 
     out: list[str] = []
-    held: list[tuple[str, str]] = []
+    held: deque[tuple[str, str]] = deque()
     length = 0
     for piece, lead in pieces(text, separators or SEPARATORS):
         extra = len(piece) + (len(lead) if held else 0)
         if held and length + extra > size:
             out.append("".join(p if i == 0 else s + p for i, (p, s) in enumerate(held)))
             while held and (length > overlap or length + len(lead) + len(piece) > size):
-                gone = held.pop(0)
+                gone = held.popleft()
                 length -= len(gone[0]) + (len(held[0][1]) if held else 0)
             extra = len(piece) + (len(lead) if held else 0)
         held.append((piece, lead))
@@ -74,12 +83,22 @@ def split_text(text: str, size: int = 1000, overlap: int = 400, separators: list
     return [c for c in (x.strip() for x in out) if c]
 
 
+def parts(batch: pa.RecordBatch, column: int, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch's rows in order, in slices of at most `size` bytes of a text column, one row at least: Spark's batches grow with their texts."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, size + (ends[at - 1] if at else 0), side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def chunk_recursive(docs: DataFrame, size: int = 1000, overlap: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chunk_index, total_chunks, chunk_id, text) by split_text(), Arrow batch by batch."""
+    """(id, chunk_index, total_chunks, chunk_id, text) by split_text(), Arrow batch by batch, in parts of PART_BYTES."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in parts(whole, 1)):
             found = [split_text(t or "", size, overlap) for t in b.column(1).to_pylist()]
             take = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
             yield pa.RecordBatch.from_arrays([

@@ -1,6 +1,8 @@
 import hashlib
+import tracemalloc
 
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,6 +40,24 @@ def test_chunks_prefer_paragraphs_and_overlap():
         I.split_text("x", 5, 5)
 
 
+def test_chunks_of_a_batch_come_in_parts():
+    b = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["aé", None, "", "b" * 9, "cd", "e"])], names=["id", "text"]).slice(0)
+    cuts = lambda x, size: [p.column(0).to_pylist() for p in I.parts(x, 1, size)]
+    assert cuts(b, 3) == [[0, 1, 2], [3], [4, 5]] and cuts(b, 1) == [[0], [1, 2], [3], [4], [5]] and cuts(b, 99) == [[0, 1, 2, 3, 4, 5]]
+    assert cuts(b.slice(2), 9) == [[2, 3], [4, 5]] and cuts(b.slice(6), 9) == []
+
+
+def test_memory_of_chunks_is_that_of_the_text():
+    """A text without separators is packed character by character, with no list of them."""
+    text = "x" * 1_000_000
+    tracemalloc.start()
+    try:
+        assert len(I.split_text(text)) == 1 + -(-(len(text) - 1000) // 600)
+        assert tracemalloc.get_traced_memory()[1] < 8 * len(text)
+    finally:
+        tracemalloc.stop()
+
+
 def test_windows_and_ids(spark):
     df = spark.createDataFrame([(1, "a" * 2300), (2, "b"), (3, ""), (4, None)], "doc_id long, text string")
     got = I.chunk_windows(df).orderBy("doc_id", "chunk_index").collect()
