@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -34,6 +35,8 @@ _STARTS = [a for a, _ in SCRIPTS]
 OTHER = re.compile("[^\x00-\u02AF\u1E00-\u1EFF\u2000-\u21FF]")
 #: A run of more letters is judged in pieces, each a place of the path: script without spaces, text that lost them.
 PIECE = 64
+#: Bits of a sign, of which three make a number; and a number over all of those.
+SIGN, LAST = 21, (1 << 63) - 1
 
 
 def split(text: str) -> list[str]:
@@ -79,6 +82,11 @@ def grams(word: str) -> list[str]:
     return out + ["=" + word] if len(word) <= 6 else out
 
 
+def numbers(signs: np.ndarray) -> np.ndarray:
+    """Each row of signs, three at most, as one number."""
+    return functools.reduce(lambda x, c: x << SIGN | c, signs.T)
+
+
 @dataclass
 class Model:
     """langs in order. Gram g of the index has the entries begin[g] to begin[g + 1]: a language, and how much likelier the gram is there than one not seen.
@@ -100,11 +108,39 @@ class Model:
     floor: float = -8.0
     limit: int = 200_000
     known: dict[str, int] = field(default_factory=dict)
+    keys: np.ndarray = field(init=False)
+    key_of: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         self.limit = min(self.limit, max(1024, 4_000_000 // max(1, len(self.langs))))
         self.fits = np.zeros((self.limit, max(1, len(self.langs))), np.float16)
         self.table = np.zeros((self.limit, max(1, len(self.langs))), np.float32)
+        keys, places = [np.array([LAST])], [np.array([0])]
+        for size in (2, 3):
+            own = [g for g in self.index if len(g) == size and g[0] != "="]
+            keys.append(numbers(np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).astype(np.int64).reshape(-1, size)))
+            places.append(np.fromiter(map(self.index.__getitem__, own), np.int64, len(own)))
+        keys, places = np.concatenate(keys), np.concatenate(places)
+        order = np.argsort(keys)
+        self.keys, self.key_of = keys[order], places[order]  # pairs and triples of signs as numbers; the last is none
+
+    def grams_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each gram of the words that the index has: place of the word, and of the gram in the index; a word's grams stand in the order of grams().
+
+        The words are one run of signs with '_' between; pairs and triples of signs are sought as numbers, all at once.
+        """
+        signs = np.frombuffer(f"_{'_'.join(words)}_".encode("utf-32-le"), np.uint32).astype(np.int64)
+        mark = signs == ord("_")
+        word = np.cumsum(mark) - 1  # of the pair or triple that begins there
+        two = (signs[:-1] << SIGN) | signs[1:]
+        inside = np.flatnonzero(~mark[1:-1])
+        three = (two[inside] << SIGN) | signs[inside + 2]
+        sought, of_word = np.concatenate([two, three]), np.concatenate([word[:-1], word[inside]])
+        at = np.searchsorted(self.keys, sought)
+        hit = self.keys[at] == sought
+        whole = [(i, k) for i, w in enumerate(words) if len(w) <= 6 and (k := self.index.get("=" + w)) is not None]
+        i, k = np.array(whole, np.int64).reshape(-1, 2).T
+        return np.concatenate([of_word[hit], i]), np.concatenate([self.key_of[at[hit]], k])
 
     def learn(self, words: list[str]) -> None:
         """Scores of new words, into the table: log posteriors under equal priors, not below the floor.
@@ -112,18 +148,19 @@ class Model:
         Into fits: the share of a word's grams that each language has, to the usual one; 0 where no language is written in
         its script.
         """
-        found = [[k for k in map(self.index.get, grams(w)) if k is not None] for w in words]
         every = np.array([2 * len(w) + 1 + (len(w) <= 6) for w in words], np.float64)  # of grams(w)
-        sizes, n = np.array([len(x) for x in found]), len(self.langs)
-        flat = np.fromiter((k for x in found for k in x), np.int64, int(sizes.sum()))
+        n = len(self.langs)
+        of_word, flat = self.grams_of(words)
+        sizes = np.bincount(of_word, minlength=len(words))
         held = self.begin[flat + 1] - self.begin[flat]
         entry = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held) + np.repeat(self.begin[flat], held)
-        cell = np.repeat(np.repeat(np.arange(len(words)), sizes), held) * n + self.of[entry]
+        cell = np.repeat(of_word, held) * n + self.of[entry]
         total = sizes[:, None] * self.base + np.bincount(cell, self.more[entry], len(words) * n).reshape(-1, n)
         fits = np.bincount(cell, minlength=len(words) * n).reshape(-1, n) / every[:, None]
-        written = [script(w[0]) for w in words]
-        for name in set(written):
-            own = np.fromiter((x == name for x in written), bool, len(words))
+        firsts = [w[0] for w in words]
+        named = {c: script(c) for c in set(firsts)}
+        for name in set(named.values()):
+            own = np.fromiter((named[c] == name for c in firsts), bool, len(words))
             allowed = self.scripts.get(name)
             if allowed is not None:
                 total[np.ix_(own, ~allowed)] = -1e9
@@ -139,7 +176,10 @@ class Model:
     def places(self, words: list[str]) -> np.ndarray:
         """Rows of the table for words; at most `limit` words are remembered at a time."""
         known = self.known
-        fresh = list({w for w in words if w not in known})
+        try:
+            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            fresh = list({w for w in words if w not in known})
         if len(known) + len(fresh) > self.limit:
             known.clear()
             fresh = list(set(words))
@@ -164,29 +204,25 @@ class Model:
         length = np.array([len(x) for x in texts])
         order = np.argsort(-length, kind="stable")
         long = int(length.max(initial=0))
-        scores = np.zeros((long, n, k), np.float32)
+        scores = np.zeros((long, k, n), np.float32)
         for j, i in enumerate(order):
-            scores[: length[i], j] = texts[i]
+            scores[: length[i], :, j] = texts[i]
         alive = np.searchsorted(-length[order], -np.arange(1, long + 1), side="right")  # texts with a word there
-        best = np.zeros((n, k), np.float32)
-        came = np.zeros((long, n, k), np.int16)
-        own = np.arange(k)
-        for t in range(long):
-            m = alive[t]
-            b = best[:m]
-            top = b.argmax(axis=1)
-            high = np.take_along_axis(b, top[:, None], 1) - self.switch
-            stay = b >= high
-            came[t, :m] = np.where(stay, own, top[:, None])
-            b = np.where(stay, b, high) + scores[t, :m]
-            best[:m] = b - b.max(axis=1, keepdims=True)  # what all share says nothing, and would cost digits
+        high = np.float32(-self.switch)  # the best language's is 0
+        for t in range(long):  # scores of words become those of paths to there
+            b = scores[t, :, :alive[t]]
+            b += np.maximum(scores[t - 1, :, :alive[t]], high) if t else max(high, np.float32(0))
+            b -= b.max(axis=0)  # what all share says nothing, and would cost digits
         path = np.zeros((long, n), np.int16)
-        state = best.argmax(axis=1)
-        at = np.arange(n)
+        at, last = np.arange(n), length[order] - 1
+        state = np.where(last >= 0, scores[last, :, at].argmax(axis=1), 0) if long else np.zeros(n, np.int64)
         for t in range(long - 1, -1, -1):
             m = alive[t]
             path[t, :m] = state[:m]
-            state[:m] = came[t, at[:m], state[:m]]
+            if t:
+                left = np.flatnonzero(scores[t - 1, state[:m], at[:m]] < high)
+                if len(left):
+                    state[left] = scores[t - 1][:, left].argmax(axis=0)
         out: list[np.ndarray] = [None] * n  # type: ignore[list-item]
         for j, i in enumerate(order):
             out[i] = path[: length[i], j]

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from tessera.llm import langid
@@ -150,3 +151,36 @@ def test_marks_belong_to_words(spark):
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     for lang in ("hi", "mr"):
         assert [x[0] for x in model.label([text(lang) for _ in range(20)])] == [lang] * 20
+
+
+def test_grams_of_many_words_are_those_of_each():
+    letters = "abcdeé漢\U00020000कि"
+    r = np.random.default_rng(3)
+    words = ["".join(r.choice(list(letters), r.integers(1, 10))) for _ in range(400)]
+    index = {g: i for i, g in enumerate(dict.fromkeys(g for w in words[:200:2] for g in langid.grams(w)))}
+    n = len(index)
+    model = langid.Model(["x"], index, np.arange(n + 1), np.zeros(n, np.int64), np.ones(n), np.zeros(1), {}, np.ones(1))
+    of_word, found = model.grams_of(words)
+    for i, w in enumerate(words):
+        assert found[of_word == i].tolist() == [index[g] for g in langid.grams(w) if g in index]
+    assert model.grams_of(["zz"])[1].tolist() == [] == langid.Model([], {}, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), {}, np.ones(0)).grams_of(["zz"])[1].tolist()
+
+
+@pytest.mark.parametrize("switch", [0.0, 1.5, 6.0])
+def test_paths_side_by_side_are_those_alone(switch):
+    """Each text's path by a plain search, also where texts end at different words and languages tie."""
+    r = np.random.default_rng(5)
+    model = langid.Model(list("abc"), {}, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(3), {}, np.ones(3), switch)
+    texts = [r.integers(-8, 1, (n, 3)).astype(np.float32) for n in [1, 30, 7, 7, 2, 90, 0, 1]]
+    for x, path in zip(texts, model.paths(texts)):
+        best, came = np.zeros(3), []
+        for row in x:
+            top = int(best.argmax())
+            came.append([i if best[i] >= best[top] - switch else top for i in range(3)])
+            best = np.maximum(best, best[top] - switch) + row
+        want, state = [], int(best.argmax())
+        for back in reversed(came):
+            want.append(state)
+            state = back[state]
+        assert path.tolist() == want[::-1]
+    assert model.paths([]) == []
