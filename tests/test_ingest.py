@@ -133,6 +133,34 @@ def test_safe_titles_with_cut_references_are_as_their_sql(spark, cut_pages):
     assert got == sorted(con.execute(SQL["safe_titles"]).fetchall()) and got[0] == (1, "Rock amp roll s quot am notit copy amp")
 
 
+#: Titles that the parser read otherwise than the SQL: none, spread over lines, with '<', other references and spaces, new letters, or long.
+ODD_TITLES = [
+    None, "", "<p>no title here</p>", "<title>never closed", "<title>\n Two\nlines\n</title>", "<title>Tom < Jerry</title>", "<title>a<b<c</title>", "<title>a <b>bold</b> one</title>",
+    "<title>Rock&nbsp;roll &copy; &middot; caf&eacute; it&#x27;s it&#39;s &amp;lt; &#38;</title>", "<TITLE lang='en'>Upper\u3000case\u00a0</Title >x</TITLE>", "<title>\u2003one\u00a0two\u2003</title><title>second</title>",
+    "<!-- <title>in a comment</title> --><title>real</title>", "<title></title><title>second</title>", "<header><title>in a header</title></header>", "<title>\u0870\U00031350\U0001df00 \U0001f600 x\u0301 \u0663</title>",
+    "<title>" + "\u1100\u1161\u11a8" * 100 + "</title>", "<title>" + "\u00e9!" * 300 + "</title>", "<title>\x00a\x00</title>", "<title>- " + " " * 300 + "x</title>",
+]
+
+
+@pytest.mark.parametrize("name", ["safe_titles", "page_title"])
+def test_odd_titles_are_as_their_sql(spark, tmp_path, name):
+    spark.createDataFrame(list(enumerate(ODD_TITLES)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = {r[0]: r[1] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(SQL[name]).fetchall()) and len(got) == len(ODD_TITLES)
+
+
+@pytest.mark.parametrize("html", ["<title" * 100_000, "<title>" * 100_000, "<title>" + "</title" * 100_000])
+def test_titles_left_open_are_read_once(spark, html):
+    df = spark.createDataFrame([(html,)], "html string").select(P.page_title(F.col("html")))
+    assert df.collect()[0][0] == ""
+
+
+def test_titles_with_a_bare_less_than_are_whole():
+    assert P.page_content("<title> Tom < Jerry </title><article>x</article>") == ("Tom < Jerry", "x")
+
+
 def test_passages(spark):
     long = "This sentence about Paris and London in 1999 shows what many people explain well today."
     text = " ".join([long.replace("1999", str(1900 + i)) for i in range(9)])
